@@ -56,7 +56,7 @@ def lag_series_value(df: DataFrame, value: str, alias: str, default: Column | fl
 
 
 def day_edges(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """First and last value per (symbol, date), by time."""
+    """Value at the first and at the last step per (symbol, date); may be NULL."""
     return df.groupBy(*SERIES).agg(
         *[F.min_by(c, TIME).alias(f"{c}_first") for c in cols],
         *[F.max_by(c, TIME).alias(f"{c}_last") for c in cols])

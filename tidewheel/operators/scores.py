@@ -44,6 +44,14 @@ def daily_report(df: DataFrame, by: Iterable[str] = ("stream", "date_id")) -> Da
                  F.count(F.lit(1)).alias("n_rows")))
 
 
+def variant_scores(df: DataFrame, preds: dict[str, str]) -> DataFrame:
+    """(variant, r2) of several prediction expressions in one pass."""
+    rows = df.withColumns({f"_p{i}": F.expr(e) for i, e in enumerate(preds.values())})
+    wide = rows.agg(*[r2_expr(pred=f"_p{i}").alias(f"_r{i}") for i in range(len(preds))])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("variant"), F.col(f"_r{i}").alias("r2")) for i, n in enumerate(preds)])).alias("_r")).select("_r.*")
+
+
 def delta_vs_base(results: DataFrame, base: str, variant: str = "variant", score: str = "r2") -> DataFrame:
     """Score difference of each variant to the base variant (a handful of rows)."""
     ref = results.where(F.col(variant) == base).agg(F.first(score).alias("_base"))
