@@ -19,8 +19,8 @@ from tidewheel.sources.panel import history_tail
 from tidewheel.streaming.replay import use_rocksdb
 
 
-def _output(df: DataFrame, cols: list[str], rows: int) -> StructType:
-    keep = [f for f in df.schema.fields if f.name in KEYS]
+def _output(df: DataFrame, cols: list[str], rows: int, carry: list[str]) -> StructType:
+    keep = [df.schema[c] for c in [*KEYS, *carry]]
     return StructType(keep + [StructField(n(c, rows), DoubleType()) for n in (rolling_diff, rolling_std) for c in cols])
 
 
@@ -29,10 +29,11 @@ def _frame(key, parts: list[pd.DataFrame], cols: list[str]) -> tuple[pd.DataFram
     return pdf, pdf[cols].to_numpy(dtype=np.float64, na_value=np.nan)
 
 
-def _result(pdf: pd.DataFrame, x: np.ndarray, mean: np.ndarray, std: np.ndarray, cols: list[str], rows: int) -> pd.DataFrame:
-    out = {k: pdf[k].to_numpy() for k in KEYS}
+def _result(pdf: pd.DataFrame, x: np.ndarray, mean: np.ndarray, std: np.ndarray, cols: list[str], rows: int,
+            carry: list[str]) -> pd.DataFrame:
+    out = {k: pdf[k].to_numpy() for k in [*KEYS, *carry]}
     for i, c in enumerate(cols):
-        out[rolling_diff(c, rows)] = pd.array(x[:, i] - mean[:, i]).astype("Float64")
+        out[rolling_diff(c, rows)] = x[:, i] - mean[:, i]
     for i, c in enumerate(cols):
         out[rolling_std(c, rows)] = std[:, i]
     frame = pd.DataFrame(out)
@@ -42,8 +43,8 @@ def _result(pdf: pd.DataFrame, x: np.ndarray, mean: np.ndarray, std: np.ndarray,
 class BufferedRolling(StatefulProcessor):
     """Keeps the last rows themselves and recomputes each window from them."""
 
-    def __init__(self, cols: list[str], rows: int) -> None:
-        self.cols, self.rows = cols, rows
+    def __init__(self, cols: list[str], rows: int, carry: list[str] = ()) -> None:
+        self.cols, self.rows, self.carry = cols, rows, list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getValueState("tail", StructType([StructField("values", ArrayType(DoubleType()))]))
@@ -72,7 +73,7 @@ class BufferedRolling(StatefulProcessor):
             n = len(view)
             mean[len(x) - n:], std[len(x) - n:] = view.mean(axis=-1), view.std(axis=-1, ddof=1)
         self._save(past)
-        yield _result(pdf, x, mean, std, self.cols, self.rows)
+        yield _result(pdf, x, mean, std, self.cols, self.rows, self.carry)
 
     def close(self) -> None:
         pass
@@ -84,8 +85,8 @@ class RunningRolling(StatefulProcessor):
     The sums are rebuilt from the ring once per full turn, which bounds drift.
     """
 
-    def __init__(self, cols: list[str], rows: int) -> None:
-        self.cols, self.rows = cols, rows
+    def __init__(self, cols: list[str], rows: int, carry: list[str] = ()) -> None:
+        self.cols, self.rows, self.carry = cols, rows, list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getMapState("ring", StructType([StructField("slot", IntegerType())]),
@@ -131,7 +132,7 @@ class RunningRolling(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf, x = _frame(key, list(rows), self.cols)
         mean, std = self._push(x)
-        yield _result(pdf, x, mean, std, self.cols, self.rows)
+        yield _result(pdf, x, mean, std, self.cols, self.rows, self.carry)
 
     def close(self) -> None:
         pass
@@ -141,16 +142,19 @@ ENGINES = {"buffered": BufferedRolling, "running": RunningRolling}
 
 
 def rolling_stream(stream: DataFrame, cols: list[str], rows: int = ROLLING_ROWS, engine: str = "running",
-                   history: DataFrame | None = None) -> DataFrame:
-    """Streaming twin of ``rolling_features`` (keys and engineered columns).
+                   history: DataFrame | None = None, carry: list[str] = ()) -> DataFrame:
+    """Streaming twin of ``rolling_features``: keys, ``carry`` columns passed
+    through, and the engineered columns.
 
     ``history`` is a batch panel whose last ``rows`` rows per symbol warm the
     state up.
     """
+    carry = list(carry)
     use_rocksdb(stream.sparkSession)
     warm = None
     if history is not None:
         warm = history_tail(history.select(*KEYS, *cols), rows).groupBy(SYMBOL)
-    return stream.select(*KEYS, *cols).groupBy(SYMBOL).transformWithStateInPandas(
-        statefulProcessor=ENGINES[engine](cols, rows), outputStructType=_output(stream, cols, rows),
+    inputs = list(dict.fromkeys([*KEYS, *carry, *cols]))
+    return stream.select(*inputs).groupBy(SYMBOL).transformWithStateInPandas(
+        statefulProcessor=ENGINES[engine](cols, rows, carry), outputStructType=_output(stream, cols, rows, carry),
         outputMode="Append", timeMode="None", initialState=warm)
