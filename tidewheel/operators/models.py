@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.scalars import clip_prediction, log_abs, vol_from_log, zero_fill
+from tidewheel.functions.scalars import clip_prediction, combo, log_abs, vol_from_log, zero_fill
 from tidewheel.names import DATE, KEYS
 from tidewheel.operators.moments import linear_score, ridge_fit
 from tidewheel.operators.scores import r2
@@ -152,3 +152,27 @@ def ablation(train: DataFrame, valid: DataFrame, variants: dict[str, list[str]],
         base = value if base is None else base
         rows.append((variant, len(cols), value, value - base))
     return train.sparkSession.createDataFrame(rows, "variant string, n_features int, r2 double, delta_vs_base double")
+
+
+def fold_importances(folds: DataFrame, cols: list[str], label: str = "y", weight: str = "w",
+                     name: str = "boosted_trees", **kw) -> DataFrame:
+    """(fold, feature, score): tree importances fitted on each fold's rows."""
+    rows = []
+    for f in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+        model = fit(name, folds.where(F.col("fold") == f), cols, label, weight, **kw)
+        rows += [(f, c, v) for c, v in importances(model, cols)]
+    return folds.sparkSession.createDataFrame(rows, "fold int, feature string, score double")
+
+
+def combo_tree_gains(df: DataFrame, candidates: list[tuple[str, str, str]], batch: int = 60, label: str = "y", weight: str = "w",
+                     **kw) -> list[tuple[tuple[str, str, str], float]]:
+    """Candidates by tree importance, fitted on batches of candidates alone, so
+    that known columns do not take their gain."""
+    scored = []
+    for at in range(0, len(candidates), batch):
+        chunk = candidates[at:at + batch]
+        cols = [f"_k{i}" for i in range(len(chunk))]
+        table = df.select(label, weight, *[combo(*c).alias(k) for c, k in zip(chunk, cols)])
+        model = fit("boosted_trees", table, cols, label, weight, **kw)
+        scored += [(c, v) for c, (_, v) in zip(chunk, importances(model, cols))]
+    return sorted(scored, key=lambda s: (-s[1], s[0]))
