@@ -39,7 +39,7 @@ def R2SQL(p: str, w: str = "w") -> str:  # noqa: N802
 
 
 def streams(spark, d, vol: bool = False):
-    t = previous_day(fx.trades_labelled(spark, d), [6, 7, 8])
+    t = previous_day(fx.trades_labelled(spark, d).persist(), [6, 7, 8])
     t = t.join(step_means(t, ["responder_6_lag1d"]), ["date_id", "time_id"]).where("responder_6 IS NOT NULL AND date_id >= 8")
     a, b, c = (F.col(f"responder_{r}_lag1d") for r in (6, 7, 8))
     preds = {"lag": 0.5 * a, "slow": 0.6 * b, "market": F.col("_mkt_responder_6_lag1d"), "mom": 0.3 * (c - a)}
@@ -50,7 +50,8 @@ def streams(spark, d, vol: bool = False):
 
 
 def one(spark, d, name: str):
-    return streams(spark, d, vol=True).where(F.col("stream") == name)
+    """A single stream, kept: most diagnostics read it several times."""
+    return streams(spark, d, vol=True).where(F.col("stream") == name).persist()
 
 
 @query("stream_scores", SW + f"SELECT stream, {r_sql(R2SQL('pred'), 'r2')} FROM streams GROUP BY 1")
@@ -131,16 +132,16 @@ def best_gamma(spark, d):
 @query("blend_report_combos", SW + f"""SELECT 'mean2' AS stream, {r_sql(R2SQL('((p_lag + p_slow) / 2)'), 'raw_full')} FROM valid
  UNION ALL SELECT 'mean4', {r_sql(R2SQL('((p_lag + p_slow + p_market + p_mom) / 4)'), 'raw_full')} FROM valid""")
 def blend_report_combos(spark, d):
-    s = streams(spark, d)
-    vol = one(spark, d, "lag").select(*K, "vol")
+    s = streams(spark, d, vol=True).persist()
+    vol = s.where("stream = 'lag'").select(*K, "vol")
     _, _, combos = blend_report(s, {"mean2": ["lag", "slow"], "mean4": STREAM_NAMES}, vol, 18, min_rows=50)
     return rounded(combos, ["stream"], ["raw_full"])
 
 
 @query("blend_report_full")
 def blend_report_full(spark, d):
-    s = streams(spark, d)
-    vol = one(spark, d, "lag").select(*K, "vol")
+    s = streams(spark, d, vol=True).persist()
+    vol = s.where("stream = 'lag'").select(*K, "vol")
     _, _, combos = blend_report(s, {"mean2": ["lag", "slow"], "mean4": STREAM_NAMES}, vol, 18, min_rows=50)
     return rounded(combos, ["stream", "gamma"], ["raw_full", "cal_full", "cal_h2", "cal_vol_full", "cal_vol_h2"])
 
@@ -170,7 +171,7 @@ def half_split(spark, d):
 
 @query("simplex_blend")
 def simplex_blend(spark, d):
-    wide = B.align(streams(spark, d), STREAM_NAMES)
+    wide = B.align(streams(spark, d), STREAM_NAMES).persist()
     h = E.half_split(wide)
     parts = [rounded(B.simplex_report(wide, STREAM_NAMES, h, m), ["blend", "part"], ["r2"]).withColumn("mode", F.lit(m)) for m in ("reference", "normalised")]
     return parts[0].unionByName(parts[1])
@@ -241,13 +242,13 @@ FIT = "fit AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.001) AS lo_{c}, quant
 @query("fitted_statistics", with_(TRADES, FIT) + "SELECT feature, " + ", ".join(r_sql(x, x) for x in ("lo", "hi", "mean", "std")) + " FROM (SELECT unnest([" + ", ".join(repr(c) for c in TF) + "]) AS feature, "
        + ", ".join(f"unnest([{', '.join(f'{p}_{c}' for c in TF)}]) AS {a}" for p, a in (("lo", "lo"), ("hi", "hi"), ("m", "mean"), ("s", "std"))) + " FROM fit, st)")
 def fitted_statistics(spark, d):
-    return rounded(N.stats_table(spark, N.fit(fx.trades(spark, d), TF, 20)), ["feature"], ["lo", "hi", "mean", "std"])
+    return rounded(N.stats_table(spark, N.fit(fx.trades(spark, d).persist(), TF, 20)), ["feature"], ["lo", "hi", "mean", "std"])
 
 
 @query("standardised_pool", with_(TRADES, FIT) + f"SELECT {KSQL}, weight, " + ", ".join(r_sql(c, c) for c in TF) + " FROM pool")
 def standardised_pool(spark, d):
     path = scratch_path(spark, "pool")
-    pool, _ = build_pool(fx.trades(spark, d), TF, 20, keep=["weight"])
+    pool, _ = build_pool(fx.trades(spark, d).persist(), TF, 20, keep=["weight"])
     write_pool(pool, path)
     return rounded(read_pool(spark, path), [*K, "weight"], TF)
 
@@ -265,7 +266,7 @@ ADAPT = ("dm AS (SELECT date_id, " + ", ".join(f"avg({c}) AS m_{c}, var_pop({c})
 
 @query("adapting_transform", with_(TRADES, FIT, ADAPT) + f"SELECT {KSQL}, " + ", ".join(r_sql(f"coalesce(({c} - mean_{c}) / std_{c}, 0)", c) for c in TF) + " FROM clipped JOIN run USING (date_id) WHERE date_id >= 10")
 def adapting_transform(spark, d):
-    t = fx.trades(spark, d)
+    t = fx.trades(spark, d).persist()
     ranges = N.clip_ranges(t.where("date_id <= 20"), TF)
     return rounded(N.transform_adapting(t, TF, ranges, 10), K, TF)
 
@@ -276,7 +277,7 @@ def adapting_transform(spark, d):
  CASE WHEN symbol_id % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cluster_1,
  {r_sql('(row_number() OVER (PARTITION BY date_id, time_id ORDER BY feature_02, symbol_id) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY date_id, time_id) - 1, 1)', 'feature_02_rank01')} FROM wide""")
 def enriched_blocks(spark, d):
-    t = previous_day(fx.trades_labelled(spark, d), range(9))
+    t = previous_day(fx.trades_labelled(spark, d).persist(), range(9))
     clusters = t.select("symbol_id").distinct().withColumn("cluster", (F.col("symbol_id") % 3).cast("int"))
     out, _ = enrich(t, TF, [("sub", "feature_00", "feature_01")], ["feature_00"], ["feature_00"], [4], clusters, 2, ["feature_02"])
     return rounded(out, K, ["sub(feature_00,feature_01)", "feature_00_mkt", "feature_00_idio", "rsig_momA_short", "feature_00_diff_4", "cluster_1", "feature_02_rank01"])
@@ -284,7 +285,7 @@ def enriched_blocks(spark, d):
 
 @query("variant_column_sets")
 def variant_column_sets(spark, d):
-    t = previous_day(fx.trades_labelled(spark, d), range(9))
+    t = previous_day(fx.trades_labelled(spark, d).persist(), range(9))
     out, blocks = enrich(t, TF, [("mul", "feature_00", "feature_01")], ["feature_00"], ["feature_01"], [1, 4], ranks=["feature_02"])
     sets = nested_variants(blocks)
     return reduce(lambda a, b: a.unionByName(b), [

@@ -17,7 +17,7 @@ from tidewheel.sources import panel as P
 @query("previous_day_lag", with_(TRADES_LABELLED, LAG1) + f"SELECT {KSQL}, " + ", ".join(
     r_sql(f"responder_{r}_lag1d", f"responder_{r}_lag1d") for r in range(9)) + " FROM lagged")
 def previous_day_lag(spark, d):
-    return rounded(L.previous_day(fx.trades_labelled(spark, d), range(9)), K, [f"responder_{r}_lag1d" for r in range(9)])
+    return rounded(L.previous_day(fx.trades_labelled(spark, d).persist(), range(9)), K, [f"responder_{r}_lag1d" for r in range(9)])
 
 
 @query("five_day_lags", with_(TRADES_LABELLED) + f"SELECT a.symbol_id, a.date_id, a.time_id, " + ", ".join(
@@ -25,7 +25,7 @@ def previous_day_lag(spark, d):
     f"LEFT JOIN labelled b{k} ON a.symbol_id = b{k}.symbol_id AND a.date_id = b{k}.date_id + {k} AND a.time_id = b{k}.time_id" for k in range(1, 6)))
 def five_day_lags(spark, d):
     cols = ["responder_6", "responder_8"]
-    return rounded(L.day_lags_wide(fx.trades_labelled(spark, d), cols), K, [f"{c}_lag{k}" for k in range(1, 6) for c in cols])
+    return rounded(L.day_lags_wide(fx.trades_labelled(spark, d).persist(), cols), K, [f"{c}_lag{k}" for k in range(1, 6) for c in cols])
 
 
 @query("symbol_map", with_(TRADES) + f"SELECT {KSQL}, CAST(coalesce(s_nationkey, -1) AS INTEGER) AS cluster FROM trades LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) ON s_suppkey = symbol_id")
@@ -37,14 +37,14 @@ def symbol_map(spark, d):
 
 @query("labels_by_key", with_(TRADES_LABELLED) + f"SELECT t.symbol_id, t.date_id, t.time_id, {r_sql('t.feature_00', 'feature_00')}, {r_sql('responder_6', 'responder_6')} FROM trades t JOIN labelled USING (symbol_id, date_id, time_id)")
 def labels_by_key(spark, d):
-    out = L.attach_labels(fx.trades(spark, d), fx.trades_labelled(spark, d), ["responder_6"])
+    out = L.attach_labels(fx.trades(spark, d).persist(), fx.trades_labelled(spark, d), ["responder_6"])
     return rounded(out, K, ["feature_00", "responder_6"])
 
 
 @query("incomplete_removed", with_(TRADES) + f"""SELECT {KSQL}, weight FROM trades SEMI JOIN (SELECT symbol_id, date_id FROM trades GROUP BY 1, 2
  HAVING count(*) = 11) USING (symbol_id, date_id)""")
 def incomplete_removed(spark, d):
-    return P.complete_series(fx.trades(spark, d), 11).select(*K, "weight")
+    return P.complete_series(fx.trades(spark, d).persist(), 11).select(*K, "weight")
 
 
 @query("reference_scores", with_(TRADES_LABELLED) + f"""SELECT {r_sql('1 - sum(weight * (0.5 * responder_7 - responder_6) ** 2) / sum(weight * responder_6 ** 2)', 'r2_slow')},
@@ -137,7 +137,7 @@ def recency_weight(spark, d):
 @query("yesterday_score_by_symbol", with_(TRADES_LABELLED, LAG1) + f"""SELECT symbol_id, {r_sql('1 - sum(weight * (responder_6_lag1d - responder_6) ** 2) / sum(weight * responder_6 ** 2)', 'r2')}
  FROM lagged WHERE responder_6 IS NOT NULL GROUP BY 1""")
 def yesterday_score_by_symbol(spark, d):
-    t = L.previous_day(fx.trades_labelled(spark, d), [6])
+    t = L.previous_day(fx.trades_labelled(spark, d).persist(), [6])
     return r2(t, ["symbol_id"], "responder_6", "responder_6_lag1d", "weight").select("symbol_id", rnd("r2").alias("r2"))
 
 

@@ -23,7 +23,7 @@ GBT = {"max_iter": 4, "depth": 3}
 
 
 def rows(spark, d):
-    t = previous_day(fx.trades_labelled(spark, d), [6, 8])
+    t = previous_day(fx.trades_labelled(spark, d).persist(), [6, 8])
     return t.withColumnsRenamed({"responder_6": "y", "weight": "w"}).where("y IS NOT NULL")
 
 
@@ -196,14 +196,14 @@ def regime_specialists(spark, d):
 
 @query("label_chain")
 def label_chain(spark, d):
-    t = fx.trades_labelled(spark, d).withColumnRenamed("weight", "w")
+    t = fx.trades_labelled(spark, d).persist().withColumnRenamed("weight", "w")
     hats = M.chain_predictions(t, TF, ["responder_6", "responder_8"], 0, 19, 20, 29, **GBT)
     return hats
 
 
 @query("two_window_chain")
 def two_window_chain(spark, d):
-    t = fx.trades_labelled(spark, d).withColumnRenamed("weight", "w").persist()
+    t = fx.trades_labelled(spark, d).persist().withColumnRenamed("weight", "w").persist()
     table, _, _ = M.responder_table(t.where("date_id < 10"), t.where("date_id BETWEEN 10 AND 19"), t.where("date_id >= 20"), TF,
                                     ["responder_6", "responder_8"], **GBT)
     return table

@@ -32,7 +32,7 @@ SCORED = with_(TRADES_LABELLED, LAG1) + " "
 @query("weighted_r2", SCORED + f"""SELECT {r_sql('1 - sum(weight * (responder_6_lag1d - responder_6) ** 2) / sum(weight * responder_6 ** 2)', 'r2')},
  {r_sql('sum(weight * (responder_6_lag1d - responder_6) ** 2) / sum(weight * responder_6 ** 2)', 'loss')} FROM lagged WHERE responder_6 IS NOT NULL""")
 def weighted_r2(spark, d):
-    t = previous_day(fx.trades_labelled(spark, d), [6]).where("responder_6 IS NOT NULL")
+    t = previous_day(fx.trades_labelled(spark, d).persist(), [6]).where("responder_6 IS NOT NULL")
     a = ("responder_6", "responder_6_lag1d", "weight")
     return t.agg(rnd(R.r2_expr(*a)).alias("r2"), rnd(R.loss_expr(*a)).alias("loss"))
 
@@ -63,7 +63,7 @@ def running_moments(spark, d):
 @query("clip_quantiles", with_(TRADES) + f"""SELECT feature, {r_sql('lo', 'lo')}, {r_sql('hi', 'hi')}, {r_sql('med', 'med')} FROM (
  SELECT {_long(TF, {'lo': 'quantile_cont({c}, 0.001)', 'hi': 'quantile_cont({c}, 0.999)', 'med': 'quantile_cont({c}, 0.5)'})} FROM trades)""")
 def clip_quantiles(spark, d):
-    q = exact_quantiles(fx.trades(spark, d), {c: [0.001, 0.999, 0.5] for c in TF})
+    q = exact_quantiles(fx.trades(spark, d).persist(), {c: [0.001, 0.999, 0.5] for c in TF})
     return rounded(spark.createDataFrame([(c, *v) for c, v in q.items()], "feature string, lo double, hi double, med double"), ["feature"], ["lo", "hi", "med"])
 
 
@@ -99,7 +99,7 @@ def target_correlations(spark, d):
        "m AS (SELECT *, " + ", ".join(f"avg({c}) OVER (PARTITION BY date_id) AS d_{c}, avg({c}) OVER {WDT} AS s_{c}" for c in AF) + " FROM w)")
        + f"SELECT feature, {r_sql('share', 'market_share')} FROM (SELECT {_long(AF, {'share': 'sum((s_{c} - d_{c}) ** 2) / sum(({c} - d_{c}) ** 2)'})} FROM m)")
 def market_share(spark, d):
-    return rounded(U.market_share(P.complete_series(fx.activity(spark, d), 24), AF), ["feature"], ["market_share"])
+    return rounded(U.market_share(P.complete_series(fx.activity(spark, d).persist(), 24), AF), ["feature"], ["market_share"])
 
 
 @query("intraday_share", with_(ACTIVITY, "w AS (SELECT time_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in AF) + " FROM activity)",
@@ -114,7 +114,7 @@ def intraday_share(spark, d):
     "j AS (SELECT a.*, " + ", ".join(f"b.l_{c} AS p_{c}" for c in AF) + " FROM e a JOIN e b ON a.symbol_id = b.symbol_id AND a.date_id = b.date_id + 1)")
     + f"SELECT feature, n_pairs, {r_sql('corr', 'continuity')} FROM (SELECT {_long(AF, {'n_pairs': 'count(f_{c} + p_{c})', 'corr': 'corr(p_{c}, f_{c})'})} FROM j)")
 def overnight_continuity(spark, d):
-    t = P.complete_series(fx.activity(spark, d), 24)
+    t = P.complete_series(fx.activity(spark, d).persist(), 24)
     return rounded(U.overnight_continuity(t, AF), ["feature", "n_pairs"], ["continuity"])
 
 
@@ -199,7 +199,7 @@ def delta_vs_base(spark, d):
  {r_sql('avg(responder_6_lag1d)', 'pred_mean')}, {r_sql('stddev_pop(responder_6_lag1d)', 'pred_std')}, {r_sql('max(abs(responder_6_lag1d))', 'pred_max_abs')}, count(*) AS n_rows
  FROM lagged WHERE responder_6 IS NOT NULL GROUP BY 1""")
 def daily_report(spark, d):
-    t = previous_day(fx.trades_labelled(spark, d), [6]).withColumnsRenamed({"responder_6": "y", "responder_6_lag1d": "pred", "weight": "w"})
+    t = previous_day(fx.trades_labelled(spark, d).persist(), [6]).withColumnsRenamed({"responder_6": "y", "responder_6_lag1d": "pred", "weight": "w"})
     return rounded(R.daily_report(t, ["date_id"]), ["date_id", "n_rows"], ["r2", "pred_mean", "pred_std", "pred_max_abs"])
 
 
@@ -307,11 +307,11 @@ def story_signature_(spark, d):
 @query("column_atlas")
 def column_atlas(spark, d):
     cols = [*AF, "responder_6", "responder_8"]
-    table, _ = atlas(fx.activity_labelled(spark, d), cols, 24, 6, 10, (1, 4), (-4, 0))
+    table, _ = atlas(fx.activity_labelled(spark, d).persist(), cols, 24, 6, 10, (1, 4), (-4, 0))
     return table
 
 
 @query("atlas_report")
 def atlas_report(spark, d):
-    table, _ = atlas(fx.activity_labelled(spark, d), AF, 24, 6, 10, (1, 4), (-4, 0))
+    table, _ = atlas(fx.activity_labelled(spark, d).persist(), AF, 24, 6, 10, (1, 4), (-4, 0))
     return report(table)

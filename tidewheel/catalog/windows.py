@@ -126,7 +126,7 @@ _DIFFS = {"rsig_momA_short": (8, 6), "rsig_momA_med": (6, 7), "rsig_momB_short":
 @query("lag_differences", with_(TRADES_LABELLED, LAG1) + f"SELECT {KSQL}, " + ", ".join(
     r_sql(f"responder_{a}_lag1d - responder_{b}_lag1d", n) for n, (a, b) in _DIFFS.items()) + " FROM lagged")
 def lag_differences(spark, d):
-    t = previous_day(fx.trades_labelled(spark, d), range(3, 9))
+    t = previous_day(fx.trades_labelled(spark, d).persist(), range(3, 9))
     return rounded(H.lag_differences(t), K, list(_DIFFS))
 
 
@@ -228,7 +228,7 @@ def _builder_sql() -> str:
 
 @query("feature_builder", _builder_sql())
 def feature_builder(spark, d):
-    out = build_features(fx.trades_labelled(spark, d), _PLAN)
+    out = build_features(fx.trades_labelled(spark, d).persist(), _PLAN)
     return out.select(*K, *[rnd(F.col(c).cast("double"), 4).alias(c) for c in _PLAN.columns()])
 
 
@@ -236,4 +236,4 @@ def feature_builder(spark, d):
 def feature_builder_stored(spark, d):
     plan = FeaturePlan(raw=TF, rolled=TF, rolling_rows=48, min_date=None, lagged=list(range(9)), differences=True, realized=True,
                        extra=["rank_per_time", "ewma_per_symbol"])
-    return model_input(build_features(fx.trades_labelled(spark, d), plan), plan, [*K, "weight", "responder_6"])
+    return model_input(build_features(fx.trades_labelled(spark, d).persist(), plan), plan, [*K, "weight", "responder_6"])

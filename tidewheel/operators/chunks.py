@@ -68,15 +68,17 @@ class Stage:
     fwd: int = 0
 
 
-def over_symbol(df: DataFrame, *stages: Stage, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def over_symbol(df: DataFrame, *stages: Stage, chunk_rows: int | None = CHUNK_ROWS,
+                source: DataFrame | None = None) -> DataFrame:
     """Run stages along each symbol in date and time order, on one shuffle.
 
     Stages read the input columns, not each other's output: margins cover the
     widest single stage.  ``chunk_rows=None`` uses one plain window per symbol.
+    ``source`` has the same keys as ``df`` but is cheaper to count.
     """
     keys = [SYMBOL]
     if chunk_rows is not None:
-        chunks = _chunk_map(df, max(s.back for s in stages), max(s.fwd for s in stages), chunk_rows)
+        chunks = _chunk_map(df if source is None else source, max(s.back for s in stages), max(s.fwd for s in stages), chunk_rows)
         df = df.join(chunks, SERIES)
         keys = [SYMBOL, "_chunk"]
     whole = Window.partitionBy(*keys)

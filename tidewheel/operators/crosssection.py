@@ -19,14 +19,16 @@ def step_means(df: DataFrame, cols: Iterable[str], prefix: str = "_mkt_") -> Dat
     return df.groupBy(*STEP).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in cols])
 
 
-def market_average(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+def market_average(df: DataFrame, cols: Iterable[str], source: DataFrame | None = None) -> DataFrame:
     """Adds the null-ignoring mean over symbols of each (date, time).
 
+    ``source`` has the same rows as ``df`` but is cheaper to aggregate.
+
     Aggregate then join: the aggregate combines map-side, and an oversized
     step is split by the skew-join rule, which a window would not be.
     """
     cols = list(cols)
-    means = step_means(df, cols)
+    means = step_means(df if source is None else source, cols)
     out = df.join(means, STEP)
     return out.withColumnsRenamed({f"_mkt_{c}": market_avg(c) for c in cols})
 

@@ -1,69 +1,83 @@
 """Exponentially weighted mean per symbol as a two-level scan.
 
-Inside a (symbol, date) block the recurrence y = (1-a) y + a x is closed form
-in prefix sums.  Across blocks only one (count, contribution) pair per date is
-folded, so neither level needs a whole symbol in one task.
+Inside a (symbol, date) block the recurrence y = q y + (1-q) x is closed form
+in prefix sums.  Across blocks only one count and one decayed sum per date are
+chained, so neither level needs a whole symbol in one task.
 
 A missing input carries the previous value and does not advance the decay.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.scalars import nan_to_null
-from tidewheel.names import DATE, SERIES, SYMBOL, ewma_name
+from tidewheel.names import DATE, SERIES, SYMBOL, TIME, ewma_name
 from tidewheel.operators.chunks import day_window
 
+# Weights are kept within exp(+-SAFE); whatever has decayed by exp(-2*SAFE)
+# no longer changes a double.
+SAFE = 250.0
+
+
+def _chain(blocks: DataFrame, q: float) -> DataFrame:
+    """(symbol, date, column, state): the state carried into each date.
+
+    Date d receives sum over earlier dates of their end contribution times
+    q^(values in between); NULL before any value.  To stay in range the
+    position axis (values so far) is cut into segments with a reference point
+    each; the frame reaches back at most two segments, so a segment is known
+    by its number modulo 3.
+    """
+    width = int(SAFE / -math.log(q))
+    key = [SYMBOL, "column"]
+    by_date = Window.partitionBy(*key).orderBy(DATE)
+    near = Window.partitionBy(*key).orderBy("at").rangeBetween(-2 * width, 0)
+    at, seg = F.col("at"), F.col("seg")
+
+    def power(n: Column) -> Column:
+        return F.pow(F.lit(q), n)
+
+    end = power(F.col("k")) * (F.col("z") + F.when(at == 0, F.col("x")).otherwise(0.0))
+    out = (blocks
+           .withColumn("at", F.coalesce(F.sum("k").over(by_date.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+           .withColumn("got", F.lag(F.when(F.col("k") > 0, end).otherwise(0.0), 1, 0.0).over(by_date))
+           .withColumn("seg", F.floor(at / width))
+           .withColumn("u", F.col("got") * power(seg * width - at)))
+    out = out.withColumns({f"c{m}": F.sum(F.when(seg % 3 == m, F.col("u")).otherwise(0.0)).over(near) for m in range(3)})
+    state = sum((F.col(f"c{m}") * power(at - (seg - (seg - m + 3) % 3) * width) for m in range(3)), F.lit(0.0))
+    return out.select(*SERIES, "column", F.when(at > 0, state).alias("state"))
+
 
 def ewma(df: DataFrame, cols: Iterable[str], span: int = 30) -> DataFrame:
     """Adds ``{c}_ewma_{span}``; alpha = 2/(span+1), started at the first value.
 
-    Prefix weights grow as (1-a)**-k with k at most one day of steps: about
-    1e28 at span 30 and 968 steps, far inside the double range.
+    Prefix weights grow as q^-k with k at most one day of steps: about 1e28 at
+    span 30 and 968 steps, far inside the double range.
     """
     cols = list(cols)
     alpha = 2.0 / (span + 1)
-    keep = 1.0 - alpha
+    q = 1.0 - alpha
     w = day_window().rowsBetween(Window.unboundedPreceding, 0)
 
     # k: values so far in the day; z: their decayed sum, rescaled to the day start.
     rows = df.withColumns({f"_k_{c}": F.count(c).over(w) for c in cols})
+    rows = rows.withColumns(
+        {f"_z_{c}": F.sum(F.coalesce(alpha * F.col(c) * F.pow(F.lit(q), -F.col(f"_k_{c}")), F.lit(0.0))).over(w) for c in cols}
+        | {f"_x_{c}": F.first(c, ignorenulls=True).over(w) for c in cols})
+    blocks = rows.groupBy(*SERIES).agg(*[F.max_by(f"_{p}_{c}", TIME).alias(f"_{p}_{c}") for c in cols for p in "kzx"])
+    long = blocks.select(*SERIES, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"_{p}_{c}").cast("double").alias(p) for p in "zx"], F.col(f"_k_{c}").alias("k"))
+        for c in cols])).alias("_b")).select(*SERIES, "_b.*")
+    carried = _chain(long, q).groupBy(*SERIES).agg(*[
+        F.max(F.when(F.col("column") == c, F.col("state"))).alias(f"_in_{c}") for c in cols])
+    rows = rows.join(carried, SERIES)
+    # Without a carried state the symbol's first value starts the recurrence.
     rows = rows.withColumns({
-        f"_z_{c}": F.sum(F.coalesce(alpha * F.col(c) * F.pow(F.lit(keep), -F.col(f"_k_{c}")), F.lit(0.0))).over(w)
-        for c in cols
-    })
-    rows = rows.withColumns({f"_x_{c}": F.first(c, ignorenulls=True).over(w) for c in cols})
-    blocks = rows.groupBy(*SERIES).agg(
-        *[F.max(f"_k_{c}").alias(f"k_{c}") for c in cols],
-        *[F.max_by(f"_z_{c}", "time_id").alias(f"z_{c}") for c in cols],
-        *[F.max(f"_x_{c}").alias(f"x_{c}") for c in cols],
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DATE)
-        out = {SYMBOL: pdf[SYMBOL], DATE: pdf[DATE]}
-        for c in cols:
-            state, carried = None, []
-            for k, z, first in zip(pdf[f"k_{c}"], pdf[f"z_{c}"], pdf[f"x_{c}"]):
-                carried.append(state)
-                if k > 0:
-                    state = keep ** k * ((first if state is None else state) + z)
-            out[f"_in_{c}"] = pd.Series(carried, index=pdf.index, dtype="float64")
-        return pd.DataFrame(out)
-
-    kinds = dict(df.dtypes)
-    schema = f"{SYMBOL} {kinds[SYMBOL]}, {DATE} {kinds[DATE]}, " + ", ".join(f"_in_{c} double" for c in cols)
-    carry = blocks.groupBy(SYMBOL).applyInPandas(fold, schema)
-    rows = rows.join(carry, SERIES, "left")
-    # NULL until the symbol's first value, which itself starts the recurrence.
-    rows = rows.withColumns({
-        ewma_name(c, span): F.pow(F.lit(keep), F.col(f"_k_{c}"))
-        * (F.coalesce(nan_to_null(f"_in_{c}"), F.col(f"_x_{c}")) + F.col(f"_z_{c}"))
+        ewma_name(c, span): F.pow(F.lit(q), F.col(f"_k_{c}")) * (F.coalesce(f"_in_{c}", f"_x_{c}") + F.col(f"_z_{c}"))
         for c in cols
     })
     return rows.drop(*[f"_{p}_{c}" for p in ("k", "z", "x", "in") for c in cols])

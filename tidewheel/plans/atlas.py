@@ -53,7 +53,7 @@ SECTIONS = {"alpha": ("alpha_score", 25), "nowcast": ("nowcast_score", 15), "mar
 
 def report(table: DataFrame) -> DataFrame:
     """Report sections in long form: (section, position, feature, score)."""
-    feats = table.where(F.col("feature").startswith("feature_"))
+    feats = table.where(F.col("feature").startswith("feature_")).persist()  # one row per column
     parts = [ranked_report(feats, score, n).select(F.lit(section).alias("section"), "position", "feature",
                                                    F.col(score).alias("score"))
              for section, (score, n) in SECTIONS.items()]

@@ -23,7 +23,7 @@ def blend_report(streams: DataFrame, combos: dict[str, list[str]], vol: DataFram
     """
     blends = reduce(lambda a, b: a.unionByName(b), [blend(streams, ms, label) for label, ms in combos.items()])
     raw = blends.groupBy("stream").agg(r2_expr().alias("raw_full"))
-    cal = calibrate(blends, lookback, min_rows).drop("alpha")
+    cal = calibrate(blends, lookback, min_rows).drop("alpha").persist()  # read by the scores and each gamma search
     late = F.when(F.col(DATE) > split_date, F.col("w"))
     scored = (cal.withColumn("_w2", late).groupBy("stream")
               .agg(r2_expr().alias("cal_full"), r2_expr(w="_w2").alias("cal_h2")))

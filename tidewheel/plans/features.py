@@ -60,27 +60,31 @@ EXTRA_GROUPS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
 
 
 def build_features(panel: DataFrame, plan: FeaturePlan) -> DataFrame:
-    """Panel with every engineered column of the plan."""
+    """Panel with every engineered column of the plan.
+
+    The panel is read once per narrow aggregate (date counts, step means,
+    previous day) besides the main pass: hand in a stored or persisted one.
+    """
     unknown = set(plan.extra) - set(EXTRA_GROUPS)
     if unknown:
         raise ValueError(f"unknown feature groups {sorted(unknown)}; have {sorted(EXTRA_GROUPS)}")
-    df = between_dates(panel, plan.min_date, plan.max_date)
-    source = df
+    source = between_dates(panel, plan.min_date, plan.max_date)
+    df = source
+    # Steps that shuffle come first, while rows are narrow; the rolling stage,
+    # which adds most columns, is the last exchange and the averages broadcast.
+    for group in plan.extra:
+        df = EXTRA_GROUPS[group](df, plan.rolled)
+    if plan.lagged:
+        df = previous_day(df, plan.lagged, source)
     stages = [rolling_stage(plan.rolled, plan.rolling_rows)]
     if plan.synthetic:
         stages.append(synthetic_stage())
     if plan.realized:
         stages.append(realized_stage())
-    df = as_features(over_symbol(df, *stages, chunk_rows=plan.chunk_rows), plan.rolled, plan.rolling_rows)
-    df = market_average(df, plan.rolled)
+    df = as_features(over_symbol(df, *stages, chunk_rows=plan.chunk_rows, source=source), plan.rolled, plan.rolling_rows)
+    df = market_average(df, plan.rolled, source)
     df = df.withColumn("feature_time_id", F.col(TIME).cast("float"))
-    for group in plan.extra:
-        df = EXTRA_GROUPS[group](df, plan.rolled)
-    if plan.lagged:
-        df = previous_day(df, plan.lagged, source)
-    if plan.differences:
-        df = lag_differences(df)
-    return df
+    return lag_differences(df) if plan.differences else df
 
 
 def model_input(df: DataFrame, plan: FeaturePlan, keep: list[str]) -> DataFrame:
