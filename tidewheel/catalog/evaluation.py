@@ -46,7 +46,7 @@ def streams(spark, d, vol: bool = False):
     pairs = F.array(*[F.struct(F.lit(n).alias("stream"), e.alias("pred")) for n, e in preds.items()])
     extra = [(F.abs(a) + 0.05).alias("vol")] if vol else []
     return (t.select(*K, F.col("responder_6").alias("y"), F.col("weight").alias("w"), *extra, F.explode(pairs).alias("_p"))
-            .select(*K, "y", "w", *[F.col("vol") for _ in extra], "_p.*"))
+            .select(*K, "y", "w", *[F.col("vol") for _ in extra], "_p.*").persist())
 
 
 def one(spark, d, name: str):

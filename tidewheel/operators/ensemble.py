@@ -64,6 +64,17 @@ def weighted_blend(streams: DataFrame, weights: dict[str, float], label: str) ->
         .select(F.lit(label).alias("stream"), *KEYS, "y", "w", "pred"))
 
 
+def blends(streams: DataFrame, combos: dict[str, list[str]]) -> DataFrame:
+    """Several equal-weight blends as streams, from one alignment of the rows."""
+    names = sorted({m for ms in combos.values() for m in ms})
+    wide = align(streams.where(F.col("stream").isin(names)), names)
+    made = [F.struct(F.lit(label).alias("stream"), F.try_divide(
+        sum((F.coalesce(m, F.lit(0.0)) for m in ms), F.lit(0.0)),
+        sum((F.col(m).isNotNull().cast("double") for m in ms), F.lit(0.0))).alias("pred")) for label, ms in combos.items()]
+    return (wide.select(*KEYS, "y", "w", F.explode(F.array(*made)).alias("_b")).select("_b.stream", *KEYS, "y", "w", "_b.pred")
+            .where(F.col("pred").isNotNull()))
+
+
 # -- trailing per-symbol calibration ---------------------------------------
 
 def trailing_history(streams: DataFrame, lookback: int = LOOKBACK_DATES) -> DataFrame:
@@ -114,34 +125,31 @@ def damped(streams: DataFrame, lookback: int = LOOKBACK_DATES, min_rows: int = M
 
 # -- volatility scaling ----------------------------------------------------
 
-def gamma_scores(rows: DataFrame, split_date: int, gammas: Iterable[float] = GAMMAS, vol: str = "vol") -> DataFrame:
-    """(gamma, r2_h1, r2_h2, r2_full) of pred * (vol / mean vol)^gamma.
+def gamma_scores(rows: DataFrame, split_date: int, gammas: Iterable[float] = GAMMAS, vol: str = "vol",
+                 by: Iterable[str] = ()) -> DataFrame:
+    """(by, gamma, r2_h1, r2_h2, r2_full) of pred * (vol / mean vol)^gamma.
 
     The mean volatility is the weighted mean over half 1.  All gammas are
     scored in one pass as separate sums; rows are not multiplied.
     """
-    gammas = list(gammas)
+    gammas, by = list(gammas), list(by)
     h1 = F.col(DATE) <= split_date
     mean_vol = rows.where(h1).agg(weighted_mean(vol, "w")).first()[0]
     scaled = rows.withColumns({f"_g{i}": vol_scale("pred", vol, mean_vol, g) for i, g in enumerate(gammas)})
-
-    def score(i: int, cond: Column) -> Column:
-        w = F.when(cond, F.col("w"))
-        e = F.col(f"_g{i}") - F.col("y")
-        den = F.try_divide(F.sum(w * F.col("y") * F.col("y")), F.sum(w)) + F.lit(1e-38)
-        return 1 - F.try_divide(F.sum(w * e * e), F.sum(w)) / den
-
-    wide = scaled.agg(*[score(i, c).alias(f"_{p}{i}") for i in range(len(gammas))
-                        for p, c in (("h1", h1), ("h2", ~h1), ("full", F.lit(True)))])
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(float(g)).alias("gamma"), *[F.col(f"_{p}{i}").alias(f"r2_{p}") for p in ("h1", "h2", "full")])
-        for i, g in enumerate(gammas)])).alias("_r")).select("_r.*")
+    scaled = scaled.withColumns({"_w_h1": F.when(h1, F.col("w")), "_w_h2": F.when(~h1, F.col("w")), "_w_full": F.col("w")})
+    parts = ("h1", "h2", "full")
+    wide = scaled.groupBy(*by).agg(*[r2_expr(pred=f"_g{i}", w=f"_w_{p}").alias(f"_{p}{i}")
+                                     for i in range(len(gammas)) for p in parts])
+    return wide.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(float(g)).alias("gamma"), *[F.col(f"_{p}{i}").alias(f"r2_{p}") for p in parts])
+        for i, g in enumerate(gammas)])).alias("_r")).select(*by, "_r.*")
 
 
-def best_gamma(scores: DataFrame) -> DataFrame:
+def best_gamma(scores: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """The row with the best half-1 score; the smallest gamma wins a tie."""
-    return scores.agg(F.max_by(F.struct("gamma", "r2_h1", "r2_h2", "r2_full"),
-                               F.struct("r2_h1", -F.col("gamma"))).alias("_b")).select("_b.*")
+    by = list(by)
+    return scores.groupBy(*by).agg(F.max_by(F.struct("gamma", "r2_h1", "r2_h2", "r2_full"),
+                               F.struct("r2_h1", -F.col("gamma"))).alias("_b")).select(*by, "_b.*")
 
 
 # -- simplex weights -------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.scalars import clip
 from tidewheel.names import DATE, KEYS, SYMBOL, TIME, family
+from tidewheel.operators.quantiles import order_statistics
 from tidewheel.sources.panel import ranked_dates
 
 
@@ -85,24 +86,25 @@ def half_split(df: DataFrame) -> Column:
     """Predicate for the first half of the rows in (date, time, symbol) order.
 
     The boundary row is found level by level: the date from date counts, the
-    time inside that date, the symbol inside that step.
+    time from the counts of that date, the symbol by rank inside that step.
     """
-    total = df.count()
-    left = total // 2
-    where = F.lit(True)
-    bound = []
-    for level in (DATE, TIME, SYMBOL):
-        for r in df.where(where).groupBy(level).count().orderBy(level).toLocalIterator():
-            if left < r["count"]:
-                bound.append(r[level])
-                break
-            left -= r["count"]
-        else:
-            return F.lit(True)
-        where = where & (F.col(level) == F.lit(bound[-1]))
-    d, t, s = (F.lit(b) for b in bound)
-    return ((F.col(DATE) < d) | ((F.col(DATE) == d) & (F.col(TIME) < t))
-            | ((F.col(DATE) == d) & (F.col(TIME) == t) & (F.col(SYMBOL) < s)))
+    dates = [(r[DATE], r["n"]) for r in df.groupBy(DATE).agg(F.count(F.lit(1)).alias("n")).orderBy(DATE).collect()]
+    left = sum(n for _, n in dates) // 2
+
+    def cross(counts: list[tuple[int, int]]) -> int:
+        nonlocal left
+        for value, n in counts:
+            if left < n:
+                return value
+            left -= n
+        raise ValueError("no rows to split")
+
+    date = cross(dates)
+    day = df.where(F.col(DATE) == date)
+    time = cross([(r[TIME], r["n"]) for r in day.groupBy(TIME).agg(F.count(F.lit(1)).alias("n")).orderBy(TIME).collect()])
+    symbol = order_statistics(day.where(F.col(TIME) == time), {SYMBOL: [left]})[(SYMBOL, left)]
+    step = F.struct(DATE, TIME, SYMBOL)
+    return step < F.struct(F.lit(date), F.lit(time), F.lit(int(symbol)).cast("long"))
 
 
 # -- assertions ------------------------------------------------------------

@@ -18,7 +18,7 @@ SLICES = 1024
 SMALL = 4096
 
 
-def _order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks of each column (NULLs ignored)."""
     found: dict[tuple[str, int], float] = {}
     cols = list(wanted)
@@ -91,7 +91,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, Iterable[float]]) -> dict[st
             lo = min(int(math.floor(at)), n - 1)
             spots[c].append((lo, min(lo + 1, n - 1), at - lo))
         wanted[c] = [r for s in spots[c] for r in s[:2]]
-    values = _order_statistics(df, wanted) if wanted else {}
+    values = order_statistics(df, wanted) if wanted else {}
     return {
         c: [values[(c, lo)] + (values[(c, hi)] - values[(c, lo)]) * f for lo, hi, f in spots[c]]
         if c in spots else [None for _ in probs[c]]

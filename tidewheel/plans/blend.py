@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.names import DATE, KEYS
-from tidewheel.operators.ensemble import (GAMMAS, LOOKBACK_DATES, MIN_HISTORY_ROWS, best_gamma, blend, calibrate,
+from tidewheel.operators.ensemble import (GAMMAS, LOOKBACK_DATES, MIN_HISTORY_ROWS, best_gamma, blends, calibrate,
                                           gamma_scores, pairwise, singles)
 from tidewheel.operators.scores import r2_expr
 
@@ -21,18 +21,15 @@ def blend_report(streams: DataFrame, combos: dict[str, list[str]], vol: DataFram
     ``vol`` has the keys and a volatility column.  Gamma is chosen on dates up
     to ``split_date`` and judged on the later ones.
     """
-    blends = reduce(lambda a, b: a.unionByName(b), [blend(streams, ms, label) for label, ms in combos.items()])
-    raw = blends.groupBy("stream").agg(r2_expr().alias("raw_full"))
-    cal = calibrate(blends, lookback, min_rows).drop("alpha").persist()  # read by the scores and each gamma search
+    made = blends(streams, combos).persist()  # read by the history, the scores and the gamma search
+    raw = made.groupBy("stream").agg(r2_expr().alias("raw_full"))
+    cal = calibrate(made, lookback, min_rows).drop("alpha").persist()
     late = F.when(F.col(DATE) > split_date, F.col("w"))
     scored = (cal.withColumn("_w2", late).groupBy("stream")
               .agg(r2_expr().alias("cal_full"), r2_expr(w="_w2").alias("cal_h2")))
-    rows = None
-    for label in combos:
-        part = cal.where(F.col("stream") == label).join(vol.select(*KEYS, "vol"), KEYS)
-        best = best_gamma(gamma_scores(part, split_date, gammas)).select(
-            F.lit(label).alias("stream"), "gamma", F.col("r2_full").alias("cal_vol_full"), F.col("r2_h2").alias("cal_vol_h2"))
-        rows = best if rows is None else rows.unionByName(best)
+    scores = gamma_scores(cal.join(vol.select(*KEYS, "vol"), KEYS), split_date, gammas, by=["stream"])
+    rows = best_gamma(scores, ["stream"]).select(
+        "stream", "gamma", F.col("r2_full").alias("cal_vol_full"), F.col("r2_h2").alias("cal_vol_h2"))
     names = sorted({m for ms in combos.values() for m in ms})
     return singles(streams), pairwise(streams, names), raw.join(scored, "stream").join(rows, "stream")
 
