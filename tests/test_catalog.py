@@ -1,4 +1,4 @@
-"""Every registered query with SQL equals DuckDB on the smallest tables; the
+"""Every registered query with SQL equals DuckDB; the
 others return rows with a stable schema."""
 
 import os
@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.check_catalog import difference, views
 
-SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 

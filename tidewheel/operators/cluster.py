@@ -13,7 +13,7 @@ from tidewheel.names import SYMBOL
 from tidewheel.operators.correlation import column_correlation, symbol_correlation
 from tidewheel.operators.structure import symbol_profile
 
-MAX_ITEMS = 20_000  # a matrix of this order still fits the driver (3 GB)
+MAX_ITEMS = 4_000  # a matrix of this order and its pairs fit the driver easily
 
 
 def merge_order(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
@@ -22,8 +22,6 @@ def merge_order(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
     ``complete`` takes the largest, ``average`` the size-weighted mean and
     ``ward`` the variance-growth distance between clusters.
     """
-    if len(dist) > MAX_ITEMS:
-        raise ValueError(f"{len(dist)} items exceed {MAX_ITEMS}")
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     size = np.ones(len(d))
@@ -86,9 +84,17 @@ def clusters_from_matrix(spark, names: list[str], corr: np.ndarray, threshold: f
     return spark.createDataFrame(rows, "feature string, cluster int, medoid boolean")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The table itself, once it is known to have one row per item and few items."""
+    n = df.select(SYMBOL).distinct().count()
+    if n > MAX_ITEMS:
+        raise ValueError(f"{n} symbols: pairwise linkage is limited to {MAX_ITEMS}; cluster groups of symbols instead")
+    return df
+
+
 def symbol_clusters(df: DataFrame, col: str, k: int = 3, min_obs: int = 501) -> DataFrame:
     """(symbol_id, cluster): average linkage on 1 - corr of a label."""
-    symbols = sorted(r[0] for r in df.select(SYMBOL).distinct().limit(MAX_ITEMS + 1).collect())
+    symbols = sorted(r[0] for r in _few(df).select(SYMBOL).distinct().collect())
     at = {s: i for i, s in enumerate(symbols)}
     c = np.eye(len(symbols))
     for r in symbol_correlation(df, col, min_obs).collect():
@@ -99,7 +105,7 @@ def symbol_clusters(df: DataFrame, col: str, k: int = 3, min_obs: int = 501) ->
 
 def profile_clusters(df: DataFrame, cols: list[str], k: int = 6) -> DataFrame:
     """(symbol_id, cluster): Ward linkage of standardised symbol profiles."""
-    rows = sorted(symbol_profile(df, cols).limit(MAX_ITEMS + 1).collect(), key=lambda r: r[SYMBOL])
+    rows = sorted(symbol_profile(_few(df), cols).collect(), key=lambda r: r[SYMBOL])
     x = np.array([[r[c] for c in cols] for r in rows], dtype=float)
     sq = (x * x).sum(axis=1)
     dist = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0))

@@ -13,6 +13,7 @@ from tidewheel.functions.scalars import unpivot_stats
 from tidewheel.names import DATE
 
 VAR_FLOOR = 1e-12
+HELD_ENTRIES = 8_000_000  # Gram entries a task keeps before passing them on (64 MB)
 
 
 def column_stats(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -70,9 +71,9 @@ def running_moments(daily: DataFrame, lagged: bool = False) -> DataFrame:
 def gram(df: DataFrame, cols: list[str], weight: str | None = None, by: list[str] = ()) -> DataFrame:
     """Weighted cross-product table (by, i, j, value) of the listed columns.
 
-    Each Arrow batch is reduced to one K x K block per key before the shuffle,
-    so what is exchanged does not grow with the rows of a key.  Missing = 0.
-    ``i <= j`` index into ``cols``.
+    Each task adds its rows up to one K x K block per key, so what is exchanged
+    does not grow with the rows of a key.  Missing = 0.  ``i <= j`` index into
+    ``cols``.
     """
     by = list(by)
     k = len(cols)
@@ -82,17 +83,25 @@ def gram(df: DataFrame, cols: list[str], weight: str | None = None, by: list[str
                        *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_x{i}")
                          for i, c in enumerate(cols)])
     xs = [f"_x{i}" for i in range(k)]
+    held = max(1, HELD_ENTRIES // len(iu))
+
+    def emit(sums: dict) -> Iterator[pd.DataFrame]:
+        for key, g in sums.items():
+            yield pd.DataFrame({**{b: np.repeat(v, len(iu)) for b, v in zip(by, key)}, "i": iu, "j": ju, "value": g})
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
         for pdf in batches:
             pdf = pdf[pdf["_w"].notna()]
-            groups = pdf.groupby(by, sort=False) if by else [((), pdf)]
-            for key, part in groups:
+            for key, part in (pdf.groupby(by, sort=False) if by else [((), pdf)]):
                 x = part[xs].to_numpy()
-                g = (x * part["_w"].to_numpy()[:, None]).T @ x
-                out = {"i": iu, "j": ju, "value": g[iu, ju]}
+                g = ((x * part["_w"].to_numpy()[:, None]).T @ x)[iu, ju]
                 key = key if isinstance(key, tuple) else (key,)
-                yield pd.DataFrame({**{b: np.repeat(v, len(iu)) for b, v in zip(by, key)}, **out})
+                sums[key] = sums[key] + g if key in sums else g
+            if len(sums) > held:
+                yield from emit(sums)
+                sums = {}
+        yield from emit(sums)
 
     schema = ", ".join([f"{b} {kinds[b]}" for b in by] + ["i int", "j int", "value double"])
     return (source.mapInPandas(blocks, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.names import DATE, RESPONDERS, SERIES, STEPS_PER_DAY, SYMBOL, TIME
 from tidewheel.operators.chunks import day_window
-from tidewheel.operators.forensics import _stack, series
+from tidewheel.operators.forensics import _stack, series, slices
 from tidewheel.functions.scalars import zero_fill
 
 
@@ -101,9 +101,7 @@ def rolling_signature(df: DataFrame, cols: list[str], window: int = 32, depth: i
     """(symbol, date, time, signature array) of trailing windows inside a day."""
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clock = np.linspace(0.0, 1.0, steps_per_day)
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in slices(batches):
             x = np.stack([np.nan_to_num(_stack(pdf[c])) for c in cols], axis=-1)
             x = np.concatenate([np.broadcast_to(clock[None, :, None], (len(x), steps_per_day, 1)), x], axis=-1)
             sig = [signature_vector(x[:, max(0, e - window):e], depth, hurst, log) for e in range(2, steps_per_day + 1)]
@@ -134,9 +132,7 @@ def story_signature(df: DataFrame, cols: list[str] = RESPONDERS, days: int = 5,
     flat = flat.join(df.select(*SERIES).distinct(), SERIES, "left_semi")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in slices(batches):
             x = np.stack([np.nan_to_num(_stack(pdf[c])) for c in cols], axis=-1)[:, ::every]
             clock = np.linspace(0.0, 1.0, x.shape[1])
             x = np.concatenate([np.broadcast_to(clock[None, :, None], (*x.shape[:2], 1)), x], axis=-1)
