@@ -21,6 +21,7 @@ from tidewheel.plans.pool import build_pool, enrich, nested_variants, read_pool,
 from tidewheel.session import scratch_path
 from tidewheel.sources import fixtures as fx
 from tidewheel.sources import panel as P
+from tidewheel.sources import sinks
 
 TF = fx.TRADES_FEATURES
 
@@ -129,21 +130,36 @@ def best_gamma(spark, d):
     return rounded(B.best_gamma(B.gamma_scores(one(spark, d, "lag"), 18, _G)), ["gamma"], ["r2_h1", "r2_h2", "r2_full"])
 
 
-@query("blend_report_combos", SW + f"""SELECT 'mean2' AS stream, {r_sql(R2SQL('((p_lag + p_slow) / 2)'), 'raw_full')} FROM valid
- UNION ALL SELECT 'mean4', {r_sql(R2SQL('((p_lag + p_slow + p_market + p_mom) / 4)'), 'raw_full')} FROM valid""")
+_COMBOS = {"mean2": ["lag", "slow"], "mean4": STREAM_NAMES}
+_G6 = (0.1, 0.15, 0.2, 0.25, 0.3, 0.4)
+REPORT = ("bl AS (" + " UNION ALL ".join(f"SELECT '{c}' AS stream, {KSQL}, y, w, vol, ({' + '.join(f'p_{n}' for n in ms)}) / {len(ms)} AS pred FROM valid" for c, ms in _COMBOS.items()) + "),"
+          "bdr AS (SELECT date_id, dense_rank() OVER (ORDER BY date_id) AS rk FROM (SELECT DISTINCT date_id FROM valid)),"
+          "bh AS (SELECT stream, symbol_id, date_id, sum(n) OVER q AS n, sum(py) OVER q AS py, sum(pp) OVER q AS pp FROM (SELECT stream, symbol_id, date_id, count(*) AS n, sum(w * pred * y) AS py, sum(w * pred * pred) AS pp FROM bl GROUP BY 1, 2, 3)"
+          " JOIN bdr USING (date_id) WINDOW q AS (PARTITION BY stream, symbol_id ORDER BY rk RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)),"
+          "bc AS (SELECT bl.*, pred * CASE WHEN bh.n >= 50 AND bh.pp > 0 THEN least(greatest((bh.py / (bh.pp + 1e-12) + 3) / 4, 0), 1.5) ELSE 1 END AS cal FROM bl JOIN bh USING (stream, symbol_id, date_id)),"
+          "v AS (SELECT sum(w * vol) / sum(w) AS m FROM valid WHERE date_id <= 18),"
+          "gs AS (" + " UNION ALL ".join(
+              f"SELECT stream, {g}::DOUBLE AS gamma, " + ", ".join(f"1 - sum(w * (cal * power(vol / m, {g}) - y) ** 2) FILTER (WHERE {c}) / sum(w * y * y) FILTER (WHERE {c}) AS r_{n}"
+                                                                    for n, c in (("h1", "date_id <= 18"), ("h2", "date_id > 18"), ("full", "true"))) + " FROM bc, v GROUP BY stream" for g in _G6) + "),"
+          "bg AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY r_h1 DESC, gamma) AS i FROM gs),"
+          "br AS (SELECT stream, 1 - sum(w * (pred - y) ** 2) / sum(w * y * y) AS raw_full, 1 - sum(w * (cal - y) ** 2) / sum(w * y * y) AS cal_full,"
+          " 1 - sum(w * (cal - y) ** 2) FILTER (WHERE date_id > 18) / sum(w * y * y) FILTER (WHERE date_id > 18) AS cal_h2 FROM bc GROUP BY stream)")
+
+
+def _report(spark, d):
+    s = streams(spark, d, vol=True)
+    return blend_report(s, _COMBOS, s.where("stream = 'lag'").select(*K, "vol"), 18, min_rows=50)
+
+
+@query("blend_report_combos", SW[:-1] + "," + REPORT + f"""\nSELECT stream, gamma, {r_sql('raw_full', 'raw_full')}, {r_sql('cal_full', 'cal_full')}, {r_sql('cal_h2', 'cal_h2')},
+ {r_sql('r_full', 'cal_vol_full')}, {r_sql('r_h2', 'cal_vol_h2')} FROM br JOIN bg USING (stream) WHERE i = 1""")
 def blend_report_combos(spark, d):
-    s = streams(spark, d, vol=True).persist()
-    vol = s.where("stream = 'lag'").select(*K, "vol")
-    _, _, combos = blend_report(s, {"mean2": ["lag", "slow"], "mean4": STREAM_NAMES}, vol, 18, min_rows=50)
-    return rounded(combos, ["stream"], ["raw_full"])
+    return rounded(_report(spark, d)[2], ["stream", "gamma"], ["raw_full", "cal_full", "cal_h2", "cal_vol_full", "cal_vol_h2"])
 
 
-@query("blend_report_full")
-def blend_report_full(spark, d):
-    s = streams(spark, d, vol=True).persist()
-    vol = s.where("stream = 'lag'").select(*K, "vol")
-    _, _, combos = blend_report(s, {"mean2": ["lag", "slow"], "mean4": STREAM_NAMES}, vol, 18, min_rows=50)
-    return rounded(combos, ["stream", "gamma"], ["raw_full", "cal_full", "cal_h2", "cal_vol_full", "cal_vol_h2"])
+@query("blend_report_singles", SW + f"SELECT stream, {r_sql(R2SQL('pred'), 'r2')} FROM streams GROUP BY 1")
+def blend_report_singles(spark, d):
+    return rounded(_report(spark, d)[0], ["stream"], ["r2"])
 
 
 @query("admission_rule", SW + f"""SELECT {r_sql('solo', 'solo')}, {r_sql('bw', 'blend_with')}, {r_sql('bo', 'blend_without')}, {r_sql('mc', 'max_corr')},
@@ -292,13 +308,29 @@ def variant_column_sets(spark, d):
         out.agg(F.lit(n).alias("variant"), F.lit(len(cols)).alias("n_features"), F.count(F.lit(1)).alias("n_rows")) for n, cols in sets.items()])
 
 
-@query("block_verification", with_(TRADES) + """SELECT * FROM (VALUES ('level', 0.0::DOUBLE, 0::BIGINT), ('spread', 0.0::DOUBLE, 0::BIGINT)) t(block, max_abs_delta, n_one_sided)""")
+@query("block_verification", with_(TRADES) + """, s AS (SELECT * FROM trades WHERE date_id IN (4, 9, 19))
+ SELECT 'level' AS block, 0.5::DOUBLE AS max_abs_delta, 0::BIGINT AS n_one_sided
+ UNION ALL SELECT 'spread', 0.0::DOUBLE, count(*) FILTER (WHERE symbol_id % 7 = 0 AND feature_03 IS NOT NULL) FROM s""")
 def block_verification(spark, d):
-    t = fx.trades(spark, d)
+    t = P.pick_dates(fx.trades(spark, d), [4, 9, 19])
     path = scratch_path(spark, "blocks")
+    # What is stored differs from what is recomputed: one block shifted, one with gaps.
+    stored = t.withColumns({"feature_02": F.when(F.col("symbol_id") % 5 == 0, F.col("feature_02") + 0.5).otherwise(F.col("feature_02")),
+                            "feature_03": F.when(F.col("symbol_id") % 7 != 0, F.col("feature_03"))})
     blocks = {"level": ["feature_02"], "spread": ["feature_03"]}
-    P.pick_dates(t, [4, 9, 19]).write.parquet(path)
-    return E.block_differences(spark.read.parquet(path), P.pick_dates(t, [4, 9, 19]), blocks).select("block", "max_abs_delta", "n_one_sided")
+    sinks.write_blocks(stored, path, blocks, files_per_date=2)
+    out = E.block_differences(spark.read.parquet(f"{path}/rows"), t, blocks)
+    return out.select("block", rnd("max_abs_delta").alias("max_abs_delta"), "n_one_sided")
+
+
+@query("block_pool", with_(TRADES) + f"SELECT {KSQL}, weight, {r_sql('feature_00', 'feature_00')}, {r_sql('feature_00 - feature_01', 'sub(feature_00,feature_01)')} FROM trades")
+def block_pool(spark, d):
+    path = scratch_path(spark, "blocks")
+    df, blocks = enrich(fx.trades(spark, d), ["feature_00"], [("sub", "feature_00", "feature_01")], ranks=[], differences=False)
+    sinks.write_blocks(df, path, blocks, files_per_date=2)
+    stored = spark.read.parquet(f"{path}/rows")
+    listed = [r["column"] for r in spark.read.json(f"{path}/blocks").orderBy("block", "position").collect()]
+    return rounded(stored, [*K, "weight"], listed)
 
 
 @query("causality_probe")
@@ -346,11 +378,16 @@ def residual_persistence(spark, d):
     return rounded(G.residual_persistence(one(spark, d, "slow")), ["n_pairs"], ["corr"])
 
 
-@query("residual_autocorrelation")
+@query("residual_autocorrelation", SW + """, w AS (SELECT *, y - p_slow AS r, count(*) OVER s AS n FROM valid WINDOW s AS (PARTITION BY symbol_id, date_id)),
+ x AS (SELECT *, r - avg(r) OVER s AS e FROM w WHERE n = 12 WINDOW s AS (PARTITION BY symbol_id, date_id)),
+ z AS (SELECT *, e / stddev_pop(e) OVER s AS z, stddev_pop(e) OVER s AS sd FROM x WINDOW s AS (PARTITION BY symbol_id, date_id)),
+ a AS (SELECT f.symbol_id, f.date_id, g.time_id - f.time_id AS lag, sum(f.z * g.z) / (12 - (g.time_id - f.time_id)) AS v FROM z f JOIN z g
+ ON f.symbol_id = g.symbol_id AND f.date_id = g.date_id AND g.time_id - f.time_id BETWEEN 0 AND 6 WHERE f.sd > 1e-9 GROUP BY 1, 2, 3)
+ SELECT CAST(lag AS INTEGER) AS lag, round(avg(v), 6) + 0.0 AS corr, count(*) AS n_series FROM a GROUP BY 1""")
 def residual_autocorrelation(spark, d):
     from tidewheel.operators.forensics import residual_acf
     rows = one(spark, d, "slow").withColumn("resid", F.col("y") - F.col("pred"))
-    return residual_acf(rows, "resid", 6, 12)
+    return rounded(residual_acf(rows, "resid", 6, 12), ["lag", "n_series"], ["corr"])
 
 
 @query("common_residual_share", SW + f""", s AS (SELECT date_id, count(*) AS n, avg(r) AS m FROM (SELECT *, y - p_slow AS r FROM valid) GROUP BY date_id, time_id),

@@ -255,9 +255,13 @@ def walk_forward_online(spark, d):
     return rounded(r2(walk_forward(t, ["feature_00", "feature_01"], 20), ["date_id"]), ["date_id"], ["r2"], 5)
 
 
-@query("walk_forward_static")
+_STATIC = _WF.format(frame="UNBOUNDED PRECEDING").replace("FROM r JOIN c USING (date_id) WHERE date_id >= 20", "FROM r, (SELECT * EXCLUDE (date_id) FROM c WHERE date_id = 20) c WHERE date_id >= 20")
+
+
+@query("walk_forward_static", with_(TRADES_LABELLED, _STATIC) + f"SELECT date_id, {r_sql('1 - sum(w * (pred - y) ** 2) / sum(w * y * y)', 'r2', 5)} FROM p GROUP BY 1")
 def walk_forward_static(spark, d):
-    return _walk(spark, d, online=False)
+    t = rows(spark, d).select(*K, "y", "w", "feature_00", "feature_01")
+    return rounded(r2(walk_forward(t, ["feature_00", "feature_01"], 20, online=False), ["date_id"]), ["date_id"], ["r2"], 5)
 
 
 @query("walk_forward_all_features")

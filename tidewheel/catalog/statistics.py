@@ -1,5 +1,6 @@
 """Aggregations, correlations and series forensics."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewheel.catalog.registry import (ACTIVITY, ACTIVITY_CELLS, ACTIVITY_LABELLED, KSQL, K, TRADES, TRADES_LABELLED, WDT, WS, WSD, query,
@@ -280,28 +281,78 @@ def band_energy(spark, d):
     return rounded(out, K, [f"feature_01_band{b}" for b in range(3)], 4)
 
 
-@query("deconvolution")
-def deconvolution(spark, d):
-    out = Z.deconvolve(fx.activity_labelled(spark, d), "responder_8", 4, 0.5, 24)
-    return rounded(out, K, ["signal", "innov1", "innov4"])
+def _inverse_values(t: int, rows: int, lam: float) -> str:
+    """The ridge inverse as a VALUES list, from its normal equations."""
+    a = np.array([[1.0 / rows if i <= j < i + rows else 0.0 for j in range(t + rows - 1)] for i in range(t)])
+    m = np.linalg.inv(a.T @ a + lam * np.eye(t + rows - 1)) @ a.T
+    return ", ".join(f"({i}, {j}, {float(m[i, j])!r}::DOUBLE)" for i in range(t + rows - 1) for j in range(t))
 
 
-@query("rough_signature")
+@query("deconvolution", with_(ACTIVITY_LABELLED, f"m(i, j, v) AS (VALUES {_inverse_values(24, 4, 0.5)})",
+       "s AS (SELECT symbol_id, date_id, i, sum(v * coalesce(responder_8, 0)) AS s FROM labelled JOIN m ON j = time_id GROUP BY 1, 2, 3)")
+       + f"""SELECT symbol_id, date_id, CAST(i AS INTEGER) AS time_id, {r_sql('s', 'signal', 5)}, {r_sql('coalesce(n1, 0)', 'innov1', 5)}, {r_sql('(coalesce(n1, 0) + coalesce(n2, 0) + coalesce(n3, 0) + coalesce(n4, 0)) / 4', 'innov4', 5)}
+ FROM (SELECT *, lead(s, 1) OVER q AS n1, lead(s, 2) OVER q AS n2, lead(s, 3) OVER q AS n3, lead(s, 4) OVER q AS n4 FROM s WINDOW q AS (PARTITION BY symbol_id, date_id ORDER BY i)) WHERE i < 24""")
+def deconvolution(spark, d):
+    out = Z.deconvolve(fx.activity_labelled(spark, d), "responder_8", 4, 0.5, 24)
+    return rounded(out, K, ["signal", "innov1", "innov4"], 5)
+
+
+def _tuples_sql(window: int, depth: int, hurst: float | None, log: bool, digits: int) -> str:
+    """(Log-)signature as sums over ordered tuples of increments, equal ones weighted 1/k!."""
+    chans = ["time_id / 23.0", "coalesce(feature_01, 0)", "coalesce(feature_02, 0)"]
+    n = len(chans)
+    pts = f"pts AS (SELECT {KSQL}, {', '.join(f'{c} - lag({c}) OVER {WSD} AS d{i}' for i, c in enumerate(chans))} FROM activity)"
+    # Increment k of a window starting at s of m points: it starts at (k - s - 1) / (m - 1).
+    weight = f"power(1 - (k.time_id - s - 1.0) / greatest(a.time_id - s, 1) + 1e-6, {hurst - 0.5})" if hurst is not None else "1.0"
+    win = (f"inc AS (SELECT a.symbol_id, a.date_id, a.time_id, k.time_id AS p, {', '.join(f'k.d{i} * {weight} AS d{i}' for i in range(n))} "
+           f"FROM (SELECT *, greatest(time_id - {window - 1}, 0) AS s FROM pts) a JOIN pts k ON a.symbol_id = k.symbol_id AND a.date_id = k.date_id AND k.time_id > s AND k.time_id <= a.time_id)")
+    s1 = f"l1 AS (SELECT {KSQL}, {', '.join(f'sum(d{i}) AS s{i}' for i in range(n))} FROM inc GROUP BY ALL)"
+    on = "x.symbol_id = y.symbol_id AND x.date_id = y.date_id AND x.time_id = y.time_id AND x.p <= y.p"
+    f2 = "CASE WHEN x.p = y.p THEN 0.5 ELSE 1.0 END"
+    s2 = ("l2 AS (SELECT x.symbol_id, x.date_id, x.time_id, " + ", ".join(f"sum(x.d{i} * y.d{j} * {f2}) AS s{i}{j}" for i in range(n) for j in range(n))
+          + f" FROM inc x JOIN inc y ON {on} GROUP BY ALL)")
+    ctes, joins = [ACTIVITY, pts, win, s1, s2], "LEFT JOIN l1 USING (symbol_id, date_id, time_id) LEFT JOIN l2 USING (symbol_id, date_id, time_id)"
+    if depth == 3:
+        f3 = "CASE WHEN x.p = y.p AND y.p = z.p THEN 1.0 / 6 WHEN x.p = y.p OR y.p = z.p THEN 0.5 ELSE 1.0 END"
+        ctes.append("l3 AS (SELECT x.symbol_id, x.date_id, x.time_id, " + ", ".join(
+            f"sum(x.d{i} * y.d{j} * z.d{k} * {f3}) AS s{i}{j}{k}" for i in range(n) for j in range(n) for k in range(n))
+            + f" FROM inc x JOIN inc y ON {on} JOIN inc z ON y.symbol_id = z.symbol_id AND y.date_id = z.date_id AND y.time_id = z.time_id AND y.p <= z.p GROUP BY ALL)")
+        joins += " LEFT JOIN l3 USING (symbol_id, date_id, time_id)"
+    out = [f"s{i}" for i in range(n)]
+    if not log:
+        out += [f"s{i}{j}" for i in range(n) for j in range(n)]
+    else:
+        out += [f"s{i}{j} - s{i} * s{j} / 2" for i in range(n) for j in range(i + 1, n)]
+        if depth == 3:
+            out += [f"s{i}{j}{k} - (s{i} * s{j}{k} + s{i}{j} * s{k}) / 2 + s{i} * s{j} * s{k} / 3" for i in range(n) for j in range(n) for k in range(n)]
+    return with_(*ctes) + f"SELECT {KSQL}, {', '.join(r_sql(f'coalesce({e}, 0)', f'c{i:02d}', digits) for i, e in enumerate(out))} FROM activity {joins}"
+
+
+def _components(df, n: int, digits: int):
+    return df.select(*K, *[rnd(F.col("signature")[i], digits).alias(f"c{i:02d}") for i in range(n)])
+
+
+@query("rough_signature", _tuples_sql(8, 2, 0.1, False, 4))
 def rough_signature(spark, d):
-    out = rolling_signature(fx.activity(spark, d), ["feature_01", "feature_02"], 8, 2, 0.1, False, 24)
-    return out.select(*K, F.transform("signature", lambda x: F.round(x, 6)).alias("signature"))
+    return _components(rolling_signature(fx.activity(spark, d), ["feature_01", "feature_02"], 8, 2, 0.1, False, 24), 12, 4)
 
 
-@query("depth3_log_signature")
+@query("depth3_log_signature", _tuples_sql(6, 3, None, True, 5))
 def depth3_log_signature(spark, d):
-    out = rolling_signature(fx.activity(spark, d), ["feature_01", "feature_02"], 8, 3, None, True, 24)
-    return out.select(*K, F.transform("signature", lambda x: F.round(x, 6)).alias("signature"))
+    return _components(rolling_signature(fx.activity(spark, d), ["feature_01", "feature_02"], 6, 3, None, True, 24), 33, 5)
 
 
-@query("story_signature")
+@query("story_signature", with_(ACTIVITY_LABELLED, "pts AS (SELECT symbol_id, a.date_id + k AS date_id, (5 - k) * 24 + time_id AS pos, coalesce(responder_6, 0) AS b, coalesce(responder_8, 0) AS c "
+       "FROM labelled a, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS k) WHERE a.date_id + k <= 29)",
+       "path AS (SELECT *, pos / 4 / 29.0 AS a, count(*) OVER (PARTITION BY symbol_id, date_id) AS n FROM pts WHERE pos % 4 = 0)",
+       "inc AS (SELECT *, a - lag(a) OVER q AS da, b - lag(b) OVER q AS db, c - lag(c) OVER q AS dc FROM path WHERE n = 30 WINDOW q AS (PARTITION BY symbol_id, date_id ORDER BY pos))",
+       "l1 AS (SELECT symbol_id, date_id, sum(da) AS sa, sum(db) AS sb, sum(dc) AS sc FROM inc GROUP BY 1, 2)",
+       "l2 AS (SELECT x.symbol_id, x.date_id, sum(x.da * y.db - x.db * y.da) / 2 AS ab, sum(x.da * y.dc - x.dc * y.da) / 2 AS ac, sum(x.db * y.dc - x.dc * y.db) / 2 AS bc "
+       "FROM inc x JOIN inc y ON x.symbol_id = y.symbol_id AND x.date_id = y.date_id AND x.pos < y.pos GROUP BY 1, 2)")
+       + "SELECT symbol_id, date_id, " + ", ".join(r_sql(e, f"c{i:02d}", 5) for i, e in enumerate(("sa", "sb", "sc", "ab", "ac", "bc"))) + " FROM l1 JOIN l2 USING (symbol_id, date_id)")
 def story_signature_(spark, d):
     out = story_signature(fx.activity_labelled(spark, d), ["responder_6", "responder_8"], 5, 4, 24)
-    return out.select("symbol_id", "date_id", F.transform("signature", lambda x: F.round(x, 6)).alias("signature"))
+    return out.select("symbol_id", "date_id", *[rnd(F.col("signature")[i], 5).alias(f"c{i:02d}") for i in range(6)])
 
 
 @query("column_atlas")
