@@ -57,7 +57,7 @@ def rolling_short(spark, d):
 
 @query("rolling_long", with_(TRADES) + f"SELECT {KSQL}, " + ", ".join(_rolling_sql(c, 48) for c in TF) + " FROM trades")
 def rolling_long(spark, d):
-    out = rolling_features(fx.trades(spark, d), TF, 48, chunk_rows=CHUNK)
+    out = rolling_features(fx.trades(spark, d), TF, 48)
     return rounded(out, K, [n(c, 48) for c in TF for n in (rolling_diff, rolling_std)])
 
 

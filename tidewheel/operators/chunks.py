@@ -24,12 +24,21 @@ from tidewheel.names import DATE, SERIES, SYMBOL, TIME
 CHUNK_ROWS = 16384
 
 
-def _chunk_map(df: DataFrame, back: int, fwd: int, chunk_rows: int) -> DataFrame:
-    """(symbol, date) -> every chunk the date belongs to, own or as a margin."""
+def centre(c: str) -> str:
+    """Name of the symbol-mean column of a centred input."""
+    return f"_centre_{c}"
+
+
+def _chunk_map(df: DataFrame, back: int, fwd: int, chunk_rows: int, centred: list[str]) -> DataFrame:
+    """(symbol, date) -> every chunk the date belongs to, own or as a margin,
+    with the symbol means of the centred columns."""
     along = Window.partitionBy(SYMBOL)
     before = along.orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)
     size = F.lit(chunk_rows)
-    dates = (df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"))
+    sums = [f(c).alias(f"{p}{c}") for c in centred for p, f in (("_sum_", F.sum), ("_cnt_", F.count))]
+    means = [F.try_divide(F.sum(f"_sum_{c}").over(along), F.sum(f"_cnt_{c}").over(along)).alias(centre(c)) for c in centred]
+    dates = (df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), *sums)
+             .select(*SERIES, "_n", *means)
              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
              .withColumn("_longest", F.max("_n").over(along))
              .withColumn("_home", F.floor(F.col("_start") / size))
@@ -41,7 +50,7 @@ def _chunk_map(df: DataFrame, back: int, fwd: int, chunk_rows: int) -> DataFrame
             .withColumn("_chunk", F.explode(F.sequence(
                 F.greatest(F.least(first, F.col("_home")), F.lit(0)),
                 F.least(F.greatest(final, F.col("_home")), F.col("_last")))))
-            .select(*SERIES, "_chunk", (F.col("_chunk") == F.col("_home")).alias("_own")))
+            .select(*SERIES, "_chunk", (F.col("_chunk") == F.col("_home")).alias("_own"), *[centre(c) for c in centred]))
 
 
 @dataclass(frozen=True)
@@ -61,11 +70,15 @@ Build = Callable[[DataFrame, Along], DataFrame]
 
 @dataclass(frozen=True)
 class Stage:
-    """A step along the symbol and how many rows it looks behind / ahead."""
+    """A step along the symbol and how many rows it looks behind / ahead.
+
+    ``centred`` columns come with their symbol mean in ``centre(column)``.
+    """
 
     build: Build
     back: int = 0
     fwd: int = 0
+    centred: tuple[str, ...] = ()
 
 
 def over_symbol(df: DataFrame, *stages: Stage, chunk_rows: int | None = CHUNK_ROWS,
@@ -76,15 +89,19 @@ def over_symbol(df: DataFrame, *stages: Stage, chunk_rows: int | None = CHUNK_RO
     widest single stage.  ``chunk_rows=None`` uses one plain window per symbol.
     ``source`` has the same keys as ``df`` but is cheaper to count.
     """
-    keys = [SYMBOL]
-    if chunk_rows is not None:
-        chunks = _chunk_map(df if source is None else source, max(s.back for s in stages), max(s.fwd for s in stages), chunk_rows)
+    centred = sorted({c for s in stages for c in s.centred})
+    if chunk_rows is None:
+        whole = Window.partitionBy(SYMBOL)
+        df = df.withColumns({centre(c): F.avg(c).over(whole) for c in centred}) if centred else df
+    else:
+        chunks = _chunk_map(df if source is None else source, max(s.back for s in stages), max(s.fwd for s in stages),
+                            chunk_rows, centred)
         df = df.join(chunks, SERIES)
-        keys = [SYMBOL, "_chunk"]
-    whole = Window.partitionBy(*keys)
+        whole = Window.partitionBy(SYMBOL, "_chunk")
     along = Along(whole.orderBy(DATE, TIME), whole)
     for s in stages:
         df = s.build(df, along)
+    df = df.drop(*[centre(c) for c in centred])
     return df if chunk_rows is None else df.where("_own").drop("_chunk", "_own")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewheel.names import ROLLING_ROWS, rolling_diff, rolling_std
-from tidewheel.operators.chunks import CHUNK_ROWS, Along, Stage, day_window, over_symbol
+from tidewheel.operators.chunks import CHUNK_ROWS, Along, Stage, centre, day_window, over_symbol
 
 # Sliding frames re-aggregate the frame for every row; beyond this many rows
 # prefix sums and a lag are cheaper.
@@ -24,10 +24,9 @@ def _sliding(rows: DataFrame, w: WindowSpec, cols: list[str], t: int) -> DataFra
 
 
 def _prefix(rows: DataFrame, along: Along, cols: list[str], t: int) -> DataFrame:
-    """Prefix sums of the values less their chunk mean (limits cancellation)."""
+    """Prefix sums of the values less their symbol mean (limits cancellation)."""
     w, running = along.order, along.running
-    rows = rows.withColumns({f"_m_{c}": F.avg(c).over(along.whole) for c in cols})
-    x = {c: F.coalesce(F.col(c) - F.col(f"_m_{c}"), F.lit(0.0)) for c in cols}
+    x = {c: F.coalesce(F.col(c) - F.col(centre(c)), F.lit(0.0)) for c in cols}
     rows = rows.withColumns(
         {f"_n_{c}": F.count(c).over(running) for c in cols}
         | {f"_s_{c}": F.sum(x[c]).over(running) for c in cols}
@@ -40,10 +39,10 @@ def _prefix(rows: DataFrame, along: Along, cols: list[str], t: int) -> DataFrame
     for c in cols:
         full = F.col(f"_dn_{c}") == t
         s, q = F.col(f"_ds_{c}"), F.col(f"_dq_{c}")
-        out[f"_mean_{c}"] = F.when(full, F.col(f"_m_{c}") + s / t)
+        out[f"_mean_{c}"] = F.when(full, F.col(centre(c)) + s / t)
         out[f"_std_{c}"] = F.when(full, F.sqrt(F.greatest((q - s * s / t) / (t - 1), F.lit(0.0))))
     rows = rows.withColumns(out)
-    return rows.drop(*[f"_{p}_{c}" for p in ("m", "n", "s", "q", "dn", "ds", "dq") for c in cols])
+    return rows.drop(*[f"_{p}_{c}" for p in ("n", "s", "q", "dn", "ds", "dq") for c in cols])
 
 
 def rolling_stage(cols: Iterable[str], rows: int = ROLLING_ROWS) -> Stage:
@@ -55,11 +54,9 @@ def rolling_stage(cols: Iterable[str], rows: int = ROLLING_ROWS) -> Stage:
     cols = list(cols)
 
     def build(part: DataFrame, along: Along) -> DataFrame:
-        if rows <= SLIDING_ROWS:
-            return _sliding(part, along.order, cols, rows)
-        return _prefix(part, along, cols, rows)
+        return _sliding(part, along.order, cols, rows) if rows <= SLIDING_ROWS else _prefix(part, along, cols, rows)
 
-    return Stage(build, back=rows)
+    return Stage(build, back=rows, centred=tuple(cols) if rows > SLIDING_ROWS else ())
 
 
 def as_features(df: DataFrame, cols: Iterable[str], rows: int) -> DataFrame:

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Wide panels make projections whose generated method is longer than HotSpot
+# compiles; below this limit Spark splits them into compilable pieces instead.
+RECOMMENDED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """A session builder with the settings this library runs best with."""
+    for key, value in RECOMMENDED.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def _shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
