@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tidewheel.names import DATE, KEYS, SYMBOL, TIME
 from tidewheel.operators.ensemble import ALPHA_RANGE, LOOKBACK_DATES, MIN_HISTORY_ROWS, RIDGE
@@ -29,25 +29,42 @@ def calibration_events(preds: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class TrailingCalibrator(StatefulProcessor):
-    """State per symbol: waiting predictions by (date, time), daily sums by date."""
+    """State per symbol and date: predictions waiting for labels, and daily sums.
+
+    A date's waiting rows are one state entry (at most one day of steps), so
+    state is touched per date and micro-batch, not per row.
+    """
 
     def __init__(self, lookback: int, min_rows: int, ridge: float) -> None:
         self.lookback, self.min_rows, self.ridge = lookback, min_rows, ridge
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        at = [StructField(DATE, IntegerType()), StructField(TIME, IntegerType())]
-        self.waiting = handle.getMapState("waiting", StructType(at), StructType([
-            StructField("w", DoubleType()), StructField("pred", DoubleType())]))
-        self.days = handle.getMapState("days", StructType(at[:1]), StructType([
+        date = StructType([StructField(DATE, IntegerType())])
+        self.waiting = handle.getMapState("waiting", date, StructType([
+            StructField("times", ArrayType(IntegerType())), StructField("w", ArrayType(DoubleType())),
+            StructField("preds", ArrayType(DoubleType()))]))
+        self.days = handle.getMapState("days", date, StructType([
             StructField("n", LongType()), StructField("py", DoubleType()), StructField("pp", DoubleType())]))
 
-    def _learn(self, date: int, time: int, y: float) -> None:
-        if not self.waiting.containsKey((date, time)):
+    def _held(self, date: int) -> list[tuple[int, float, float]]:
+        return list(zip(*self.waiting.getValue((date,)))) if self.waiting.containsKey((date,)) else []
+
+    def _hold(self, date: int, rows: list[tuple[int, float, float]]) -> None:
+        if rows:
+            times, w, preds = zip(*rows)
+            self.waiting.updateValue((date,), (list(times), list(w), list(preds)))
+        elif self.waiting.containsKey((date,)):
+            self.waiting.removeKey((date,))
+
+    def _learn(self, date: int, labels: dict[int, float]) -> None:
+        held = self._held(date)
+        known = [(w, p, labels[t]) for t, w, p in held if t in labels]
+        if not known:
             return
-        w, p = self.waiting.getValue((date, time))
-        self.waiting.removeKey((date, time))
         n, py, pp = self.days.getValue((date,)) if self.days.containsKey((date,)) else (0, 0.0, 0.0)
-        self.days.updateValue((date,), (int(n) + 1, float(py) + w * p * y, float(pp) + w * p * p))
+        self.days.updateValue((date,), (int(n) + len(known), float(py) + sum(w * p * y for w, p, y in known),
+                                        float(pp) + sum(w * p * p for w, p, _ in known)))
+        self._hold(date, [r for r in held if r[0] not in labels])
 
     def _alpha(self, date: int) -> float:
         n, py, pp = 0, 0.0, 0.0
@@ -66,13 +83,14 @@ class TrailingCalibrator(StatefulProcessor):
         out = []
         for (due, kind), part in pdf.groupby(["due", "kind"], sort=True):
             if kind == 0:
-                for d, t, y in zip(part[DATE], part[TIME], part["y"]):
-                    self._learn(int(d), int(t), float(y))
+                for d, day in part.groupby(DATE):
+                    self._learn(int(d), {int(t): float(y) for t, y in zip(day[TIME], day["y"])})
                 continue
             alpha = self._alpha(int(due))
-            for d, t, w, p in zip(part[DATE], part[TIME], part["w"], part["pred"]):
-                self.waiting.updateValue((int(d), int(t)), (float(w), float(p)))
-                out.append((key[0], int(d), int(t), alpha, float(p) * alpha))
+            for d, day in part.groupby(DATE):
+                rows = [(int(t), float(w), float(p)) for t, w, p in zip(day[TIME], day["w"], day["pred"])]
+                self._hold(int(d), self._held(int(d)) + rows)
+                out += [(key[0], int(d), t, alpha, p * alpha) for t, _, p in rows]
         yield pd.DataFrame(out, columns=[*KEYS, "alpha", "pred"])
 
     def close(self) -> None:
