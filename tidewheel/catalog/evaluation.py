@@ -411,11 +411,12 @@ def regime_scores(spark, d):
     return rounded(G.by_regime(one(spark, d, "slow"), "vol", ["pred"]), ["vol_bucket", "n_rows"], ["r2", "corr_pred"], 5)
 
 
-@query("regime_by_time", SW + f"""SELECT CAST(b AS INTEGER) AS vol_bucket, CAST(time_id * 3 // 12 AS INTEGER) AS day_part, count(*) AS n_rows, {r_sql(R2SQL('p_slow'), 'r2', 5)}, {r_sql('corr(p_slow, y)', 'corr_pred', 5)}
- FROM (SELECT *, {_bucket('vol', 3)} AS b FROM valid, (SELECT {_cuts('vol', 3)} AS cuts)) GROUP BY CUBE (CAST(b AS INTEGER), CAST(time_id * 3 // 12 AS INTEGER))""")
+@query("regime_by_time", SW + f"""SELECT coalesce(CAST(b AS VARCHAR), 'all') AS vol_bucket, coalesce(CAST(time_id * 3 // 12 AS VARCHAR), 'all') AS day_part, count(*) AS n_rows, {r_sql(R2SQL('p_slow'), 'r2', 5)}, {r_sql('corr(p_slow, y)', 'corr_pred', 5)}
+ FROM (SELECT *, {_bucket('vol', 3)} AS b FROM valid, (SELECT {_cuts('vol', 3)} AS cuts)) GROUP BY CUBE (b, time_id * 3 // 12)""")
 def regime_by_time(spark, d):
     out = G.by_regime(one(spark, d, "slow"), "vol", ["pred"], time_parts=3, steps_per_day=12)
-    return rounded(out, ["vol_bucket", "day_part", "n_rows"], ["r2", "corr_pred"], 5)
+    named = {c: F.coalesce(F.col(c).cast("string"), F.lit("all")) for c in ("vol_bucket", "day_part")}
+    return rounded(out.withColumns(named), ["vol_bucket", "day_part", "n_rows"], ["r2", "corr_pred"], 5)
 
 
 @query("vol_interactions", SW + f"""SELECT {KSQL}, """ + ", ".join(r_sql(f"CASE WHEN b = {k} THEN p_slow ELSE 0 END", f"pred_x_bucket_{k}") for k in (1, 2, 3))

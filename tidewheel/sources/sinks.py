@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def finished_streams(spark, path: str) -> set[str]:
     """Streams already written: a rerun skips these."""
     try:
         rows = spark.read.parquet(path).select("stream").distinct().collect()
-    except Exception:  # no table yet
+    except AnalysisException:  # no table yet
         return set()
     return {r["stream"] for r in rows}
 
