@@ -157,3 +157,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all its columns, that stand first in their component.
+
+    One row stays of an id that several rows carry; rows without id all stay.
+    """
+    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, percent=percent), "near-duplicates")
+    gone = stored(found.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("doc_id is not null and not kept")
+                  .select(F.col("doc_id").alias("__id")), "gone")
+    out = docs.join(small_side(gone), docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+                      .select(F.col("doc_id").alias("__id")), "repeated")
+    if repeated.isEmpty():
+        return out
+    one = out.join(repeated, out[id_col].cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, out[id_col].cast("long") == F.col("__id"), "left_anti").union(one)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewheel.llm import line_dedup, minhash_dedup, toxicity
+from tidewheel.llm import decontaminate, line_dedup, minhash_dedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +40,16 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, n_chars, rep_doc_id, rep_line_no) per line that repeats an earlier one within two edits."""
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_matched, coverage, consistency) per benchmark item a document holds."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece, sequences of 2048 ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
