@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, line_dedup, minhash_dedup, packing, toxicity
+from tidewheel.llm import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,21 @@ def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece, sequences of 2048 ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op5_pivot_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per vector at a cosine of 0.9."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def remainder(by: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
+
+
+@query
+def op8_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) per document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(remainder(4) != 2))
+    return langid.label(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
