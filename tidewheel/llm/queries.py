@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, packing, toxicity
+from tidewheel.llm import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,11 @@ def op8_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.filter(remainder(4) != 2))
     return langid.label(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, written to archives and read back."""
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages, warc.archive_folder(pages))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
