@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, packing, toxicity, warc
+from tidewheel.llm import decontaminate, embedding_dedup, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,75 @@ def op7_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archives = warc.write_archives(pages, warc.archive_folder(pages))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, ...) per document."""
+    return lm_score.score(table(spark, sf_dir, "documents"), remainder(5) != 1)
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, own_license, cosine, license, inherited_from) per document.
+
+    A document lies at source/thousand/language/id; one that ends with its
+    license statement speaks for its directory.
+    """
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), id_col="doc_id", path=path, license_file=F.col("last"))
+
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
+_N = len(licenses.TEMPLATES)
+SQL["op4_license_scan"] = f"""
+WITH templates(template, license, text) AS (VALUES {_TEMPLATE_ROWS}),
+tf AS (SELECT template, license, term, count(*) AS tf FROM (
+         SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+idf AS (SELECT term, ln({_N + 1}.0 / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT template, license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+unit AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM w),
+files AS (SELECT doc_id, text, concat_ws('/', source, CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS VARCHAR), lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
+split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM files),
+lines AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM split),
+hits AS (SELECT doc_id, line_no, line_no = n - 1 AS last, line FROM lines WHERE regexp_matches(lower(line), '{licenses.TRIGGER}')),
+words AS (SELECT doc_id, line_no, last, term, count(*) AS tf FROM (
+            SELECT doc_id, line_no, last, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM hits) GROUP BY ALL),
+weighed AS (SELECT doc_id, line_no, last, term, tf * coalesce(idf, 1 + ln({_N + 1}.0)) AS w FROM words LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, line_no, last, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT doc_id, line_no, template, license, sum(w * weight) AS dot FROM weighed JOIN unit USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, line_no, last, license, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, line_no)
+         WHERE round(dot / norm, 6) >= {licenses.COSINE}),
+own AS (SELECT doc_id, license AS own_license, cosine, last FROM best
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line_no, license) = 1),
+placed AS (SELECT f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, own_license, cosine, last FROM files f LEFT JOIN own USING (doc_id)),
+licensed AS (SELECT dir AS src, own_license AS given FROM (SELECT dir, own_license, count(*) AS n FROM placed WHERE last GROUP BY ALL)
+             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, own_license) = 1),
+nearest AS (SELECT p.dir, src, given FROM (SELECT DISTINCT dir FROM placed) p JOIN licensed ON p.dir = src OR starts_with(p.dir, src || '/')
+            QUALIFY row_number() OVER (PARTITION BY p.dir ORDER BY length(src) DESC) = 1)
+SELECT doc_id, path, own_license, cosine, coalesce(own_license, given) AS license, CASE WHEN own_license IS NULL THEN src END AS inherited_from
+FROM placed LEFT JOIN nearest USING (dir)"""
+
+
+def _base32(digest: str) -> str:
+    """DuckDB's hexadecimal SHA-1 as base32: 20 bits make four letters."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    return " || ".join(f"substr({letters}, 1 + ((CAST('0x' || substr({digest}, {5 * k + 1}, 5) AS INTEGER) >> {s}) & 31), 1)"
+                       for k in range(8) for s in (15, 10, 5, 0))
+
+
+SQL["op7_dictionary_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, payload_bytes, {_base32('d')} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+SQL["op5_pivot_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)"""
