@@ -35,39 +35,26 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Components of nodes linked through buckets: (links, components).
+def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of nodes linked through buckets: (node, component).
 
     ``rows`` has (key, node); ``verify`` keeps the true links of candidate pairs
     (a, b).  Candidates are stars, from the least and from the greatest node of
     each bucket to its members, so their number follows the rows.  A bucket
-    whose members still lie in several components then has every member outside
-    its most frequent component compared with all members of other components:
-    nothing that shares a bucket is left undecided.  Pairs inside a component
-    are not expanded.
+    whose members still lie in several components is then compared as a whole:
+    ``compare`` gets (key, node) of such buckets and returns, as (a, b), edges
+    that connect whatever is linked inside each.  Nothing that shares a bucket
+    is left undecided, and no pairs are expanded.
     """
     rows = rows.select("key", "node")
     ends = stored(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "buckets")
-    met = stored(rows.join(small_side(ends), "key"), "met")
+    met = stored(rows.join(small_side(ends), "key").distinct(), "met")
     stars = (met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")),
                                           F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p"))
              .select("p.a", "p.b").filter("a != b").distinct())
-    stars = stored(stars, "pairs")
-    links = stored(verify(stars), "links")
-    groups = stored(components(links), "groups")
-
-    placed = met.select("key", "node").distinct().join(groups, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("part"))
-    placed = stored(placed, "placed")
-    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = (counts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-            .filter("parts > 1").select("key", "main"))
-    main = stored(main, "main")
-    split = stored(placed.join(main, "key"), "split")
-    odd = split.filter("part != main").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-    rest = (odd.join(split.select("key", "node", "part"), "key").filter("part != px")
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = stored(verify(stored(rest, "pairs")), "links")
-    every = links.union(more)
-    return every, components(every)
+    links = stored(verify(stored(stars, "pairs")), "links")
+    groups = components(links)
+    placed = stored(met.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed")
+    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    split = stored(placed.join(small_side(stored(split, "split")), "key").select("key", "node"), "undecided")
+    return components(links.union(compare(split)))

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import components
-from tidewheel.llm._store import small_side, stored
+from tidewheel.llm._groups import in_blocks, least_labels, sorted_groups
+from tidewheel.llm._store import stored
 from tidewheel.llm._words import mix
 
 PREFIX = 5            # pivots that describe a vector
@@ -102,12 +103,7 @@ def _block_links(unit: np.ndarray, lists: np.ndarray, ids: np.ndarray, side: np.
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
     linked = near @ copies
-    label = ids.copy()
-    while True:
-        new = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (new == label).all():
-            return linked, label
-        label = new
+    return linked, least_labels(near, ids)
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -150,47 +146,21 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         both = [F.struct(F.least(F.col("prefix")[i], F.col("prefix")[j]).alias("low"), F.greatest(F.col("prefix")[i], F.col("prefix")[j]).alias("high"))
                 for i in range(PREFIX) for j in range(i)]
         lists = described.select("rep", F.explode(F.array(*both)).alias("k"))
-        sizes = stored(lists.groupBy("k.low", "k.high").count().filter("count > 1")
-                       .select("low", "high", F.ceil(F.col("count") / LIST_BLOCK).alias("blocks")), "lists")
-        posted = described.select("*", F.explode(F.array(*both)).alias("k")).select("rep", "copies", "data", "prefix", "k.low", "k.high")
-        posted = posted.join(small_side(sizes), ["low", "high"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        posted = posted.select("low", "high", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "copies", "data", "prefix")
-        posted = posted.repartition("low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
+        sizes = lists.groupBy("k.low", "k.high").agg(F.count("*").alias("n")).filter("n > 1")
+        posted = described.select("*", F.explode(F.array(*both)).alias("k")).select("k.low", "k.high", "rep", "copies", "data", "prefix")
+        posted = in_blocks(posted, sizes, ["low", "high"], "rep", LIST_BLOCK).select("low", "high", "i", "j", "mine", "rep", "copies", "data", "prefix")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: pa.Table | None = None
-
-            def groups(table: pa.Table, whole: bool) -> tuple[list[pa.Table], pa.Table | None]:
-                keys = np.column_stack([table.column(k).to_numpy() for k in range(4)])
-                cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-                at = [0, *cut.tolist(), len(keys)]
-                last = len(at) - 1 if whole else len(at) - 2
-                return [table.slice(at[k], at[k + 1] - at[k]) for k in range(last)], None if whole else table.slice(at[-2])
-
-            def work(done: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-                got: list[list[np.ndarray]] = [[], [], []]
-                for g in done:
-                    if g.num_rows < 2:
-                        continue
-                    low, high, i, j = (g.column(k)[0].as_py() for k in range(4))
-                    ids, copies = g.column(5).to_numpy(), g.column(6).to_numpy().astype(np.float64)
-                    lists_ = np.array(g.column(8).to_pylist(), dtype=np.int64)
-                    linked, label = _block_links(_unit(g.column(7).to_pylist()), lists_, ids, g.column(4).to_numpy(), i == j, low, high, copies, cosine)
-                    some = linked > 0
-                    for out, x in zip(got, (ids[some], linked[some].astype(np.int64), label[some]), strict=True):
-                        out.append(x)
-                if got[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in got], names=["rep", "linked", "least"])
-
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                table = pa.concat_tables([rest, table]) if rest is not None else table
-                if table.num_rows:
-                    done, rest = groups(table, whole=False)
-                    yield from work(done)
-            if rest is not None and rest.num_rows:
-                yield from work(groups(rest, whole=True)[0])
+            for g in sorted_groups(batches, 4):
+                if g.num_rows < 2:
+                    continue
+                low, high, i, j = (g.column(k)[0].as_py() for k in range(4))
+                ids, copies = g.column(5).to_numpy(), g.column(6).to_numpy().astype(np.float64)
+                prefixes = np.array(g.column(8).to_pylist(), dtype=np.int64)
+                linked, label = _block_links(_unit(g.column(7).to_pylist()), prefixes, ids, g.column(4).to_numpy(), i == j, low, high, copies, cosine)
+                some = linked > 0
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some].astype(np.int64)), pa.array(label[some])], names=["rep", "linked", "least"])
 
         found = stored(posted.mapInArrow(compare, "rep long, linked long, least long"), "links")
         some_counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import bucket_links
+from tidewheel.llm._groups import in_blocks, least_labels, sorted_groups
 from tidewheel.llm._store import small_side, stored
 from tidewheel.llm._words import RangeHash, mix
 
 MIN_CHARS = 15        # shorter lines are never duplicates
 MIN_NEAR_CHARS = 40   # shorter lines are duplicates only when equal
 MAX_EDITS = 2
+BLOCK = 128           # lines of a bucket that one task compares with as many others
 
 _BLANK = np.array([0x20, *range(0x09, 0x0E)], dtype=np.uint32)
 
@@ -220,8 +222,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = classes.select(F.col("h1").alias("node"), F.explode("keys").alias("key"))
     firsts = classes.select("h1", "first.doc_id", "first.line_no")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+    def line_texts(nodes: DataFrame) -> DataFrame:
         wanted = stored(firsts.join(nodes, "h1").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1")).alias("wanted")), "wanted")
         found = base.join(small_side(wanted), "doc_id").select("doc_id", "text", "wanted")
 
@@ -236,12 +237,39 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                             got[1].append(lines[w["line_no"]].strip(" \t\n\v\f\r"))
                 yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.string())], names=["h1", "line"])
 
-        texts = stored(found.mapInArrow(fetch, "h1 long, line string").distinct(), "texts")
+        return stored(found.mapInArrow(fetch, "h1 long, line string").distinct(), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = line_texts(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
         both = (pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("ta")), "a")
                 .join(texts.select(F.col("h1").alias("b"), F.col("line").alias("tb")), "b"))
         return _verified(both, edits).distinct()
 
-    _, groups = bucket_links(rows, verify)
+    def compare(split: DataFrame) -> DataFrame:
+        texts = line_texts(split.select(F.col("node").alias("h1")).distinct()).withColumnRenamed("h1", "node")
+        sizes = split.groupBy("key").agg(F.count("*").alias("n"))
+        posted = in_blocks(split, sizes, ["key"], "node", BLOCK).join(texts, "node").select("key", "i", "j", "mine", "node", "line")
+        posted = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g in sorted_groups(batches, 3):
+                ids, side, lines = g.column(4).to_numpy(), g.column(3).to_numpy(), g.column(5).to_pylist()
+                a, b = np.triu_indices(len(ids), 1)
+                if g.column(1)[0].as_py() != g.column(2)[0].as_py():
+                    a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+                size = np.array([len(x) for x in lines])
+                close = np.abs(size[a] - size[b]) <= edits
+                a, b = a[close], b[close]
+                hit = within([lines[k] for k in a], [lines[k] for k in b], edits)
+                near = np.zeros((len(ids), len(ids)), dtype=bool)
+                near[a[hit], b[hit]] = near[b[hit], a[hit]] = True
+                least = least_labels(near, ids)
+                some = least != ids
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some])], names=["a", "b"])
+        return stored(posted.mapInArrow(run, "a long, b long").distinct(), "more-links")
+
+    groups = bucket_links(rows, verify, compare)
     named = classes.select("h1", "h2", "first").join(groups.withColumnRenamed("node", "h1"), "h1", "left")
     # A line without links is a class of its own, by both its hashes.
     alone = F.col("component").isNull()

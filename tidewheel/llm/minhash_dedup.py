@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import bucket_links
+from tidewheel.llm._groups import in_blocks, least_labels, overlaps, sorted_groups
 from tidewheel.llm._store import small_side, stored
 from tidewheel.llm._words import Words, long_lists, mix, shingles, words
 
 BANDS = 48
 MISS = 1e-3          # probability that a pair at the threshold shares no band
 ATTEMPTS = 48
+BLOCK = 256          # documents of a bucket that one task compares with as many others
 
 
 def band_rows(threshold: float, bands: int = BANDS, miss: float = MISS) -> int:
@@ -148,7 +151,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return (fit.join(a, "a").join(b, "b").filter(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent)
                 .select("a", "b").distinct())
 
-    _, groups = bucket_links(reps, verify)
+    def compare(split: DataFrame) -> DataFrame:
+        nodes = stored(split.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+        sets = stored(shingle_sets(base.join(small_side(nodes), "doc_id"), size).withColumnRenamed("doc_id", "node"), "sets")
+        sizes = split.groupBy("key").agg(F.count("*").alias("n"))
+        posted = in_blocks(split, sizes, ["key"], "node", BLOCK).join(sets, "node").select("key", "i", "j", "mine", "node", "grams")
+        posted = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g in sorted_groups(batches, 3):
+                ids, side = g.column(4).to_numpy(), g.column(3).to_numpy()
+                flat = g.column(5).combine_chunks()
+                grams = np.split(np.asarray(flat.flatten()), np.cumsum(pc.list_value_length(flat).to_numpy())[:-1])
+                n, shared = np.array([len(x) for x in grams]), overlaps(grams)
+                near = shared * 100 >= (n[:, None] + n[None, :] - shared) * percent
+                if g.column(1)[0].as_py() != g.column(2)[0].as_py():
+                    near &= side[:, None] != side[None, :]
+                least = least_labels(near, ids)
+                some = least != ids
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some])], names=["a", "b"])
+        return stored(posted.mapInArrow(run, "a long, b long").distinct(), "more-links")
+
+    groups = bucket_links(reps, verify, compare)
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
