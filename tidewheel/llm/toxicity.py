@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from tidewheel.llm._words import NOT_LETTERS, Words, long_lists, words
 
 MIN_DOCUMENTS = 5      # a word counts if so many documents of the sample have it
-L1 = 3e-4              # absolute penalty on word weights
-STEPS = 150
+CHI_SQUARE = 20        # and if it goes with the category so clearly: a long text would else gather the noise of all others
+L1 = 2e-4              # absolute penalty on word weights
+STEPS = 200
 
 
 @dataclass
@@ -94,6 +95,15 @@ def _fit(text: np.ndarray, word: np.ndarray, size: int, earlier: np.ndarray, y:
     if not n or y.min() == y.max():
         share = float(y.mean()) if n else 0.0
         return np.zeros(size), np.zeros(earlier.shape[1]), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    has = np.bincount(word, minlength=size)
+    both = np.bincount(word, weights=y[text], minlength=size)
+    chance = has * y.mean()
+    spread = np.maximum(chance * (1 - y.mean()) * (1 - has / n), 1e-12)
+    chosen = np.flatnonzero((both - chance) ** 2 / spread >= CHI_SQUARE)
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
+    sel = place[word] >= 0
+    text, word, full_size, size = text[sel], place[word[sel]], size, len(chosen)
     # Each class weighs half; a word's step shrinks with the gradients it has had.
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     w, v, b = np.zeros(size), np.zeros(earlier.shape[1]), 0.0
@@ -111,7 +121,9 @@ def _fit(text: np.ndarray, word: np.ndarray, size: int, earlier: np.ndarray, y:
         v = v - 0.5 / np.sqrt(gv) * d
         gb += r.sum() ** 2
         b -= 0.5 / np.sqrt(gb) * r.sum()
-    return w, v, float(b)
+    out = np.zeros(full_size)
+    out[chosen] = w
+    return out, v, float(b)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id",
@@ -167,7 +179,7 @@ def _chain_scores(column: pa.Array, chain: Chain, among: np.ndarray) -> np.ndarr
     return out
 
 
-def flagged(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.4,
+def flagged(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.2,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category> ..., <target>) for every row of ``docs``, repeated and null ids included.
 
@@ -187,7 +199,7 @@ def flagged(docs: DataFrame, labels: DataFrame, categories: list[str], *, target
         run, "doc_id long, " + ", ".join(f"p_{c} double" for c in categories) + f", {target} boolean")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.4,
+def without_toxic(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.2,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all its columns, whose probability of ``target`` is below ``threshold``."""
     chain = fit_chain(docs, labels, categories, id_col=id_col, text_col=text_col)
