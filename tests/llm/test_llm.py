@@ -405,3 +405,17 @@ def test_pipeline(spark):
         assert 0 < out.count() <= table.count()
         out.unpersist()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_keys_follow_probes():
+    """The keys of many lines at once are those of the written-out probes."""
+    from tidewheel.llm._words import RangeHash, mix
+    rng = np.random.default_rng(0)
+    points = rng.integers(97, 100, 4000).astype(np.uint32)
+    start, size = np.array([0, 100, 1000, 2500]), np.array([40, 41, 97, 300])
+    ranges = RangeHash(points)
+    line, key = line_dedup._keys(ranges, start, size, 2)
+    for k in range(4):
+        want = {int(mix(ranges(np.array([start[k] + p]), np.array([start[k] + p + n])) + np.uint64(indexed * 64 + i))[0])
+                for indexed in range(max(40, size[k] - 2), size[k] + 1) for i, p, n in line_dedup.probes(int(size[k]), int(indexed), 2)}
+        assert {int(x) for x in key[line == k]} == want

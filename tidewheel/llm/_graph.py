@@ -55,6 +55,8 @@ def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], comp
     links = stored(verify(stored(stars, "pairs")), "links")
     groups = components(links)
     placed = stored(met.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed")
-    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    # The two stars already compare all pairs of up to three nodes.
+    split = (placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"))
+             .filter("lo < hi and n > 3").select("key"))
     split = stored(placed.join(small_side(stored(split, "split")), "key").select("key", "node"), "undecided")
     return components(links.union(compare(split)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import bucket_links
-from tidewheel.llm._groups import in_blocks, least_labels, sorted_groups
+from tidewheel.llm._groups import in_blocks, sorted_groups
 from tidewheel.llm._store import small_side, stored
 from tidewheel.llm._words import RangeHash, mix
 
@@ -89,15 +89,24 @@ def probes(length: int, indexed: int, edits: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(ranges: RangeHash, start: np.ndarray, size: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): every segment and probe of the lines, by their place in ``start``."""
-    line_parts, key_parts = [], []
-    for n in np.unique(size):
-        here = np.flatnonzero(size == n)
-        for indexed in range(max(MIN_NEAR_CHARS, int(n) - edits), int(n) + 1):
-            for i, p, m in probes(int(n), indexed, edits):
-                key = mix(ranges(start[here] + p, start[here] + p + m) + np.uint64(indexed * 64 + i))
+    """(line, key): every segment and probe of the lines, by their place in ``start``; ``probes`` for all lines at once."""
+    parts, line_parts, key_parts = edits + 1, [], []
+    for more in range(edits + 1):
+        indexed = size - more
+        short, longer = np.divmod(indexed, parts)
+        for i in range(parts):
+            extra = np.maximum(0, i - (parts - longer))
+            p, n = i * short + extra, short + (i >= parts - longer)
+            left, right = i, edits - i
+            lo = np.maximum(np.maximum(p - left, p + more - right), 0)
+            hi = np.minimum(np.minimum(p + left, p + more + right), size - n)
+            for off in range(2 * edits + 1):
+                here = np.flatnonzero((lo + off <= hi) & (indexed >= MIN_NEAR_CHARS))
+                if not len(here):
+                    break
+                at = start[here] + lo[here] + off
+                key_parts.append(mix(ranges(at, at + n[here]) + (indexed[here] * 64 + i).astype(np.uint64)))
                 line_parts.append(here)
-                key_parts.append(key)
     if not line_parts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     line, key = np.concatenate(line_parts), np.concatenate(key_parts)
@@ -252,21 +261,40 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         posted = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Pairs of several groups are verified together; places count rows over those groups.
+            ids: list[np.ndarray] = []
+            lines: list[str] = []
+            pairs: list[np.ndarray] = []
+
+            def linked() -> pa.RecordBatch:
+                every, p = np.concatenate(ids), np.concatenate(pairs, axis=1)
+                p = p[:, within([lines[k] for k in p[0]], [lines[k] for k in p[1]], edits)]
+                label = every.copy()
+                while True:
+                    new = label.copy()
+                    np.minimum.at(new, p[0], label[p[1]])
+                    np.minimum.at(new, p[1], label[p[0]])
+                    if (new == label).all():
+                        break
+                    label = new
+                some = label != every
+                return pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array(label[some])], names=["a", "b"])
+
             for g in sorted_groups(batches, 3):
-                ids, side, lines = g.column(4).to_numpy(), g.column(3).to_numpy(), g.column(5).to_pylist()
-                a, b = np.triu_indices(len(ids), 1)
+                side, own = g.column(3).to_numpy(), g.column(5).to_pylist()
+                a, b = np.triu_indices(len(own), 1)
                 if g.column(1)[0].as_py() != g.column(2)[0].as_py():
                     a, b = a[side[a] != side[b]], b[side[a] != side[b]]
-                size = np.array([len(x) for x in lines])
+                size = np.array([len(x) for x in own])
                 close = np.abs(size[a] - size[b]) <= edits
-                a, b = a[close], b[close]
-                hit = within([lines[k] for k in a], [lines[k] for k in b], edits)
-                near = np.zeros((len(ids), len(ids)), dtype=bool)
-                near[a[hit], b[hit]] = near[b[hit], a[hit]] = True
-                least = least_labels(near, ids)
-                some = least != ids
-                if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(least[some])], names=["a", "b"])
+                pairs.append(np.stack([a[close], b[close]]) + len(lines))
+                ids.append(g.column(4).to_numpy())
+                lines += own
+                if sum(x.shape[1] for x in pairs) > 16384:
+                    yield linked()
+                    ids, lines, pairs = [], [], []
+            if ids:
+                yield linked()
         return stored(posted.mapInArrow(run, "a long, b long").distinct(), "more-links")
 
     groups = bucket_links(rows, verify, compare)

@@ -179,7 +179,7 @@ def _chain_scores(column: pa.Array, chain: Chain, among: np.ndarray) -> np.ndarr
     return out
 
 
-def flagged(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.2,
+def flagged(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.5,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category> ..., <target>) for every row of ``docs``, repeated and null ids included.
 
@@ -199,7 +199,7 @@ def flagged(docs: DataFrame, labels: DataFrame, categories: list[str], *, target
         run, "doc_id long, " + ", ".join(f"p_{c} double" for c in categories) + f", {target} boolean")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.2,
+def without_toxic(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str, threshold: float = 0.5,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all its columns, whose probability of ``target`` is below ``threshold``."""
     chain = fit_chain(docs, labels, categories, id_col=id_col, text_col=text_col)
