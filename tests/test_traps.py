@@ -208,3 +208,11 @@ def test_alignment_assertion(spark, two_days):
     E.require_aligned(a, a)
     with pytest.raises(ValueError):
         E.require_aligned(a, a.where("time_id > 0"))
+
+
+def test_quantiles_with_nan_and_tiny_ranges(spark):
+    from tidewheel.operators.quantiles import exact_quantiles
+
+    rows = [(1.0, 5e-324), (2.0, 0.0), (float("nan"), 1e-323), (4.0, None), (float("inf"), float("-inf"))]
+    got = exact_quantiles(spark.createDataFrame(rows, "x double, y double"), {"x": [0.0, 0.5, 1.0], "y": [0.0, 0.5, 1.0]})
+    assert got == {"x": [1.0, 2.0, 4.0], "y": [0.0, 5e-324, 1e-323]}

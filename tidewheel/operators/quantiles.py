@@ -14,10 +14,20 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.scalars import finite
+
 SLICES = 1024
 SMALL = 4096
 
 
+def _slice(c: str, lo: float, hi: float) -> Column:
+    """Which of the equal slices of [lo, hi] a value lies in; a range too small to divide has its least value and the rest."""
+    width = (hi / 2 - lo / 2) / SLICES
+    if width < 1e-300:
+        return (F.col(c) > F.lit(lo)).cast("int")
+    return F.least(F.floor((F.col(c).cast("double") / 2 - lo / 2) / width), F.lit(SLICES - 1)).cast("int")
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks of each column (NULLs ignored)."""
     found: dict[tuple[str, int], float] = {}
@@ -38,8 +48,7 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[
         probes = F.array(*[
             F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(
                 F.lit(i).alias("b"),
-                F.least(F.floor((F.col(c).cast("double") / 2 - lo / 2) / ((hi / 2 - lo / 2) / SLICES)),
-                        F.lit(SLICES - 1)).cast("int").alias("s"),
+                _slice(c, lo, hi).alias("s"),
                 F.col(c).cast("double").alias("v")))
             for i, (c, lo, hi, _) in enumerate(keys)])
         # Equal values are counted before they meet in a slice.
@@ -76,8 +85,9 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[
 
 
 def exact_quantiles(df: DataFrame, probs: dict[str, Iterable[float]]) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles {column: [value per probability]}."""
+    """Linear-interpolated quantiles {column: [value per probability]}; NaN and infinities count as missing."""
     cols = list(probs)
+    df = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
     counts = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
     spots: dict[str, list[tuple[int, int, float]]] = {}
     wanted: dict[str, list[int]] = {}
