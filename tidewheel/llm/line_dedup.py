@@ -257,8 +257,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def compare(split: DataFrame) -> DataFrame:
         texts = line_texts(split.select(F.col("node").alias("h1")).distinct()).withColumnRenamed("h1", "node")
         sizes = split.groupBy("key").agg(F.count("*").alias("n"))
-        posted = in_blocks(split, sizes, ["key"], "node", BLOCK).join(texts, "node").select("key", "i", "j", "mine", "node", "line")
-        posted = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        posted = in_blocks(split.join(texts, "node"), sizes, ["key"], "node", BLOCK).select("key", "i", "j", "mine", "node", "line")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Pairs of several groups are verified together; places count rows over those groups.
