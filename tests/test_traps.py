@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.functions import scalars as S
-from tidewheel.names import FEATURES, family, is_raw_feature, parse_recipe
+from tidewheel.names import FEATURES, ewma_name, family, is_raw_feature, parse_recipe, rolling_diff, rolling_std
 from tidewheel.operators import crosssection as X
 from tidewheel.operators import ensemble as B
 from tidewheel.operators import evaluate as E
@@ -16,6 +17,7 @@ from tidewheel.operators import moments as M
 from tidewheel.operators import preprocess as N
 from tidewheel.operators import scores as R
 from tidewheel.operators import shifts as H
+from tidewheel.operators.ewma import ewma
 from tidewheel.operators.rolling import rolling_features
 from tidewheel.plans.features import FeaturePlan, build_features
 from tidewheel.sources import panel as P
@@ -176,6 +178,11 @@ def test_slate_and_constant_panel(spark):
     df = panel(spark, rows, ["responder_6"]).withColumn("weight", F.lit(1.0))
     grid = P.complete_grid(df, 0, 0, 5)
     assert grid.count() == 10 and grid.where("weight = 0").count() == 2
+    # Rows beyond the given calendar or day length widen the slate.
+    late = df.union(panel(spark, [(2, 3, 6, 1.0)], ["responder_6"]).withColumn("weight", F.lit(1.0)).select(*df.columns))
+    wide = P.complete_grid(late, 0, 0, 5)
+    assert wide.count() == 2 * 4 * 7 and wide.agg(F.sum("weight")).first()[0] == 9.0
+    assert P.complete_grid(late, None, None, 5).count() == 2 * 4 * 7 and P.complete_grid(df.limit(0), None, None, 5).count() == 0
     assert [r["symbol_id"] for r in constant_panel(df, df).collect()] == [1]
 
 
@@ -216,3 +223,31 @@ def test_quantiles_with_nan_and_tiny_ranges(spark):
     rows = [(1.0, 5e-324), (2.0, 0.0), (float("nan"), 1e-323), (4.0, None), (float("inf"), float("-inf"))]
     got = exact_quantiles(spark.createDataFrame(rows, "x double, y double"), {"x": [0.0, 0.5, 1.0], "y": [0.0, 0.5, 1.0]})
     assert got == {"x": [1.0, 2.0, 4.0], "y": [0.0, 5e-324, 1e-323]}
+
+
+@pytest.mark.parametrize("rows", [6, 48])
+def test_rolling_takes_nan_as_missing(spark, rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    x[70], x[130] = float("nan"), float("inf")
+    df = panel(spark, [(1, t // 50, t % 50, float(v)) for t, v in enumerate(x)], ["a"])
+    got = rolling_features(df, ["a"], rows, chunk_rows=60).orderBy("date_id", "time_id").toPandas()
+    clean = pd.Series(np.where(np.isfinite(x), x, np.nan))
+    mean, std = clean.rolling(rows).mean(), clean.rolling(rows).std()
+    assert np.allclose(got[rolling_std("a", rows)].astype(float), std, equal_nan=True)
+    assert np.allclose(got[rolling_diff("a", rows)].astype(float), clean - mean, equal_nan=True)
+
+
+@pytest.mark.parametrize(("steps", "span"), [(20_000, 30), (968, 2), (20_000, 2), (50, 1000)])
+def test_ewma_of_long_days_and_short_spans(spark, steps, span):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=2 * steps)
+    x[[0, 7, steps + 3]] = float("nan"), float("inf"), float("nan")
+    rows = spark.createDataFrame(pd.DataFrame({"symbol_id": 1, "date_id": np.arange(2 * steps) // steps, "time_id": np.arange(2 * steps) % steps, "a": x}))
+    got = ewma(rows, ["a"], span).orderBy("date_id", "time_id").toPandas()[ewma_name("a", span)].to_numpy(dtype=float)
+    q, state, want = 1 - 2 / (span + 1), None, []
+    for v in x:
+        if np.isfinite(v):
+            state = v if state is None else q * state + (1 - q) * v
+        want.append(np.nan if state is None else state)
+    assert np.allclose(got, want, equal_nan=True, atol=1e-9)

@@ -30,7 +30,7 @@ TF = fx.TRADES_FEATURES
 STREAM_NAMES = ["lag", "slow", "market", "mom"]
 STREAMS = f"""base AS (SELECT *, avg(responder_6_lag1d) OVER {WDT} AS mkt FROM lagged),
 valid AS (SELECT {KSQL}, responder_6 AS y, weight AS w, 0.5 * responder_6_lag1d AS p_lag, 0.6 * responder_7_lag1d AS p_slow, mkt AS p_market,
- 0.3 * (responder_8_lag1d - responder_6_lag1d) AS p_mom, abs(responder_6_lag1d) + 0.05 AS vol FROM base WHERE responder_6 IS NOT NULL AND date_id >= 8),
+ 0.3 * (responder_8_lag1d - responder_6_lag1d) AS p_mom, abs(responder_6_lag1d) + 0.05 AS vol FROM base WHERE responder_6 IS NOT NULL),
 streams AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS stream, {KSQL}, y, w, p_{n} AS pred, vol FROM valid" for n in STREAM_NAMES) + ")"
 SW = with_(TRADES_LABELLED, LAG1, STREAMS)
 
@@ -41,7 +41,7 @@ def R2SQL(p: str, w: str = "w") -> str:  # noqa: N802
 
 def streams(spark, d, vol: bool = False):
     t = previous_day(fx.trades_labelled(spark, d).persist(), [6, 7, 8])
-    t = t.join(step_means(t, ["responder_6_lag1d"]), ["date_id", "time_id"]).where("responder_6 IS NOT NULL AND date_id >= 8")
+    t = t.join(step_means(t, ["responder_6_lag1d"]), ["date_id", "time_id"]).where("responder_6 IS NOT NULL")
     a, b, c = (F.col(f"responder_{r}_lag1d") for r in (6, 7, 8))
     preds = {"lag": 0.5 * a, "slow": 0.6 * b, "market": F.col("_mkt_responder_6_lag1d"), "mom": 0.3 * (c - a)}
     pairs = F.array(*[F.struct(F.lit(n).alias("stream"), e.alias("pred")) for n, e in preds.items()])

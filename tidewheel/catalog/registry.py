@@ -72,7 +72,7 @@ activity AS (
   SELECT s.symbol_id, CAST(d.date_id AS INTEGER) AS date_id, CAST(t.time_id AS INTEGER) AS time_id,
          coalesce(c.weight, 0.0) AS weight, c.feature_00, c.feature_01, c.feature_02, c.feature_03, c.feature_04
   FROM (SELECT DISTINCT symbol_id FROM cells) s
-  CROSS JOIN (SELECT unnest(range(30)) AS date_id) d CROSS JOIN (SELECT unnest(range(24)) AS time_id) t
+  CROSS JOIN (SELECT unnest(range(min(date_id), max(date_id) + 1)) AS date_id FROM cells) d CROSS JOIN (SELECT unnest(range(24)) AS time_id) t
   LEFT JOIN cells c ON c.symbol_id = s.symbol_id AND c.date_id = d.date_id AND c.time_id = t.time_id)"""
 
 

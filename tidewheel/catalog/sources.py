@@ -224,10 +224,10 @@ def union_train_tail(spark, d):
     return P.between_dates(t, None, 10).unionByName(P.between_dates(t, 25)).select(*K, "weight")
 
 
-@query("common_symbols", with_(TRADES) + """SELECT symbol_id FROM trades WHERE date_id <= 1 AND time_id = 0 INTERSECT
- SELECT symbol_id FROM trades WHERE date_id >= 27 AND time_id = 0""")
+@query("common_symbols", with_(TRADES) + """SELECT symbol_id FROM trades WHERE date_id <= 1 INTERSECT
+ SELECT symbol_id FROM trades WHERE date_id >= 27""")
 def common_symbols(spark, d):
-    t = fx.trades(spark, d).where("time_id = 0")
+    t = fx.trades(spark, d)
     return P.between_dates(t, None, 1).select("symbol_id").intersect(P.between_dates(t, 27).select("symbol_id"))
 
 

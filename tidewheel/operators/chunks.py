@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewheel.functions.scalars import finite
 from tidewheel.names import DATE, SERIES, SYMBOL, TIME
 
 CHUNK_ROWS = 16384
@@ -31,11 +32,11 @@ def centre(c: str) -> str:
 
 def _chunk_map(df: DataFrame, back: int, fwd: int, chunk_rows: int, centred: list[str]) -> DataFrame:
     """(symbol, date) -> every chunk the date belongs to, own or as a margin,
-    with the symbol means of the centred columns."""
+    with the symbol means of the finite values of the centred columns."""
     along = Window.partitionBy(SYMBOL)
     before = along.orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)
     size = F.lit(chunk_rows)
-    sums = [f(c).alias(f"{p}{c}") for c in centred for p, f in (("_sum_", F.sum), ("_cnt_", F.count))]
+    sums = [f(finite(c)).alias(f"{p}{c}") for c in centred for p, f in (("_sum_", F.sum), ("_cnt_", F.count))]
     means = [F.try_divide(F.sum(f"_sum_{c}").over(along), F.sum(f"_cnt_{c}").over(along)).alias(centre(c)) for c in centred]
     dates = (df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), *sums)
              .select(*SERIES, "_n", *means)
@@ -92,7 +93,7 @@ def over_symbol(df: DataFrame, *stages: Stage, chunk_rows: int | None = CHUNK_RO
     centred = sorted({c for s in stages for c in s.centred})
     if chunk_rows is None:
         whole = Window.partitionBy(SYMBOL)
-        df = df.withColumns({centre(c): F.avg(c).over(whole) for c in centred}) if centred else df
+        df = df.withColumns({centre(c): F.avg(finite(c)).over(whole) for c in centred}) if centred else df
     else:
         chunks = _chunk_map(df if source is None else source, max(s.back for s in stages), max(s.fwd for s in stages),
                             chunk_rows, centred)

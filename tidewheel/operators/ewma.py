@@ -1,10 +1,13 @@
 """Exponentially weighted mean per symbol as a two-level scan.
 
-Inside a (symbol, date) block the recurrence y = q y + (1-q) x is closed form
-in prefix sums.  Across blocks only one count and one decayed sum per date are
-chained, so neither level needs a whole symbol in one task.
-
-A missing input carries the previous value and does not advance the decay.
+A date is cut into parts of so many steps that no weight leaves the double
+range, whatever the span and the length of a day.  Inside a part the recurrence
+y = q y + (1-q) x is closed form in prefix sums.  Across parts only one count
+and one decayed sum each are chained, so neither level needs a whole symbol in
+one task.
+
+A missing input (NULL, NaN or infinite) carries the previous value and does not
+advance the decay.
 """
 
 from __future__ import annotations
@@ -15,26 +18,33 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.scalars import finite
 from tidewheel.names import DATE, SERIES, SYMBOL, TIME, ewma_name
-from tidewheel.operators.chunks import day_window
 
 # Weights are kept within exp(+-SAFE); whatever has decayed by exp(-2*SAFE)
 # no longer changes a double.
 SAFE = 250.0
+PART = "_part"
+BLOCK = [*SERIES, PART]
+
+
+def _steps(q: float) -> int:
+    """How many values decay by exp(-SAFE)."""
+    return max(1, int(SAFE / -math.log(q)))
 
 
 def _chain(blocks: DataFrame, q: float) -> DataFrame:
-    """(symbol, date, column, state): the state carried into each date.
+    """(symbol, date, part, column, state): the state carried into each part.
 
-    Date d receives sum over earlier dates of their end contribution times
+    A part receives the sum over earlier parts of their end contribution times
     q^(values in between); NULL before any value.  To stay in range the
     position axis (values so far) is cut into segments with a reference point
     each; the frame reaches back at most two segments, so a segment is known
     by its number modulo 3.
     """
-    width = int(SAFE / -math.log(q))
+    width = _steps(q)
     key = [SYMBOL, "column"]
-    by_date = Window.partitionBy(*key).orderBy(DATE)
+    by_date = Window.partitionBy(*key).orderBy(DATE, PART)
     near = Window.partitionBy(*key).orderBy("at").rangeBetween(-2 * width, 0)
     at, seg = F.col("at"), F.col("seg")
 
@@ -49,35 +59,39 @@ def _chain(blocks: DataFrame, q: float) -> DataFrame:
            .withColumn("u", F.col("got") * power(seg * width - at)))
     out = out.withColumns({f"c{m}": F.sum(F.when(seg % 3 == m, F.col("u")).otherwise(0.0)).over(near) for m in range(3)})
     state = sum((F.col(f"c{m}") * power(at - (seg - (seg - m + 3) % 3) * width) for m in range(3)), F.lit(0.0))
-    return out.select(*SERIES, "column", F.when(at > 0, state).alias("state"))
+    return out.select(*BLOCK, "column", F.when(at > 0, state).alias("state"))
 
 
 def ewma(df: DataFrame, cols: Iterable[str], span: int = 30) -> DataFrame:
     """Adds ``{c}_ewma_{span}``; alpha = 2/(span+1), started at the first value.
 
-    Prefix weights grow as q^-k with k at most one day of steps: about 1e28 at
-    span 30 and 968 steps, far inside the double range.
+    Steps are whole numbers and stand once per symbol and date, so a part holds
+    no more values than its width in steps.
     """
+    if span <= 1:
+        raise ValueError("the span of an exponential mean must exceed 1")
     cols = list(cols)
     alpha = 2.0 / (span + 1)
     q = 1.0 - alpha
-    w = day_window().rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*BLOCK).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    v = {c: finite(c) for c in cols}
 
-    # k: values so far in the day; z: their decayed sum, rescaled to the day start.
-    rows = df.withColumns({f"_k_{c}": F.count(c).over(w) for c in cols})
+    # k: values so far in the part; z: their decayed sum, rescaled to its start.
+    rows = df.withColumn(PART, F.floor(F.col(TIME) / _steps(q)))
+    rows = rows.withColumns({f"_k_{c}": F.count(v[c]).over(w) for c in cols})
     rows = rows.withColumns(
-        {f"_z_{c}": F.sum(F.coalesce(alpha * F.col(c) * F.pow(F.lit(q), -F.col(f"_k_{c}")), F.lit(0.0))).over(w) for c in cols}
-        | {f"_x_{c}": F.first(c, ignorenulls=True).over(w) for c in cols})
-    blocks = rows.groupBy(*SERIES).agg(*[F.max_by(f"_{p}_{c}", TIME).alias(f"_{p}_{c}") for c in cols for p in "kzx"])
-    long = blocks.select(*SERIES, F.explode(F.array(*[
+        {f"_z_{c}": F.sum(F.coalesce(alpha * v[c] * F.pow(F.lit(q), -F.col(f"_k_{c}")), F.lit(0.0))).over(w) for c in cols}
+        | {f"_x_{c}": F.first(v[c], ignorenulls=True).over(w) for c in cols})
+    blocks = rows.groupBy(*BLOCK).agg(*[F.max_by(f"_{p}_{c}", TIME).alias(f"_{p}_{c}") for c in cols for p in "kzx"])
+    long = blocks.select(*BLOCK, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"_{p}_{c}").cast("double").alias(p) for p in "zx"], F.col(f"_k_{c}").alias("k"))
-        for c in cols])).alias("_b")).select(*SERIES, "_b.*")
-    carried = _chain(long, q).groupBy(*SERIES).agg(*[
+        for c in cols])).alias("_b")).select(*BLOCK, "_b.*")
+    carried = _chain(long, q).groupBy(*BLOCK).agg(*[
         F.max(F.when(F.col("column") == c, F.col("state"))).alias(f"_in_{c}") for c in cols])
-    rows = rows.join(carried, SERIES)
+    rows = rows.join(carried, BLOCK)
     # Without a carried state the symbol's first value starts the recurrence.
     rows = rows.withColumns({
         ewma_name(c, span): F.pow(F.lit(q), F.col(f"_k_{c}")) * (F.coalesce(f"_in_{c}", f"_x_{c}") + F.col(f"_z_{c}"))
         for c in cols
     })
-    return rows.drop(*[f"_{p}_{c}" for p in ("k", "z", "x", "in") for c in cols])
+    return rows.drop(PART, *[f"_{p}_{c}" for p in ("k", "z", "x", "in") for c in cols])

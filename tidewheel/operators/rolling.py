@@ -7,28 +7,31 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewheel.functions.scalars import finite
 from tidewheel.names import ROLLING_ROWS, rolling_diff, rolling_std
 from tidewheel.operators.chunks import CHUNK_ROWS, Along, Stage, centre, day_window, over_symbol
 
-# Sliding frames re-aggregate the frame for every row; beyond this many rows
-# prefix sums and a lag are cheaper.
+# Sliding frames re-aggregate the frame for every row, but cancel nothing;
+# beyond this many rows prefix sums and a lag are cheaper.  Both give the same
+# values, and both take NaN and infinities as missing.
 SLIDING_ROWS = 24
 
 
 def _sliding(rows: DataFrame, w: WindowSpec, cols: list[str], t: int) -> DataFrame:
     frame = w.rowsBetween(-(t - 1), 0)
-    full = {c: F.count(c).over(frame) == t for c in cols}
+    x = {c: finite(c) for c in cols}
+    full = {c: F.count(x[c]).over(frame) == t for c in cols}
     return rows.withColumns(
-        {f"_mean_{c}": F.when(full[c], F.avg(c).over(frame)) for c in cols}
-        | {f"_std_{c}": F.when(full[c], F.stddev_samp(c).over(frame)) for c in cols})
+        {f"_mean_{c}": F.when(full[c], F.avg(x[c]).over(frame)) for c in cols}
+        | {f"_std_{c}": F.when(full[c], F.stddev_samp(x[c]).over(frame)) for c in cols})
 
 
 def _prefix(rows: DataFrame, along: Along, cols: list[str], t: int) -> DataFrame:
     """Prefix sums of the values less their symbol mean (limits cancellation)."""
     w, running = along.order, along.running
-    x = {c: F.coalesce(F.col(c) - F.col(centre(c)), F.lit(0.0)) for c in cols}
+    x = {c: F.coalesce(finite(c) - F.col(centre(c)), F.lit(0.0)) for c in cols}
     rows = rows.withColumns(
-        {f"_n_{c}": F.count(c).over(running) for c in cols}
+        {f"_n_{c}": F.count(finite(c)).over(running) for c in cols}
         | {f"_s_{c}": F.sum(x[c]).over(running) for c in cols}
         | {f"_q_{c}": F.sum(x[c] * x[c]).over(running) for c in cols})
     rows = rows.withColumns(
@@ -49,7 +52,7 @@ def rolling_stage(cols: Iterable[str], rows: int = ROLLING_ROWS) -> Stage:
     """Adds ``_mean_{c}`` and ``_std_{c}`` over the last ``rows`` rows.
 
     The window counts rows of the symbol across dates; both are NULL unless
-    all ``rows`` values are present.
+    all ``rows`` values are present and finite.
     """
     cols = list(cols)
 

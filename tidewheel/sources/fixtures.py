@@ -17,7 +17,6 @@ from tidewheel.sources.panel import complete_grid
 TRADES_T = 12
 TRADES_D = 30
 ACTIVITY_T = 24
-ACTIVITY_D = 30
 TRADES_FEATURES = [f"feature_{i:02d}" for i in range(6)]
 ACTIVITY_FEATURES = [f"feature_{i:02d}" for i in range(5)]
 # Signals the labels are built from: (column, centre) per venue.
@@ -60,7 +59,7 @@ def activity_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_grid(activity_cells(spark, sf_dir), 0, ACTIVITY_D - 1, ACTIVITY_T)
+    return complete_grid(activity_cells(spark, sf_dir), None, None, ACTIVITY_T)
 
 
 def _labelled(df: DataFrame, signals) -> DataFrame:

@@ -100,15 +100,21 @@ def complete_series(df: DataFrame, steps_per_day: int) -> DataFrame:
     return df.join(whole, SERIES, "left_semi")
 
 
-def complete_grid(df: DataFrame, lo: int, hi: int, steps_per_day: int,
+def complete_grid(df: DataFrame, lo: int | None, hi: int | None, steps_per_day: int,
                   symbols: DataFrame | None = None) -> DataFrame:
-    """Every symbol at every step of [lo, hi]; absent cells null, weight 0.
+    """Every symbol at every step of the dates; absent cells null, weight 0.
 
-    The slate is generated per symbol from the two (bounded) step sequences.
+    The dates are those of the data, widened to [lo, hi] where given, and a day
+    has at least ``steps_per_day`` steps, so no row of the listed symbols falls
+    outside the slate.
     """
+    limits = df.agg(F.least(F.min(DATE), F.lit(lo)).cast("int").alias("_lo"), F.greatest(F.max(DATE), F.lit(hi)).cast("int").alias("_hi"),
+                    F.greatest(F.max(TIME), F.lit(steps_per_day - 1)).cast("int").alias("_end"))
     slate = ((symbols if symbols is not None else df).select(SYMBOL).distinct()
-             .withColumn(DATE, F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-             .withColumn(TIME, F.explode(F.sequence(F.lit(0), F.lit(steps_per_day - 1)))))
+             .crossJoin(F.broadcast(limits))  # one row
+             .withColumn(DATE, F.explode(F.sequence("_lo", "_hi")))
+             .withColumn(TIME, F.explode(F.sequence(F.lit(0), F.col("_end"))))
+             .select(*KEYS))
     out = slate.join(df, KEYS, "left")
     if "weight" in df.columns:
         out = out.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
