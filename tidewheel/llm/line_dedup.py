@@ -118,12 +118,21 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``edits``.
 
     A pair's state is one word per error count, with a bit for each of the
-    2 * edits + 1 diagonals of the band; all pairs advance together.
+    2 * edits + 1 diagonals of the band; all pairs advance together over what
+    lies between their common prefix and suffix, until none can still match.
     """
     pa_, at = _code_points(a)
     pb, bt = _code_points(b)
     la, lb = np.diff(at), np.diff(bt)
     out = np.zeros(len(a), dtype=bool)
+    at, bt = at[:-1].copy(), bt[:-1].copy()
+    for k in np.flatnonzero(np.abs(la - lb) <= edits):
+        x, y, m = pa_[at[k]:at[k] + la[k]], pb[bt[k]:bt[k] + lb[k]], min(la[k], lb[k])
+        differ = x[:m] != y[:m]
+        head = int(differ.argmax()) if differ.any() else m
+        differ = (x[len(x) - (m - head):] != y[len(y) - (m - head):])[::-1]
+        tail = int(differ.argmax()) if differ.any() else m - head
+        at[k], bt[k], la[k], lb[k] = at[k] + head, bt[k] + head, la[k] - head - tail, lb[k] - head - tail
     near = np.flatnonzero(np.abs(la - lb) <= edits)
     order = near[np.argsort(la[near], kind="stable")]
     width, all_bits = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
@@ -139,31 +148,33 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
         A = np.full((len(some), n + 1), 0xFFFFFFFF, dtype=np.uint32)
         B = np.full((len(some), n + 3 * edits + 2), 0xFFFFFFFE, dtype=np.uint32)
         for r, k in enumerate(some):
-            A[r, :la[k]] = pa_[at[k]:at[k + 1]]
-            B[r, edits:edits + lb[k]] = pb[bt[k]:bt[k + 1]]
+            A[r, :la[k]] = pa_[at[k]:at[k] + la[k]]
+            B[r, edits:edits + lb[k]] = pb[bt[k]:bt[k] + lb[k]]
         end = lb[some] - la[some] + edits
-        diagonals = np.arange(width)
+        # Per position of a: where the band matches, and bits that stand for characters of b (bit k for i + 1 + k - edits of them).
+        matches, inside = np.zeros((2, n, len(some)), dtype=np.uint32)
+        for k in range(width):
+            matches |= (A[:, :n] == B[:, k:k + n]).T.astype(np.uint32) << np.uint32(k)
+            place = np.arange(n, dtype=np.int64)[:, None] + (1 + k - edits)
+            inside |= ((place >= 0) & (place <= lb[some])).astype(np.uint32) << np.uint32(k)
+        ends = np.searchsorted(la[some], np.arange(n + 2))
         state = [np.full(len(some), 1 << edits, dtype=np.uint32)]
         for _ in range(edits):
             state.append(state[-1] | (state[-1] << np.uint32(1)) & np.uint32(all_bits))
         done = np.zeros(len(some), dtype=bool)
         done[la[some] == 0] = (state[edits][la[some] == 0] >> end[la[some] == 0].astype(np.uint32) & 1) > 0
         for i in range(n):
-            equal = np.zeros(len(some), dtype=np.uint32)
-            for k in range(width):
-                equal |= (A[:, i] == B[:, i + k]).astype(np.uint32) << np.uint32(k)
-            # Bit k stands for i + 1 + k - edits characters of b; those outside b fall away.
-            j = i + 1 + diagonals - edits
-            ok = ((j[None, :] >= 0) & (j[None, :] <= lb[some][:, None])) @ (1 << diagonals)
-            ok = ok.astype(np.uint32)
+            equal, ok = matches[i], inside[i]
             new = [state[0] & equal & ok]
             for d in range(1, edits + 1):
                 moved = (state[d] & equal) | state[d - 1] | (state[d - 1] >> np.uint32(1)) | (new[d - 1] << np.uint32(1))
                 new.append(moved & ok)
             state = new
-            at_end = la[some] == i + 1
-            if at_end.any():
-                done[at_end] = (state[edits][at_end] >> end[at_end].astype(np.uint32) & 1) > 0
+            if not state[edits].any():
+                break
+            first, last = ends[i + 1], ends[i + 2]
+            if first < last:
+                done[first:last] = (state[edits][first:last] >> end[first:last].astype(np.uint32) & 1) > 0
         out[some] = done
     return out
 
