@@ -171,6 +171,23 @@ def test_decontaminate(spark):
     assert decontaminate.matches(docs(spark, []), items).count() == 0 == decontaminate.matches(docs(spark, rows), items.limit(0)).count()
 
 
+ASKED = [(1, "If Anna has 12 apples and buys 5 km of rope, how many apples does Anna have now in total?")]
+VARIANT = "If Peter has 99 apples and buys 31 miles of rope, how many apples does Peter have now in total?"
+OTHER = "If Maria has 7 apples and buys 2 miles of rope, how many apples does Maria have now in total?"
+SPOILT = "If Peter has 99 apples and buys 31 miles of rope, how many apples does Zoe have now in total?"
+
+
+def test_decontaminate_occurrences(spark):
+    """Each place is judged by itself: copies beside variants, variants beside each other."""
+    items = spark.createDataFrame(ASKED, "item_id long, text string")
+    own, filler = ASKED[0][1], " ".join(f"word{chr(97 + k % 26)} of a text" for k in range(60))
+    rows = [(1, f"{own} {VARIANT}"), (2, f"{VARIANT} {filler} {own}"), (3, f"{VARIANT} {OTHER}"), (4, f"{filler}. {VARIANT} {filler}. {OTHER} {filler}. {own}"),
+            (5, f"{SPOILT} {filler}"), (6, own), (7, f"{SPOILT} {SPOILT}")]
+    got = {r.doc_id: r for r in decontaminate.matches(docs(spark, rows), items, consistency=0.95).collect()}
+    assert set(got) == {1, 2, 3, 4, 6}
+    assert all(r.n_matched == r.n_windows and r.coverage == r.consistency == 1 for r in got.values())
+
+
 def test_planted_passages(spark):
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     items = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

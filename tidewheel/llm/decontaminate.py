@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm._store import small_side, stored
@@ -158,16 +158,38 @@ def _hits(docs: DataFrame, size: int, among: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(run, "id long, pos long, window long, slots array<long>")
 
 
+def _runs(met: DataFrame) -> DataFrame:
+    """(doc_id, item_id, run, window, asked, slots, same): one hit per window of an item and place where it may stand.
+
+    A hit's shift is its position less that of the item's window.  Shifts are
+    dealt to cells as wide as the item, on two grids half a cell apart: two
+    copies never share a cell by their own shifts, and a copy moved by
+    insertions of up to half its length lies in one cell of either grid.  Of
+    several hits of a window in a cell the one whose shift has most hits counts.
+    """
+    cell = [F.struct(F.lit(grid).alias("grid"), F.floor((F.col("shift") + half) / F.col("span")).alias("cell"))
+            for grid, half in ((0, F.lit(0)), (1, F.floor(F.col("span") / 2)))]
+    dealt = met.select("*", F.explode(F.array(*cell)).alias("run"))
+    dealt = dealt.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "item_id", "run", "shift")))
+    return (dealt.groupBy("doc_id", "item_id", "run", "place", "window")
+            .agg(F.max_by(F.struct("asked", "slots"), F.struct("n", -F.col("shift"))).alias("b"), F.max(F.col("asked") == F.col("slots")).alias("same"))
+            .select("doc_id", "item_id", "run", "window", "b.asked", "b.slots", "same"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, consistency): items a document holds.
 
-    ``n_windows`` counts an item's distinct template windows and ``n_matched``
-    those the document has; ``consistency`` is the share of slot values that
-    agree with the value their benchmark value has most often in the document
-    (1 without slots).  The benchmark's window hashes go to the tasks in blocks
-    of bounded size, one pass over the documents each; documents are not
-    shuffled, only their hits.
+    ``n_windows`` counts an item's distinct template windows.  Each place where
+    the item may stand in the document is judged by itself, and so is the
+    document as a whole, for items whose parts are spread: ``n_matched`` are the
+    windows there, and ``consistency`` the share of slot values that agree with
+    the value their benchmark value has most often there (1 without slots).
+    Windows that repeat the item's own values are enough when they cover the
+    item and its slotted windows.  The best place that passes is reported.
+
+    The benchmark's window hashes go to the tasks in blocks of bounded size, one
+    pass over the documents each; documents are not shuffled, only their hits.
 
     Null or empty texts and null ids match nothing; rows that repeat an id
     count together, and equal items match alike.  Empty tables give an empty
@@ -175,7 +197,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     """
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    asked = stored(_hits(items, size, None).select(F.col("id").alias("item_id"), "window", F.col("slots").alias("asked")), "benchmark")
+    asked = stored(_hits(items, size, None).select(F.col("id").alias("item_id"), F.col("pos").alias("place"), "window", F.col("slots").alias("asked")), "benchmark")
     distinct = asked.select("window").distinct()
     blocks = -(-distinct.count() // BLOCK)
     hits = None
@@ -184,18 +206,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
         found = stored(_hits(base, size, np.sort(part.to_numpy().view(np.uint64))), "hits")
         hits = found if hits is None else hits.union(found)
     hits = _hits(base.limit(0), size, None) if hits is None else hits
-    # A window that stands in an item or a document several times counts once for each set of values.
-    hits = hits.select(F.col("id").alias("doc_id"), "window", "slots").distinct()
-    met = stored(hits.join(asked.distinct(), "window"), "met")
-    total = asked.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
-    held = met.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n_matched"))
-    values = (met.select("doc_id", "item_id", F.explode(F.arrays_zip("asked", "slots")).alias("s"))
-              .groupBy("doc_id", "item_id", F.col("s.asked").alias("asked"), F.col("s.slots").alias("slot")).agg(F.count("*").alias("n"))
-              .groupBy("doc_id", "item_id", "asked").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-              .groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("n")).alias("consistency")))
-    out = held.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
-    out = out.join(values, ["doc_id", "item_id"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return out.filter(F.col("consistency") >= consistency).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "consistency")
+    hits = hits.select(F.col("id").alias("doc_id"), "pos", "window", "slots")
+    slotted = F.when(F.size("asked") > 0, F.col("window"))
+    total = asked.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), F.countDistinct(slotted).alias("n_slotted"),
+                                         (F.max("place") + size).alias("span"))
+    wanted = asked.select("item_id", "place", "window", "asked").distinct().join(total.select("item_id", "span"), "item_id")
+    met = stored(hits.join(wanted, "window").select("doc_id", "item_id", "span", "place", (F.col("pos") - F.col("place")).alias("shift"), "window", "asked", "slots"), "met")
+    # In the document as a whole a window counts once for each set of values.
+    whole = met.select("doc_id", "item_id", F.struct(F.lit(2).alias("grid"), F.lit(0).cast("long").alias("cell")).alias("run"), "window", "asked", "slots",
+                       F.lit(False).alias("same")).distinct()
+    by = ["doc_id", "item_id", "run"]
+    held = _runs(met).union(whole)
+    counted = (held.groupBy(by).agg(F.countDistinct("window").alias("n_matched"), F.countDistinct(F.when(F.col("same"), F.col("window"))).alias("n_same"),
+                                    F.countDistinct(F.when(F.col("same"), slotted)).alias("n_same_slotted"))
+               .join(total.drop("span"), "item_id").filter(F.col("n_matched") / F.col("n_windows") >= coverage))
+    values = (held.select(*by, F.explode(F.arrays_zip("asked", "slots")).alias("s"))
+              .groupBy(*by, F.col("s.asked").alias("asked"), F.col("s.slots").alias("slot")).agg(F.count("*").alias("n"))
+              .groupBy(*by, "asked").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+              .groupBy(by).agg((F.sum("most") / F.sum("n")).alias("consistency")))
+    judged = counted.join(values, by, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    own = (F.col("n_same") / F.col("n_windows") >= coverage) & (F.col("n_same_slotted") >= coverage * F.col("n_slotted"))
+    verdicts = F.array(F.struct((F.col("consistency") >= consistency).alias("ok"), "n_matched", "consistency"),
+                       F.struct(own.alias("ok"), F.col("n_same").alias("n_matched"), F.lit(1.0).alias("consistency")))
+    passed = judged.select("doc_id", "item_id", "n_windows", F.explode(verdicts).alias("v")).filter("v.ok")
+    best = passed.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("v.n_matched", "v.consistency")).alias("b"))
+    return best.select("doc_id", "item_id", "n_windows", "b.n_matched", (F.col("b.n_matched") / F.col("n_windows")).alias("coverage"), "b.consistency")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
