@@ -188,6 +188,17 @@ def test_decontaminate_occurrences(spark):
     assert all(r.n_matched == r.n_windows and r.coverage == r.consistency == 1 for r in got.values())
 
 
+def test_decontaminate_short_and_placeholder_items(spark):
+    items = spark.createDataFrame([(1, "What is 17 * 24?"), (2, "Here Anna has apples."), (3, "17 24 31 8 99 5 m, 12 kg"), (4, "Name the capital"), (5, "12 34")],
+                                  "item_id long, text string")
+    filler = " ".join(f"word{chr(97 + k % 26)} of a text" for k in range(30))
+    rows = [(1, f"{filler}. What is 17 * 24? {filler}"), (2, f"{filler}. What is 18 * 24? {filler}"), (3, "what is 17 24"), (4, f"{filler}. Here Tom has apples. {filler}"),
+            (5, f"{filler} 17 24 31 8 99 5 m, 12 kg {filler}"), (6, f"{filler} 17 24 31 9 98 5 m, 13 kg {filler}"), (7, f"{filler}; name the capital of {filler}"),
+            (8, f"{filler} 1 2 3 4 5 6 7 8 {filler}"), (9, "Anna has"), (10, f"{filler} 12 34 {filler}"), (11, None), (12, "")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(spark, rows), items).collect()}
+    assert got == {(1, 1), (3, 1), (4, 2), (5, 3), (7, 4), (10, 5)}
+
+
 def test_planted_passages(spark):
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     items = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

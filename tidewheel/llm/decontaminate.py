@@ -31,7 +31,7 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l kl s sec secs min mins
          "kilometer kilometers mile miles gram grams kilogram kilograms liter liters litre litres percent degree degrees kb mb gb tb "
          "hz khz mhz ghz w kw v j kj cal kcal mph kmh").split()
 
-NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
+NUMBER, UNIT, NAME, VERBATIM = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65, 0x76657262617469))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -109,53 +109,66 @@ def templates(column: pa.Array) -> Iterator[Template]:
         yield Template(lo, hi - lo, text[keep], token[keep], value[keep], (number | unit | name)[keep])
 
 
-def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, length, hash) of every window; a shorter text is one window.
+def _hashes(tokens: np.ndarray, at: np.ndarray, length: int, salt: np.uint64) -> np.ndarray:
+    step = np.uint64(0xC2B2AE3D27D4EB4F)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(length):
+        h = h * step + tokens[at + k]
+    return mix(h + np.uint64(length) + salt)
+
 
-    Windows of mostly placeholders are left out.
+def windows(t: Template, size: int, lengths: list[int] | None = None, verbatim: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, position, length, hash, verbatim) of every window of one of ``lengths``.
+
+    Without ``lengths``, as for items: windows of ``size``, and a shorter text is
+    one window.  Windows of mostly placeholders have no template hash.  With
+    ``verbatim`` windows are also hashed by what stands there, those of items
+    only where a text has no template window.
     """
     n = len(t.token)
-    step = np.uint64(0xC2B2AE3D27D4EB4F)
     first = np.searchsorted(t.text, np.arange(t.count))
     per = np.diff(np.concatenate([first, [n]]))
-    at = np.arange(max(0, n - size + 1))
-    at = at[t.text[at] == t.text[at + size - 1]] if len(at) else at
-    h = np.zeros(len(at), dtype=np.uint64)
-    for k in range(size):
-        h = h * step + t.token[at + k]
-    short = np.flatnonzero((per > 0) & (per < size))
-    hs = np.zeros(len(short), dtype=np.uint64)
-    for k in range(size - 1):
-        there = per[short] > k
-        hs[there] = hs[there] * step + t.token[first[short[there]] + k]
-    at = np.concatenate([at, first[short]])
-    length = np.concatenate([np.full(len(h), size), per[short]])
-    h = mix(np.concatenate([h, hs]) + length.astype(np.uint64))
     slots = np.concatenate([[0], np.cumsum(t.slot)])
-    literals = length - (slots[at + length] - slots[at])
-    good = literals >= np.minimum(LITERALS, length)
-    at, length, h = at[good], length[good], h[good]
-    return t.text[at], at - first[t.text[at]], length, h
-
-
-def _hits(docs: DataFrame, size: int, among: np.ndarray | None) -> DataFrame:
-    """(id, pos, window, slots): windows of every text, only those ``among`` if given; slots are the values in order."""
+    found = []
+    for m in lengths or range(1, size + 1):
+        at = np.arange(max(0, n - m + 1))
+        at = at[t.text[at] == t.text[at + m - 1]] if len(at) else at
+        if lengths is None:
+            at = at[np.minimum(per[t.text[at]], size) == m]
+        good = at[m - (slots[at + m] - slots[at]) >= min(LITERALS, m)]
+        found.append((good, np.full(len(good), m), _hashes(t.token, good, m, np.uint64(0)), np.zeros(len(good), dtype=bool)))
+        if verbatim:
+            if lengths is None:
+                has = np.zeros(t.count, dtype=bool)
+                has[t.text[good]] = True
+                at = at[~has[t.text[at]]]
+            found.append((at, np.full(len(at), m), _hashes(t.value, at, m, VERBATIM), np.ones(len(at), dtype=bool)))
+    at, length, h, same = (np.concatenate(x) for x in zip(*found, strict=True))
+    return t.text[at], at - first[t.text[at]], length, h, same
+
+
+def _hits(docs: DataFrame, size: int, among: np.ndarray | None, lengths: list[int] | None = None, verbatim: bool = True) -> DataFrame:
+    """(id, pos, length, window, verbatim, slots): windows of every text, only those ``among`` if given.
+
+    Slots are the values in order; none for verbatim windows, whose hash has them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in templates(batch.column(1)):
-                text, pos, length, h = windows(t, size)
+                text, pos, length, h, same = windows(t, size, lengths, verbatim)
                 if among is not None:
                     place = np.minimum(np.searchsorted(among, h), len(among) - 1)
                     hit = among[place] == h
-                    text, pos, length, h = text[hit], pos[hit], length[hit], h[hit]
+                    text, pos, length, h, same = text[hit], pos[hit], length[hit], h[hit], same[hit]
                 first = np.searchsorted(t.text, np.arange(t.count))
                 at = first[text] + pos if len(text) else pos
-                slots = [t.value[a:a + m][t.slot[a:a + m]].view(np.int64) for a, m in zip(at, length, strict=True)]
+                slots = [t.value[a:a + (0 if s else m)][t.slot[a:a + (0 if s else m)]].view(np.int64) for a, m, s in zip(at, length, same, strict=True)]
                 ids = batch.column(0).slice(t.first, t.count)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(text)), pa.array(pos.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
-                    names=["id", "pos", "window", "slots"])
-    return docs.mapInArrow(run, "id long, pos long, window long, slots array<long>")
+                    [ids.take(pa.array(text)), pa.array(pos.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(same),
+                     pa.array(slots, pa.list_(pa.int64()))],
+                    names=["id", "pos", "length", "window", "verbatim", "slots"])
+    return docs.mapInArrow(run, "id long, pos long, length long, window long, verbatim boolean, slots array<long>")
 
 
 def _runs(met: DataFrame) -> DataFrame:
@@ -188,6 +201,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     Windows that repeat the item's own values are enough when they cover the
     item and its slotted windows.  The best place that passes is reported.
 
+    An item shorter than ``size`` is one window, looked for in all of a
+    document.  An item of mostly placeholders ("What is 17 * 24?") must stand
+    there with its own values; signs between words never count.
+
     The benchmark's window hashes go to the tasks in blocks of bounded size, one
     pass over the documents each; documents are not shuffled, only their hits.
 
@@ -197,19 +214,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     """
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    asked = stored(_hits(items, size, None).select(F.col("id").alias("item_id"), F.col("pos").alias("place"), "window", F.col("slots").alias("asked")), "benchmark")
+    asked = stored(_hits(items, size, None).select(F.col("id").alias("item_id"), F.col("pos").alias("place"), "length", "window", "verbatim",
+                                                   F.col("slots").alias("asked")), "benchmark")
+    shape = asked.agg(F.sort_array(F.collect_set("length")).alias("lengths"), F.coalesce(F.max("verbatim"), F.lit(False)).alias("verbatim")).first()
     distinct = asked.select("window").distinct()
     blocks = -(-distinct.count() // BLOCK)
     hits = None
     for b in range(blocks):
         part = distinct.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).toArrow().column("window")
-        found = stored(_hits(base, size, np.sort(part.to_numpy().view(np.uint64))), "hits")
+        found = stored(_hits(base, size, np.sort(part.to_numpy().view(np.uint64)), shape["lengths"], shape["verbatim"]), "hits")
         hits = found if hits is None else hits.union(found)
     hits = _hits(base.limit(0), size, None) if hits is None else hits
     hits = hits.select(F.col("id").alias("doc_id"), "pos", "window", "slots")
     slotted = F.when(F.size("asked") > 0, F.col("window"))
     total = asked.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), F.countDistinct(slotted).alias("n_slotted"),
-                                         (F.max("place") + size).alias("span"))
+                                         F.max(F.col("place") + F.col("length")).alias("span"))
     wanted = asked.select("item_id", "place", "window", "asked").distinct().join(total.select("item_id", "span"), "item_id")
     met = stored(hits.join(wanted, "window").select("doc_id", "item_id", "span", "place", (F.col("pos") - F.col("place")).alias("shift"), "window", "asked", "slots"), "met")
     # In the document as a whole a window counts once for each set of values.
