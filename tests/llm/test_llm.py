@@ -305,6 +305,24 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_pivots", [450, 4096])
+def test_embeddings_recall(spark, monkeypatch, n_pivots):
+    """Links just above the threshold among spread vectors, with as many pivots as large tables have."""
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", (n_pivots, n_pivots))
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((1500, 64)))
+    away = rng.standard_normal(base.shape)
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    c = rng.uniform(0.9001, 0.92, (1500, 1))
+    x = np.vstack([base, c * base + np.sqrt(1 - c * c) * away])
+    want = (x @ x.T >= 0.9).sum() - len(x)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_vectors(table).agg(F.sum("n_links")).first()[0]
+    print("recall", n_pivots, got / want)
+    assert 0.99 * want <= got <= want
+
+
 def test_context_tree():
     """Counts in closed form equal the estimate's product, and the gamma function its definition."""
     import math

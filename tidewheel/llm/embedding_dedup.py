@@ -1,9 +1,9 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Each vector is described by its nearest reference points in order.  Inverted
-lists keyed by two pivots hold the vectors that have both in their prefix, so
-vectors meet there exactly when they share at least two; the pair is verified
-where its two least shared pivots say, once.
+Each vector is described by its nearest reference points, as many as vectors
+at the threshold need to share one.  Inverted lists hold the vectors that have
+a pivot in their prefix; a pair is verified where its least shared pivot says,
+once.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from tidewheel.llm._groups import in_blocks, least_labels, sorted_groups
 from tidewheel.llm._store import stored
 from tidewheel.llm._words import mix
 
-PREFIX = 5            # pivots that describe a vector
+RECALL = 0.998        # share of pairs at the threshold that must share a pivot
+TRIALS = 4000         # pairs drawn to find the prefix length
 PIVOTS = (32, 4096)   # at least and at most; between, twice the root of the number of vectors
 APART = 0.6           # no two pivots from the sample have a greater cosine
-LIST_BLOCK = 512      # longer lists are compared block by block
+LIST_BLOCK = 1024     # longer lists are compared block by block
 
 
 def _parse(column: pa.Array) -> list[np.ndarray | None]:
@@ -39,8 +40,16 @@ def _parse(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(d, dtype=np.float64) for d in data])
+def _packed(data: bytes) -> bytes:
+    """The vector in single precision if that is the same."""
+    x = np.frombuffer(data, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small.tobytes() if (small == x).all() else data
+
+
+def _unit(data: list[bytes], dims: int) -> np.ndarray:
+    x = np.stack([np.frombuffer(d, dtype=np.float32 if len(d) == 4 * dims else np.float64).astype(np.float64) for d in data])
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -66,42 +75,84 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, h1 long, h2 long, dims long, data binary")
 
 
-def pivots(reps: DataFrame, dims: int, n: int) -> np.ndarray:
-    """Reference points: a bounded sample of the vectors, thinned to lie apart, and random directions up to the least number."""
+def pivots(reps: DataFrame, dims: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reference points, and sampled vectors that are none.
+
+    The points are a bounded sample of the vectors, thinned to lie apart, and
+    random directions up to the least number.
+    """
     want = int(min(PIVOTS[1], max(PIVOTS[0], 2 * n ** 0.5)))
     million = 1_000_000
     part = min(million, int(million * 4 * want / max(n, 1)) + 1)
     drawn = reps.filter((F.col("dims") == dims) & (F.pmod(F.xxhash64("rep"), F.lit(million)) < part)).select("rep", "data")
     found = sorted((r["rep"], bytes(r["data"])) for r in drawn.collect())
-    points = np.zeros((0, dims))
+    points = others = np.zeros((0, dims))
     if found:
         chosen: list[np.ndarray] = []
-        for v in _unit([d for _, d in found]):
-            if not chosen or (np.stack(chosen) @ v).max() < APART:
+        passed: list[np.ndarray] = []
+        sample = _unit([d for _, d in found], dims)
+        for v in sample:
+            if len(chosen) < want and (not chosen or (np.stack(chosen) @ v).max() < APART):
                 chosen.append(v)
-            if len(chosen) == want:
-                break
+            elif len(passed) < TRIALS:
+                passed.append(v)
         points = np.stack(chosen)
+        others = np.stack(passed) if passed else others
     if len(points) < PIVOTS[0]:
         more = np.random.default_rng(11).standard_normal((PIVOTS[0] - len(points), dims))
         points = np.vstack([points, more / np.linalg.norm(more, axis=1, keepdims=True)])
-    return points
+    return points, others
 
 
-def _block_links(unit: np.ndarray, lists: np.ndarray, ids: np.ndarray, side: np.ndarray, diagonal: bool, low: int, high: int,
+def prefix_length(points: np.ndarray, others: np.ndarray, cosine: float) -> int:
+    """The least number of nearest points of which two vectors at ``cosine`` share one, in RECALL of the cases.
+
+    It must hold for random directions and for the data: ``others``, turned by
+    the angle towards differences between them.
+    """
+    rng = np.random.default_rng(12)
+    cases = [(rng.standard_normal((TRIALS, points.shape[1])), rng.standard_normal((TRIALS, points.shape[1])))]
+    if len(others) > 2:
+        a, b, c = (others[rng.integers(len(others), size=TRIALS)] for _ in range(3))
+        cases.append((a, b - c))
+    needed = 1
+    for x, away in cases:
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        away = away - (away * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        good = size[:, 0] > 1e-9
+        if not good.any():
+            continue
+        x, away = x[good], (away / np.maximum(size, 1e-9))[good]
+        y = cosine * x + max(0.0, 1 - cosine * cosine) ** 0.5 * away
+        # The rank at which a pair shares its first point.
+        first = np.empty(len(x), dtype=np.int64)
+        for lo in range(0, len(x), 256):
+            ranks = [np.argsort(np.argsort(-(v[lo:lo + 256] @ points.T), axis=1), axis=1) for v in (x, y)]
+            first[lo:lo + 256] = np.maximum(*ranks).min(axis=1) + 1
+        needed = max(needed, int(np.sort(first)[int(np.ceil(RECALL * len(first))) - 1]))
+    return needed
+
+
+def _block_links(unit: np.ndarray, lists: np.ndarray, ids: np.ndarray, side: np.ndarray, diagonal: bool, key: int,
                  copies: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(linked copies, least id of the local component) of each vector of a block.
 
-    Only pairs whose two least shared pivots are ``low`` and ``high`` count.
+    Only pairs whose least shared pivot is ``key`` count.
     """
     near = unit @ unit.T >= cosine
-    below = np.where(lists < high, lists, -1)
-    values = np.unique(below[below >= 0])
-    member = (below[:, :, None] == values[None, None, :]).any(axis=1).astype(np.float32)
-    near &= (member @ member.T) == 1
     if not diagonal:
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
+    one, two = np.nonzero(near)
+    below = lists < key
+    left, right = np.where(below, lists, -1), np.where(below, lists, -2)
+    for lo in range(0, len(one), 1 << 16):
+        i, j = one[lo:lo + (1 << 16)], two[lo:lo + (1 << 16)]
+        earlier = np.zeros(len(i), dtype=bool)
+        for k in range(lists.shape[1]):
+            earlier |= (left[i, k][:, None] == right[j]).any(axis=1)
+        near[i[earlier], j[earlier]] = False
     linked = near @ copies
     return linked, least_labels(near, ids)
 
@@ -109,9 +160,10 @@ def _block_links(unit: np.ndarray, lists: np.ndarray, ids: np.ndarray, side: np.
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
-    Vectors are linked when they share two of their PREFIX nearest pivots and
-    their cosine, in double precision, is at least ``cosine``; equal vectors
-    are always linked, and only the smallest id of each class is indexed.
+    Vectors are linked when they share one of their nearest pivots and their
+    cosine, in double precision, is at least ``cosine``; equal vectors are
+    always linked, and only the smallest id of each class is indexed.  As many
+    pivots describe a vector as ``prefix_length`` finds for the wanted recall.
     Pivots are a bounded sample; every vector is indexed.  Long lists are cut
     into blocks, and counts and local components leave a task instead of pairs.
 
@@ -128,36 +180,34 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     edges: DataFrame | None = None
     for row in reps.groupBy("dims").count().orderBy("dims").collect():
         dims, n = row["dims"], row["count"]
-        points = pivots(reps, dims, n)
+        points, others = pivots(reps, dims, n)
+        length = prefix_length(points, others, cosine)
 
-        def describe(batches: Iterator[pa.RecordBatch], points: np.ndarray = points) -> Iterator[pa.RecordBatch]:
+        def describe(batches: Iterator[pa.RecordBatch], points: np.ndarray = points, length: int = length, dims: int = dims) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
-                    sims = _unit(part.column(2).to_pylist()) @ points.T
-                    top = np.argpartition(-sims, PREFIX - 1, axis=1)[:, :PREFIX]
-                    order = np.argsort(-np.take_along_axis(sims, top, axis=1), axis=1, kind="stable")
-                    prefix = np.take_along_axis(top, order, axis=1).astype(np.int64)
+                    data = part.column(2).to_pylist()
+                    sims = _unit(data, dims) @ points.T
+                    prefix = np.argpartition(-sims, length - 1, axis=1)[:, :length].astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [*[part.column(k) for k in range(3)], pa.array(list(prefix), pa.list_(pa.int64()))], names=["rep", "copies", "data", "prefix"])
+                        [*[part.column(k) for k in range(2)], pa.array([_packed(d) for d in data], pa.binary()), pa.array(list(prefix), pa.list_(pa.int32()))],
+                        names=["rep", "copies", "data", "prefix"])
 
         described = stored(reps.filter(F.col("dims") == dims).select("rep", "copies", "data").mapInArrow(
-            describe, "rep long, copies long, data binary, prefix array<long>"), "described")
-        both = [F.struct(F.least(F.col("prefix")[i], F.col("prefix")[j]).alias("low"), F.greatest(F.col("prefix")[i], F.col("prefix")[j]).alias("high"))
-                for i in range(PREFIX) for j in range(i)]
-        lists = described.select("rep", F.explode(F.array(*both)).alias("k"))
-        sizes = lists.groupBy("k.low", "k.high").agg(F.count("*").alias("n")).filter("n > 1")
-        posted = described.select("*", F.explode(F.array(*both)).alias("k")).select("k.low", "k.high", "rep", "copies", "data", "prefix")
-        posted = in_blocks(posted, sizes, ["low", "high"], "rep", LIST_BLOCK).select("low", "high", "i", "j", "mine", "rep", "copies", "data", "prefix")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in sorted_groups(batches, 4):
+            describe, "rep long, copies long, data binary, prefix array<int>"), "described")
+        sizes = described.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).filter("n > 1")
+        posted = described.select(F.explode("prefix").alias("pivot"), "rep", "copies", "data", "prefix")
+        posted = in_blocks(posted, sizes, ["pivot"], "rep", LIST_BLOCK).select("pivot", "i", "j", "mine", "rep", "copies", "data", "prefix")
+
+        def compare(batches: Iterator[pa.RecordBatch], dims: int = dims) -> Iterator[pa.RecordBatch]:
+            for g in sorted_groups(batches, 3):
                 if g.num_rows < 2:
                     continue
-                low, high, i, j = (g.column(k)[0].as_py() for k in range(4))
-                ids, copies = g.column(5).to_numpy(), g.column(6).to_numpy().astype(np.float64)
-                prefixes = np.array(g.column(8).to_pylist(), dtype=np.int64)
-                linked, label = _block_links(_unit(g.column(7).to_pylist()), prefixes, ids, g.column(4).to_numpy(), i == j, low, high, copies, cosine)
+                key, i, j = (g.column(k)[0].as_py() for k in range(3))
+                ids, copies = g.column(4).to_numpy(), g.column(5).to_numpy().astype(np.float64)
+                prefixes = np.array(g.column(7).to_pylist(), dtype=np.int64)
+                linked, label = _block_links(_unit(g.column(6).to_pylist(), dims), prefixes, ids, g.column(3).to_numpy(), i == j, key, copies, cosine)
                 some = linked > 0
                 if some.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some].astype(np.int64)), pa.array(label[some])], names=["rep", "linked", "least"])
