@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, embedding_dedup, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, toxicity, warc
+from tidewheel.llm import decontaminate, embedding_dedup, filter_audit, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +98,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), id_col="doc_id", path=path, license_file=F.col("last"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley): five filters in all 120 orders."""
+    tallies = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    masks = filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tallies)
+    return filter_audit.audit(masks, list("ABCDE"), list(tallies), F.col("part"))
+
+
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
 _N = len(licenses.TEMPLATES)
 SQL["op4_license_scan"] = f"""
@@ -151,3 +159,30 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)"""
+
+SQL["op11_filter_audit"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT w.part, len(words) < 200 AS "A", 100 * len(list_distinct(words)) < 50 * len(words) AS "B",
+                 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text) AS "C", regexp_matches(w.text, '[#$%&*|]') AS "D",
+                 coalesce(w.doc_id > first, false) AS "E", coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+          FROM w JOIN firsts USING (text) LEFT JOIN marks ON marks.doc_id = w.doc_id),
+n AS (SELECT *, count(*) AS n FROM flags GROUP BY ALL),
+long AS (SELECT row_number() OVER () AS row, * FROM n),
+fails AS (SELECT row, unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([CAST("A" AS INTEGER), CAST("B" AS INTEGER), CAST("C" AS INTEGER), CAST("D" AS INTEGER), CAST("E" AS INTEGER)]) AS x FROM long),
+alone AS (SELECT row, sum(x) AS total FROM fails GROUP BY row),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+placed AS (SELECT filter_order, step, steps.f, row, x, total, coalesce(max(x) OVER (PARTITION BY filter_order, row ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+       FROM steps JOIN fails ON fails.f = steps.f JOIN alone USING (row)),
+counted AS (SELECT part, filter_order, step, placed.f, CAST(sum(n * (1 - greatest(x, before))) AS BIGINT) AS kept, CAST(sum(n * x * (1 - before)) AS BIGINT) AS removed,
+                   CAST(sum(n * x * before) AS BIGINT) AS redundant, CAST(sum(CASE WHEN total = 1 THEN n * x ELSE 0 END) AS BIGINT) AS unique_fails,
+                   CAST(sum(n * x * (1 - before) * good) AS BIGINT) AS good_lost, CAST(sum(n * x * (1 - before) * toxic) AS BIGINT) AS toxic_lost
+            FROM placed JOIN long USING (row) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted"""
