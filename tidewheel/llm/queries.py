@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, embedding_dedup, filter_audit, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, toxicity, warc
+from tidewheel.llm import decontaminate, embedding_dedup, filter_audit, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,6 +106,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(masks, list("ABCDE"), list(tallies), F.col("part"))
 
 
+@query
+def op12_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per document, learned from labels of those not held out."""
+    rows = quality.with_statistics(table(spark, sf_dir, "documents"))
+    model = quality.learn(rows.filter(remainder(5) != 0), table(spark, sf_dir, "labels"), F.col("quality"))
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
+    return quality.score(rows, model).select("doc_id", held_out, "score", "predicted")
+
+
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
 _N = len(licenses.TEMPLATES)
 SQL["op4_license_scan"] = f"""
