@@ -60,7 +60,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         some[:, 1] = np.log1p(size)
         some[:, 9:17] = share[:, 1:]
         some[:, 17] = np.log1p(size / np.maximum(line_n, 1))
-        some[:, 18] = 1 - line_distinct / np.maximum(line_n, 1)
+        some[:, 18] = (line_n - line_distinct) / np.maximum(line_n, 1)
         some[:, 19] = entropy
     for w in words(column):
         some, length = out[w.first:w.first + w.count], (w.end - w.start).astype(float)

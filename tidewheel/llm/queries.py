@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, embedding_dedup, filter_audit, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, quality, toxicity, warc
+from tidewheel.llm import align, decontaminate, embedding_dedup, filter_audit, langid, licenses, line_dedup, lm_score, minhash_dedup, packing, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,6 +115,12 @@ def op12_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, model).select("doc_id", held_out, "score", "predicted")
 
 
+@query
+def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_overlaps) per document."""
+    return align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
 _N = len(licenses.TEMPLATES)
 SQL["op4_license_scan"] = f"""
