@@ -14,9 +14,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -28,7 +31,8 @@ from tidewheel.llm._bpe import _byte_letters
 from tidewheel.llm._store import stored
 
 PIECE = 16_384           # merged ends of a piece
-CHUNK = 1 << 18          # bytes of text tokenised together
+CHUNK = 1 << 18          # characters of text tokenised together, and bytes of ids merged together
+CACHED_WORDS = 300_000   # words whose ids a worker remembers
 HOT_PAIRS = 1_000_000    # at most so many frequent id pairs are sent to all tasks
 HELD_PAIRS = 1_000_000   # pairs that a task counts before it passes them on
 # ---- fixed value: how byte-level files split a text before merging ----------
@@ -62,22 +66,64 @@ class ByteTokens:
             self.fast, self.library = None, Tokenizer.from_file(path)
             self.library.encode_special_tokens = True
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is not None:
-            return [self.fast.encode_ordinary(t) for t in texts]
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """Ids of a space and each text; none where they do not spell it."""
+        kind = _dtype(len(self.bytes))
+        for t in texts:
+            t = " " + t
+            if self.fast is not None:
+                ids = self.fast.encode_ordinary(t)
+                spelt = self.fast.decode_bytes(ids)
+            else:
+                ids = self.library.encode(t, add_special_tokens=False).ids
+                spelt = b"".join([self.bytes[k] for k in ids])
+            yield np.array(ids, dtype=kind) if spelt == t.encode() else None
 
 
 class PieceTokens:
-    """Ids and bytes of a SentencePiece model; it adds the space before a text itself."""
+    """Ids and bytes of a SentencePiece model; it adds the space before a text itself.
+
+    Where no piece goes on with a space, nothing is merged across a single
+    space, so each distinct word is tokenised once per worker; texts with other
+    runs of spaces go through the library whole.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(k) else n.replace("▁", " ").encode() for k, n in enumerate(names)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        self.by_word = not any("▁" in n.lstrip("▁") for n in names)
+        self.known: dict[str, bytes | None] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes | None]:
+        each = self.model.encode(texts, num_threads=1)
+        flat, kind = list(chain.from_iterable(each)), _dtype(len(self.bytes))
+        data, step = np.array(flat, dtype=kind).tobytes(), kind.itemsize
+        ends = list(accumulate(map(len, each), initial=0))
+        out: list[bytes | None] = [data[i * step:j * step] for i, j in pairwise(ends)]
+        if b"".join([self.bytes[k] for k in flat]) != "".join([" " + t for t in texts]).encode():
+            for k, (t, ids) in enumerate(zip(texts, each, strict=True)):
+                if b"".join([self.bytes[i] for i in ids]) != b" " + t.encode():
+                    out[k] = None
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """Ids of each text; none where they do not spell a space and the text."""
+        kind, known = _dtype(len(self.bytes)), self.known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        split = [t.split(" ") if self.by_word else [""] for t in texts]
+        whole = iter(self._ids([t for t, words in zip(texts, split, strict=True) if "" in words]))
+        new = list({w for words in split for w in words}.difference(known, [""]))
+        known.update(zip(new, self._ids(new), strict=True))
+        for words in split:
+            parts = [next(whole)] if "" in words else [known[w] for w in words]
+            yield None if None in parts else np.frombuffer(b"".join(parts), dtype=kind)
+
+
+@cache
+def _tokens(a_path: str, b_path: str) -> tuple[ByteTokens, PieceTokens]:
+    return ByteTokens(a_path), PieceTokens(b_path)
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -120,9 +166,8 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     repeat an id, or have none, are kept apart by ``row``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ta, tb = ByteTokens(a_path), PieceTokens(b_path)
+        ta, tb = _tokens(a_path, b_path)
         la, lb = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (ta, tb))
-        da, db = _dtype(len(la)), _dtype(len(lb))
         row = TaskContext.get().partitionId() << 36
         names = ["row", "doc_id", "piece", "n_pieces", "a_start", "b_start", "a_after", "b_after", "a", "b"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -130,11 +175,9 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
         def cut(ids: list, texts: list) -> pa.RecordBatch:
             nonlocal row
             out: list[list] = [[] for _ in names]
-            for doc, text, a, b in zip(ids, texts, ta.encode([" " + t for t in texts]), tb.encode(texts), strict=True):
-                whole = b" " + text.encode()
-                if not text or b"".join([ta.bytes[k] for k in a]) != whole or b"".join([tb.bytes[k] for k in b]) != whole:
-                    a, b = [], []
-                a, b = np.array(a, dtype=da), np.array(b, dtype=db)
+            for doc, text, a, b in zip(ids, texts, ta.encode(texts), tb.encode(texts), strict=True):
+                if not text or a is None or b is None:
+                    a, b = np.zeros(0, _dtype(len(la))), np.zeros(0, _dtype(len(lb)))
                 ea, eb = np.cumsum(la[a]), np.cumsum(lb[b])
                 i, j = cuts(ea, eb, size)
                 for p in range(len(i) - 1):
@@ -202,13 +245,19 @@ def _ends(lengths: np.ndarray, counts: np.ndarray, start: np.ndarray, piece: np.
 
 
 def _lengths(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (ByteTokens(a_path), PieceTokens(b_path)))
+    """Bytes of each token; few numbers, which the driver sends to the tasks."""
+    return tuple(np.array([len(x) for x in t.bytes], dtype=np.int64) for t in _tokens(a_path, b_path))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most about ``CHUNK`` bytes of ids together."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        size = sum(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) + 8 for c in ("a", "b")) if batch.num_rows else np.zeros(0, np.int64)
+        part = (np.cumsum(size) - size) // CHUNK
+        at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(at, at[1:], strict=False):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
 
 
 def overlaps(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -216,8 +265,9 @@ def overlaps(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     ``last_byte`` is where the overlap ends in a space and the text; ``linked`` says that both tokens end there.
     """
+    la, lb = _lengths(a_path, b_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        la, lb = _lengths(a_path, b_path)
         for batch in _slices(batches):
             m = Merged(batch, la, lb)
             end = np.union1d(m.ea, m.eb)
@@ -240,10 +290,10 @@ def overlaps(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def pair_counts(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(a_id, b_id, n, best), stored: how often a pair is linked in all of ``pieces``, and whether no pair of its B id is more often."""
-    width = len(PieceTokens(b_path).bytes)
+    la, lb = _lengths(a_path, b_path)
+    width = len(lb)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        la, lb = _lengths(a_path, b_path)
         pair, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
@@ -268,7 +318,8 @@ def _summaries(parts: DataFrame, counts: DataFrame, a_path: str, b_path: str, ho
     At most ``hot_pairs`` pairs go to all tasks, by a power-of-two threshold on
     their counts, so a pair left to the join is none that could skew it.
     """
-    width = len(PieceTokens(b_path).bytes)
+    la, lb = _lengths(a_path, b_path)
+    width = len(lb)
     sizes = {r["k"]: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
     hot_from, held = 64, 0
     for k in sorted(sizes, reverse=True):
@@ -282,11 +333,11 @@ def _summaries(parts: DataFrame, counts: DataFrame, a_path: str, b_path: str, ho
     order = np.argsort(hot.column("pair").to_numpy())
     sent = parts.sparkSession.sparkContext.broadcast((hot.column("pair").to_numpy()[order], hot.column("n").to_numpy()[order],
                                                       hot.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)))
-    names = ["row", "doc_id", "piece", "n_a", "n_b", "n_groups", "n_best", "count_sum", "closed", "head_a", "head_b", "middle", "tail_a", "tail_b", "rare"]
+    names = ["row", "doc_id", "piece", "n_a", "n_b", "n_groups", "n_best", "count_sum", "digest", "closed", "head_a", "head_b", "middle", "tail_a", "tail_b", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (la, lb), (pairs, times, best) = _lengths(a_path, b_path), sent.value
-        text = np.array([f"{k}{sep}" for k in range(max(len(la), len(lb))) for sep in ("", ",", "|", ";")], dtype=object)
+        pairs, times, best = sent.value
+        table = _decimals(max(len(la), len(lb)))
         for batch in _slices(batches):
             m = Merged(batch, la, lb)
             at = np.minimum(np.searchsorted(pairs, m.pair), max(0, len(pairs) - 1))
@@ -296,19 +347,35 @@ def _summaries(parts: DataFrame, counts: DataFrame, a_path: str, b_path: str, ho
             np.add.at(total, m.link_piece[known], times[at[known]])
             rare, per = m.pair[~known], np.bincount(m.link_piece[~known], minlength=m.n)
             groups = np.bincount(m.link_piece, minlength=m.n)
-            sides = _rendered(m, text)
+            digests, sides = _rendered(m, table, batch.column("n_pieces").to_numpy() == 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("piece"), pa.array(m.na.astype(np.int64)), pa.array(m.nb.astype(np.int64)), pa.array(groups),
-                 pa.array(n_best), pa.array(total), pa.array(groups > 0), *[pa.array(c, pa.string()) for c in sides],
+                 pa.array(n_best), pa.array(total), pa.array(digests, pa.string()), pa.array(groups > 0), *[pa.array(c, pa.binary()) for c in sides],
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(rare))], names=names)
-    schema = ("row long, doc_id long, piece int, n_a long, n_b long, n_groups long, n_best long, count_sum long, closed boolean, "
-              "head_a string, head_b string, middle string, tail_a string, tail_b string, rare array<long>")
+    schema = ("row long, doc_id long, piece int, n_a long, n_b long, n_groups long, n_best long, count_sum long, digest string, closed boolean, "
+              "head_a binary, head_b binary, middle binary, tail_a binary, tail_b binary, rare array<long>")
     cold = counts.filter(~is_hot).select(pair, "n", F.col("best").cast("long").alias("best"))
     return stored(parts.mapInArrow(run, schema), "summaries", "zstd"), cold
 
 
-def _rendered(m: Merged, text: np.ndarray) -> list[list[str]]:
-    """Per piece: the sides of its first group, its other whole groups, and the sides of what follows its last link."""
+def _decimals(n: int) -> np.ndarray:
+    """Row 4 * k + s: the number k in decimal and a separator, padded with zero bytes."""
+    digits = len(str(n))
+    table = np.zeros((n, 4, digits + 1), dtype=np.uint8)
+    k = np.arange(n)
+    for place in range(digits):
+        high = k // 10 ** place
+        shown = (high > 0) | (place == 0)
+        table[:, :, digits - 1 - place] = np.where(shown, 48 + high % 10, 0)[:, None]
+    table[:, 1:, digits] = np.frombuffer(b",|;", dtype=np.uint8)
+    return table.reshape(n * 4, digits + 1)
+
+
+def _rendered(m: Merged, table: np.ndarray, whole: np.ndarray) -> tuple[list[str | None], list[list[bytes | None]]]:
+    """(digest of each piece that is a whole document, parts of each other piece).
+
+    Parts: the sides of its first group, its other whole groups, and the sides of what follows its last link.
+    """
     before_a, hit_b = np.cumsum(m.hit) - m.hit, np.zeros(len(m.b), dtype=bool)
     hit_b[m.link_b] = True
     before_b = np.cumsum(hit_b) - hit_b
@@ -316,29 +383,32 @@ def _rendered(m: Merged, text: np.ndarray) -> list[list[str]]:
     group = np.concatenate([2 * (before_a + m.piece_a), 2 * (before_b + m.piece_b) + 1])
     order = np.argsort(group, kind="stable")
     group, ids = group[order], np.concatenate([m.a, m.b]).astype(np.int64)[order]
+    bounds = np.concatenate([[0], np.cumsum(m.na + m.nb)])
     sep = np.zeros(len(group), dtype=np.int64)
-    same, next_side = group[1:] == group[:-1], (group[1:] >> 1) == (group[:-1] >> 1)
-    sep[:-1] = np.where(same, 1, np.where(next_side, 2, 3))
-    tokens = text[ids * 4 + sep]
-    piece = np.concatenate([m.piece_a, m.piece_b])[order]
-    bounds = np.searchsorted(piece, np.arange(m.n + 1))
+    sep[:-1] = np.where(group[1:] == group[:-1], 1, np.where((group[1:] >> 1) == (group[:-1] >> 1), 2, 3))
+    cells = table[ids * 4 + sep]
+    filled = cells != 0
+    at = np.concatenate([[0], np.cumsum(np.count_nonzero(filled, axis=1))])
+    data = cells[filled].tobytes()
     links = np.bincount(m.link_piece, minlength=m.n)
     first_group = np.cumsum(links) - links + np.arange(m.n)
-    columns: list[list[str]] = [[] for _ in range(5)]
 
-    def part(lo: int, hi: int) -> str:
-        return "".join(tokens[lo:hi]).rstrip(",|;")
+    def part(lo: int, hi: int) -> bytes:
+        return data[at[lo]:at[hi]].rstrip(b",|;") if hi > lo else b""
+    digests, columns = [], [[] for _ in range(5)]
     for p in range(m.n):
-        lo, hi, first, last = bounds[p], bounds[p + 1], 2 * first_group[p], 2 * (first_group[p] + links[p])
-        inner = lo + np.searchsorted(group[lo:hi], [first, first + 1, first + 2, last, last + 1])
-        head_a, head_b = part(inner[0], inner[1]), part(inner[1], inner[2])
-        if links[p]:
-            rest = [part(inner[2], max(inner[2], inner[3])), part(inner[3], inner[4]), part(inner[4], hi)]
+        lo, hi = bounds[p], bounds[p + 1]
+        if whole[p]:
+            digests.append(hashlib.sha256(part(lo, hi)).hexdigest() if hi > lo else "")
+            parts = [None] * 5
         else:
-            rest = ["", "", ""]
-        for column, v in zip(columns, [head_a, head_b, *rest], strict=True):
+            digests.append(None)
+            first, last = 2 * first_group[p], 2 * (first_group[p] + links[p])
+            inner = lo + np.searchsorted(group[lo:hi], [first, first + 1, first + 2, last, last + 1])
+            parts = [part(inner[0], inner[1]), part(inner[1], inner[2]), *([part(inner[2], inner[3]), part(inner[3], inner[4]), part(inner[4], hi)] if links[p] else [b""] * 3)]
+        for column, v in zip(columns, parts, strict=True):
             column.append(v)
-    return columns
+    return digests, columns
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = PIECE, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -369,22 +439,25 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id"
 
         def close() -> None:
             row, doc, sums, digest, *_ = state
-            done.append((row, doc, *sums, digest.hexdigest() if sums[0] else ""))
+            done.append((row, doc, *sums, digest if isinstance(digest, str) else digest.hexdigest()))
         for batch in batches:
             for r in batch.to_pylist():
                 if state is None or state[0] != r["row"]:
                     if state is not None:
                         close()
-                    state = (r["row"], r["doc_id"], [0] * len(counted), hashlib.sha256(), "", "", "")
-                row, doc, sums, digest, open_a, open_b, comma = state
+                    state = (r["row"], r["doc_id"], [0] * len(counted), hashlib.sha256(), b"", b"", b"")
+                row, doc, sums, digest, open_a, open_b, mark = state
                 sums = [s + r[c] for s, c in zip(sums, counted, strict=True)]
-                open_a, open_b = (",".join(x for x in pair if x) for pair in ((open_a, r["head_a"]), (open_b, r["head_b"])))
-                if r["closed"]:
-                    digest.update(f"{comma}{open_a}|{open_b}".encode())
-                    if r["middle"]:
-                        digest.update(f";{r['middle']}".encode())
-                    open_a, open_b, comma = r["tail_a"], r["tail_b"], ";"
-                state = (row, doc, sums, digest, open_a, open_b, comma)
+                if r["digest"] is not None:
+                    digest = r["digest"]
+                else:
+                    open_a, open_b = (b",".join(x for x in pair if x) for pair in ((open_a, r["head_a"]), (open_b, r["head_b"])))
+                    if r["closed"]:
+                        digest.update(mark + open_a + b"|" + open_b)
+                        if r["middle"]:
+                            digest.update(b";" + r["middle"])
+                        open_a, open_b, mark = r["tail_a"], r["tail_b"], b";"
+                state = (row, doc, sums, digest, open_a, open_b, mark)
             if len(done) >= 1024:
                 yield out()
                 done.clear()
