@@ -237,3 +237,69 @@ def test_ordered_rows_counts_from_zero(spark):
                                  F.col("id").cast("int").alias("time_id"))
     got = [r["_row"] for r in S.ordered_rows(df).orderBy("symbol_id", "date_id", "time_id").collect()]
     assert got == list(range(500))
+
+
+def test_simplex_optimum_against_all_faces():
+    from tidewheel.operators.ensemble import simplex_optimum
+    rng = np.random.default_rng(11)
+    for trial in range(200):
+        m = int(rng.integers(1, 6))
+        x = rng.normal(size=(8, m)) * 10.0 ** rng.integers(-3, 4)
+        if trial % 5 == 0 and m > 1:
+            x[:, -1] = x[:, 0]
+        q, b = x.T @ x, x.T @ (x @ rng.dirichlet(np.ones(m)) + rng.normal(size=8) * np.abs(x).mean())
+        a = simplex_optimum(q, b)
+        best = np.inf
+        for size in range(1, m + 1):
+            for face in itertools.combinations(range(m), size):
+                f = list(face)
+                system = np.block([[q[np.ix_(f, f)], np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+                w = np.zeros(m)
+                w[f] = np.linalg.lstsq(system, np.append(b[f], 1.0), rcond=None)[0][:size]
+                if (w >= -1e-9).all() and abs(w.sum() - 1) < 1e-6:
+                    best = min(best, w @ q @ w / 2 - b @ w)
+        assert (a >= 0).all() and abs(a.sum() - 1) < 1e-9
+        assert a @ q @ a / 2 - b @ a <= best + 1e-8 * max(1.0, abs(best))
+
+
+@pytest.mark.parametrize("shape", [(5, 30, 7), (3, 10, 9), (1, 1, 0), (4, 13, 3)])
+def test_lag_sums_by_direct_sums(shape):
+    n, t, reach = shape
+    rng = np.random.default_rng(t)
+    a, b = rng.normal(size=(n, t)), rng.normal(size=(n, t))
+    want = [(a[:, :t - k] * b[:, k:]).sum() for k in range(reach + 1)]
+    np.testing.assert_allclose(Z.lag_sums(a, b, reach), want, atol=1e-10)
+
+
+def test_lag_curves_leave_flat_and_missing_series_out(spark):
+    rows = [(s, 0, t, {0: 1.0, 1: float(t % 3), 2: None if t < 7 else 1.0 * t, 3: float("nan") if t == 2 else float(t * t)}[s]) for s in range(4) for t in range(12)]
+    df = spark.createDataFrame([*rows, (4, 0, 0, 1.0)], "symbol_id long, date_id int, time_id int, x double")
+    got = {r["lag"]: (r["corr"], r["n_series"]) for r in Z.lag_curves(df, ["x"], [], 0, 2, 12).collect()}
+    z = np.array([[t % 3 for t in range(12)], [t * t for t in range(12)]], dtype=float)
+    z[1, 2] = np.delete(z[1], 2).mean()
+    z = (z - z.mean(axis=1, keepdims=True)) / z.std(axis=1, keepdims=True)
+    assert {k: n for k, (_, n) in got.items()} == {0: 2, 1: 2, 2: 2}
+    for k, (c, _) in got.items():
+        assert abs(c - (z[:, :12 - k] * z[:, k:]).sum() / (12 - k) / 2) < 1e-12
+
+
+@pytest.mark.parametrize("rows", [8, 5])
+def test_band_energy_against_a_transform(spark, rows):
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(3, 20)) + np.array([[0.0], [1e6], [5.0]])
+    x[2] = 7e5
+    df = spark.createDataFrame([(s, 0, t, float(x[s, t])) for s in range(3) for t in range(20)] + [(9, 0, 0, 1.0)], "symbol_id long, date_id int, time_id int, x double")
+    bands = [(1, 2), (2, rows // 2 + 1)]
+    out = Z.band_energy(df, ["x"], rows, bands, 20)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["symbol_id"], r["time_id"]): (r["x_band0"], r["x_band1"]) for r in out.collect()}
+    assert len(got) == 60
+    for s in range(3):
+        for t in range(20):
+            if t < rows - 1:
+                assert got[s, t] == (None, None)
+                continue
+            window = x[s, t - rows + 1:t + 1]
+            e = np.abs(np.fft.rfft(window - window.mean())) ** 2
+            want = [np.log(e[lo:hi].sum() / (e[1:].sum() + 1e-12) + 1e-6) for lo, hi in bands]
+            np.testing.assert_allclose(got[s, t], want, atol=1e-5)

@@ -158,12 +158,12 @@ def test_opposite_streams_cancel_and_correlate_minus_one(spark):
     assert math.isclose(B.pairwise(s, ["a", "b"]).first()["corr"], -1.0)
 
 
-def test_simplex_modes(spark):
+def test_simplex_keeps_the_good_stream(spark):
     s = _stream(spark, {"good": lambda y, r: 0.9 * y, "bad": lambda y, r: float(r.normal())})
     wide = B.align(s, ["good", "bad"])
-    for mode in ("reference", "normalised"):
-        w = B.simplex_weights(wide, ["good", "bad"], F.col("date_id") == 0, mode)
-        assert math.isclose(w.sum(), 1.0) and (w >= 0).all() and w[0] > 0.9
+    w = B.simplex_weights(wide, ["good", "bad"], F.col("date_id") == 0)
+    assert math.isclose(w.sum(), 1.0) and (w >= 0).all() and w[0] > 0.9
+    assert B.simplex_weights(wide, ["good", "bad"], F.lit(False)).tolist() == [0.5, 0.5]
 
 
 def test_market_parts_sum_to_input(two_days):

@@ -1,5 +1,6 @@
 """Splits, preprocessing, blends, calibration and diagnostics."""
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -185,12 +186,42 @@ def half_split(spark, d):
     return rows.select(*K, E.half_split(rows).alias("first_half"))
 
 
-@query("simplex_blend")
+def _determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return f"({m[0][0]})"
+    minors = (_determinant([row[:j] + row[j + 1:] for row in m[1:]]) for j in range(len(m)))
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} ({m[0][j]}) * ({d})" for j, d in enumerate(minors)) + ")"
+
+
+def _simplex_sql(names: list[str]) -> str:
+    """Every face's optimum by Cramer's rule; the best that has no negative weight."""
+    q = {(a, b): f"q_{min(a, b)}_{max(a, b)}" for a in names for b in names}
+    sums = [f"sum(w * p_{a} * p_{b}) FILTER (WHERE h) AS {q[a, b]}" for i, a in enumerate(sorted(names)) for b in sorted(names)[i:]]
+    sums += [f"sum(w * p_{a} * y) FILTER (WHERE h) AS b_{a}" for a in names]
+    faces = []
+    for size in range(1, len(names) + 1):
+        for face in itertools.combinations(names, size):
+            *some, last = face
+            rows = [[f"{q[a, c]} - {q[a, last]} - {q[last, c]} + {q[last, last]}" for c in some] for a in some]
+            right = [f"b_{a} - b_{last} - {q[a, last]} + {q[last, last]}" for a in some]
+            share = {a: f"{_determinant([row[:i] + [r] + row[i + 1:] for row, r in zip(rows, right)])} / {_determinant(rows)}" for i, a in enumerate(some)}
+            share[last] = "1" + "".join(f" - ({v})" for v in share.values())
+            faces.append("SELECT " + ", ".join(f"CAST({share.get(n, '0')} AS DOUBLE) AS a_{n}" for n in names) + " FROM s")
+    loss = " + ".join([f"a_{a} * a_{b} * {q[a, b]} / 2" for a in names for b in names] + [f"- a_{a} * b_{a}" for a in names]).replace("+ -", "-")
+    mixed, mean = " + ".join(f"a_{n} * p_{n}" for n in names), "(" + " + ".join(f"p_{n}" for n in names) + f") / {len(names)}"
+    parts = [f"SELECT '{blend}' AS blend, '{part}' AS part, {r_sql(R2SQL(p), 'r2')} FROM x WHERE {where}"
+             for blend, p in (("mean", "p_mean"), ("simplex", "p_simplex")) for part, where in (("full", "true"), ("half1", "h"), ("half2", "NOT h"))]
+    return (SW[:-1] + f""", v AS (SELECT *, row_number() OVER (ORDER BY date_id, time_id, symbol_id) <= count(*) OVER () // 2 AS h FROM valid WHERE {" AND ".join(f"p_{n} IS NOT NULL" for n in names)}),
+ s AS (SELECT {", ".join(sums)} FROM v), f AS ({" UNION ALL ".join(faces)}),
+ best AS (SELECT f.* FROM f, s WHERE {" AND ".join(f"a_{n} >= 0" for n in names)} ORDER BY {loss} LIMIT 1),
+ x AS (SELECT v.*, {mixed} AS p_simplex, {mean} AS p_mean FROM v, best) """ + " UNION ALL ".join(parts))
+
+
+@query("simplex_blend", _simplex_sql(STREAM_NAMES))
 def simplex_blend(spark, d):
-    wide = B.align(streams(spark, d), STREAM_NAMES).persist()
-    h = E.half_split(wide)
-    parts = [rounded(B.simplex_report(wide, STREAM_NAMES, h, m), ["blend", "part"], ["r2"]).withColumn("mode", F.lit(m)) for m in ("reference", "normalised")]
-    return parts[0].unionByName(parts[1])
+    wide = B.align(streams(spark, d), STREAM_NAMES)
+    wide = wide.where(" AND ".join(f"{n} IS NOT NULL" for n in STREAM_NAMES)).persist()
+    return rounded(B.simplex_report(wide, STREAM_NAMES, E.half_split(wide)), ["blend", "part"], ["r2"])
 
 
 # -- splits and draws -----------------------------------------------------------------
