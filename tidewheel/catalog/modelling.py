@@ -15,6 +15,7 @@ from tidewheel.operators.lags import previous_day
 from tidewheel.operators.moments import gram, gram_matrix, linear_score, ridge_solve, target_correlations
 from tidewheel.operators.scores import r2, r2_expr
 from tidewheel.plans.blend import bag
+from tidewheel.plans.pipeline import PanelPipeline, daily_walk, fold_scores, get_learner
 from tidewheel.plans.walkforward import walk_forward, window_ladder
 from tidewheel.sources import fixtures as fx
 
@@ -276,3 +277,57 @@ def window_ladder_(spark, d):
     return rounded(window_ladder(t, ["feature_00", "feature_01"], 20, [3, 6, 12]), ["length"], ["r2"], 5)
 
 
+# -- the pipeline: preprocess, fit, predict and update day by day ---------------------------------------
+
+_PIPE_X = ["feature_03", "feature_05"]
+
+
+def _pipeline_sql(lo: str, hi: str, factor: float) -> str:
+    """The day loop as two recursions over blocks: the training dates, then each day that is learned."""
+    merge = ", ".join(f"s.m{c} + (m.m{c} - s.m{c}) * m.n / (s.n + m.n), s.q{c} + m.v{c} * m.n + (m.m{c} - s.m{c}) ** 2 * s.n * m.n / (s.n + m.n)" for c in "ab")
+    z = {c: f"coalesce(({c} - m{c}) / sqrt(greatest(q{c} / n, 1e-12)), 0)" for c in "ab"}
+    return with_(TRADES_LABELLED, f"""r AS (SELECT date_id, responder_6 AS y, weight AS w, feature_03 AS a, feature_05 AS b FROM labelled),
+lim AS (SELECT quantile_cont(a, 0.001) AS la, quantile_cont(a, 0.999) AS ha, quantile_cont(b, 0.001) AS lb, quantile_cont(b, 0.999) AS hb FROM r WHERE date_id < {lo}),
+c AS (SELECT date_id, y, w, CASE WHEN a IS NOT NULL THEN least(greatest(a, la), ha) END AS a, CASE WHEN b IS NOT NULL THEN least(greatest(b, lb), hb) END AS b FROM r, lim),
+vd AS (SELECT DISTINCT date_id FROM r WHERE date_id >= {lo} AND date_id < {hi}),
+blk AS (SELECT DISTINCT date_id, 0 AS block FROM r WHERE date_id < {lo} UNION ALL
+        SELECT date_id, row_number() OVER (ORDER BY date_id) FROM vd WHERE date_id + 1 IN (SELECT date_id FROM vd)),
+m AS (SELECT block, (count(a) + count(b)) / 2 AS n, avg(a) AS ma, var_pop(a) AS va, avg(b) AS mb, var_pop(b) AS vb FROM c JOIN blk USING (date_id) GROUP BY 1),
+st AS (SELECT block, n, ma, va * n AS qa, mb, vb * n AS qb FROM m WHERE block = 0 UNION ALL SELECT m.block, s.n + m.n, {merge} FROM st s JOIN m ON m.block = s.block + 1),
+z AS (SELECT block, y, w, {z['a']} AS a, {z['b']} AS b FROM c JOIN blk USING (date_id) JOIN st USING (block) WHERE y IS NOT NULL),
+g AS (SELECT block, sum(w*a*a) AS aa, sum(w*a*b) AS ab, sum(w*b*b) AS bb, sum(w*a*y) AS ay, sum(w*b*y) AS yb FROM z GROUP BY 1),
+s AS (SELECT * FROM g WHERE block = 0 UNION ALL SELECT g.block, {', '.join(f'{factor} * s.{x} + g.{x}' for x in ('aa', 'ab', 'bb', 'ay', 'yb'))} FROM s JOIN g ON g.block = s.block + 1),
+co AS (SELECT block, (ay * (bb + 100) - yb * ab) / ((aa + 100) * (bb + 100) - ab * ab) AS ca, (yb * (aa + 100) - ay * ab) / ((aa + 100) * (bb + 100) - ab * ab) AS cb FROM s),
+u AS (SELECT date_id, (SELECT count(*) FROM blk WHERE block > 0 AND blk.date_id < vd.date_id) AS block FROM vd),
+p AS (SELECT date_id, y, w, least(greatest(ca * {z['a']} + cb * {z['b']}, -5), 5) AS pred FROM c JOIN u USING (date_id) JOIN st USING (block) JOIN co USING (block))
+""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+_DAILY_R2 = f"date_id, {r_sql('1 - sum(w * (pred - y) ** 2) / sum(w * y * y)', 'r2', 5)} FROM p WHERE y IS NOT NULL GROUP BY date_id"
+
+
+def _pipeline_rows(spark, d):
+    t = fx.trades_labelled(spark, d).select(*K, F.col("responder_6").alias("y"), F.col("weight").alias("w"), *_PIPE_X).persist()
+    return t, [r["date_id"] for r in t.select("date_id").distinct().orderBy("date_id").collect()]
+
+
+@query("pipeline_daily_scores", _pipeline_sql("20", "1000000", 0.98) + "SELECT " + _DAILY_R2)
+def pipeline_daily_scores(spark, d):
+    t, dates = _pipeline_rows(spark, d)
+    out = daily_walk(t, _PIPE_X, [x for x in dates if x < 20], [x for x in dates if x >= 20], factor=0.98)
+    return rounded(r2(out, ["date_id"]), ["date_id"], ["r2"], 5)
+
+
+@query("pipeline_static_scores", _pipeline_sql("20", "1000000", 1.0).replace("SELECT date_id, (SELECT count(*) FROM blk WHERE block > 0 AND blk.date_id < vd.date_id) AS block FROM vd", "SELECT date_id, 0 AS block FROM vd") + "SELECT " + _DAILY_R2)
+def pipeline_static_scores(spark, d):
+    t, _ = _pipeline_rows(spark, d)
+    pipe = PanelPipeline(_PIPE_X, get_learner("ridge")).fit(t.where("date_id < 20"))
+    return rounded(r2(pipe.predict(t.where("date_id >= 20")), ["date_id"]), ["date_id"], ["r2"], 5)
+
+
+@query("pipeline_fold_scores", "SELECT * FROM (" + _pipeline_sql("15", "20", 1.0) + "SELECT 0 AS fold, " + _DAILY_R2 + ") UNION ALL SELECT * FROM ("
+       + _pipeline_sql("20", "1000000", 1.0) + "SELECT 1 AS fold, " + _DAILY_R2 + ")")
+def pipeline_fold_scores(spark, d):
+    t, dates = _pipeline_rows(spark, d)
+    folds = [([x for x in dates if x < 15], [x for x in dates if 15 <= x < 20]), ([x for x in dates if x < 20], [x for x in dates if x >= 20])]
+    return rounded(fold_scores(t, _PIPE_X, folds), ["fold", "date_id"], ["r2"], 5)
