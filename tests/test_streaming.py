@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidewheel.operators.evaluate import parity_report
 from tidewheel.operators.rolling import rolling_features
 from tidewheel.session import scratch_path
-from tidewheel.streaming.daily import DayRoll, late_rows, market_average_stream
+from tidewheel.operators.lags import previous_day
+from tidewheel.streaming.daily import (DayRoll, active_symbols, feed_labels, late_rows, market_average_stream,
+                                       previous_day_stream, roll_days, with_market_average)
 from tidewheel.streaming.replay import read_rounds, run_to_table, write_rounds
 from tidewheel.streaming.rolling import rolling_stream
 from tidewheel.streaming.serve import Server
@@ -68,8 +70,68 @@ def test_server_retry_and_row_ids(spark, panel):
     rows = panel.withColumn("row_id", F.col("symbol_id") * 1000 + F.col("date_id") * 10 + F.col("time_id")).drop("feature_06")
     labels = panel.select("symbol_id", "date_id", "time_id", F.coalesce("feature_06", F.lit(0.0)).alias("responder_6"))
     server = Server(spark, labels, {"lag": lambda r: F.col("responder_6_lag1d") * 10}, {"lag": 1.0}, [6], min_rows=10)
+    lagged = previous_day(rows, [6], labels)
     for i, part in enumerate(("date_id < 4", "date_id >= 4", "date_id >= 4")):
-        server(rows.where(part), min(i, 1))
+        server(lagged.where(part), min(i, 1))
     out = server.served()
     assert out.count() == out.select("row_id").distinct().count() == panel.count()
     assert out.agg(F.max(F.abs("responder_6"))).first()[0] <= 5.0
+
+
+def _replay(spark, df, **how):
+    path = scratch_path(spark, "replay")
+    write_rounds(df, path, **how)
+    return read_rounds(spark, path, df.schema)
+
+
+CUT, LATE = {"rounds": 5, "inside": True, "heartbeat": True}, {"rounds": 5, "inside": True, "late_dates": 1, "heartbeat": True}
+
+
+def test_labels_arrive_late_or_never(spark, panel):
+    rows = panel.select("symbol_id", "date_id", "time_id", "weight")
+    # Symbol 0 has no label on date 4, and nobody has one on date 6.
+    labels = panel.where("NOT (date_id = 6 OR (date_id = 4 AND symbol_id = 0))").select("symbol_id", "date_id", "time_id", F.lit(2.0).alias("responder_6"))
+    out = run_to_table(previous_day_stream(_replay(spark, rows, **CUT), _replay(spark, labels, **LATE), [6]), "lags", 4).drop("event_time")
+    want = previous_day(rows, [6], labels)
+    assert out.count() == panel.count() and out.select(*want.columns).exceptAll(want).count() == 0
+    never = out.where("date_id = 7 OR (date_id = 5 AND symbol_id = 0)")
+    assert never.count() == 18 + 6 and never.agg(F.max("responder_6_lag1d")).first()[0] == 0.0
+
+
+def test_a_step_split_over_batches_has_one_mean(spark, panel):
+    rows = panel.select("symbol_id", "date_id", "time_id", "weight")
+    labels = panel.select("symbol_id", "date_id", "time_id", F.coalesce("feature_06", F.lit(0.0)).alias("responder_6"))
+    path, schema = scratch_path(spark, "split"), rows.schema
+    for part in ("symbol_id = 0 AND date_id < 4", "symbol_id > 0 AND date_id <= 4", "symbol_id = 0 AND date_id = 4", "date_id > 4"):
+        rows.where(part).repartition(1).write.mode("append").parquet(path)
+    write_rounds(rows.limit(0).union(spark.createDataFrame([(None, 9, 0, None)], schema)), path, 1)
+    enriched = with_market_average(previous_day_stream(read_rounds(spark, path, schema),
+                                                       _replay(spark, labels, **LATE), [6], delay="6 days"), ["responder_6_lag1d"])
+    got = run_to_table(enriched, "means", 4).select("symbol_id", "date_id", "time_id", F.round("_mkt_responder_6_lag1d", 9).alias("m"))
+    means = previous_day(rows, [6], labels).groupBy("date_id", "time_id").agg(F.round(F.avg("responder_6_lag1d"), 9).alias("m"))
+    want = rows.join(means, ["date_id", "time_id"]).select("symbol_id", "date_id", "time_id", "m")
+    assert got.exceptAll(want).count() == 0
+
+
+def test_days_are_whole_though_drops_are_not(spark, panel):
+    labels = panel.select("symbol_id", "date_id", "time_id", F.lit(1.0).alias("responder_6"))
+    seen: list[tuple[int, int]] = []
+
+    class Watching(DayRoll):
+        def __call__(self, batch, batch_id):
+            seen.extend((r["date_id"], r["count"]) for r in batch.groupBy("date_id").count().collect())
+            super().__call__(batch, batch_id)
+    roll = roll_days(_replay(spark, panel, **CUT), Watching(spark, feed_labels(_replay(spark, labels, **LATE)), ["feature_06"]), 4)
+    want = {r["date_id"]: r["count"] for r in panel.groupBy("date_id").count().collect()}
+    assert sorted(seen) == sorted(want.items())
+    assert roll.blocks().count() == panel.count()
+
+
+def test_state_is_freed_when_dates_close(spark, panel):
+    stream = active_symbols(_replay(spark, panel, **CUT))
+    q = (stream.writeStream.outputMode("append").format("memory").queryName("active_freed")
+         .option("checkpointLocation", scratch_path(spark, "active-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.table("active_freed").count() == 48
+    assert [r["n_active"] for r in spark.table("active_freed").where("date_id = 3").orderBy("time_id").collect()] == [3] * 6
+    assert sum(op["numRowsTotal"] for op in q.recentProgress[-1]["stateOperators"]) == 0
