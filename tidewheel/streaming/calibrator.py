@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tidewheel.names import DATE, KEYS, SYMBOL, TIME
 from tidewheel.operators.ensemble import ALPHA_RANGE, LOOKBACK_DATES, MIN_HISTORY_ROWS, RIDGE
@@ -31,8 +32,10 @@ def calibration_events(preds: DataFrame, labels: DataFrame) -> DataFrame:
 class TrailingCalibrator(StatefulProcessor):
     """State per symbol and date: predictions waiting for labels, and daily sums.
 
-    A date's waiting rows are one state entry (at most one day of steps), so
-    state is touched per date and micro-batch, not per row.
+    A date's waiting rows are one state entry (at most one day of steps, in
+    numpy), so state is touched per date and micro-batch, not per row.  Dates
+    before the lookback go, waiting rows included: a label that comes later
+    could not count any more.
     """
 
     def __init__(self, lookback: int, min_rows: int, ridge: float) -> None:
@@ -40,34 +43,39 @@ class TrailingCalibrator(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         date = StructType([StructField(DATE, IntegerType())])
-        self.waiting = handle.getMapState("waiting", date, StructType([
-            StructField("times", ArrayType(IntegerType())), StructField("w", ArrayType(DoubleType())),
-            StructField("preds", ArrayType(DoubleType()))]))
+        self.waiting = handle.getMapState("waiting", date, StructType([StructField("rows", BinaryType())]))
         self.days = handle.getMapState("days", date, StructType([
             StructField("n", LongType()), StructField("py", DoubleType()), StructField("pp", DoubleType())]))
 
-    def _held(self, date: int) -> list[tuple[int, float, float]]:
-        return list(zip(*self.waiting.getValue((date,)))) if self.waiting.containsKey((date,)) else []
+    def _held(self, date: int) -> np.ndarray:
+        """(time, weight, prediction) rows of a date."""
+        if not self.waiting.containsKey((date,)):
+            return np.zeros((0, 3))
+        return np.frombuffer(bytes(self.waiting.getValue((date,))[0])).reshape(-1, 3)
 
-    def _hold(self, date: int, rows: list[tuple[int, float, float]]) -> None:
-        if rows:
-            times, w, preds = zip(*rows)
-            self.waiting.updateValue((date,), (list(times), list(w), list(preds)))
+    def _hold(self, date: int, rows: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.updateValue((date,), (rows.tobytes(),))
         elif self.waiting.containsKey((date,)):
             self.waiting.removeKey((date,))
 
-    def _learn(self, date: int, labels: dict[int, float]) -> None:
+    def _learn(self, date: int, times: np.ndarray, y: np.ndarray) -> None:
         held = self._held(date)
-        known = [(w, p, labels[t]) for t, w, p in held if t in labels]
-        if not known:
+        order = np.argsort(times, kind="stable")
+        times, y = times[order], y[order]
+        at = np.minimum(np.searchsorted(times, held[:, 0], side="right") - 1, len(times) - 1)
+        known = (at >= 0) & (times[at] == held[:, 0])  # the last of repeated labels counts
+        if not known.any():
             return
+        (_, w, p), label = held[known].T, y[at[known]]
         n, py, pp = self.days.getValue((date,)) if self.days.containsKey((date,)) else (0, 0.0, 0.0)
-        self.days.updateValue((date,), (int(n) + len(known), float(py) + sum(w * p * y for w, p, y in known),
-                                        float(pp) + sum(w * p * p for w, p, _ in known)))
-        self._hold(date, [r for r in held if r[0] not in labels])
+        self.days.updateValue((date,), (int(n) + len(p), float(py) + float((w * p * label).sum()), float(pp) + float((w * p * p).sum())))
+        self._hold(date, held[~known])
 
     def _alpha(self, date: int) -> float:
         n, py, pp = 0, 0.0, 0.0
+        for (day,) in [key for key in self.waiting.keys() if key[0] < date - self.lookback]:
+            self.waiting.removeKey((day,))
         for (day,), (dn, dpy, dpp) in list(self.days.iterator()):
             if day < date - self.lookback:
                 self.days.removeKey((day,))
@@ -82,16 +90,14 @@ class TrailingCalibrator(StatefulProcessor):
         pdf = pd.concat(list(rows)).sort_values(["due", "kind", DATE, TIME], kind="stable")
         out = []
         for (due, kind), part in pdf.groupby(["due", "kind"], sort=True):
-            if kind == 0:
-                for d, day in part.groupby(DATE):
-                    self._learn(int(d), {int(t): float(y) for t, y in zip(day[TIME], day["y"])})
-                continue
-            alpha = self._alpha(int(due))
+            alpha = self._alpha(int(due)) if kind else 1.0
             for d, day in part.groupby(DATE):
-                rows = [(int(t), float(w), float(p)) for t, w, p in zip(day[TIME], day["w"], day["pred"])]
-                self._hold(int(d), self._held(int(d)) + rows)
-                out += [(key[0], int(d), t, alpha, p * alpha) for t, _, p in rows]
-        yield pd.DataFrame(out, columns=[*KEYS, "alpha", "pred"])
+                if kind == 0:
+                    self._learn(int(d), day[TIME].to_numpy(float), day["y"].to_numpy(float))
+                    continue
+                self._hold(int(d), np.vstack([self._held(int(d)), day[[TIME, "w", "pred"]].to_numpy(float)]))
+                out.append(pd.DataFrame({SYMBOL: key[0], DATE: int(d), TIME: day[TIME].to_numpy(), "alpha": alpha, "pred": day["pred"].to_numpy(float) * alpha}))
+        yield pd.concat(out) if out else pd.DataFrame([], columns=[*KEYS, "alpha", "pred"])
 
     def close(self) -> None:
         pass

@@ -12,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField, StructType)
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from tidewheel.names import DATE, KEYS, ROLLING_ROWS, SYMBOL, TIME, rolling_diff, rolling_std
 from tidewheel.sources.panel import history_tail
 from tidewheel.streaming.replay import use_rocksdb
 
+BLOCK = 64  # rows of a key that are read and written together
+
 
 def _output(df: DataFrame, cols: list[str], rows: int, carry: list[str]) -> StructType:
     keep = [df.schema[c] for c in [*KEYS, *carry]]
@@ -40,103 +42,117 @@ def _result(pdf: pd.DataFrame, x: np.ndarray, mean: np.ndarray, std: np.ndarray,
     return frame.astype(object).where(frame.notna(), None)
 
 
-class BufferedRolling(StatefulProcessor):
-    """Keeps the last rows themselves and recomputes each window from them."""
+class Ring:
+    """The last rows of a key, in numpy blocks of ``BLOCK`` rows under their block number.
+
+    A batch reads the blocks it asks for and writes those it adds rows to, not
+    the whole window; blocks that no later window reaches are removed.
+    """
 
+    def __init__(self, handle: StatefulProcessorHandle, k: int, rows: int) -> None:
+        self.blocks = handle.getMapState("blocks", StructType([StructField("block", LongType())]), StructType([StructField("rows", BinaryType())]))
+        self.k, self.rows = k, rows
+
+    def _block(self, b: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.blocks.getValue((b,))[0])).reshape(-1, self.k)
+
+    def load(self, lo: int, hi: int) -> np.ndarray:
+        """Rows ``lo`` to ``hi`` of all that ever came, as far as they are kept."""
+        if hi <= lo:
+            return np.zeros((0, self.k))
+        first = lo // BLOCK
+        return np.vstack([self._block(b) for b in range(first, (hi - 1) // BLOCK + 1)])[lo - first * BLOCK:hi - first * BLOCK]
+
+    def append(self, seen: int, x: np.ndarray) -> None:
+        first = seen // BLOCK
+        open_rows = np.vstack([self.load(first * BLOCK, seen), x])
+        # Of a batch longer than the window only the blocks that later windows reach are kept.
+        keep = max(0, seen + len(x) - self.rows) // BLOCK
+        for b in range(max(first, keep), (seen + len(x) - 1) // BLOCK + 1):
+            at = (b - first) * BLOCK
+            self.blocks.updateValue((b,), (open_rows[at:at + BLOCK].tobytes(),))
+        for b in range(max(0, seen - self.rows) // BLOCK, min(keep, first + 1)):
+            if self.blocks.containsKey((b,)):
+                self.blocks.removeKey((b,))
+
+
+class _Rolling(StatefulProcessor):
     def __init__(self, cols: list[str], rows: int, carry: list[str] = ()) -> None:
         self.cols, self.rows, self.carry = cols, rows, list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", StructType([StructField("values", ArrayType(DoubleType()))]))
-
-    def _load(self) -> np.ndarray:
-        if not self.tail.exists():
-            return np.zeros((0, len(self.cols)))
-        return np.array([np.nan if v is None else v for v in self.tail.get()[0]], dtype=float).reshape(-1, len(self.cols))
+        self.ring = Ring(handle, len(self.cols), self.rows)
+        self.sums = handle.getValueState("sums", StructType([StructField("seen", LongType()), StructField("sums", BinaryType())]))
 
-    def _save(self, x: np.ndarray) -> None:
-        flat = x[-self.rows:].ravel()
-        self.tail.update(([None if np.isnan(v) else float(v) for v in flat],))
+    def _push(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        _, x = _frame(key, [initialState], self.cols)
-        self._save(np.vstack([self._load(), x]))
+        self._push(_frame(key, [initialState], self.cols)[1])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf, x = _frame(key, list(rows), self.cols)
-        tail, t = self._load()[-(self.rows - 1):] if self.rows > 1 else np.zeros((0, len(self.cols))), self.rows
-        past = np.vstack([tail, x])
-        mean, std = np.full(x.shape, np.nan), np.full(x.shape, np.nan)
-        if len(past) >= t:
-            # A missing value anywhere in the window makes both statistics missing.
-            view = np.lib.stride_tricks.sliding_window_view(past, t, axis=0)
-            n = len(view)
-            mean[len(x) - n:], std[len(x) - n:] = view.mean(axis=-1), view.std(axis=-1, ddof=1)
-        self._save(past)
+        mean, std = self._push(x)
         yield _result(pdf, x, mean, std, self.cols, self.rows, self.carry)
 
     def close(self) -> None:
         pass
 
 
-class RunningRolling(StatefulProcessor):
-    """Ring of rows with running sums and null counts: constant work per row.
+class BufferedRolling(_Rolling):
+    """Recomputes every window from the rows themselves."""
 
-    The sums are rebuilt from the ring once per full turn, which bounds drift.
-    """
+    def _push(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen, t = int(self.sums.get()[0]) if self.sums.exists() else 0, self.rows
+        past = np.vstack([self.ring.load(max(0, seen - t + 1), seen), x])
+        mean, std = np.full(x.shape, np.nan), np.full(x.shape, np.nan)
+        for lo in range(0, len(past) - t + 1, BLOCK):
+            # A missing value anywhere in the window makes both statistics missing.
+            view = np.lib.stride_tricks.sliding_window_view(past[lo:lo + BLOCK + t - 1], t, axis=0)
+            at = len(x) - (len(past) - t + 1) + lo
+            mean[at:at + len(view)], std[at:at + len(view)] = view.mean(axis=-1), view.std(axis=-1, ddof=1)
+        self.ring.append(seen, x)
+        self.sums.update((seen + len(x), b""))
+        return mean, std
 
-    def __init__(self, cols: list[str], rows: int, carry: list[str] = ()) -> None:
-        self.cols, self.rows, self.carry = cols, rows, list(carry)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getMapState("ring", StructType([StructField("slot", IntegerType())]),
-                                       StructType([StructField("values", ArrayType(DoubleType()))]))
-        self.sums = handle.getValueState("sums", StructType([
-            StructField("seen", LongType()), StructField("s", ArrayType(DoubleType())),
-            StructField("q", ArrayType(DoubleType())), StructField("missing", ArrayType(LongType()))]))
+class RunningRolling(_Rolling):
+    """Running sums of the window: work per row does not depend on the window.
 
-    def _slot(self, i: int) -> np.ndarray:
-        return np.array([np.nan if v is None else v for v in self.ring.getValue((i,))[0]], dtype=float)
+    A batch is one pass of cumulated differences between the rows that enter
+    and those that leave.  Sums are of distances from a centre and are rebuilt from
+    the ring, around its mean, once per full turn, which bounds drift.
+    """
 
     def _push(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Push rows in order; mean and deviation after each."""
-        k, t = len(self.cols), self.rows
+        k, t, n = len(self.cols), self.rows, len(x)
         if self.sums.exists():
-            seen, s, q, miss = self.sums.get()
-            s, q, miss = np.array(s, float), np.array(q, float), np.array(miss, int)
+            seen, packed = self.sums.get()
+            seen, (centre, s, q, miss) = int(seen), np.frombuffer(bytes(packed)).reshape(4, k)
         else:
-            seen, s, q, miss = 0, np.zeros(k), np.zeros(k), np.zeros(k, int)
-        mean, std = np.full(x.shape, np.nan), np.full(x.shape, np.nan)
-        for r, row in enumerate(x):
-            slot = int(seen % t)
-            gone = self._slot(slot) if seen >= t else np.zeros(k)
-            for sign, v in ((1.0, row), (-1.0, gone)):
-                here = np.nan_to_num(v)
-                s, q = s + sign * here, q + sign * here * here
-                miss = miss + int(sign) * np.isnan(v)
-            self.ring.updateValue((slot,), ([None if np.isnan(v) else float(v) for v in row],))
-            seen += 1
-            if seen >= t and seen % t == 0:
-                held = np.stack([self._slot(i) for i in range(t)])
-                s, q = np.nan_to_num(held).sum(axis=0), (np.nan_to_num(held) ** 2).sum(axis=0)
-            if seen >= t:
-                full = miss == 0
-                mean[r] = np.where(full, s / t, np.nan)
-                std[r] = np.where(full, np.sqrt(np.maximum(q - s * s / t, 0.0) / (t - 1)), np.nan)
-        self.sums.update((int(seen), [float(v) for v in s], [float(v) for v in q], [int(v) for v in miss]))
+            seen, (s, q, miss) = 0, np.zeros((3, k))
+            centre = np.nan_to_num(x[np.isfinite(x).argmax(axis=0), np.arange(k)])
+        kept = self.ring.load(max(0, seen - t), min(seen, max(0, seen + n - t)))
+        early = max(0, n - len(kept) - max(0, n - t))  # rows that come before any leaves
+        leaving = np.vstack([np.broadcast_to(centre, (early, k)), kept, x[:max(0, n - t)]])
+        there, gone = ~np.isnan(x), ~np.isnan(leaving)
+        come, go = np.where(there, x - centre, 0.0), np.where(gone, leaving - centre, 0.0)
+        total, squares = s + np.cumsum(come - go, axis=0), q + np.cumsum(come * come - go * go, axis=0)
+        missing = miss + np.cumsum(gone.astype(float) - there, axis=0)
+        full = (missing < 0.5) & (seen + 1 + np.arange(n) >= t)[:, None]
+        mean = np.where(full, centre + total / t, np.nan)
+        std = np.where(full, np.sqrt(np.maximum(squares - total * total / t, 0.0) / max(t - 1, 1)), np.nan) if t > 1 else np.full(x.shape, np.nan)
+        self.ring.append(seen, x)
+        s, q, miss = (v[-1] for v in (total, squares, missing))
+        if (seen + n) // t > seen // t:
+            held = self.ring.load(max(0, seen + n - t), seen + n)
+            some = ~np.isnan(held)
+            centre = np.where(some.any(axis=0), np.where(some, held, 0.0).sum(axis=0) / np.maximum(some.sum(axis=0), 1), centre)
+            away = np.where(some, held - centre, 0.0)
+            s, q, miss = away.sum(axis=0), (away * away).sum(axis=0), np.isnan(held).sum(axis=0).astype(float)
+        self.sums.update((seen + n, np.stack([centre, s, q, miss]).tobytes()))
         return mean, std
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._push(_frame(key, [initialState], self.cols)[1])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf, x = _frame(key, list(rows), self.cols)
-        mean, std = self._push(x)
-        yield _result(pdf, x, mean, std, self.cols, self.rows, self.carry)
-
-    def close(self) -> None:
-        pass
-
 
 ENGINES = {"buffered": BufferedRolling, "running": RunningRolling}
 
