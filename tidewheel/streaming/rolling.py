@@ -130,8 +130,9 @@ class RunningRolling(_Rolling):
             seen, packed = self.sums.get()
             seen, (centre, s, q, miss) = int(seen), np.frombuffer(bytes(packed)).reshape(4, k)
         else:
-            seen, (s, q, miss) = 0, np.zeros((3, k))
-            centre = np.nan_to_num(x[np.isfinite(x).argmax(axis=0), np.arange(k)])
+            seen, (centre, s, q, miss) = 0, np.zeros((4, k))
+        # A window without values has empty sums, so the next value may be the centre.
+        centre = np.where(miss > min(seen, t) - 0.5, np.nan_to_num(x[np.isfinite(x).argmax(axis=0), np.arange(k)]), centre)
         kept = self.ring.load(max(0, seen - t), min(seen, max(0, seen + n - t)))
         early = max(0, n - len(kept) - max(0, n - t))  # rows that come before any leaves
         leaving = np.vstack([np.broadcast_to(centre, (early, k)), kept, x[:max(0, n - t)]])
