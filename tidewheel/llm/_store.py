@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.session import scratch_path
 
 
+BATCH_ROWS = 1000   # whole texts that travel to a Python worker together
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batches, which hold 10,000 rows unless told otherwise, to ``BATCH_ROWS``.
+
+    A batch of texts lies in the JVM, in the worker and in its answer at once,
+    for every core of an executor.  A smaller setting is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` below the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
@@ -18,3 +33,11 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 def small_side(table: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``table`` (stored, narrow rows), marked for broadcast if its counted rows are few; else left to a shuffle join."""
     return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

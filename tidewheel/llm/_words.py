@@ -7,8 +7,10 @@ about ``CHUNK`` bytes, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that hands free memory back, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give back what a worker has freed: it lives on between tasks and would keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
 def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``size`` bytes; a longer text is a run of its own."""
     n, lo = len(offsets) - 1, 0
@@ -97,6 +116,7 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         hi = min(hi, n, lo + 4096)
         yield lo, hi
         lo = hi
+    release()
 
 
 def words(column: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[Words]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm._store import small_side, stored
+from tidewheel.llm._store import free_name, small_side, stored
 from tidewheel.llm._words import RangeHash, chunks, mix, text_bytes
 
 WINDOW = 5             # template tokens per window
@@ -254,6 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all its columns, that hold no item; rows without id stay."""
-    found = matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id")).distinct()
+    key = free_name(docs, "held_by")
+    found = matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(key)).distinct()
     found = stored(found, "contaminated")
-    return docs.join(small_side(found), docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    return docs.join(small_side(found), docs[id_col].cast("long") == F.col(key), "left_anti")

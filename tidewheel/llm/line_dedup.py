@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import bucket_links
 from tidewheel.llm._groups import in_blocks, sorted_groups
-from tidewheel.llm._store import small_side, stored
+from tidewheel.llm._store import free_name, small_side, stored
 from tidewheel.llm._words import RangeHash, mix
 
 MIN_CHARS = 15        # shorter lines are never duplicates
@@ -328,18 +328,19 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     stands in earlier documents; one that never had text stays, and so does
     any document without a repeated line, unchanged.
     """
+    key, gone, rest = (free_name(docs, n) for n in ("cut_of", "cut_lines", "text_left"))
     cut = (repeated_lines(docs, id_col=id_col, text_col=text_col, edits=edits, min_chars=min_chars)
-           .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__cut")))
-    out = docs.join(cut, docs[id_col].cast("long") == F.col("__id"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains("__cut", k)), "\n")
-    out = out.withColumn("__left", F.when(F.col("__cut").isNotNull(), left).otherwise(F.col(text_col)))
-    out = out.filter(F.col("__cut").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
+           .groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone)))
+    out = docs.join(cut, docs[id_col].cast("long") == F.col(key), "left")
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    out = out.withColumn(rest, F.when(F.col(gone).isNotNull(), left).otherwise(F.col(text_col)))
+    out = out.filter(F.col(gone).isNull() | F.col(rest).rlike(r"[^\x20\x09-\x0D]"))
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("__left").alias(c))
+            cols.append(F.col(rest).alias(c))
         elif c == length_col:
-            cols.append(F.when(F.col("__cut").isNotNull(), F.char_length("__left").cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
+            cols.append(F.when(F.col(gone).isNotNull(), F.char_length(rest).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return out.select(*cols)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import bucket_links
 from tidewheel.llm._groups import in_blocks, least_labels, overlaps, sorted_groups
-from tidewheel.llm._store import small_side, stored
+from tidewheel.llm._store import free_name, small_side, stored
 from tidewheel.llm._words import Words, long_lists, mix, shingles, words
 
 BANDS = 48
@@ -187,15 +187,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all its columns, that stand first in their component.
 
-    One row stays of an id that several rows carry; rows without id all stay.
+    Of rows that share an id the first in the order of their JSON stays; rows without id all stay.
     """
+    key = free_name(docs, "known_as")
+    same = docs[id_col].cast("long") == F.col(key)
     found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, percent=percent), "near-duplicates")
-    gone = stored(found.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("doc_id is not null and not kept")
-                  .select(F.col("doc_id").alias("__id")), "gone")
-    out = docs.join(small_side(gone), docs[id_col].cast("long") == F.col("__id"), "left_anti")
-    repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-                      .select(F.col("doc_id").alias("__id")), "repeated")
+    gone = stored(found.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("doc_id is not null and not kept").select(F.col("doc_id").alias(key)), "gone")
+    out = docs.join(small_side(gone), same, "left_anti")
+    repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "repeated")
     if repeated.isEmpty():
         return out
-    one = out.join(repeated, out[id_col].cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, out[id_col].cast("long") == F.col("__id"), "left_anti").union(one)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = out.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(key)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return out.join(repeated, same, "left_anti").union(one)
