@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm._words import NOT_LETTERS, Words, long_lists, words
+from tidewheel.llm._words import NOT_LETTERS, Words, long_lists, release, words
 
 MIN_DOCUMENTS = 5      # a word counts if so many documents of the sample have it
 CHI_SQUARE = 20        # and if it goes with the category so clearly: a long text would else gather the noise of all others
@@ -145,12 +145,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_c
     got = _word_lists(picked.select("id", "fold", *[f"y{k}" for k in range(len(categories))], "text")).toArrow()
     n = got.num_rows
     lists = got.column("words").combine_chunks()
+    got = got.drop_columns("words")
     h = np.asarray(lists.flatten()).view(np.uint64) if n else np.zeros(0, np.uint64)
-    text = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets))) if n else np.zeros(0, np.int64)
-    seen, word, times = np.unique(h, return_inverse=True, return_counts=True)
-    often = times >= min(MIN_DOCUMENTS, max(1, n // 20))
-    keep = often[word]
-    seen, word, text = seen[often], (np.cumsum(often) - 1)[word[keep]], text[keep]
+    text = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.asarray(lists.offsets))) if n else np.zeros(0, np.int32)
+    # Only words of several documents are numbered: most words of a corpus are of one.
+    ordered = np.sort(h)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(h) else np.zeros(0, np.int64)
+    seen = ordered[starts[np.diff(np.append(starts, len(h))) >= min(MIN_DOCUMENTS, max(1, n // 20))]]
+    del ordered, starts
+    word = np.searchsorted(seen, h)
+    keep = seen[np.minimum(word, len(seen) - 1)] == h if len(seen) else np.zeros(len(h), dtype=bool)
+    word, text = word[keep], text[keep].astype(np.int64)
+    del h, lists, keep
+    release()
     fold = got.column("fold").to_numpy() if n else np.zeros(0)
     earlier, models = np.zeros((n, 0)), []
     for k in range(len(categories)):
