@@ -127,9 +127,10 @@ def clip_standardise_fill(spark, d):
     return fx.trades(spark, d).select(*K, rnd(standardise("feature_03", 1.5, 3.7, F.lit(3.0), F.lit(0.8))).alias("z"))
 
 
-@query("recency_weight", with_(TRADES) + f"SELECT {KSQL}, {r_sql('weight * power(0.5, (25 - date_id) / 7.0)', 'w')} FROM trades WHERE date_id <= 25")
+@query("recency_weight", with_(TRADES) + f"SELECT {KSQL}, {r_sql('weight * power(0.5, ((SELECT max(date_id) FROM trades) - date_id) / 7.0)', 'w')} FROM trades")
 def recency_weight(spark, d):
-    return P.between_dates(fx.trades(spark, d), None, 25).select(*K, rnd(S.recency_weight("weight", "date_id", 25, 7)).alias("w"))
+    t = fx.trades(spark, d)
+    return t.select(*K, rnd(S.recency_weight("weight", "date_id", t.agg(F.max("date_id")).first()[0], 7)).alias("w"))
 
 
 # -- the flagship -----------------------------------------------------------------

@@ -74,20 +74,28 @@ def correlation_cut(spark, d):
     return rounded(S.above_correlation(target_correlations(fx.trades_labelled(spark, d), TF, "responder_8"), 0.01), ["feature"], ["corr"])
 
 
-_FOLDED = "f AS (SELECT *, CASE WHEN date_id >= 21 THEN 3 WHEN date_id >= 14 THEN 2 WHEN date_id >= 7 THEN 1 ELSE 0 END AS fold FROM labelled WHERE date_id <= 27)," \
+def _ends(t) -> tuple[int, int]:
+    """First and last date of a panel."""
+    return tuple(t.agg(F.min("date_id"), F.max("date_id")).first())
+
+
+_FOLDED = "ends AS (SELECT min(date_id) AS lo, max(date_id) + 1 AS hi FROM labelled)," \
+    "f AS (SELECT labelled.*, " + " + ".join(f"CAST(date_id >= lo + ({i} * (hi - lo)) // 4 AS INTEGER)" for i in (1, 2, 3)) + " AS fold FROM labelled, ends)," \
     "sc AS (SELECT fold, " + _long(TF, {"score": "abs(corr({c}, responder_8))"}) + " FROM f GROUP BY fold)," \
     "top AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, feature) AS position FROM sc)"
 
 
 @query("fold_top_k", with_(TRADES_LABELLED, _FOLDED) + f"SELECT fold, feature, {r_sql('score', 'score')}, CAST(position AS INTEGER) AS position FROM top WHERE position <= 3")
 def fold_top_k(spark, d):
-    s = S.fold_correlation_scores(fx.trades_labelled(spark, d), TF, "responder_8", 0, 27, 4)
+    t = fx.trades_labelled(spark, d)
+    s = S.fold_correlation_scores(t, TF, "responder_8", *_ends(t), 4)
     return S.fold_top_k(s, 3).select("fold", "feature", rnd("score").alias("score"), "position")
 
 
 @query("fold_consistency", with_(TRADES_LABELLED, _FOLDED) + "SELECT feature, count(*) AS n_folds FROM top WHERE position <= 3 GROUP BY 1 HAVING count(*) >= 3")
 def fold_consistency(spark, d):
-    return S.consistent(S.fold_correlation_scores(fx.trades_labelled(spark, d), TF, "responder_8", 0, 27, 4), 3, 3)
+    t = fx.trades_labelled(spark, d)
+    return S.consistent(S.fold_correlation_scores(t, TF, "responder_8", *_ends(t), 4), 3, 3)
 
 
 _OPS = {"sub": "{a} - {b}", "mul": "{a} * {b}", "div": "{a} / CASE WHEN abs({b}) >= 0.1 THEN {b} WHEN {b} < 0 THEN -0.1 ELSE 0.1 END",
@@ -123,7 +131,7 @@ def combo_tree_screen(spark, d):
 @query("fold_tree_consistency")
 def fold_tree_consistency(spark, d):
     train, _ = split(spark, d)
-    scores = M.fold_importances(E.contiguous_folds(train, 0, 19, 3), X, **GBT)
+    scores = M.fold_importances(E.contiguous_folds(train, *_ends(train), 3), X, **GBT)
     return S.consistent(scores, 4, 2)
 
 
@@ -198,8 +206,8 @@ def regime_specialists(spark, d):
 @query("label_chain")
 def label_chain(spark, d):
     t = fx.trades_labelled(spark, d).persist().withColumnRenamed("weight", "w")
-    hats = M.chain_predictions(t, TF, ["responder_6", "responder_8"], 0, 19, 20, 29, **GBT)
-    return hats
+    first, last = _ends(t)
+    return M.chain_predictions(t, TF, ["responder_6", "responder_8"], first, 19, 20, last, **GBT)
 
 
 @query("two_window_chain")

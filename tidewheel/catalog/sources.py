@@ -237,14 +237,14 @@ def distinct_dates(spark, d):
 
 
 @query("export_with_responders", with_(TRADES_LABELLED) + f"""SELECT {KSQL}, weight, {_cols(['feature_00'] + [f'responder_{r}' for r in range(9)])}
- FROM labelled WHERE date_id <= 20""")
+ FROM labelled""")
 def export_with_responders(spark, d):
     from tidewheel.operators.lags import attach_labels
     t = fx.trades_labelled(spark, d)
     resp = [f"responder_{r}" for r in range(9)]
     joined = attach_labels(fx.trades(spark, d).select(*K, "weight", "feature_00"), t, resp)
     path = scratch_path(spark, "export")
-    sinks.write_by_date(P.between_dates(joined, None, 20), path)
+    sinks.write_by_date(joined, path)
     return rounded(spark.read.parquet(path), [*K, "weight"], ["feature_00", *resp])
 
 
