@@ -87,3 +87,16 @@ def test_ewma_far_beyond_one_segment(spark):
     pdf = pd.DataFrame({"symbol_id": 1, "date_id": np.arange(n) // per, "time_id": np.arange(n) % per, "x": x})
     got = _in_order(ewma(spark.createDataFrame(pdf), ["x"]), "x_ewma_30")["x_ewma_30"]
     np.testing.assert_allclose(got, pdf["x"].ewm(span=30, adjust=False).mean(), rtol=1e-10)
+
+
+def test_dates_of_a_table_prune_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidewheel.sources.panel import pick_dates_of
+    path = str(tmp_path / "panel")
+    spark.range(4000).select(F.col("id").alias("symbol_id"), (F.col("id") % 20).cast("int").alias("date_id"), F.lit(0).alias("time_id")).write.partitionBy("date_id").parquet(path)
+    dates = str(tmp_path / "dates")
+    spark.createDataFrame([(3, 1), (3, 2), (17, 1), (None, 1), (99, 1), (5, 0)], "date_id int, wanted int").write.parquet(dates)
+    out = pick_dates_of(spark.read.parquet(path), spark.read.parquet(dates).where("wanted > 0"))
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted((r["date_id"], r["count"]) for r in out.groupBy("date_id").count().collect()) == [(3, 200), (17, 200)]

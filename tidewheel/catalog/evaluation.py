@@ -163,6 +163,15 @@ def blend_report_singles(spark, d):
     return rounded(_report(spark, d)[0], ["stream"], ["r2"])
 
 
+_MEMBERS = sorted({m for ms in _COMBOS.values() for m in ms})
+
+
+@query("blend_report_pairwise", SW + "SELECT a, b, round(corr, 6) + 0.0 AS corr FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr(p_{a}, p_{b}) AS corr FROM valid" for a, b in itertools.combinations(_MEMBERS, 2)) + ")")
+def blend_report_pairwise(spark, d):
+    return rounded(_report(spark, d)[1], ["a", "b"], ["corr"])
+
+
 @query("admission_rule", SW + f"""SELECT {r_sql('solo', 'solo')}, {r_sql('bw', 'blend_with')}, {r_sql('bo', 'blend_without')}, {r_sql('mc', 'max_corr')},
  solo >= 0 AND mc < 0.9 AND bw > bo AS admit FROM (SELECT {R2SQL('p_mom')} AS solo, {R2SQL('((p_lag + p_slow + p_mom) / 3)')} AS bw,
  {R2SQL('((p_lag + p_slow) / 2)')} AS bo, greatest(corr(p_mom, p_lag), corr(p_mom, p_slow)) AS mc FROM valid)""")

@@ -66,6 +66,20 @@ def read_chosen_dates(spark, d):
     return P.pick_dates(fx.trades(spark, d), [2, 3, 17, 21]).select(*K, "weight")
 
 
+_BUSY = "busy AS (SELECT date_id FROM (SELECT date_id, sum(weight) AS w FROM trades GROUP BY 1) WHERE w > (SELECT avg(w) FROM (SELECT sum(weight) AS w FROM trades GROUP BY date_id)))"
+
+
+@query("read_chosen_dates_table", with_(TRADES, _BUSY) + f"SELECT {KSQL}, weight FROM trades SEMI JOIN busy USING (date_id)")
+def read_chosen_dates_table(spark, d):
+    """The dates of more than average weight, read from a panel stored by date."""
+    path = scratch_path(spark, "by-date")
+    t = fx.trades(spark, d).select(*K, "weight")
+    sinks.write_by_date(t, path)
+    daily = t.groupBy("date_id").agg(F.sum("weight").alias("w"))
+    busy = daily.where(F.col("w") > daily.agg(F.avg("w")).first()[0])
+    return P.pick_dates_of(spark.read.parquet(path), busy).select(*[F.col(c).cast(t.schema[c].dataType).alias(c) for c in K], "weight")
+
+
 RANKED = """dates AS (SELECT date_id, row_number() OVER (ORDER BY date_id) AS date_rank, count(*) OVER () AS n_dates
   FROM (SELECT DISTINCT date_id FROM trades))"""
 DRAWS = RANKED + """,

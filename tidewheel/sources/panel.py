@@ -56,6 +56,15 @@ def pick_dates(df: DataFrame, dates: Iterable[int]) -> DataFrame:
     return df.where(F.col(DATE).isin([int(d) for d in dates]))
 
 
+def pick_dates_of(df: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows whose date stands in the table ``dates``, however often.
+
+    A semi-join: over a panel stored by date Spark reads the table first and
+    then only those partitions.  Null dates match nothing.
+    """
+    return df.join(dates.select(DATE).where(F.col(DATE).isNotNull()), DATE, "left_semi")
+
+
 def rows_for_draws(df: DataFrame, draws: DataFrame) -> DataFrame:
     """Rows per drawn date; a date drawn twice yields two groups.
 
