@@ -284,6 +284,42 @@ def test_licenses(spark):
                    4: (None, None, None), 5: ("MIT", "MIT", None), 6: (None, None, None), 7: (None, "GPL-3.0", "r/a")}
 
 
+def test_licenses_of_headers_and_files(spark):
+    """Notices wrapped in comments, whole license files, ids, titles; unlicensed prose; one, two and three levels up."""
+    import textwrap
+    texts = dict()
+    for name, text in licenses.TEMPLATES:
+        texts[name] = max(texts.get(name, ""), text, key=len)
+    def comment(t):
+        return "\n".join("# " + x for x in textwrap.wrap(t, 70))
+    def file(t, title):
+        return f"{title}\n\nCopyright (c) 2021 Jane Doe and the Others\nCopyright 2022 Another Company Limited\n\n" + "\n\n".join(textwrap.wrap(t, 200))
+    body = "\n\nimport os\n\ndef walk(top):\n    return list(os.walk(top))\n" * 5
+    prose = "the work is not subject to any terms and a copy of it was made by another person without software of any kind"
+    rows = [("r/LICENSE", file(texts["MIT"], "The MIT License (MIT)"), "MIT"), ("r/x.py", "#!/bin/python\n#\n" + comment(texts["GPL-3.0"]) + body, "GPL-3.0"),
+            ("r/a/LICENSE.txt", file(texts["BSD-3-Clause"], "BSD"), "BSD-3-Clause"), ("r/y.c", "// SPDX-License-Identifier: Apache-2.0" + body, "Apache-2.0"),
+            ("r/z.c", "/* SPDX-License-Identifier: MIT */" + body, "MIT"), ("r/m.js", "/* " + comment(texts["MPL-2.0"]) + " */" + body, "MPL-2.0"),
+            ("g/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n" + prose, "GPL-2.0"), ("r/p.txt", prose, None),
+            ("r/unknown.c", "// SPDX-License-Identifier: Nobody" + body, None), ("r/a/b/q.txt", prose, None), ("r/c/d/e/s.txt", prose, None),
+            ("r/h.py", comment(texts["Apache-2.0"]) + body, "Apache-2.0"), ("r/c/two.txt", prose, None), ("g/i/j/k/LICENSE", file(texts["ISC"], "ISC"), "ISC")]
+    rows += [(f"w/{k}", " ".join(random.Random(k).choices(prose.split(), k=30)) + body, None) for k in range(60)]
+    files = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: r for r in licenses.scan(files, id_col="doc_id", path=F.col("path")).collect()}
+    assert {p: got[p].own_license for p, _, _ in rows} == {p: w for p, _, w in rows}
+    assert (got["r/a/b/q.txt"].license, got["r/a/b/q.txt"].inherited_from) == ("BSD-3-Clause", "r/a")
+    assert (got["r/c/d/e/s.txt"].license, got["r/c/d/e/s.txt"].inherited_from) == ("MIT", "r") and got["r/c/two.txt"].inherited_from == "r"
+    assert got["w/3"].license is None
+
+
+def test_licenses_awkward(spark):
+    """Empty tables, repeated ids with different texts, null ids, a text of blank lines only."""
+    files = spark.createDataFrame([(1, "a/x", "nothing"), (1, "a/y", "Released under the MIT License."), (None, "a/z", "Released under the MIT License."),
+                                   (2, "b/x", "\n" * 5000), (3, "b/y", None)], "doc_id long, path string, text string")
+    got = sorted(((r.doc_id or 0, r.path, r.own_license) for r in licenses.scan(files, id_col="doc_id", path=F.col("path")).collect()))
+    assert got == [(0, "a/z", None), (1, "a/x", "MIT"), (1, "a/y", "MIT"), (2, "b/x", None), (3, "b/y", None)]
+    assert licenses.scan(files.limit(0), id_col="doc_id", path=F.col("path")).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((40, 16))

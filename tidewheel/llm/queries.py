@@ -92,10 +92,13 @@ def op6_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, own_license, cosine, license, inherited_from) per document.
 
-    A document lies at source/thousand/language/id; one that ends with its
-    license statement speaks for its directory.
+    A document lies in the folder source, source/thousand or
+    source/thousand/language, by its id; one that ends with its license
+    statement speaks for its folder.
     """
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), "lang", F.col("doc_id").cast("string"))
+    level = F.pmod("doc_id", F.lit(3))
+    path = F.concat_ws("/", "source", F.when(level > 0, F.floor(F.col("doc_id") / 1000).cast("string")), F.when(level > 1, F.col("lang")),
+                       F.col("doc_id").cast("string"))
     return licenses.scan(table(spark, sf_dir, "documents"), id_col="doc_id", path=path, license_file=F.col("last"))
 
 
@@ -123,27 +126,33 @@ def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
-_N = len(licenses.TEMPLATES)
+_TERMS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')".format
 SQL["op4_license_scan"] = f"""
 WITH templates(template, license, text) AS (VALUES {_TEMPLATE_ROWS}),
-tf AS (SELECT template, license, term, count(*) AS tf FROM (
-         SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
-idf AS (SELECT term, ln({_N + 1}.0 / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term),
-w AS (SELECT template, license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+size AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((n + 1.0) / (count(*) + 1)) + 1 AS idf FROM (
+          SELECT unnest(list_distinct({_TERMS("text")})) AS term FROM documents), size GROUP BY term, n),
+tf AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({_TERMS("text")}) AS term FROM templates) GROUP BY ALL),
+w AS (SELECT template, license, term, tf * coalesce(idf, ln(n + 1.0) + 1) AS w FROM tf LEFT JOIN idf USING (term), size),
 unit AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM w),
-files AS (SELECT doc_id, text, concat_ws('/', source, CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS VARCHAR), lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
-split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM files),
-lines AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM split),
-hits AS (SELECT doc_id, line_no, line_no = n - 1 AS last, line FROM lines WHERE regexp_matches(lower(line), '{licenses.TRIGGER}')),
-words AS (SELECT doc_id, line_no, last, term, count(*) AS tf FROM (
-            SELECT doc_id, line_no, last, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM hits) GROUP BY ALL),
-weighed AS (SELECT doc_id, line_no, last, term, tf * coalesce(idf, 1 + ln({_N + 1}.0)) AS w FROM words LEFT JOIN idf USING (term)),
-norms AS (SELECT doc_id, line_no, last, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-dots AS (SELECT doc_id, line_no, template, license, sum(w * weight) AS dot FROM weighed JOIN unit USING (term) GROUP BY ALL),
-best AS (SELECT doc_id, line_no, last, license, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, line_no)
+files AS (SELECT doc_id, text, regexp_replace(text, '{licenses.COPYRIGHT}', chr(10), 'g') AS kept,
+            concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS VARCHAR) END,
+                      CASE WHEN doc_id % 3 > 1 THEN lang END, CAST(doc_id AS VARCHAR)) AS path FROM documents),
+split AS (SELECT doc_id, 0 AS kind, string_split(text, chr(10)) AS pieces FROM files
+          UNION ALL SELECT doc_id, 1, string_split_regex(kept, '{licenses.BLANK}') FROM files
+          UNION ALL SELECT doc_id, 2, [kept] FROM files),
+each AS (SELECT doc_id, kind, len(pieces) AS n, unnest(pieces) AS piece, unnest(range(len(pieces))) AS pos FROM split),
+units AS (SELECT doc_id, kind, pos, pos = n - 1 AS last, {_TERMS("piece")} AS words FROM each),
+longest AS (SELECT max(len({_TERMS("text")})) * {licenses.LENGTH} AS most FROM templates),
+counted AS (SELECT doc_id, kind, pos, last, term, count(*) AS tf FROM (
+              SELECT doc_id, kind, pos, last, unnest(words) AS term FROM units, longest WHERE len(words) <= most) GROUP BY ALL),
+weighed AS (SELECT doc_id, kind, pos, last, term, tf * idf AS w FROM counted JOIN idf USING (term)),
+norms AS (SELECT doc_id, kind, pos, last, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT doc_id, kind, pos, template, license, sum(w * weight) AS dot FROM weighed JOIN unit USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, kind, pos, last, license, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, kind, pos)
          WHERE round(dot / norm, 6) >= {licenses.COSINE}),
 own AS (SELECT doc_id, license AS own_license, cosine, last FROM best
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line_no, license) = 1),
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, kind DESC, pos, license) = 1),
 placed AS (SELECT f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, own_license, cosine, last FROM files f LEFT JOIN own USING (doc_id)),
 licensed AS (SELECT dir AS src, own_license AS given FROM (SELECT dir, own_license, count(*) AS n FROM placed WHERE last GROUP BY ALL)
              QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, own_license) = 1),
