@@ -126,7 +126,7 @@ def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
-_TERMS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')".format
+_TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+')".format
 SQL["op4_license_scan"] = f"""
 WITH templates(template, license, text) AS (VALUES {_TEMPLATE_ROWS}),
 size AS (SELECT count(*) AS n FROM documents),
