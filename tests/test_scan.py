@@ -9,6 +9,7 @@ from tidewheel.operators.chunks import Stage, over_symbol
 from tidewheel.operators.ewma import ewma
 from tidewheel.operators.rolling import rolling_features
 from tidewheel.operators.shifts import forward_means, realized_means
+from tidewheel.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +101,21 @@ def test_dates_of_a_table_prune_partitions(spark, tmp_path):
     out = pick_dates_of(spark.read.parquet(path), spark.read.parquet(dates).where("wanted > 0"))
     assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString().lower()
     assert sorted((r["date_id"], r["count"]) for r in out.groupBy("date_id").count().collect()) == [(3, 200), (17, 200)]
+
+
+def test_writer_splits_a_skewed_date(spark, tmp_path):
+    """One symbol holds nearly all rows of a date: no file exceeds the bound by much, no row is lost, a null date is kept."""
+    rows = spark.range(10_000).selectExpr("1 AS symbol_id", "5 AS date_id", "CAST(id AS INT) AS time_id", "1.0 AS weight")
+    rest = spark.range(40).selectExpr("CAST(id AS INT) AS symbol_id", "CASE WHEN id < 30 THEN CAST(id AS INT) END AS date_id", "0 AS time_id", "1.0 AS weight")
+    panel = rows.union(rest)
+    path = str(tmp_path / "panel")
+    sinks.write_by_date(panel, path, rows_per_file=1000)
+    back = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    sizes = {r["file"]: r["count"] for r in back.groupBy("file").count().collect()}
+    assert max(sizes.values()) < 1250
+    assert back.where("date_id = 5").select("file").distinct().count() == 11
+    assert back.where("date_id IS NULL").select("file").distinct().count() == 1
+    cols = ["symbol_id", "date_id", "time_id", "weight"]
+    assert back.select(cols).exceptAll(panel).count() == 0 and back.count() == 10_040
+    sinks.write_by_date(panel.limit(0), str(tmp_path / "empty"))
+    assert not list((tmp_path / "empty").rglob("date_id=*"))

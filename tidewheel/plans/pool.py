@@ -22,7 +22,7 @@ def build_pool(features: DataFrame, cols: list[str], train_until: int, every: in
     return transform(features.select(*KEYS, *keep, *cols), stats), stats
 
 
-def write_pool(pool: DataFrame, path: str, files_per_date: int = 1) -> None:
+def write_pool(pool: DataFrame, path: str, files_per_date: int | None = None) -> None:
     """Rows by date and the per-date manifest beside them."""
     write_by_date(pool, f"{path}/rows", files_per_date)
     written = pool.sparkSession.read.parquet(f"{path}/rows")
