@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewheel.functions.scalars import finite
@@ -56,19 +56,20 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[
                   .groupBy("p.b", "p.s").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
                   .orderBy("b", "s").collect())
         nxt: dict[tuple[str, float, float, int], list[int]] = {}
+        sizes: dict[tuple[str, float, float], int] = {}
+        of_bracket: dict[int, list[Row]] = {}
+        for row in slices:
+            of_bracket.setdefault(row["b"], []).append(row)
         for i, key in enumerate(keys):
             c, _, _, below = key
             ranks = open_[key]
-            for row in [r for r in slices if r["b"] == i]:
+            for row in of_bracket.get(i, []):
+                sizes[(c, row["lo"], row["hi"])] = row["n"]
                 inside = [r for r in ranks if below <= r < below + row["n"]]
                 if inside:
                     nxt[(c, row["lo"], row["hi"], below)] = inside
                 below += row["n"]
         small = {k: v for k, v in nxt.items() if k[1] < k[2]}
-        sizes = {}
-        for i, key in enumerate(keys):
-            for row in [r for r in slices if r["b"] == i]:
-                sizes[(key[0], row["lo"], row["hi"])] = row["n"]
         ready = [k for k in small if sizes[(k[0], k[1], k[2])] <= SMALL]
         if ready and sum(sizes[(k[0], k[1], k[2])] for k in ready) <= 16 * SMALL:
             picks = F.array(*[F.when((F.col(c) >= lo) & (F.col(c) <= hi),
