@@ -1,9 +1,9 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Each vector is described by its nearest reference points, as many as vectors
-at the threshold need to share one.  Inverted lists hold the vectors that have
-a pivot in their prefix; a pair is verified where its least shared pivot says,
-once.
+Each vector is described by its nearest reference points, in order.  Inverted
+lists hold ids and descriptions, without vectors; a pair that shares as many
+points as pairs at the threshold do is a candidate, counted in the list of its
+rarest shared point, once.  Vectors are fetched for candidates only.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import components
-from tidewheel.llm._groups import in_blocks, least_labels, sorted_groups
+from tidewheel.llm._groups import in_blocks, least_labels, overlaps, sorted_groups
 from tidewheel.llm._store import stored
 from tidewheel.llm._words import mix
 
-RECALL = 0.998        # share of pairs at the threshold that must share a pivot
-TRIALS = 4000         # pairs drawn to find the prefix length
+RECALL = 0.998        # share of pairs at the threshold that must be candidates
+TRIALS = 4000         # pairs drawn to find how many points they share
+PREFIX = 32           # points that describe a vector; a quarter of the pivots at most, at first
 PIVOTS = (32, 4096)   # at least and at most; between, twice the root of the number of vectors
 APART = 0.6           # no two pivots from the sample have a greater cosine
 LIST_BLOCK = 1024     # longer lists are compared block by block
@@ -29,15 +30,15 @@ LIST_BLOCK = 1024     # longer lists are compared block by block
 
 def _parse(column: pa.Array) -> list[np.ndarray | None]:
     """Vectors as float arrays; None for those that link with nothing."""
-    out = []
-    for v in column:
-        x = v.as_py()
-        if x is None or any(c is None for c in x):
-            out.append(None)
-            continue
-        a = np.array(x, dtype=np.float64)
-        out.append(a if len(a) and np.isfinite(a).all() and a.any() else None)
-    return out
+    flat = column.flatten()  # leaves out null vectors
+    whole = ~np.asarray(flat.is_null(), dtype=bool)
+    x = flat.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+    size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    end = np.cumsum(size)
+    sound = np.concatenate([[0], np.cumsum(whole & np.isfinite(x))])
+    some = np.concatenate([[0], np.cumsum(x != 0)])
+    good = (size > 0) & (sound[end] - sound[end - size] == size) & (some[end] > some[end - size])
+    return [x[e - n:e] if ok else None for ok, n, e in zip(good.tolist(), size.tolist(), end.tolist(), strict=True)]
 
 
 def _packed(data: bytes) -> bytes:
@@ -75,6 +76,11 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, h1 long, h2 long, dims long, data binary")
 
 
+def _ranks(column: pa.ChunkedArray) -> np.ndarray:
+    """Prefixes of one length as rows of a matrix."""
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(len(column), -1).astype(np.int64)
+
+
 def pivots(reps: DataFrame, dims: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Reference points, and sampled vectors that are none.
 
@@ -104,68 +110,72 @@ def pivots(reps: DataFrame, dims: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return points, others
 
 
-def prefix_length(points: np.ndarray, others: np.ndarray, cosine: float) -> int:
-    """The least number of nearest points of which two vectors at ``cosine`` share one, in RECALL of the cases.
+def shared_points(points: np.ndarray, others: np.ndarray, cosine: float) -> tuple[int, int]:
+    """(prefix length, least number of shared points) that RECALL of the pairs at ``cosine`` reach.
 
     It must hold for random directions and for the data: ``others``, turned by
-    the angle towards differences between them.
+    the angle towards differences between them.  The prefix is made longer
+    until two points are asked for, or it holds all of them.
     """
     rng = np.random.default_rng(12)
     cases = [(rng.standard_normal((TRIALS, points.shape[1])), rng.standard_normal((TRIALS, points.shape[1])))]
     if len(others) > 2:
         a, b, c = (others[rng.integers(len(others), size=TRIALS)] for _ in range(3))
         cases.append((a, b - c))
-    needed = 1
+    turned = []
     for x, away in cases:
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         away = away - (away * x).sum(axis=1, keepdims=True) * x
         size = np.linalg.norm(away, axis=1, keepdims=True)
         good = size[:, 0] > 1e-9
-        if not good.any():
-            continue
-        x, away = x[good], (away / np.maximum(size, 1e-9))[good]
-        y = cosine * x + max(0.0, 1 - cosine * cosine) ** 0.5 * away
-        # The rank at which a pair shares its first point.
-        first = np.empty(len(x), dtype=np.int64)
-        for lo in range(0, len(x), 256):
-            ranks = [np.argsort(np.argsort(-(v[lo:lo + 256] @ points.T), axis=1), axis=1) for v in (x, y)]
-            first[lo:lo + 256] = np.maximum(*ranks).min(axis=1) + 1
-        needed = max(needed, int(np.sort(first)[int(np.ceil(RECALL * len(first))) - 1]))
-    return needed
-
-
-def _block_links(unit: np.ndarray, lists: np.ndarray, ids: np.ndarray, side: np.ndarray, diagonal: bool, key: int,
-                 copies: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(linked copies, least id of the local component) of each vector of a block.
-
-    Only pairs whose least shared pivot is ``key`` count.
-    """
-    near = unit @ unit.T >= cosine
+        if good.any():
+            x, away = x[good], (away / np.maximum(size, 1e-9))[good]
+            turned.append((x, cosine * x + max(0.0, 1 - cosine * cosine) ** 0.5 * away))
+    length = min(len(points), max(1, min(PREFIX, len(points) // 4)))
+    while True:
+        least = length
+        for pair in turned:
+            shared = np.empty(len(pair[0]), dtype=np.int64)
+            for lo in range(0, len(shared), 512):
+                held = np.zeros((2, min(512, len(shared) - lo), len(points)), dtype=bool)
+                for h, v in zip(held, pair, strict=True):
+                    np.put_along_axis(h, nearest(v[lo:lo + 512], points, length), True, axis=1)
+                shared[lo:lo + 512] = (held[0] & held[1]).sum(axis=1)
+            least = min(least, int(np.sort(shared)[int((1 - RECALL) * len(shared))]))
+        if least >= 2 or length == len(points):
+            return length, max(1, least)
+        length = min(len(points), length + max(2, length // 4))
+
+
+def nearest(unit: np.ndarray, points: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` nearest points of each vector, nearest first."""
+    sims = -(unit @ points.T)
+    some = np.argpartition(sims, length - 1, axis=1)[:, :length]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(sims, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _candidates(lists: np.ndarray, side: np.ndarray, diagonal: bool, key: int, shared: int) -> np.ndarray:
+    """Which pairs of a block share ``shared`` points, of which ``key`` is the rarest."""
+    out = overlaps(list(lists)) >= shared
     if not diagonal:
-        near &= side[:, None] != side[None, :]
-    np.fill_diagonal(near, False)
-    one, two = np.nonzero(near)
-    below = lists < key
-    left, right = np.where(below, lists, -1), np.where(below, lists, -2)
-    for lo in range(0, len(one), 1 << 16):
-        i, j = one[lo:lo + (1 << 16)], two[lo:lo + (1 << 16)]
-        earlier = np.zeros(len(i), dtype=bool)
-        for k in range(lists.shape[1]):
-            earlier |= (left[i, k][:, None] == right[j]).any(axis=1)
-        near[i[earlier], j[earlier]] = False
-    linked = near @ copies
-    return linked, least_labels(near, ids)
+        out &= side[:, None] != side[None, :]
+    np.fill_diagonal(out, False)
+    # Ranks are by rarity, so a pair that shares a lower one belongs to another list.
+    low = overlaps([row[row < key] for row in lists])
+    return out & (low == 0)
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
-    Vectors are linked when they share one of their nearest pivots and their
+    Vectors are linked when they share enough of their nearest pivots and their
     cosine, in double precision, is at least ``cosine``; equal vectors are
-    always linked, and only the smallest id of each class is indexed.  As many
-    pivots describe a vector as ``prefix_length`` finds for the wanted recall.
-    Pivots are a bounded sample; every vector is indexed.  Long lists are cut
-    into blocks, and counts and local components leave a task instead of pairs.
+    always linked, and only the smallest id of each class is indexed.
+    ``shared_points`` finds how many of how many for the wanted recall.  Vectors
+    that share m of L points share one of the L - m + 1 rarest of both, so only
+    those lists hold a vector.  Pivots are a bounded sample; every vector is
+    indexed.  Long lists are cut into blocks, and counts and local components
+    leave a task instead of pairs.
 
     A vector that is null, empty, zero, or holds null or non-finite components
     links with nothing, and so do vectors of different lengths with each other.
@@ -181,38 +191,57 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     for row in reps.groupBy("dims").count().orderBy("dims").collect():
         dims, n = row["dims"], row["count"]
         points, others = pivots(reps, dims, n)
-        length = prefix_length(points, others, cosine)
+        length, shared = shared_points(points, others, cosine)
 
         def describe(batches: Iterator[pa.RecordBatch], points: np.ndarray = points, length: int = length, dims: int = dims) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
                     data = part.column(2).to_pylist()
-                    sims = _unit(data, dims) @ points.T
-                    prefix = np.argpartition(-sims, length - 1, axis=1)[:, :length].astype(np.int32)
+                    prefix = nearest(_unit(data, dims), points, length).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [*[part.column(k) for k in range(2)], pa.array([_packed(d) for d in data], pa.binary()), pa.array(list(prefix), pa.list_(pa.int32()))],
                         names=["rep", "copies", "data", "prefix"])
 
         described = stored(reps.filter(F.col("dims") == dims).select("rep", "copies", "data").mapInArrow(
             describe, "rep long, copies long, data binary, prefix array<int>"), "described")
-        sizes = described.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).filter("n > 1")
-        posted = described.select(F.explode("prefix").alias("pivot"), "rep", "copies", "data", "prefix")
-        posted = in_blocks(posted, sizes, ["pivot"], "rep", LIST_BLOCK).select("pivot", "i", "j", "mine", "rep", "copies", "data", "prefix")
-
-        def compare(batches: Iterator[pa.RecordBatch], dims: int = dims) -> Iterator[pa.RecordBatch]:
+        # Pivots by rarity: at most PIVOTS[1] numbers.
+        held = {r["pivot"]: r["n"] for r in described.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+        rank = np.empty(len(points), dtype=np.int64)
+        rank[sorted(range(len(points)), key=lambda p: (held.get(p, 0), p))] = np.arange(len(points))
+        ranks = F.lit(rank.tolist()).cast("array<int>")
+        listed = described.select("rep", F.transform("prefix", lambda p: F.element_at(ranks, p + 1)).alias("prefix"))
+        posted = listed.select(F.explode(F.slice(F.array_sort("prefix"), 1, length - shared + 1)).alias("pivot"), "rep", "prefix")
+        posted = posted.withColumn("pivot", F.col("pivot").cast("long"))
+        sizes = posted.groupBy("pivot").agg(F.count("*").alias("n")).filter("n > 1")
+        posted = in_blocks(posted, sizes, ["pivot"], "rep", LIST_BLOCK).select("pivot", "i", "j", "mine", "rep", "prefix")
+
+        def count(batches: Iterator[pa.RecordBatch], shared: int = shared) -> Iterator[pa.RecordBatch]:
             for g in sorted_groups(batches, 3):
                 if g.num_rows < 2:
                     continue
                 key, i, j = (g.column(k)[0].as_py() for k in range(3))
-                ids, copies = g.column(4).to_numpy(), g.column(5).to_numpy().astype(np.float64)
-                prefixes = np.array(g.column(7).to_pylist(), dtype=np.int64)
-                linked, label = _block_links(_unit(g.column(6).to_pylist(), dims), prefixes, ids, g.column(3).to_numpy(), i == j, key, copies, cosine)
+                some = _candidates(_ranks(g.column(5)), g.column(3).to_numpy(), i == j, key, shared).any(axis=1)
+                if some.any():
+                    yield from g.filter(pa.array(some)).combine_chunks().to_batches()
+
+        group = ["pivot", "i", "j"]
+        near = stored(posted.mapInArrow(count, "pivot long, i long, j long, mine long, rep long, prefix array<int>"), "candidates")
+        fetched = near.join(described.select("rep", "copies", "data"), "rep").repartition(*group).sortWithinPartitions(*group)
+
+        def compare(batches: Iterator[pa.RecordBatch], dims: int = dims, shared: int = shared) -> Iterator[pa.RecordBatch]:
+            for g in sorted_groups(batches, 3):
+                key, i, j = (g.column(k)[0].as_py() for k in range(3))
+                ids, copies = g.column(4).to_numpy(), g.column(6).to_numpy().astype(np.float64)
+                links = _candidates(_ranks(g.column(5)), g.column(3).to_numpy(), i == j, key, shared)
+                unit = _unit(g.column(7).to_pylist(), dims)
+                links &= unit @ unit.T >= cosine
+                linked, label = links @ copies, least_labels(links, ids)
                 some = linked > 0
                 if some.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some].astype(np.int64)), pa.array(label[some])], names=["rep", "linked", "least"])
 
-        found = stored(posted.mapInArrow(compare, "rep long, linked long, least long"), "links")
+        found = stored(fetched.select(*group, "mine", "rep", "prefix", "copies", "data").mapInArrow(compare, "rep long, linked long, least long"), "links")
         some_counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
         some_edges = found.filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
         counts = some_counts if counts is None else counts.union(some_counts)
