@@ -446,6 +446,16 @@ def test_warc(spark):
     assert warc.read_archives(none).count() == 0
 
 
+def test_warc_dictionary(spark):
+    """Headers of responses and revisits are learnt; the sample is bounded although ids are null."""
+    pages = spark.range(12000).selectExpr("cast(null as long) AS page_id", "concat('http://host/', id) AS url", "concat('page ', id % 400, ' ', sha1(string(id % 400))) AS html")
+    rows = warc.roles(pages.withColumn("page_id", F.expr("cast(substr(url, 13) as long)")), id_col="page_id", payload_col="html", least_bytes=0)
+    words = warc.build_dictionary(rows, 12000, "1970-01-01T00:00:00Z")
+    assert b"WARC-Payload-Digest: sha1:" in words and b"WARC-Profile: " in words
+    unknown = warc.roles(pages, id_col="page_id", payload_col="html", least_bytes=0)
+    assert 0 < len(warc.build_dictionary(unknown, 12000, "1970-01-01T00:00:00Z")) <= warc.DICTIONARY
+
+
 def test_viterbi():
     rng = np.random.default_rng(2)
     for k in (2, 3):

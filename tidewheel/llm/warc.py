@@ -1,6 +1,6 @@
 """WARC archives compressed record by record with a shared Zstandard dictionary.
 
-The dictionary is built from a bounded sample of the payloads and stands in a
+The dictionary is built from a bounded sample of the records and stands in a
 skippable frame at the head of each archive, so an archive is read without
 anything else and any record can be decompressed by itself.
 """
@@ -32,21 +32,6 @@ ARCHIVE_BYTES = 256 << 20   # a task starts a new archive beyond this
 READ = 1 << 20
 
 
-def build_dictionary(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html") -> bytes:
-    """A Zstandard dictionary of about SAMPLE payloads, drawn by a hash of the id; empty if there is nothing to learn."""
-    million = 1_000_000
-    share = min(million, int(million * SAMPLE / max(pages.count(), 1)) + 1)
-    drawn = pages.filter(F.pmod(F.xxhash64(id_col), F.lit(million)) < share).select(
-        F.substring(F.encode(F.col(payload_col), "UTF-8"), 1, SAMPLE_BYTES).alias("p"))
-    samples = [bytes(r["p"]) for r in drawn.collect() if r["p"]]
-    if not samples:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, samples)) // 4)), samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their bytes serve as they are
-        return b"".join(samples)[-DICTIONARY:]
-
-
 def _urn(page: int | None) -> str:
     return f"<urn:page:{'' if page is None else page}>"
 
@@ -79,6 +64,26 @@ def roles(pages: DataFrame, *, id_col: str, payload_col: str, least_bytes: int)
         "page_id", "url", "payload", "digest", F.when(F.octet_length("payload") >= least_bytes, F.col("first")).alias("first"))
 
 
+def build_dictionary(rows: DataFrame, n_rows: int, date: str) -> bytes:
+    """A Zstandard dictionary of about SAMPLE records, at most four times as many, drawn by a hash; empty if there are none.
+
+    ``rows`` are those of ``roles``.  Samples are records as they are archived, headers
+    and revisits included; of a payload, SAMPLE_BYTES bytes.
+    """
+    million = 1_000_000
+    share = min(million, int(million * SAMPLE / max(n_rows, 1)) + 1)
+    drawn = rows.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(million)) < share).limit(4 * SAMPLE).select(
+        "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "digest", "first")
+    samples = [record(r["page_id"], r["url"], bytes(r["payload"]), base64.b32encode(r["digest"]).decode(), r["first"],
+                      r["first"] is not None and r["first"] != r["page_id"], date) for r in drawn.collect()]
+    if not samples:
+        return b""
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, samples)) // 4)), samples).as_bytes()
+    except zstandard.ZstdError:  # too few samples to train on: their bytes serve as they are
+        return b"".join(samples)[-DICTIONARY:]
+
+
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0,
                    date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write one record per row below ``folder``, a place all executors share; returns (path, records, bytes) per archive.
@@ -90,7 +95,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", pa
     its payload has an id.  An archive that a lost task leaves is in no
     returned row.
     """
-    dictionary = build_dictionary(pages, id_col=id_col, payload_col=payload_col)
+    rows = roles(pages, id_col=id_col, payload_col=payload_col, least_bytes=least_bytes)
+    dictionary = build_dictionary(rows, pages.count(), date)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pyarrow.fs.FileSystem.from_uri(folder)
@@ -120,7 +126,6 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", pa
                                               pa.array([d[2] for d in done], pa.int64())], names=["path", "records", "bytes"])
     fs, top = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(top, recursive=True)
-    rows = roles(pages, id_col=id_col, payload_col=payload_col, least_bytes=least_bytes)
     return stored(rows.mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
