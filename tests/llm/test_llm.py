@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -133,7 +134,7 @@ def test_segments_meet():
     """Lines within the threshold share a probed segment."""
     rng = random.Random(2)
     for _ in range(500):
-        a = "".join(rng.choice("ab") for _ in range(rng.randint(40, 60)))
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(15, 60)))
         b = list(a)
         for _ in range(2):
             k = rng.randrange(len(b))
@@ -158,6 +159,39 @@ def test_line_dedup(spark):
     assert line_dedup.repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_brute_force(spark):
+    """Lines of 15 to 80 characters, edited, over documents that share ids."""
+    rng = random.Random(8)
+    known = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(13, 80))).strip() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            b = list(rng.choice(known))
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+                k = rng.randrange(len(b))
+                b[k:k + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+            lines.append(rng.choice(["", " ", "\t"]) + "".join(b) + rng.choice(["", " "]))
+        rows.append((i % 90, "\n".join(lines)))
+    seen = sorted({(i, k, x.strip()) for i, t in rows for k, x in enumerate(t.split("\n")) if len(x.strip()) >= 15})
+    texts = sorted({x for _, _, x in seen})
+    part = {x: x for x in texts}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+    for a, b in itertools.combinations(texts, 2):
+        if abs(len(a) - len(b)) <= 2 and root(a) != root(b) and edit_distance(a, b) <= 2:
+            part[root(a)] = root(b)
+    first = {}
+    for i, k, x in seen:
+        first.setdefault(root(x), (i, k))
+    want = collections.Counter((i, k, len(x), *first[root(x)]) for i, k, x in seen if first[root(x)] != (i, k))
+    got = collections.Counter(tuple(r) for r in line_dedup.repeated_lines(docs(spark, rows)).collect())
+    assert got == want and sum(want.values()) > 100
+
+
 def test_decontaminate(spark):
     items = spark.createDataFrame([(1, "If Anna has 12 apples and buys 5 km of rope, how many apples does Anna have now in total?"), (2, None), (3, ""),
                                    (4, "A shop sells 40 red pens. Then Bob buys 7 of them for 3 dollars each today.")], "item_id long, text string")
@@ -504,10 +538,10 @@ def test_keys_follow_probes():
     from tidewheel.llm._words import RangeHash, mix
     rng = np.random.default_rng(0)
     points = rng.integers(97, 100, 4000).astype(np.uint32)
-    start, size = np.array([0, 100, 1000, 2500]), np.array([40, 41, 97, 300])
+    start, size = np.array([0, 100, 1000, 2500, 3000]), np.array([15, 16, 41, 97, 300])
     ranges = RangeHash(points)
     line, key = line_dedup._keys(ranges, start, size, 2)
-    for k in range(4):
+    for k in range(5):
         want = {int(mix(ranges(np.array([start[k] + p]), np.array([start[k] + p + n])) + np.uint64(indexed * 64 + i))[0])
-                for indexed in range(max(40, size[k] - 2), size[k] + 1) for i, p, n in line_dedup.probes(int(size[k]), int(indexed), 2)}
+                for indexed in range(max(15, size[k] - 2), size[k] + 1) for i, p, n in line_dedup.probes(int(size[k]), int(indexed), 2)}
         assert {int(x) for x in key[line == k]} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.session import scratch_path
@@ -30,9 +30,13 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(table: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``table`` (stored, narrow rows), marked for broadcast if its counted rows are few; else left to a shuffle join."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+SMALL_BYTES = 64 << 20
+
+
+def small_side(table: DataFrame, width: Column | int = 64) -> DataFrame:
+    """``table`` (stored), marked for broadcast if its rows, of ``width`` bytes each, sum to SMALL_BYTES at most; else left to a shuffle join."""
+    size = table.count() * width if isinstance(width, int) else table.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(table) if size <= SMALL_BYTES else table
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,7 +21,6 @@ from tidewheel.llm._store import free_name, small_side, stored
 from tidewheel.llm._words import RangeHash, mix
 
 MIN_CHARS = 15        # shorter lines are never duplicates
-MIN_NEAR_CHARS = 40   # shorter lines are duplicates only when equal
 MAX_EDITS = 2
 BLOCK = 128           # lines of a bucket that one task compares with as many others
 
@@ -88,8 +87,11 @@ def probes(length: int, indexed: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(ranges: RangeHash, start: np.ndarray, size: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): every segment and probe of the lines, by their place in ``start``; ``probes`` for all lines at once."""
+def _keys(ranges: RangeHash, start: np.ndarray, size: np.ndarray, edits: int, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): every segment and probe of the lines, by their place in ``start``; ``probes`` for all lines at once.
+
+    Lines of under ``least`` characters are not indexed.
+    """
     parts, line_parts, key_parts = edits + 1, [], []
     for more in range(edits + 1):
         indexed = size - more
@@ -101,7 +103,7 @@ def _keys(ranges: RangeHash, start: np.ndarray, size: np.ndarray, edits: int) ->
             lo = np.maximum(np.maximum(p - left, p + more - right), 0)
             hi = np.minimum(np.minimum(p + left, p + more + right), size - n)
             for off in range(2 * edits + 1):
-                here = np.flatnonzero((lo + off <= hi) & (indexed >= MIN_NEAR_CHARS))
+                here = np.flatnonzero((lo + off <= hi) & (indexed >= least))
                 if not len(here):
                     break
                 at = start[here] + lo[here] + off
@@ -205,11 +207,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, line_no, n_chars, rep_doc_id, rep_line_no): one row per line that repeats an earlier one.
 
     Lines are split at line feeds and trimmed.  Lines of at least ``min_chars``
-    characters are duplicates when equal, and those of at least MIN_NEAR_CHARS
-    also when their edit distance is at most ``edits``; classes are connected
-    through such links.  The first line of a class, by (doc_id, line_no), is not
+    characters are duplicates when their edit distance is at most ``edits``;
+    classes are connected through such links.  The first line of a class, by (doc_id, line_no), is not
     reported.  Documents without id, and null or empty texts, report nothing.
-    Rows that repeat an id and a text are one document.  Any other columns are
+    Rows that repeat an id and a text are one document; different texts of one id
+    count their lines each on its own.  Any other columns are
     ignored; an empty table gives an empty result.
     """
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -225,10 +227,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 ranges = RangeHash(points)
                 h1 = ranges(start, end)
                 h2 = RangeHash(points ^ np.uint32(0x2A5F13))(start, end)
-                near = np.flatnonzero(end - start >= MIN_NEAR_CHARS)
-                line, key = _keys(ranges, start[near], (end - start)[near], edits)
-                counts = np.zeros(len(start), dtype=np.int64)
-                counts[near] = np.bincount(line, minlength=len(near)) if len(near) else 0
+                line, key = _keys(ranges, start, end - start, edits, min_chars)
+                counts = np.bincount(line, minlength=len(start))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first + text]), pa.array(number.astype(np.int32)), pa.array((end - start).astype(np.int64)),
@@ -244,18 +244,29 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def line_texts(nodes: DataFrame) -> DataFrame:
         wanted = stored(firsts.join(nodes, "h1").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1")).alias("wanted")), "wanted")
-        found = base.join(small_side(wanted), "doc_id").select("doc_id", "text", "wanted")
+        found = base.join(small_side(wanted, F.lit(32) + 24 * F.size("wanted")), "doc_id").select("doc_id", "text", "wanted")
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def checked(hashes: list[int], lines: list[str]) -> pa.RecordBatch:
+                # Another text of the same id may have another line in that place.
+                points, at = _code_points(lines)
+                same = pa.array(RangeHash(points)(at[:-1], at[1:]).view(np.int64) == np.array(hashes, dtype=np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string())], names=["h1", "line"]).filter(same)
+
             for batch in batches:
-                got: tuple[list, list] = ([], [])
-                for text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    lines = text.split("\n") if text is not None else []
-                    for w in want:
+                hashes, found, total = [], [], 0
+                for text, want in zip(batch.column(1), batch.column(2), strict=True):
+                    lines = (text.as_py() or "").split("\n")
+                    for w in want.as_py():
                         if w["line_no"] < len(lines):
-                            got[0].append(w["h1"])
-                            got[1].append(lines[w["line_no"]].strip(" \t\n\v\f\r"))
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.string())], names=["h1", "line"])
+                            hashes.append(w["h1"])
+                            found.append(lines[w["line_no"]].strip(" \t\n\v\f\r"))
+                            total += len(found[-1])
+                            if total > 1 << 20:
+                                yield checked(hashes, found)
+                                hashes, found, total = [], [], 0
+                if found:
+                    yield checked(hashes, found)
 
         return stored(found.mapInArrow(fetch, "h1 long, line string").distinct(), "texts")
 
