@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import components
-from tidewheel.llm._groups import in_blocks, least_labels, overlaps, sorted_groups
+from tidewheel.llm._groups import in_blocks, sorted_groups
 from tidewheel.llm._store import stored
 from tidewheel.llm._words import mix
 
 RECALL = 0.998        # share of pairs at the threshold that must be candidates
 TRIALS = 4000         # pairs drawn to find how many points they share
-PREFIX = 32           # points that describe a vector; a quarter of the pivots at most, at first
+PREFIX = 24           # points that describe a vector; a quarter of the pivots at most, at first
 PIVOTS = (32, 4096)   # at least and at most; between, twice the root of the number of vectors
 APART = 0.6           # no two pivots from the sample have a greater cosine
-LIST_BLOCK = 1024     # longer lists are compared block by block
+LIST_BLOCK = 2048     # longer lists are compared block by block
 
 
 def _parse(column: pa.Array) -> list[np.ndarray | None]:
@@ -154,15 +154,60 @@ def nearest(unit: np.ndarray, points: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(np.take_along_axis(sims, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _candidates(lists: np.ndarray, side: np.ndarray, diagonal: bool, key: int, shared: int) -> np.ndarray:
-    """Which pairs of a block share ``shared`` points, of which ``key`` is the rarest."""
-    out = overlaps(list(lists)) >= shared
-    if not diagonal:
-        out &= side[:, None] != side[None, :]
-    np.fill_diagonal(out, False)
-    # Ranks are by rarity, so a pair that shares a lower one belongs to another list.
-    low = overlaps([row[row < key] for row in lists])
-    return out & (low == 0)
+def _candidates(lists: np.ndarray, one: np.ndarray, two: np.ndarray, key: int, shared: int) -> np.ndarray:
+    """Which rows ``one`` share ``shared`` points with which rows ``two``, of which ``key`` is the rarest.
+
+    Ranks are by rarity, so a pair that shares a lower one than ``key`` belongs
+    to another list: such a point takes away more than all others add.  Points
+    with few rows are counted pair by pair, others as a product of 0/1 rows.
+    """
+    width = lists.shape[1]
+    sides = []
+    for rows in (one, two):
+        held = lists[rows].ravel()
+        order = np.argsort(held, kind="stable")
+        sides.append((held[order], order // width))
+    (left, a), (right, b) = sides
+    both = np.intersect1d(left, right)
+    i, j, k, m = (np.searchsorted(x, both, end) for x in (left, right) for end in ("left", "right"))
+    adds = np.where(both >= key, 1, -width).astype(np.float32)
+    counts = np.zeros((len(one), len(two)), dtype=np.float32)
+    many = (j - i) * (m - k) > max(1, counts.size >> 11)
+    for at in np.flatnonzero(~many).tolist():
+        counts[np.ix_(a[i[at]:j[at]], b[k[at]:m[at]])] += adds[at]
+    some = np.flatnonzero(many)
+    for lo in range(0, len(some), 1024):
+        part = some[lo:lo + 1024]
+        x, y = (np.zeros((n, len(part)), dtype=np.float32) for n in counts.shape)
+        for c, at in enumerate(part.tolist()):
+            x[a[i[at]:j[at]], c] = 1
+            y[b[k[at]:m[at]], c] = adds[at]
+        counts += x @ y.T
+    out = counts >= shared
+    if one is two:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _sides(side: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to compare with each other: all of a block, or one block's with another's."""
+    if i == j:
+        rows = np.arange(len(side))
+        return rows, rows
+    return np.flatnonzero(side == i), np.flatnonzero(side == j)
+
+
+def _linked(unit: np.ndarray, one: np.ndarray, two: np.ndarray, candidates: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows among ``candidates`` whose cosine is at least ``cosine``."""
+    if candidates.mean() > 0.05:
+        a, b = np.nonzero(candidates & (unit[one] @ unit[two].T >= cosine))
+        return one[a], two[b]
+    a, b = np.nonzero(candidates)
+    near = np.zeros(len(a), dtype=bool)
+    for lo in range(0, len(a), 1 << 15):
+        some = slice(lo, lo + (1 << 15))
+        near[some] = np.einsum("ij,ij->i", unit[one[a[some]]], unit[two[b[some]]]) >= cosine
+    return one[a[near]], two[b[near]]
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -221,7 +266,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
                 if g.num_rows < 2:
                     continue
                 key, i, j = (g.column(k)[0].as_py() for k in range(3))
-                some = _candidates(_ranks(g.column(5)), g.column(3).to_numpy(), i == j, key, shared).any(axis=1)
+                one, two = _sides(g.column(3).to_numpy(), i, j)
+                met = _candidates(_ranks(g.column(5)), one, two, key, shared)
+                some = np.zeros(g.num_rows, dtype=bool)
+                some[one[met.any(axis=1)]] = some[two[met.any(axis=0)]] = True
                 if some.any():
                     yield from g.filter(pa.array(some)).combine_chunks().to_batches()
 
@@ -233,10 +281,18 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
             for g in sorted_groups(batches, 3):
                 key, i, j = (g.column(k)[0].as_py() for k in range(3))
                 ids, copies = g.column(4).to_numpy(), g.column(6).to_numpy().astype(np.float64)
-                links = _candidates(_ranks(g.column(5)), g.column(3).to_numpy(), i == j, key, shared)
-                unit = _unit(g.column(7).to_pylist(), dims)
-                links &= unit @ unit.T >= cosine
-                linked, label = links @ copies, least_labels(links, ids)
+                one, two = _sides(g.column(3).to_numpy(), i, j)
+                met = _candidates(_ranks(g.column(5)), one, two, key, shared)
+                a, b = _linked(_unit(g.column(7).to_pylist(), dims), one, two, met, cosine)
+                if i != j:
+                    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+                linked, label = np.bincount(a, weights=copies[b], minlength=len(ids)), ids.copy()
+                while True:
+                    new = label.copy()
+                    np.minimum.at(new, a, label[b])
+                    if (new == label).all():
+                        break
+                    label = new
                 some = linked > 0
                 if some.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some].astype(np.int64)), pa.array(label[some])], names=["rep", "linked", "least"])
