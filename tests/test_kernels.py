@@ -207,6 +207,24 @@ def test_linkages_by_brute_force():
         assert {frozenset(i for i in range(9) if labels[i] == lb) for lb in set(labels)} == three
 
 
+def test_ward_in_rounds(spark):
+    """Rounds of mutual nearest clusters cut like one merge at a time; equal profiles; a far pair that meets early and is parted."""
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(size=(150, 3)) + 9 * rng.integers(0, 3, size=(150, 1)), [[400, 0, 0], [460, 0, 0]]])
+    pts = np.concatenate([pts, pts[:40], pts[:40]])
+    rows = spark.createDataFrame([(1000 - i, *map(float, p)) for i, p in enumerate(pts)], "symbol_id long, a double, b double, c double")
+    whole = {tuple(r) for r in C.ward_labels(rows, ["a", "b", "c"], 6).collect()}
+    assert {tuple(r) for r in C.ward_labels(rows, ["a", "b", "c"], 6, few=50).collect()} == whole
+
+
+def test_profiles_of_many_symbols(spark):
+    n = C.MAX_ITEMS + 500
+    panel = spark.range(n).select(F.col("id").alias("symbol_id"), F.lit(0).alias("date_id"), F.lit(0).alias("time_id"),
+                                  ((F.col("id") % 3) * 10 + (F.col("id") % 50) / 100).alias("a"))
+    got = {r.symbol_id: r.cluster for r in C.profile_clusters(panel, ["a"], 3).collect()}
+    assert len(got) == n and all(c == s % 3 + 1 for s, c in got.items())
+
+
 def test_greedy_pick_cap():
     corr = np.array([[1, 0.9, 0.1], [0.9, 1, 0.2], [0.1, 0.2, 1]])
     assert S.greedy_pick(["a", "b", "c"], corr, 2, 0.6) == ["a", "c"]
