@@ -225,6 +225,20 @@ def test_profiles_of_many_symbols(spark):
     assert len(got) == n and all(c == s % 3 + 1 for s, c in got.items())
 
 
+def test_combo_equal_to_a_parent_does_not_beat_it(spark):
+    """The larger of columns that never cross is the larger column, in whatever order its rows are summed."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 6)) + 20 * np.arange(6)
+    rows = spark.createDataFrame([(*map(float, v), float(y)) for v, y in zip(x, x.sum(axis=1) + rng.normal(size=4000))], "a double, b double, c double, d double, e double, f double, y double")
+
+    def shuffled(batches):
+        import random
+        for pdf in batches:
+            yield pdf.sample(frac=1, random_state=random.SystemRandom().randrange(2**31))
+    found = S.combo_screen(rows.mapInPandas(shuffled, rows.schema), list("abcdef"), "y").collect()
+    assert not [r["label"] for r in found if r["op"] in ("min", "max")]
+
+
 def test_greedy_pick_cap():
     corr = np.array([[1, 0.9, 0.1], [0.9, 1, 0.2], [0.1, 0.2, 1]])
     assert S.greedy_pick(["a", "b", "c"], corr, 2, 0.6) == ["a", "c"]
