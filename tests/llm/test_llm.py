@@ -345,6 +345,15 @@ def test_licenses_of_headers_and_files(spark):
     assert got["w/3"].license is None
 
 
+def test_licenses_of_long_units(spark):
+    """A license over and over in one line is many times as long as any template, and has its cosine."""
+    longest = max(len(t.split()) for _, t in licenses.TEMPLATES)
+    texts = [" ".join([t] * (5 * longest // len(t.split()) + 1)) for t in ("Released under the MIT License.", licenses._APACHE)]
+    files = spark.createDataFrame([(k, f"a/{k}", t) for k, t in enumerate([*texts, " ".join(["code"] * 9 * longest)])], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scan(files, id_col="doc_id", path=F.col("path")).collect()}
+    assert got == {0: "MIT", 1: "Apache-2.0", 2: None}
+
+
 def test_licenses_awkward(spark):
     """Empty tables, repeated ids with different texts, null ids, a text of blank lines only."""
     files = spark.createDataFrame([(1, "a/x", "nothing"), (1, "a/y", "Released under the MIT License."), (None, "a/z", "Released under the MIT License."),

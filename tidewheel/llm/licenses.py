@@ -81,7 +81,7 @@ def _templates() -> list[tuple[str, str]]:
 
 TEMPLATES = _templates()
 COSINE = 0.8
-LENGTH = 2      # a unit of more words than this times the longest template states nothing
+LENGTH = 2      # the SQL of the query weighs no unit of more words than this times the longest template; here all are weighed
 BLANK = "\n[^A-Za-z0-9\n]*\n"                                                     # between blocks
 COPYRIGHT = r"(^|\n)[^A-Za-z0-9\n]*[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt] [^\n]*"   # whose work it is says nothing of the license
 
@@ -137,11 +137,10 @@ def statements(files: DataFrame, templates: list[tuple[str, str]] | None = None,
     norm = w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = stored(w.join(norm, "template").select("template", "license", "term", "idf", (F.col("w") / F.col("norm")).alias("weight")), "templates")
     keys = key_terms(weights, least)
-    longest = rows.agg(F.max(F.size("words"))).first()[0] * LENGTH
     unit = ["id", "version", "kind", "pos", "last"]
     some = stored(split.filter(F.exists("words", lambda w: w.isin(keys))).select("id").distinct(), "candidates")
     few = units(files.join(small_side(some), "id", "left_semi"))
-    few = few.filter(F.exists(F.array("words"), lambda w: (F.size(w) <= longest) & F.exists(w, lambda y: y.isin(keys))))  # split once
+    few = few.filter(F.exists(F.array("words"), lambda w: F.exists(w, lambda y: y.isin(keys))))  # split once
     counted = stored(few.select(*unit, F.explode("words").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf")), "unit-terms", "zstd")
     weighed = counted.join(df, "term", "left").select(*unit, "term", (F.col("tf") * idf).alias("w"))
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -163,9 +162,8 @@ def scan(files: DataFrame, *, id_col: str, path: Column, text_col: str = "text",
     several has the most frequent license, ties by name.  A file without a
     license of its own inherits from the nearest directory above it that has one.
 
-    Null and empty texts state nothing, and no unit does that is much longer than the
-    longest template (``LENGTH``); a file with a null path inherits
-    nothing; rows that repeat an id share their statements, and rows without id
+    Null and empty texts state nothing; units of any length are weighed; a file
+    with a null path inherits nothing; rows that repeat an id share their statements, and rows without id
     state nothing.  Other columns are ignored.
     """
     base = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
