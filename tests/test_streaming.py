@@ -1,6 +1,7 @@
 """Streams against their batch twins, late rows and retries."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from tidewheel.session import scratch_path
 from tidewheel.operators.lags import previous_day
 from tidewheel.streaming.daily import (DayRoll, active_symbols, feed_labels, late_rows, market_average_stream,
                                        previous_day_stream, roll_days, with_market_average)
-from tidewheel.streaming.replay import read_rounds, run_to_table, write_rounds
+from tidewheel.streaming.calibrator import TrailingCalibrator
+from tidewheel.streaming.replay import read_rounds, run_to_table, write_drop, write_rounds
 from tidewheel.streaming.rolling import ENGINES, rolling_stream
 from tidewheel.streaming.serve import Server
 
@@ -192,3 +194,46 @@ def test_rolling_state_is_fast(spark):
     for _ in range(200):
         op._push(rng.normal(size=(120, 4)))
     assert 24_000 / (time.process_time() - began) > 20_000
+
+
+def test_drops_of_several_files_stay_whole(spark):
+    """A drop with fewer rows than files is padded, so that no micro-batch takes files of the next drop."""
+    path = scratch_path(spark, "drops")
+    for lo, hi in ((0, 1), (1, 400)):
+        write_drop(spark.range(lo, hi), path, 4)
+    seen = []
+    (read_rounds(spark, path, spark.range(1).schema, 4).writeStream.foreachBatch(lambda b, _: seen.append(b.count()))
+     .option("checkpointLocation", scratch_path(spark, "drops-ckpt")).trigger(availableNow=True).start().awaitTermination())
+    assert seen == [1, 399]
+
+
+def test_calibrator_reads_and_writes_its_state_once_a_batch():
+    """Any number of dates: one read and one write; sums and waiting rows as row by row; the last of repeated labels counts."""
+    class Kept:
+        value, reads, writes = None, 0, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.writes += 1
+            self.value = value
+    rng = np.random.default_rng(2)
+    rows = [(d, t, float(rng.random() + 0.1), float(rng.normal()), float(rng.normal())) for d in range(30) for t in range(4) if rng.random() < 0.8]
+    preds = [(1, d, t, 1, d, w, p, None) for d, t, w, p, _ in rows]
+    labels = [(1, d, t, 0, d + 1, None, None, v) for d, t, _, _, y in rows for v in (0.0, y)]
+    events = pd.DataFrame(preds + labels, columns=["symbol_id", "date_id", "time_id", "kind", "due", "w", "pred", "y"])
+    c = TrailingCalibrator(5, 6, 3.0)
+    c.state = Kept()
+    out = pd.concat([o for part in (events[events.due <= 13], events[events.due > 13]) for o in c.handleInputRows((1,), iter([part]), None)])
+    assert c.state.reads == 1 and c.state.writes == 2 and len(out) == len(rows)
+    for d, t, _, p, _ in rows:
+        past = [(w, q, y) for e, _, w, q, y in rows if d - 5 <= e < d]
+        pp = sum(w * q * q for w, q, _ in past)
+        want = min(max((sum(w * q * y for w, q, y in past) / (pp + 1e-12) + 3.0) / 4.0, 0.0), 1.5) if len(past) >= 6 else 1.0
+        got = out[(out.date_id == d) & (out.time_id == t)]
+        assert abs(got.alpha.item() - want) < 1e-9 and abs(got.pred.item() - p * want) < 1e-9

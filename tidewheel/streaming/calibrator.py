@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from tidewheel.names import DATE, KEYS, SYMBOL, TIME
 from tidewheel.operators.ensemble import ALPHA_RANGE, LOOKBACK_DATES, MIN_HISTORY_ROWS, RIDGE
@@ -30,74 +30,72 @@ def calibration_events(preds: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class TrailingCalibrator(StatefulProcessor):
-    """State per symbol and date: predictions waiting for labels, and daily sums.
+    """State per symbol: daily sums, and predictions that wait for labels.
 
-    A date's waiting rows are one state entry (at most one day of steps, in
-    numpy), so state is touched per date and micro-batch, not per row.  Dates
-    before the lookback go, waiting rows included: a label that comes later
-    could not count any more.
+    Both are tables in numpy, so a symbol's state is read and written once a
+    micro-batch and its rows are matched at once.  Dates before the lookback
+    go, waiting rows included: a label that comes later could not count any more.
     """
 
     def __init__(self, lookback: int, min_rows: int, ridge: float) -> None:
         self.lookback, self.min_rows, self.ridge = lookback, min_rows, ridge
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        date = StructType([StructField(DATE, IntegerType())])
-        self.waiting = handle.getMapState("waiting", date, StructType([StructField("rows", BinaryType())]))
-        self.days = handle.getMapState("days", date, StructType([
-            StructField("n", LongType()), StructField("py", DoubleType()), StructField("pp", DoubleType())]))
-
-    def _held(self, date: int) -> np.ndarray:
-        """(time, weight, prediction) rows of a date."""
-        if not self.waiting.containsKey((date,)):
-            return np.zeros((0, 3))
-        return np.frombuffer(bytes(self.waiting.getValue((date,))[0])).reshape(-1, 3)
-
-    def _hold(self, date: int, rows: np.ndarray) -> None:
-        if len(rows):
-            self.waiting.updateValue((date,), (rows.tobytes(),))
-        elif self.waiting.containsKey((date,)):
-            self.waiting.removeKey((date,))
-
-    def _learn(self, date: int, times: np.ndarray, y: np.ndarray) -> None:
-        held = self._held(date)
-        order = np.argsort(times, kind="stable")
-        times, y = times[order], y[order]
-        at = np.minimum(np.searchsorted(times, held[:, 0], side="right") - 1, len(times) - 1)
-        known = (at >= 0) & (times[at] == held[:, 0])  # the last of repeated labels counts
-        if not known.any():
-            return
-        (_, w, p), label = held[known].T, y[at[known]]
-        n, py, pp = self.days.getValue((date,)) if self.days.containsKey((date,)) else (0, 0.0, 0.0)
-        self.days.updateValue((date,), (int(n) + len(p), float(py) + float((w * p * label).sum()), float(pp) + float((w * p * p).sum())))
-        self._hold(date, held[~known])
-
-    def _alpha(self, date: int) -> float:
-        n, py, pp = 0, 0.0, 0.0
-        for (day,) in [key for key in self.waiting.keys() if key[0] < date - self.lookback]:
-            self.waiting.removeKey((day,))
-        for (day,), (dn, dpy, dpp) in list(self.days.iterator()):
-            if day < date - self.lookback:
-                self.days.removeKey((day,))
-            elif day < date:
-                n, py, pp = n + dn, py + dpy, pp + dpp
-        if n < self.min_rows or pp <= 0:
-            return 1.0
-        alpha = (py / (pp + 1e-12) + self.ridge) / (1.0 + self.ridge)
-        return min(max(alpha, ALPHA_RANGE[0]), ALPHA_RANGE[1])
+        self.state = handle.getValueState("kept", StructType([StructField("days", BinaryType()), StructField("waiting", BinaryType())]))
+
+    def _kept(self) -> tuple[np.ndarray, np.ndarray]:
+        """(date, rows, sum w p y, sum w p^2) per date, and (date, time, weight, prediction) of waiting rows."""
+        days, waiting = self.state.get() if self.state.exists() else (b"", b"")
+        return np.frombuffer(bytes(days)).reshape(-1, 4), np.frombuffer(bytes(waiting)).reshape(-1, 4)
+
+    def _match(self, held: np.ndarray, since: np.ndarray, labels: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each held row whether a label came after it, and which: the first due, of that the last repeated one."""
+        if not len(held) or not len(labels):
+            return np.zeros(len(held), dtype=bool), np.zeros(len(held), dtype=np.int64)
+        dates, times = np.concatenate([held[:, :2], labels[:, :2]]).astype(np.int64).T
+        _, step = np.unique((dates << 32) + times, return_inverse=True)
+        moments, rank = np.unique(np.concatenate([since, due]), return_inverse=True)
+        place = step.ravel() * len(moments) + rank.ravel()
+        mine, theirs = place[:len(held)], place[len(held):]
+        order = np.argsort(theirs, kind="stable")
+        order = order[np.append(theirs[order][1:] != theirs[order][:-1], True)]
+        at = np.searchsorted(theirs[order], mine, side="right")
+        found = order[np.minimum(at, len(order) - 1)]
+        return (at < len(order)) & (theirs[found] // len(moments) == mine // len(moments)), found
+
+    def _alphas(self, dates: np.ndarray, day: np.ndarray, learned: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The factor of each date from the sums (n, py, pp) of earlier days, learned by then."""
+        at = dates[:, None]
+        counts = (learned <= at) & (day < at) & (day >= at - self.lookback)
+        n, py, pp = (np.where(counts, v, 0.0).sum(axis=1) for v in sums.T)
+        alpha = np.clip((py / (pp + 1e-12) + self.ridge) / (1.0 + self.ridge), *ALPHA_RANGE)
+        return np.where((n < self.min_rows) | (pp <= 0), 1.0, alpha)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["due", "kind", DATE, TIME], kind="stable")
-        out = []
-        for (due, kind), part in pdf.groupby(["due", "kind"], sort=True):
-            alpha = self._alpha(int(due)) if kind else 1.0
-            for d, day in part.groupby(DATE):
-                if kind == 0:
-                    self._learn(int(d), day[TIME].to_numpy(float), day["y"].to_numpy(float))
-                    continue
-                self._hold(int(d), np.vstack([self._held(int(d)), day[[TIME, "w", "pred"]].to_numpy(float)]))
-                out.append(pd.DataFrame({SYMBOL: key[0], DATE: int(d), TIME: day[TIME].to_numpy(), "alpha": alpha, "pred": day["pred"].to_numpy(float) * alpha}))
-        yield pd.concat(out) if out else pd.DataFrame([], columns=[*KEYS, "alpha", "pred"])
+        table = np.concatenate([np.column_stack([pdf[c].to_numpy(float) for c in (DATE, TIME, "w", "pred", "y", "due", "kind")]) for pdf in rows])
+        is_label = table[:, 6] == 0
+        days, waiting = self._kept()
+        labels, new = table[is_label], table[~is_label]
+        held = np.concatenate([waiting, new[:, :4]])
+        since = np.concatenate([np.full(len(waiting), -np.inf), new[:, 5]])
+        known, which = self._match(held, since, labels, labels[:, 5])
+        w, p, y = held[known, 2], held[known, 3], labels[which[known], 4] if len(labels) else np.zeros(0)
+        day = np.concatenate([days[:, 0], held[known, 0]])
+        learned = np.concatenate([np.full(len(days), -np.inf), labels[which[known], 5] if len(labels) else np.zeros(0)])
+        sums = np.concatenate([days[:, 1:], np.column_stack([np.ones(len(w)), w * p * y, w * p * p])])
+        left = held[~known]
+        if len(new):
+            dates, spot = np.unique(new[:, 5], return_inverse=True)
+            alpha = self._alphas(dates, day, learned, sums)[spot.ravel()]
+            yield pd.DataFrame({SYMBOL: key[0], DATE: new[:, 0].astype(np.int32), TIME: new[:, 1].astype(np.int32), "alpha": alpha, "pred": new[:, 3] * alpha})
+            fresh, left = day >= dates[-1] - self.lookback, left[left[:, 0] >= dates[-1] - self.lookback]
+            day, sums = day[fresh], sums[fresh]
+        kept, spot = np.unique(day, return_inverse=True)
+        total = np.zeros((len(kept), 3))
+        np.add.at(total, spot.ravel(), sums)
+        self.state.update((np.column_stack([kept, total]).tobytes(), np.ascontiguousarray(left).tobytes()))
+        if not len(new):
+            yield pd.DataFrame([], columns=[*KEYS, "alpha", "pred"])
 
     def close(self) -> None:
         pass
