@@ -119,7 +119,7 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     release()
 
 
-def words(column: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[Words]:
+def words(column: pa.Array, separators: np.ndarray = _SPACE, hashed: bool = True) -> Iterator[Words]:
     data, offsets = text_bytes(column)
     for lo, hi in chunks(offsets):
         raw = data[offsets[lo]:offsets[hi]]
@@ -136,7 +136,7 @@ def words(column: pa.Array, separators: np.ndarray = _SPACE) -> Iterator[Words]:
         bounds = np.searchsorted(start, at)
         per_text = np.diff(bounds)
         yield Words(lo, hi - lo, lowered, start, end, np.repeat(np.arange(hi - lo), per_text),
-                    RangeHash(lowered)(start, end), per_text)
+                    RangeHash(lowered)(start, end) if hashed else np.zeros(0, np.uint64), per_text)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

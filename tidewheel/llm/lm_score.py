@@ -1,12 +1,13 @@
 """Language-model scoring by context-tree weighting over binary-decomposed bytes.
 
-A text is its words, each ended by a space, and an end mark.  Each byte is
-eight binary decisions; a decision's node has a context tree over the bytes
-before it in the word, and every depth's Krichevsky-Trofimov estimate is mixed
-by the weights of the tree.  Counts come from all training words, are rolled up
-from the deepest contexts, and predictions are joined down again; no step holds
-the model in one place.  A word's code length follows from its bytes alone, so
-it is computed once per distinct word.
+A text runs through: its words, each ended by a space, and an end mark.  Each
+byte is eight binary decisions; a decision's node has a context tree over the
+bytes before it in the text, across spaces and into earlier words, and every
+depth's Krichevsky-Trofimov estimate is mixed by the weights of the tree.
+Counts come from all training texts, are rolled up from the deepest contexts,
+and predictions are handed down again; no step holds the model in one place.
+A byte's code length follows from it and the bytes before it, so it is computed
+once per distinct gram; frequent grams are looked up in place, others joined.
 """
 
 from __future__ import annotations
@@ -20,13 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._store import stored
-from tidewheel.llm._words import RangeHash, words
+from tidewheel.llm._words import RangeHash, Words, words
 
 DEPTH = 6                # context bytes
 HOT_WORDS = 500_000      # at most so many frequent words are sent to all tasks
+HOT_GRAMS = 2_000_000    # the same for grams
 HELD_WORDS = 100_000     # distinct words that a task counts before it passes them on
+HELD_GRAMS = 1_000_000   # grams likewise
+JOINED = 3               # depths up to here are joined; deeper ones lie within groups of contexts of so many bytes
+PART_GRAMS = 500_000     # grams of a group of contexts
+BLOCK_GRAMS = 50_000     # grams of whole contexts that are weighed together
+SLICE = 1 << 18          # bytes of running text whose grams are made together
 GROUP_WORDS = 100_000    # words whose contexts are looked up together
 SPACE, END = 0x20, 0x0A  # neither stands in a word
+PAD = 7                  # bytes before a gram's own in a word of 64 bits
 BITS = range(8)
 
 
@@ -45,23 +53,52 @@ def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+def _run(data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, begin of each word) of words in a row: each ended by a space, an empty one the end mark and what no context sees behind.
+
+    Seven spaces stand first, behind each end mark and, if words stand ``alone``, behind each word.
+    """
+    size = end - start
+    out = size + 1 + np.where((size == 0) | alone, PAD, 0)
+    first = np.cumsum(out) - out + PAD
+    run = np.full(int(out.sum()) + PAD, SPACE, dtype=np.uint8)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    run[np.repeat(first, size) + inside] = data[np.repeat(start, size) + inside]
+    run[first[size == 0]] = END
+    return run, first
+
+
+def _keys(run: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
+    """The grams of places ``lo`` to ``hi``: the byte itself lowest, the bytes before it above."""
+    wide = np.ndarray(hi - lo, dtype=">u8", buffer=run, offset=lo - PAD, strides=(1,))
+    return (wide & np.uint64(_mask(depth))).astype(np.int64)
+
+
 def grams(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, gram) of every byte to predict: the byte itself lowest, the bytes before it above.
+    """(word, gram) of every byte of words that stand alone.
 
     Words lie in ``data`` from ``at[k]`` to ``at[k + 1]``; an empty one is the end mark.
     """
-    size = np.diff(at)
-    out = size + (size > 0) + (size == 0)
-    word = np.repeat(np.arange(len(size)), out)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(out) - out, out)
-    first, n = at[:-1][word], size[word]
-    wide = np.concatenate([data, [0]]).astype(np.int64)
-    last = place == n
-    key = np.where(n == 0, END, np.where(last, SPACE, wide[np.minimum(first + place, len(data))]))
-    for back in range(1, depth + 1):
-        before = np.where(place >= back, wide[np.maximum(first + place - back, 0)], SPACE)
-        key = key | (before << (8 * back))
-    return word, key
+    run, first = _run(data, at[:-1], at[1:], alone=True)
+    size = np.diff(at) + 1
+    place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return np.repeat(np.arange(len(size)), size), _keys(run, PAD, len(run), depth)[place - PAD] if len(size) else np.zeros(0, np.int64)
+
+
+def text_grams(w: Words, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(how many, grams) of the texts, in order, in pieces of about SLICE bytes: every byte of each running text, contexts reaching over words."""
+    ends = np.cumsum(w.per_text)
+    start, end = np.insert(w.start, ends, 0), np.insert(w.end, ends, 0)  # an empty word ends each text
+    run, first = _run(w.lowered, start, end, alone=False)
+    last = first[ends + np.arange(w.count)]
+    begin = np.concatenate([[PAD], last[:-1] + PAD + 1])
+    for lo in range(PAD, len(run), SLICE):
+        hi = min(lo + SLICE, len(run))
+        many = np.maximum(np.minimum(last + 1, hi) - np.maximum(begin, lo), 0)
+        real = np.ones(hi - lo, dtype=bool)
+        behind = (last[:, None] + np.arange(1, PAD + 1)).ravel() - lo
+        real[behind[(behind >= 0) & (behind < hi - lo)]] = False
+        yield many, _keys(run, lo, hi, depth)[real]
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,22 +144,63 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def _gram_counts(counts: DataFrame, depth: int) -> DataFrame:
+class _Held:
+    """Sums per gram that a task keeps before it passes them on."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((key, n, c))
+        self.size += len(key)
+        if self.size > 2 * HELD_GRAMS:
+            self._merge()
+            if self.size > HELD_GRAMS:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        key, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        n, c = (np.bincount(at, weights=np.concatenate([p[k] for p in self.parts]), minlength=len(key)).astype(np.int64) for k in (1, 2))
+        self.parts, self.size = [(key, n, c)], len(key)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            key, n, c = self.parts[0]
+            for lo in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 100_000]) for x in (key, n, c)], names=["gram", "n", "c"])
+        self.parts, self.size = [], 0
+
+
+def _summed(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("c").cast("double").alias("c"))
+
+
+def text_gram_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(gram, n, c) from (text, train): bytes after their contexts in all texts and in those to learn from."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros(0)
+        held = _Held()
+        for batch in batches:
+            train = np.array(batch.column(1).to_pylist(), dtype=bool)
+            for w in words(batch.column(0), hashed=False):
+                for many, key in text_grams(w, depth):
+                    key = np.sort(key << 1 | np.repeat(train[w.first:w.first + w.count], many))
+                    starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])) if len(key) else np.zeros(0, np.int64)
+                    if len(starts):
+                        yield from held.add(key[starts] >> 1, np.diff(starts, append=len(key)), np.add.reduceat(key & 1, starts))
+        yield from held.flush()
+    return _summed(docs.select("text", "train").mapInArrow(run, "gram long, n long, c long"))
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["gram", "c"])
+
+def _word_gram_counts(counts: DataFrame, depth: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             word, key = grams(*_trimmed(batch.column(0)), depth)
-            c = batch.column(1).to_numpy().astype(np.float64)
-            keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([sums, c[word]]), minlength=len(keys))
-            if len(keys) > 500_000:
-                yield out()
-                keys, sums = np.zeros(0, np.int64), np.zeros(0)
-        yield out()
-    return counts.select("word", "c").mapInArrow(run, "gram long, c double").groupBy("gram").agg(F.sum("c").alias("c"))
+            yield from held.add(key, *(batch.column(k).to_numpy()[word] for k in (1, 2)))
+        yield from held.flush()
+    return _summed(counts.select("word", "n", "c").mapInArrow(run, "gram long, n long, c long"))
 
 
 def _trimmed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,56 +225,136 @@ def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _level(rows: DataFrame, deepest: bool) -> DataFrame:
-    """(gram, f0-f7, kt, own, seen) of one depth from (gram, c[, g0-g7]).
+def _nodes(gram: np.ndarray, c: np.ndarray, below: list[np.ndarray] | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(f, kt, own, seen) of the sorted grams of whole contexts of one depth, for each of the eight bits.
 
-    ``g`` holds the log probabilities of the subtrees below and ``f`` those of
-    this depth's, each node's value standing in the row of its least byte.
+    ``below`` holds the log probabilities of the subtrees below, None at the
+    deepest; ``f`` those of this depth's, each node's value standing in the row
+    of its least byte.  ``kt`` is the estimate of the bit, ``own`` this depth's
+    share of the mixture and ``seen`` whether the node has counts.
     """
-    names = ["gram", *[f"f{k}" for k in BITS], "kt", "own", "seen"]
+    f = []
+    kt, own, seen = (np.ones((len(gram), 8)) for _ in range(3))
+    for k in BITS:
+        node, child = gram >> (8 - k), gram >> (7 - k)
+        new, split = (np.concatenate([[True], x[1:] != x[:-1]]) for x in (node, child))
+        starts, inside = np.flatnonzero(new), np.cumsum(new) - 1
+        total = np.add.reduceat(c, starts)
+        # The child that begins a node, and the rest of it.
+        mine = np.add.reduceat(c, np.flatnonzero(split))[np.cumsum(split) - 1]
+        first = mine[starts]
+        estimate = kt_log(first, total - first)
+        value = estimate
+        if below is not None:
+            value = np.logaddexp(estimate, np.add.reduceat(below[k], starts)) - np.log(2)
+            own[:, k] = np.exp(np.minimum(estimate - np.log(2) - value, 0.0))[inside]
+        at = np.zeros(len(gram))
+        at[starts] = value
+        f.append(at)
+        kt[:, k] = (mine + 0.5) / (total[inside] + 1.0)
+        seen[:, k] = (total > 0)[inside]
+    return f, kt, own, seen
+
+
+def _lists(*parts: np.ndarray) -> list[pa.Array]:
+    return [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64())) for x in parts]
+
 
+def _level(rows: DataFrame, deepest: bool) -> DataFrame:
+    """(gram, f0-f7, kt, own, seen) of one depth from (gram, c[, g0-g7])."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_contexts(batches):
             gram, c = table.column("gram").to_numpy(), table.column("c").to_numpy()
-            f, kt, own, seen = [], [], [], []
-            for k in BITS:
-                node, child = gram >> (8 - k), gram >> (7 - k)
-                starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                inside = np.cumsum(np.concatenate([[True], node[1:] != node[:-1]])) - 1
-                branch_starts = np.flatnonzero(np.concatenate([[True], child[1:] != child[:-1]]))
-                branch = np.cumsum(np.concatenate([[True], child[1:] != child[:-1]])) - 1
-                total = np.add.reduceat(c, starts)[inside]
-                mine = np.add.reduceat(c, branch_starts)[branch]
-                estimate = kt_log(mine, total - mine)
-                value = estimate
-                if not deepest:
-                    below = np.add.reduceat(table.column(f"g{k}").to_numpy(), starts)[inside]
-                    value = np.logaddexp(estimate, below) - np.log(2)
-                least = np.zeros(len(gram), dtype=bool)
-                least[starts] = True
-                f.append(np.where(least, value, 0.0))
-                kt.append((mine + 0.5) / (total + 1.0))
-                own.append(np.ones(len(gram)) if deepest else np.exp(np.minimum(estimate - np.log(2) - value, 0.0)))
-                seen.append((total > 0).astype(np.float64))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(x).ravel()), 8).cast(pa.list_(pa.float64())) for x in (kt, own, seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), *[pa.array(x) for x in f], *lists], names=names)
+            f, *shares = _nodes(gram, c, None if deepest else [table.column(f"g{k}").to_numpy() for k in BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *[pa.array(x) for x in f], *_lists(*shares)], names=["gram", *[f"f{k}" for k in BITS], "kt", "own", "seen"])
     schema = "gram long, " + ", ".join(f"f{k} double" for k in BITS) + ", kt array<double>, own array<double>, seen array<double>"
     sorted_rows = rows.withColumn("context", F.shiftright("gram", 8)).repartition("context").sortWithinPartitions("gram").drop("context")
     return sorted_rows.mapInArrow(run, schema)
 
 
+def _mask(depth: int) -> int:
+    """The bits of a gram with so many bytes of context."""
+    return (1 << 8 * (depth + 1)) - 1
+
+
+def _blocks(gram: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole contexts of JOINED bytes, about BLOCK_GRAMS at a time."""
+    context = (gram & _mask(JOINED)) >> 8
+    order = np.argsort(context, kind="stable")
+    gram, c, context = gram[order], c[order], context[order]
+    lo = 0
+    while lo < len(gram):
+        hi = int(np.searchsorted(context, context[min(lo + BLOCK_GRAMS, len(gram)) - 1], side="right"))
+        at = np.argsort(gram[lo:hi])
+        yield gram[lo:hi][at], c[lo:hi][at]
+        lo = hi
+
+
+def _climb(gram: np.ndarray, c: np.ndarray, depth: int, keep: bool) -> tuple[list[tuple], tuple]:
+    """The levels below JOINED, deepest first, as (kt, own, seen, row above), and (gram, c, below) of depth JOINED."""
+    levels, below = [], None
+    for d in range(depth, JOINED, -1):
+        f, *shares = _nodes(gram, c, below)
+        gram, up = np.unique(gram & _mask(d - 1), return_inverse=True)
+        c = np.bincount(up, weights=c, minlength=len(gram))
+        below = [np.bincount(up, weights=x, minlength=len(gram)) for x in f]
+        if keep:
+            levels.append((*shares, up))
+    return levels, (gram, c, below)
+
+
+def _rolled_up(rows: DataFrame, depth: int) -> DataFrame:
+    """(gram, c, g0-g7) of depth JOINED from (part, gram, c) of the deepest."""
+    def up(table: pa.Table) -> pa.Table:
+        out = []
+        for gram, c in _blocks(table.column("gram").to_numpy(), table.column("c").to_numpy()):
+            _, (above, total, below) = _climb(gram, c, depth, keep=False)
+            out.append(pa.table({"gram": above, "c": total, **{f"g{k}": below[k] for k in BITS}}))
+        return pa.concat_tables(out)
+    return rows.groupBy("part").applyInArrow(up, "gram long, c double, " + ", ".join(f"g{k} double" for k in BITS))
+
+
+def _handed_down(rows: DataFrame, state: DataFrame, depth: int) -> DataFrame:
+    """(gram, logp) of the deepest grams from those and the state of depth JOINED, both with their part."""
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if not left.num_rows:
+            return pa.table({"gram": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
+        known = right.column("gram").to_numpy()
+        order = np.argsort(known)
+        given = [_matrix(right.column(x).combine_chunks()) for x in ("acc", "rem", "last")]
+        for gram, c in _blocks(left.column("gram").to_numpy(), left.column("c").to_numpy()):
+            levels, (above, _, _) = _climb(gram, c, depth, keep=True)
+            at = order[np.searchsorted(known, above, sorter=order)]
+            acc, rem, last = (x[at] for x in given)
+            for kt, own, seen, up in reversed(levels):
+                acc, rem, last = _taken(kt, own, seen, acc[up], rem[up], last[up])
+            out.append(pa.table({"gram": gram, "logp": np.log10(acc + rem * last).sum(axis=1)}))
+        return pa.concat_tables(out)
+    return rows.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(down, "gram long, logp double")
+
+
+def _taken(kt: np.ndarray, own: np.ndarray, seen: np.ndarray, acc: np.ndarray, rem: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A depth takes its share of what is still to give."""
+    new = seen > 0
+    return acc + rem * np.where(new, own * kt, last), np.where(new, rem * (1 - own), 0.0), np.where(new, kt, last)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, 8)
 
 
 def _down(levels: list[DataFrame]) -> DataFrame:
-    """(gram, logp) of the deepest grams: log10 probability of the byte after its context.
+    """(gram, acc, rem, last) of the deepest of these levels: what is given to the byte's bits so far, what is still to give, the last estimate.
 
     From the root down: each depth takes its share of what is still to give.  A
     node never seen leaves the rest to the estimate of the depth above it.
     """
     schema = "gram long, acc array<double>, rem array<double>, last array<double>"
 
+    def _state(gram: pa.Array, *parts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([gram, *_lists(*parts)], names=["gram", "acc", "rem", "last"])
+
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kt, own = _matrix(b.column(1)), _matrix(b.column(2))
@@ -204,38 +362,53 @@ def _down(levels: list[DataFrame]) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kt, own, seen, acc, rem, last = (_matrix(b.column(k)) for k in range(1, 7))
-            new = seen > 0
-            yield _state(b.column(0), acc + rem * np.where(new, own * kt, last), np.where(new, rem * (1 - own), 0.0), np.where(new, kt, last))
+            yield _state(b.column(0), *_taken(*(_matrix(b.column(k)) for k in range(1, 7))))
 
-    def _state(gram: pa.Array, *parts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([gram, *[pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64())) for x in parts]],
-                                          names=["gram", "acc", "rem", "last"])
     state = levels[0].select("gram", "kt", "own").mapInArrow(root, schema)
     for d in range(1, len(levels)):
         above = stored(state, f"state-{d}").withColumnRenamed("gram", "above")
-        here = levels[d].select("gram", "kt", "own", "seen").withColumn("above", F.col("gram").bitwiseAND(F.lit((1 << (8 * d)) - 1)))
+        here = levels[d].select("gram", "kt", "own", "seen").withColumn("above", F.col("gram").bitwiseAND(F.lit(_mask(d - 1))))
         state = here.join(above, "above").select("gram", "kt", "own", "seen", "acc", "rem", "last").mapInArrow(step, schema)
+    return state
+
+
+def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, logp) from (gram, n, c): log10 probability of the byte after its context, by the tree of all counts ``c``."""
+    if not 0 <= depth <= 6:
+        raise ValueError("a gram holds up to six bytes of context")
+    counts = stored(counts, "grams")
+    top, deep = min(depth, JOINED), None
+    rows = counts.select("gram", "c")
+    if depth > JOINED:
+        parts = max(1, -(-counts.count() // PART_GRAMS))
+        part = F.pmod(F.xxhash64(F.shiftright(F.col("gram").bitwiseAND(F.lit(_mask(JOINED))), 8)), F.lit(parts)).alias("part")
+        deep = rows.select(part, "gram", "c")
+        rows = stored(_rolled_up(deep, depth), f"rolled-{JOINED}")
+    levels: list[DataFrame] = []
+    for d in range(top, -1, -1):
+        level = stored(_level(rows, d == depth), f"level-{d}")
+        levels.insert(0, level)
+        if d:
+            kept = F.col("gram").bitwiseAND(F.lit(_mask(d - 1))).alias("gram")
+            rows = level.join(rows.select("gram", "c"), "gram").groupBy(kept).agg(F.sum("c").alias("c"), *[F.sum(f"f{k}").alias(f"g{k}") for k in BITS])
+            rows = stored(rows, f"rolled-{d - 1}")
+    state = _down(levels)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = _matrix(b.column(1)) + _matrix(b.column(2)) * _matrix(b.column(3))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log10(p).sum(axis=1))], names=["gram", "logp"])
-    return stored(state.mapInArrow(total, "gram long, logp double"), "predictions")
+
+    if deep is None:
+        logp = state.mapInArrow(total, "gram long, logp double")
+    else:
+        logp = _handed_down(deep, stored(state, "state").select(part, "gram", "acc", "rem", "last"), depth)
+    return counts.select("gram", "n").join(stored(logp, "predictions"), "gram")
 
 
 def word_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, n, c, logp): log10 probability of each distinct word after a word border, by the tree of all training words."""
-    rows = stored(_gram_counts(counts, depth), "grams")
-    levels: list[DataFrame] = []
-    for d in range(depth, -1, -1):
-        level = stored(_level(rows, d == depth), f"level-{d}")
-        levels.insert(0, level)
-        if d:
-            kept = F.col("gram").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("gram")
-            rows = level.join(rows.select("gram", "c"), "gram").groupBy(kept).agg(F.sum("c").alias("c"), *[F.sum(f"f{k}").alias(f"g{k}") for k in BITS])
-            rows = stored(rows, f"rolled-{d}")
-    logp = _down(levels)
+    """(word, n, c, logp): log10 probability of each distinct word standing alone, by the tree of all training words."""
+    logp = stored(gram_scores(_word_gram_counts(counts, depth), depth), "word-grams").select("gram", "logp")
     groups = -(-counts.count() // GROUP_WORDS)
     grouped = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(max(1, groups))))
 
@@ -256,6 +429,18 @@ def word_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(add, "word binary, n long, c long, logp double")
 
 
+def _hot_from(table: DataFrame, most: int) -> int:
+    """The power of two of occurrences from which on rows are frequent: at most so many, and 64 if none are."""
+    sizes = {r["b"]: r["count"] for r in table.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}
+    hot_from, held = 64, 0
+    for b in sorted(sizes, reverse=True):
+        held += sizes[b]
+        if held > most:
+            break
+        hot_from = b
+    return hot_from
+
+
 def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row of ``docs``.
 
@@ -265,6 +450,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     border after each, and the end.  Frequent words, at most HOT_WORDS by
     a power-of-two threshold on their occurrences, are looked up in place; the
     others are joined, and none of those is frequent enough to skew the join.
+    The same goes for grams, at most HOT_GRAMS.
 
     A null or empty text is the end mark alone; rows with null or repeated ids
     are scored one by one.  With nothing to learn from, counts are zero and
@@ -280,52 +466,63 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = _trimmed(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(RangeHash(data)(at[:-1], at[1:]).view(np.int64)), *[b.column(k) for k in range(1, 4)]], names=["h", "n", "c", "logp"])
-
-    table = stored(word_scores(counts, depth).mapInArrow(key, "h long, n long, c long, logp double"), "word-scores")
-    table = table.withColumn("base", F.log10((F.col("c") + 0.5) / floor))
-    sizes = {r["b"]: r["count"] for r in table.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}
-    hot_from, held = 64, 0
-    for b in sorted(sizes, reverse=True):
-        held += sizes[b]
-        if held > HOT_WORDS:
-            break
-        hot_from = b
-    is_hot = F.floor(F.log2("n")) >= hot_from
-    hot = table.filter(is_hot).select("h", "base", "logp", (F.col("c") > 0).cast("double").alias("known")).toArrow()
-    order = np.argsort(hot.column("h").to_numpy().view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast((hot.column("h").to_numpy().view(np.uint64)[order],
-                                                     *[hot.column(k).to_numpy()[order] for k in ("base", "logp", "known")]))
+            yield pa.RecordBatch.from_arrays([pa.array(RangeHash(data)(at[:-1], at[1:]).view(np.int64)), b.column(1), b.column(2)], names=["h", "n", "c"])
+
+    table = stored(counts.mapInArrow(key, "h long, n long, c long"), "words").select(
+        "h", "n", F.log10((F.col("c") + 0.5) / floor).alias("base"), (F.col("c") > 0).cast("double").alias("known"))
+    tree = stored(gram_scores(text_gram_counts(base, depth), depth), "gram-scores")
+    is_hot, hot_gram = (F.floor(F.log2("n")) >= _hot_from(t, most) for t, most in ((table, HOT_WORDS), (tree, HOT_GRAMS)))
+
+    def in_order(t: pa.Table) -> list[np.ndarray]:
+        h, *values = (t.column(k).to_numpy() for k in range(t.num_columns))
+        order = np.argsort(h)
+        return [h[order], *[v[order] for v in values]]
+    sent = docs.sparkSession.sparkContext.broadcast((in_order(table.filter(is_hot).select("h", "base", "known").toArrow()),
+                                                     in_order(tree.filter(hot_gram).select("gram", "logp").toArrow())))
     end = table.filter(F.col("h") == int(RangeHash(np.zeros(0, np.uint8))(np.zeros(1, np.int64), np.zeros(1, np.int64)).view(np.int64)[0])).first()
-    end_base, end_logp, end_known = (end["base"], end["logp"], float(end["c"] > 0)) if end else (0.0, 0.0, 0.0)
+    end_base, end_known = (end["base"], end["known"]) if end else (0.0, 0.0)
+
+    def found(h: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(h, wanted), max(0, len(h) - 1))
+        return at, (h[at] == wanted if len(h) else np.zeros(len(wanted), dtype=bool))
+
+    def lists(values: np.ndarray, owner: np.ndarray, count: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, *values = sent.value
+        (h, *values), (g, logp) = sent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for w in words(batch.column(1)):
-                at = np.minimum(np.searchsorted(h, w.hash), max(0, len(h) - 1))
-                hit = h[at] == w.hash if len(h) else np.zeros(len(w.hash), dtype=bool)
+                wanted = w.hash.view(np.int64)
+                at, hit = found(h, wanted)
                 sums = [np.bincount(w.text[hit], weights=v[at[hit]], minlength=w.count) for v in values]
-                rare, owner = w.hash[~hit], w.text[~hit]
-                size = np.bincount(w.text, weights=(w.end - w.start) + 1, minlength=w.count).astype(np.int64) + 1
-                ends = np.searchsorted(owner, np.arange(w.count + 1)).astype(np.int32)
+                size, total, cold = np.zeros(w.count, np.int64), np.zeros(w.count), []
+                for many, key in text_grams(w, depth):
+                    seen, back = np.unique(key, return_inverse=True)
+                    at, there = found(g, seen)
+                    value = np.where(there, logp[at], 0.0) if len(g) else np.zeros(len(seen))
+                    text, rest = np.repeat(np.arange(w.count), many), ~there[back]
+                    size += many
+                    total += np.bincount(text, weights=value[back], minlength=w.count)
+                    cold.append((key[rest], text[rest]))
                 part = batch.slice(w.first, w.count)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + w.count)), part.column(0), part.column(2), pa.array(w.per_text.astype(np.int64) + 1), pa.array(size),
-                     pa.array(sums[2] + end_known), pa.array(sums[0] + end_base), pa.array(sums[1] + end_logp),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(rare.view(np.int64)))],
-                    names=["row", "doc_id", "train", "n_tokens", "n_bytes", "known", "base", "logp", "rare"])
+                     pa.array(sums[1] + end_known), pa.array(sums[0] + end_base), pa.array(total),
+                     lists(wanted[~hit], w.text[~hit], w.count), lists(*(np.concatenate([c[k] for c in cold]) for k in (0, 1)), w.count)],
+                    names=["row", "doc_id", "train", "n_tokens", "n_bytes", "known", "base", "logp", "rare", "cold"])
                 row += w.count
 
-    seen = stored(base.mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, n_bytes long, known double, base double, logp double, rare array<long>"), "scored")
+    seen = stored(base.mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, n_bytes long, known double, base double, logp double, rare array<long>, cold array<long>"), "scored")
     sent.unpersist()
-    cold = table.filter(~is_hot).select("h", "base", "logp", (F.col("c") > 0).cast("long").alias("known"))
-    more = (seen.select("row", F.explode("rare").alias("h")).join(cold, "h").groupBy("row")
-            .agg(F.sum("base").alias("b"), F.sum("logp").alias("l"), F.sum("known").alias("k")))
-    out = seen.drop("rare").join(more, "row", "left")
+    more = (seen.select("row", F.explode("rare").alias("h")).join(table.filter(~is_hot).drop("n"), "h").groupBy("row")
+            .agg(F.sum("base").alias("b"), F.sum("known").alias("k")))
+    deeper = (seen.select("row", F.explode("cold").alias("gram")).join(tree.filter(~hot_gram).drop("n"), "gram").groupBy("row")
+              .agg(F.sum("logp").alias("l")))
+    out = seen.drop("rare", "cold").join(more, "row", "left").join(deeper, "row", "left")
     scored = F.col("logp") + F.coalesce("l", F.lit(0.0))
     return out.select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known").cast("long") + F.coalesce("k", F.lit(0))).alias("n_known"),
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0.0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), scored.alias("score"),
         "n_bytes", (-scored * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"))
