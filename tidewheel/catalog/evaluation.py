@@ -28,6 +28,7 @@ TF = fx.TRADES_FEATURES
 
 # -- prediction streams over the trades panel ---------------------------------------
 
+FEW_STEPS = 100_000  # a table of a row per step is broadcast up to here
 STREAM_NAMES = ["lag", "slow", "market", "mom"]
 STREAMS = f"""base AS (SELECT *, avg(responder_6_lag1d) OVER {WDT} AS mkt FROM lagged),
 valid AS (SELECT {KSQL}, responder_6 AS y, weight AS w, 0.5 * responder_6_lag1d AS p_lag, 0.6 * responder_7_lag1d AS p_slow, mkt AS p_market,
@@ -40,20 +41,24 @@ def R2SQL(p: str, w: str = "w") -> str:  # noqa: N802
     return f"1 - sum({w} * ({p} - y) ** 2) / sum({w} * y ** 2)"
 
 
-def streams(spark, d, vol: bool = False):
-    t = previous_day(fx.trades_labelled(spark, d).persist(), [6, 7, 8])
-    t = t.join(step_means(t, ["responder_6_lag1d"]), ["date_id", "time_id"]).where("responder_6 IS NOT NULL")
+def streams(spark, d, vol: bool = False, names=STREAM_NAMES):
+    """The named streams; what they are made of is kept, once for all of them."""
+    t = previous_day(fx.trades_labelled(spark, d), [6, 7, 8]).select(*K, "weight", "responder_6", *[f"responder_{r}_lag1d" for r in (6, 7, 8)]).persist()
+    means = step_means(t, ["responder_6_lag1d"])
+    if fx.trades_steps(spark, d) <= FEW_STEPS:
+        means = F.broadcast(means)
+    t = t.join(means, ["date_id", "time_id"]).where("responder_6 IS NOT NULL")
     a, b, c = (F.col(f"responder_{r}_lag1d") for r in (6, 7, 8))
     preds = {"lag": 0.5 * a, "slow": 0.6 * b, "market": F.col("_mkt_responder_6_lag1d"), "mom": 0.3 * (c - a)}
-    pairs = F.array(*[F.struct(F.lit(n).alias("stream"), e.alias("pred")) for n, e in preds.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("stream"), preds[n].alias("pred")) for n in names])
     extra = [(F.abs(a) + 0.05).alias("vol")] if vol else []
     return (t.select(*K, F.col("responder_6").alias("y"), F.col("weight").alias("w"), *extra, F.explode(pairs).alias("_p"))
-            .select(*K, "y", "w", *[F.col("vol") for _ in extra], "_p.*").persist())
+            .select(*K, "y", "w", *[F.col("vol") for _ in extra], "_p.*"))
 
 
 def one(spark, d, name: str):
-    """A single stream, kept: most diagnostics read it several times."""
-    return streams(spark, d, vol=True).where(F.col("stream") == name).persist()
+    """A single stream."""
+    return streams(spark, d, vol=True, names=[name])
 
 
 @query("stream_scores", SW + f"SELECT stream, {r_sql(R2SQL('pred'), 'r2')} FROM streams GROUP BY 1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.scalars import zero_fill
@@ -16,9 +16,18 @@ from tidewheel.names import DATE, KEYS, RESPONDERS, SERIES, SYMBOL, TIME, lag_na
 
 
 def previous_day(df: DataFrame, responders: Iterable[int], source: DataFrame | None = None) -> DataFrame:
-    """responder_{r} of (symbol, date-1, time) as a feature; missing -> 0."""
+    """responder_{r} of (symbol, date-1, time) as a feature; missing -> 0.
+
+    The row before in the series of one symbol and step is yesterday's if it is
+    one date older, so the panel is shuffled once at most and read once.  Labels
+    of another table, ``source``, are joined.
+    """
     rs = list(responders)
-    lagged = (source if source is not None else df).select(
+    if source is None:
+        series = Window.partitionBy(SYMBOL, TIME).orderBy(DATE)
+        known = F.col(SYMBOL).isNotNull() & F.col(TIME).isNotNull() & (F.lag(DATE).over(series) == F.col(DATE) - 1)
+        return df.withColumns({lag_name(r): zero_fill(F.when(known, F.lag(f"responder_{r}").over(series))) for r in rs})
+    lagged = source.select(
         SYMBOL, (F.col(DATE) + 1).alias(DATE), TIME, *[F.col(f"responder_{r}").alias(lag_name(r)) for r in rs])
     return (df.join(lagged, KEYS, "left")
             .withColumns({lag_name(r): zero_fill(lag_name(r)) for r in rs}))
