@@ -5,6 +5,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,12 +120,40 @@ def key_terms(weights: DataFrame, least: float) -> list[str]:
     return sorted(r["term"] for r in rows.filter(F.coalesce("left", F.lit(1.0)) >= (least - 1e-6) ** 2).select("term").distinct().collect())
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def term_counts(words: Column) -> Column:
+    """[(term, tf)] of a unit, as the runs of its sorted words."""
+    def runs(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)))
+        return _let(starts, lambda p: F.transform(p, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s)) - i).alias("tf"))))
+    return _let(F.sort_array(words), runs)
+
+
+def may_reach(counts: Column, idf: dict[str, float], least: float) -> Column:
+    """Whether a unit of these term counts can reach ``least`` with templates whose terms have these ``idf``.
+
+    No cosine exceeds the share of the unit's length that lies in template
+    terms; any other term weighs its count at least, as no inverse frequency is
+    below 1.
+    """
+    square = (least - 1e-6) ** 2
+    inside = F.map_from_arrays(F.array(*map(F.lit, idf)), F.array(*[F.lit(v * v * (1 - square)) for v in idf.values()]))
+    gain = lambda term: F.when(term.isin(*idf), inside[term]).otherwise(-square)
+    return F.aggregate(counts, F.lit(0.0), lambda a, c: a + c["tf"].cast("double") * c["tf"] * gain(c["term"])) >= 0
+
+
 def statements(files: DataFrame, templates: list[tuple[str, str]] | None = None, *, least: float = COSINE) -> DataFrame:
     """(id, version, kind, pos, last, license, cosine): lines, blocks and whole texts that state a license.
 
     Weights are term counts times the inverse frequency over all texts.  The
     best template wins, ties by license name.  Texts and units are looked at
-    that have one of the ``key_terms``; no other can state a license.
+    that have one of the ``key_terms``, and weighed if they ``may_reach``
+    ``least``; no other can state a license.
     """
     spark = files.sparkSession
     split = stored(files.select("id", F.array_distinct(terms(F.col("text"))).alias("words")), "terms", "zstd")
@@ -140,8 +170,11 @@ def statements(files: DataFrame, templates: list[tuple[str, str]] | None = None,
     unit = ["id", "version", "kind", "pos", "last"]
     some = stored(split.filter(F.exists("words", lambda w: w.isin(keys))).select("id").distinct(), "candidates")
     few = units(files.join(small_side(some), "id", "left_semi"))
-    few = few.filter(F.exists(F.array("words"), lambda w: F.exists(w, lambda y: y.isin(keys))))  # split once
-    counted = stored(few.select(*unit, F.explode("words").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf")), "unit-terms", "zstd")
+    inside = {r["term"]: r["idf"] for r in weights.select("term", "idf").distinct().collect()}  # as large as the templates
+    few = few.filter(F.exists(F.array("words"), lambda w: F.exists(w, lambda y: y.isin(keys)) & may_reach(term_counts(w), inside, least)))  # split once
+    counts = few.select(*unit, F.explode(term_counts(F.col("words"))).alias("c"))
+    # Rows that repeat a text have the same counts.
+    counted = stored(counts.groupBy(*unit, F.col("c.term").alias("term")).agg(F.max("c.tf").alias("tf")), "unit-terms", "zstd")
     weighed = counted.join(df, "term", "left").select(*unit, "term", (F.col("tf") * idf).alias("w"))
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(weights), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
