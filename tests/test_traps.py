@@ -81,6 +81,18 @@ def test_split_rank_of_a_hot_step(spark):
     assert both.count() == 9002 and both.where("a <> b").count() == 0
 
 
+def test_split_unit_rank_is_cut_by_value_and_symbol(spark):
+    """Equal values are cut by symbol, rows without a step are a group, and no table of values is joined."""
+    df = (spark.range(9000).select(F.col("id").alias("symbol_id"), F.when(F.col("id") % 100 > 0, 0).alias("date_id"), F.lit(0).alias("time_id"),
+                                   F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 7 > 0, F.col("id") * 7919 % 1000 / 1.0).alias("x"))
+          .unionByName(panel(spark, [(1, 0, 1, 2.0), (2, 0, 1, 1.0), (3, 0, 1, math.nan), (4, 0, 1, None)], ["x"])))
+    split, window = X.rank_unit(df, ["x"], method="split"), X.rank_unit(df, ["x"], method="window")
+    assert split.columns == window.columns
+    key = ["symbol_id", "date_id", "time_id", "x_rank01"]
+    assert sorted(split.select(*key).collect(), key=str) == sorted(window.select(*key).collect(), key=str)
+    assert X._cut_points(df, ["date_id", "time_id"], {"x": F.struct("x", "symbol_id")}, 0).where("_by_date_id = 0 AND size(array_distinct(_cuts_0)) = 63").count() == 1
+
+
 def test_previous_day_is_date_minus_one(spark):
     df = panel(spark, [(1, d, t, float(10 * d + t)) for d in (0, 1, 3) for t in range(4)], ["responder_6"])
     lag = by_key(L.previous_day(df, [6]), "responder_6_lag1d")

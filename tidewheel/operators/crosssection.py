@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.names import STEP, SYMBOL, market_avg, rank_name
@@ -12,6 +12,8 @@ from tidewheel.session import pin
 
 # A cross-section up to this many symbols is ranked by one sort per step.
 WINDOW_ROWS = 2_000_000
+# A larger one is cut into so many pieces, at points of a sample of so many rows a piece.
+PIECES, POINTS = 64, 16
 
 
 def step_means(df: DataFrame, cols: Iterable[str], prefix: str = "_mkt_") -> DataFrame:
@@ -67,6 +69,32 @@ def values_below(df: DataFrame, by: list[str], col: str, pieces: int = 64) -> Da
             .select(*by, col, "_below", "_same"))
 
 
+def _alongside(df: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of a table with one row per group, whose keys are named ``_by_*``; missing keys are a group too."""
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    return df.join(per_group, same).drop(*[f"_by_{b}" for b in by])
+
+
+def _cut_points(df: DataFrame, by: list[str], place: dict[str, Column], whole: int) -> DataFrame:
+    """Size and, per column, the places that cut a group into about equal pieces.
+
+    They come from a sample of each group's symbols; any points give the same
+    ranks.  Groups of up to ``whole`` rows are not cut.  The table is checkpointed, so every use sees the same points.
+    """
+    keys = [F.col(b).alias(f"_by_{b}") for b in by]
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).select(*keys, "_size")
+    narrow = df.select(*by, *[p.alias(f"_place_{i}") for i, p in enumerate(place.values())], F.xxhash64(SYMBOL, *by).alias("_draw"))
+    some = _alongside(narrow, sizes.where(F.col("_size") > whole), by).where(F.pmod("_draw", "_size") < PIECES * POINTS)
+    sample = some.groupBy(*by).agg(*[F.sort_array(F.collect_list(f"_place_{i}")).alias(f"_all_{i}") for i in range(len(place))])
+
+    def points(ordered: str) -> Column:
+        return F.array(*[F.get(ordered, F.floor(F.size(ordered) * (p / PIECES)).cast("int")) for p in range(1, PIECES)])
+
+    cuts = sample.select(*by, *[points(f"_all_{i}").alias(f"_cuts_{i}") for i in range(len(place))])
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    return pin(sizes.join(cuts, same, "left").drop(*by))
+
+
 def rank_average(df: DataFrame, cols: Iterable[str], by: list[str] = STEP,
                  method: str = "auto", names: dict[str, str] | None = None) -> DataFrame:
     """Average-tie rank (1..n) among the non-null values of the group.
@@ -96,6 +124,7 @@ def rank_unit(df: DataFrame, cols: Iterable[str], by: list[str] = STEP, method:
               suffix: str = "_rank01") -> DataFrame:
     """Ordinal rank scaled to [0, 1]; ties by symbol, missing values count last."""
     cols = list(cols)
+    whole = 0 if method == "split" else WINDOW_ROWS // PIECES
     if method == "auto":
         method = "window" if _fits(df, by, WINDOW_ROWS) else "split"
     if method == "window":
@@ -106,20 +135,23 @@ def rank_unit(df: DataFrame, cols: Iterable[str], by: list[str] = STEP, method:
             / F.greatest(size - 1, F.lit(1))
             for c in cols
         })
-    # Every column is ranked from the rows as they came, not from the joins of the columns before it.
-    base = df
-    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), *[F.count(c).alias(f"_present_{i}") for i, c in enumerate(cols)])
-    df = df.join(sizes, by)
+    # Rows are ordered as the window orders them; a piece is whatever lies between two cut points.
+    place = {c: F.struct(F.isnull(c).alias("none"), F.col(c).alias("v"), F.col(SYMBOL).alias("s")) for c in cols}
+    cuts = _cut_points(df, by, place, whole)
     for i, c in enumerate(cols):
-        # Missing values sort last: rank (is null, value), then the symbol among ties.
-        keyed = {"_none": F.isnull(c).cast("int"), "_v": F.coalesce(F.col(c), F.lit(0.0))}
-        narrow = base.withColumns(keyed).select(*by, "_none", "_v", SYMBOL)
-        main = values_below(narrow, [*by, "_none"], "_v")
-        ties = narrow.join(main.where("_same > 1").select(*by, "_none", "_v"), [*by, "_none", "_v"])
-        tied = values_below(ties, [*by, "_none", "_v"], SYMBOL).withColumnRenamed("_below", "_tied").drop("_same")
-        df = (df.withColumns(keyed).join(main.drop("_same"), [*by, "_none", "_v"]).join(tied, [*by, "_none", "_v", SYMBOL], "left")
-              .withColumn(f"{c}{suffix}",
-                          (F.col("_below") + F.coalesce("_tied", F.lit(0)) + F.col("_none") * F.col(f"_present_{i}"))
-                          / F.greatest(F.col("_size") - 1, F.lit(1)))
-              .drop("_none", "_v", "_below", "_tied", f"_present_{i}"))
-    return df.drop("_size")
+        df = _alongside(df, cuts.select(*[f"_by_{b}" for b in by], "_size", F.col(f"_cuts_{i}").alias("_cuts")), by)
+        df = df.withColumns({"_x": place[c], "_piece": F.lit(0)})
+        step = PIECES // 2
+        while step:  # how many cut points lie at or below the row
+            df = df.withColumn("_piece", F.col("_piece") + F.when(F.get("_cuts", F.col("_piece") + (step - 1)) <= F.col("_x"), step).otherwise(0))
+            step //= 2
+        df = df.drop("_cuts", "_x")
+        earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        before = (df.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+                  .select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_piece").alias("_by__piece"),
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+        inside = Window.partitionBy(*by, "_piece").orderBy(F.col(c).asc_nulls_last(), SYMBOL)
+        df = (_alongside(df, before, [*by, "_piece"])
+              .withColumn(f"{c}{suffix}", (F.col("_before") + F.row_number().over(inside) - 1) / F.greatest(F.col("_size") - 1, F.lit(1)))
+              .drop("_size", "_piece", "_before"))
+    return df
