@@ -1,9 +1,13 @@
 """Steps that many queries share: how often they shuffle, and their results in odd cases."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.catalog import evaluation, modelling
+from tidewheel.operators import crosssection as X
 from tidewheel.operators.lags import previous_day
+from tidewheel.plans.features import FeaturePlan, build_features, model_input
 from tidewheel.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +56,29 @@ def test_screens_read_kept_columns(spark):
     kept = fx.trades_labelled(spark, SF).select(*modelling._CORE, "responder_8")
     assert kept.storageLevel.useMemory
     spark.catalog.clearCache()
+
+
+def test_ranked_steps_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(X, "TASK_ROWS", 100)
+    df = spark.range(2400).select((F.col("id") % 40).alias("symbol_id"), F.floor(F.col("id") / 480).cast("int").alias("date_id"),
+                                  (F.floor(F.col("id") / 40) % 12).cast("int").alias("time_id"), (F.col("id") * 37 % 101).cast("double").alias("x"))
+    for ranked in (X.rank_average(df, ["x"]), X.rank_unit(df, ["x"])):
+        steps = ranked.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("date_id", "time_id").alias("n"))
+        assert steps.agg(F.sum("n")).first()[0] == 60 and steps.agg(F.max("n")).first()[0] <= 10
+
+
+def test_features_along_whole_symbols_take_one_shuffle_by_symbol(spark):
+    panel = fx.trades_labelled(spark, SF).persist()
+    cols = [f"feature_{i:02d}" for i in range(6)]
+
+    def build(symbol_rows):
+        p = FeaturePlan(raw=cols, rolled=cols, rolling_rows=48, min_date=None, lagged=list(range(9)), differences=True, realized=True,
+                        extra=["rank_per_time", "ewma_per_symbol"], symbol_rows=symbol_rows)
+        return model_input(build_features(panel, p), p, ["symbol_id", "date_id", "time_id"])
+
+    short = build(fx.trades_steps(spark, SF))
+    along = plan(short).split("InMemoryTableScan")[0]
+    assert "SortMergeJoin" not in along and along.count("Exchange hashpartitioning(symbol_id") == 1
+    a, b = (d.toPandas().sort_values(["symbol_id", "date_id", "time_id"]).to_numpy(dtype=float) for d in (short, build(None)))
+    assert a.shape == b.shape and np.allclose(a, b, rtol=1e-5, atol=1e-6, equal_nan=True)
+    panel.unpersist()

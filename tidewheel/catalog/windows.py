@@ -236,5 +236,5 @@ def feature_builder(spark, d):
 @query("feature_builder_stored")
 def feature_builder_stored(spark, d):
     plan = FeaturePlan(raw=TF, rolled=TF, rolling_rows=48, min_date=None, lagged=list(range(9)), differences=True, realized=True,
-                       extra=["rank_per_time", "ewma_per_symbol"])
+                       extra=["rank_per_time", "ewma_per_symbol"], symbol_rows=fx.trades_steps(spark, d))
     return model_input(build_features(fx.trades_labelled(spark, d).persist(), plan), plan, [*K, "weight", "responder_6"])

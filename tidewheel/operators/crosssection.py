@@ -12,6 +12,10 @@ from tidewheel.session import pin
 
 # A cross-section up to this many symbols is ranked by one sort per step.
 WINDOW_ROWS = 2_000_000
+# A task that ranks holds whole steps, of about so many rows together.
+TASK_ROWS = 100_000
+# Means of steps up to so many bytes are sent to all tasks.
+SMALL_MEANS = 64 << 20
 # A larger one is cut into so many pieces, at points of a sample of so many rows a piece.
 PIECES, POINTS = 64, 16
 
@@ -21,16 +25,22 @@ def step_means(df: DataFrame, cols: Iterable[str], prefix: str = "_mkt_") -> Dat
     return df.groupBy(*STEP).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in cols])
 
 
-def market_average(df: DataFrame, cols: Iterable[str], source: DataFrame | None = None) -> DataFrame:
+def market_average(df: DataFrame, cols: Iterable[str], source: DataFrame | None = None, measured: bool = False) -> DataFrame:
     """Adds the null-ignoring mean over symbols of each (date, time).
 
     ``source`` has the same rows as ``df`` but is cheaper to aggregate.
+    ``measured`` stores the means first, so that small ones meet the rows in
+    place: a plan made before they are counted shuffles ``df``.
 
     Aggregate then join: the aggregate combines map-side, and an oversized
     step is split by the skew-join rule, which a window would not be.
     """
     cols = list(cols)
     means = step_means(df if source is None else source, cols)
+    if measured:
+        means = pin(means)
+        if means.count() * 8 * (len(STEP) + len(cols)) <= SMALL_MEANS:
+            means = F.broadcast(means)
     out = df.join(means, STEP)
     return out.withColumnsRenamed({f"_mkt_{c}": market_avg(c) for c in cols})
 
@@ -43,9 +53,18 @@ def market_split(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return out.withColumnsRenamed({f"_mkt_{c}": f"{c}_mkt" for c in cols})
 
 
-def _fits(df: DataFrame, by: list[str], limit: int) -> bool:
-    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) <= limit
+def _sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all."""
+    largest, rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, rows or 0
+
+
+def _measured(df: DataFrame, by: list[str]) -> tuple[str, DataFrame]:
+    """How to rank, and the rows dealt so that no task gets many groups at once."""
+    largest, rows = _sizes(df, by)
+    if largest > WINDOW_ROWS:
+        return "split", df
+    return "window", df.repartitionByRange(-(-rows // TASK_ROWS), *by) if rows > TASK_ROWS else df
 
 
 def values_below(df: DataFrame, by: list[str], col: str, pieces: int = 64) -> DataFrame:
@@ -100,12 +119,13 @@ def rank_average(df: DataFrame, cols: Iterable[str], by: list[str] = STEP,
     """Average-tie rank (1..n) among the non-null values of the group.
 
     ``method``: ``window`` sorts a group in one task, ``split`` spreads it,
-    ``auto`` measures the largest group first.
+    ``auto`` measures the largest group first and deals whole groups evenly:
+    a task holds its rows once per column.
     """
     cols = list(cols)
     names = names or {c: rank_name(c) for c in cols}
     if method == "auto":
-        method = "window" if _fits(df, by, WINDOW_ROWS) else "split"
+        method, df = _measured(df, by)
     if method == "window":
         out = {}
         for c in cols:
@@ -126,7 +146,7 @@ def rank_unit(df: DataFrame, cols: Iterable[str], by: list[str] = STEP, method:
     cols = list(cols)
     whole = 0 if method == "split" else WINDOW_ROWS // PIECES
     if method == "auto":
-        method = "window" if _fits(df, by, WINDOW_ROWS) else "split"
+        method, df = _measured(df, by)
     if method == "window":
         size = F.count(F.lit(1)).over(Window.partitionBy(*by))
         return df.withColumns({

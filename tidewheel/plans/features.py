@@ -37,6 +37,12 @@ class FeaturePlan:
     extra: list[str] = field(default_factory=list)  # names in EXTRA_GROUPS
     target: str = TARGET
     chunk_rows: int | None = CHUNK_ROWS
+    symbol_rows: int | None = None  # no symbol has more rows, if that is known
+
+    @property
+    def whole_symbols(self) -> bool:
+        """A symbol is no longer than a chunk: one exchange by symbol serves every step along it."""
+        return self.symbol_rows is not None and self.chunk_rows is not None and self.symbol_rows <= self.chunk_rows
 
     def columns(self) -> list[str]:
         """Model inputs in order, categoricals left out."""
@@ -53,7 +59,7 @@ class FeaturePlan:
         return [c for c in cols if c not in CATEGORICAL]
 
 
-EXTRA_GROUPS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
+EXTRA_GROUPS: dict[str, Callable[..., DataFrame]] = {
     "rank_per_time": rank_average,
     "ewma_per_symbol": ewma,
 }
@@ -62,8 +68,8 @@ EXTRA_GROUPS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
 def build_features(panel: DataFrame, plan: FeaturePlan) -> DataFrame:
     """Panel with every engineered column of the plan.
 
-    The panel is read once per narrow aggregate (date counts, step means,
-    previous day) besides the main pass: hand in a stored or persisted one.
+    The panel is read once per narrow aggregate (date counts, step means)
+    besides the main pass: hand in a stored or persisted one.
     """
     unknown = set(plan.extra) - set(EXTRA_GROUPS)
     if unknown:
@@ -73,16 +79,18 @@ def build_features(panel: DataFrame, plan: FeaturePlan) -> DataFrame:
     # Steps that shuffle come first, while rows are narrow; the rolling stage,
     # which adds most columns, is the last exchange and the averages broadcast.
     for group in plan.extra:
-        df = EXTRA_GROUPS[group](df, plan.rolled)
+        bound = {"symbol_rows": plan.symbol_rows} if group == "ewma_per_symbol" and plan.whole_symbols else {}
+        df = EXTRA_GROUPS[group](df, plan.rolled, **bound)
     if plan.lagged:
-        df = previous_day(df, plan.lagged, source)
+        df = previous_day(df, plan.lagged)
     stages = [rolling_stage(plan.rolled, plan.rolling_rows)]
     if plan.synthetic:
         stages.append(synthetic_stage())
     if plan.realized:
         stages.append(realized_stage())
-    df = as_features(over_symbol(df, *stages, chunk_rows=plan.chunk_rows, source=source), plan.rolled, plan.rolling_rows)
-    df = market_average(df, plan.rolled, source)
+    df = as_features(over_symbol(df, *stages, chunk_rows=None if plan.whole_symbols else plan.chunk_rows, source=source),
+                     plan.rolled, plan.rolling_rows)
+    df = market_average(df, plan.rolled, source, measured=True)
     df = df.withColumn("feature_time_id", F.col(TIME).cast("float"))
     return lag_differences(df) if plan.differences else df
 
