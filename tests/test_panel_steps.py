@@ -82,3 +82,11 @@ def test_features_along_whole_symbols_take_one_shuffle_by_symbol(spark):
     a, b = (d.toPandas().sort_values(["symbol_id", "date_id", "time_id"]).to_numpy(dtype=float) for d in (short, build(None)))
     assert a.shape == b.shape and np.allclose(a, b, rtol=1e-5, atol=1e-6, equal_nan=True)
     panel.unpersist()
+
+
+def test_causality_probe_makes_the_panel_once(spark):
+    spark.catalog.clearCache()
+    probe = evaluation.causality_probe(spark, SF)
+    assert fx.trades(spark, SF).select("symbol_id", "date_id", "time_id", "feature_00", "feature_02").storageLevel.useMemory
+    assert all(r["max_abs_delta"] < 1e-9 and r["n_one_sided"] == 0 and r["n_cells"] > 0 for r in probe.collect())
+    spark.catalog.clearCache()

@@ -380,8 +380,9 @@ def block_pool(spark, d):
 
 @query("causality_probe")
 def causality_probe(spark, d):
-    plan = FeaturePlan(raw=[], rolled=["feature_00", "feature_02"], rolling_rows=24, min_date=None, synthetic=False, extra=["rank_per_time", "ewma_per_symbol"])
-    t = fx.trades(spark, d)
+    plan = FeaturePlan(raw=[], rolled=["feature_00", "feature_02"], rolling_rows=24, min_date=None, synthetic=False, extra=["rank_per_time", "ewma_per_symbol"],
+                       symbol_rows=fx.trades_steps(spark, d))
+    t = fx.trades(spark, d).select(*K, "feature_00", "feature_02").persist()
     return E.causality_probe(t, lambda p: build_features(p, plan), ["feature_00", "feature_02"], plan.columns(), 15)
 
 
