@@ -79,3 +79,23 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm_score.score(docs, F.lit(None).cast("boolean")).collect()}
     assert math.isclose(got[1], 32 * math.log10(0.5)) and math.isclose(got[2], 8 * math.log10(0.5))
+
+
+def test_a_task_keeps_its_frequent_grams(monkeypatch):
+    """Grams that come in every piece are passed on once, at the end; the sums of all are whole."""
+    monkeypatch.setattr(lm_score, "HELD_GRAMS", 100)
+    rng, held, out, want = np.random.default_rng(6), lm_score._Held(), [], collections.Counter()
+    for piece in range(30):
+        key = np.concatenate([np.arange(40), 1000 + 60 * piece + np.arange(60)])
+        n, c = np.where(key < 40, 5, 1), rng.integers(0, 2, len(key))
+        for k, a, b in zip(key.tolist(), n.tolist(), c.tolist(), strict=True):
+            want[k, "n"] += a
+            want[k, "c"] += b
+        out += held.add(key, n, c)
+    out += held.flush()
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    got = collections.Counter()
+    for k, a, b in rows:
+        got[k, "n"] += a
+        got[k, "c"] += b
+    assert got == want and len(rows) == 40 + 30 * 60

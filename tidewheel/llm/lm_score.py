@@ -108,6 +108,14 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of whole-numbered values of each."""
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
+    return key[starts], *[np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, c) from (text, train): occurrences in all texts and in those to learn from; the empty word is the end of a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +124,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h = np.concatenate([x[0] for x in held])
-            seen, at = np.unique(h, return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
-            c = np.bincount(at, weights=np.concatenate([x[2] for x in held])).astype(np.int64)
+            seen, n, c = _sums(*(np.concatenate([x[k] for x in held]) for k in range(3)))
             return pa.RecordBatch.from_arrays([pa.array([texts[x] for x in seen.tolist()], pa.binary()), pa.array(n), pa.array(c)], names=["word", "n", "c"])
 
         for batch in batches:
@@ -127,12 +132,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
             ends, taught = batch.num_rows, int(train.sum())
             yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64()), pa.array([taught], pa.int64())], names=["word", "n", "c"])
             for w in words(batch.column(0)):
-                seen, first, at, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
-                c = np.bincount(at, weights=train[w.first + w.text], minlength=len(seen))
+                order = np.argsort(w.hash)
+                h = w.hash[order]
+                starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1]]))
+                seen, first, n = h[starts], order[starts], np.diff(starts, append=len(h))
+                c = np.add.reduceat(train[w.first + w.text[order]].astype(np.int64), starts) if len(starts) else n
                 raw = w.lowered.tobytes()
-                for x, i in zip(seen.tolist(), first.tolist(), strict=True):
+                for x, lo, hi in zip(seen.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True):
                     if x not in texts:
-                        texts[x] = raw[w.start[i]:w.end[i]]
+                        texts[x] = raw[lo:hi]
                 held.append((seen, n, c))
                 size += len(seen)
                 if size > 8 * HELD_WORDS or len(texts) > HELD_WORDS:
@@ -157,19 +165,25 @@ class _Held:
         if self.size > 2 * HELD_GRAMS:
             self._merge()
             if self.size > HELD_GRAMS:
-                yield from self.flush()
+                # The more frequent half stays: its grams come again, the others seldom do.
+                key, n, c = self.parts[0]
+                stay = n > np.partition(n, self.size - HELD_GRAMS // 2)[self.size - HELD_GRAMS // 2]
+                self.parts, self.size = [(key[stay], n[stay], c[stay])], int(stay.sum())
+                yield from self._passed(key[~stay], n[~stay], c[~stay])
 
     def _merge(self) -> None:
-        key, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        n, c = (np.bincount(at, weights=np.concatenate([p[k] for p in self.parts]), minlength=len(key)).astype(np.int64) for k in (1, 2))
-        self.parts, self.size = [(key, n, c)], len(key)
+        self.parts = [_sums(*(np.concatenate([p[k] for p in self.parts]) for k in range(3)))]
+        self.size = len(self.parts[0][0])
+
+    @staticmethod
+    def _passed(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 100_000]) for x in columns], names=["gram", "n", "c"])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self._merge()
-            key, n, c = self.parts[0]
-            for lo in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 100_000]) for x in (key, n, c)], names=["gram", "n", "c"])
+            yield from self._passed(*self.parts[0])
         self.parts, self.size = [], 0
 
 
@@ -186,7 +200,7 @@ def text_gram_counts(docs: DataFrame, depth: int) -> DataFrame:
             for w in words(batch.column(0), hashed=False):
                 for many, key in text_grams(w, depth):
                     key = np.sort(key << 1 | np.repeat(train[w.first:w.first + w.count], many))
-                    starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 1 != key[:-1] >> 1])) if len(key) else np.zeros(0, np.int64)
+                    starts = np.flatnonzero(np.concatenate([[True], (key[1:] ^ key[:-1]) > 1])) if len(key) else np.zeros(0, np.int64)
                     if len(starts):
                         yield from held.add(key[starts] >> 1, np.diff(starts, append=len(key)), np.add.reduceat(key & 1, starts))
         yield from held.flush()
@@ -499,12 +513,17 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
                 sums = [np.bincount(w.text[hit], weights=v[at[hit]], minlength=w.count) for v in values]
                 size, total, cold = np.zeros(w.count, np.int64), np.zeros(w.count), []
                 for many, key in text_grams(w, depth):
-                    seen, back = np.unique(key, return_inverse=True)
-                    at, there = found(g, seen)
-                    value = np.where(there, logp[at], 0.0) if len(g) else np.zeros(len(seen))
-                    text, rest = np.repeat(np.arange(w.count), many), ~there[back]
+                    order = np.argsort(key)
+                    ranked = key[order]
+                    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), ranked[1:] != ranked[:-1]]))
+                    at, there = found(g, ranked[starts])
+                    value = np.empty(len(key))
+                    value[order] = np.repeat(np.where(there, logp[at], np.nan) if len(g) else np.full(len(starts), np.nan), np.diff(starts, append=len(key)))
+                    rest = np.isnan(value)
+                    value[rest] = 0.0
+                    text = np.repeat(np.arange(w.count), many)
                     size += many
-                    total += np.bincount(text, weights=value[back], minlength=w.count)
+                    total += np.bincount(text, weights=value, minlength=w.count)
                     cold.append((key[rest], text[rest]))
                 part = batch.slice(w.first, w.count)
                 yield pa.RecordBatch.from_arrays(
