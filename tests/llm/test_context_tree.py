@@ -99,3 +99,45 @@ def test_a_task_keeps_its_frequent_grams(monkeypatch):
         got[k, "n"] += a
         got[k, "c"] += b
     assert got == want and len(rows) == 40 + 30 * 60
+
+
+def test_counts_travel_in_pieces(spark, monkeypatch):
+    """Tasks pass sums on by the piece, not a row for each key; they are whole however often a task passes on."""
+    for name, value in (("HELD_GRAMS", 5), ("RAW_GRAMS", 9), ("SLICE", 4), ("PART_TEXT", 7)):
+        monkeypatch.setattr(lm_score, name, value)
+    docs = spark.createDataFrame([(i, t, i in LEARNT) for i, t in TEXTS], "doc_id long, text string, train boolean").repartition(3)
+    counted = lm_score.text_counts(docs, 3)
+    assert "Aggregate" not in counted._jdf.queryExecution().executedPlan().toString()
+    rows = counted.collect()
+    assert len({(r.word, r.key) for r in rows}) == len(rows)
+    every, learnt, ends, words = collections.Counter(), collections.Counter(), [0, 0], collections.Counter()
+    for i, t in TEXTS:
+        found = [int.from_bytes(c + bytes([b]), "big") for c, b in running(t, 3)]
+        every.update(found)
+        words.update((t or "").lower().split())
+        ends[0] += 1
+        if i in LEARNT:
+            learnt.update(found)
+            ends[1] += 1
+    assert {r.key: (r.n, r.c) for r in rows if not r.word} == {k: (n, learnt[k]) for k, n in every.items()}
+    assert sorted(r.n for r in rows if r.word) == sorted([ends[0], *words.values()])
+    assert [(r.n, r.c) for r in rows if r.word and r.key == int(lm_score.NO_WORD[0])] == [tuple(ends)]
+
+
+def test_values_are_found_in_place():
+    """An open table finds all its keys and no other, -1 (which marks free places unless it is a key) included."""
+    rng = np.random.default_rng(3)
+    key = np.unique(np.concatenate([rng.integers(-2**63, 2**63 - 1, 3000), np.arange(-40, 900), np.arange(500) << 40]))
+    rng.shuffle(key)
+    absent = np.setdiff1d(np.concatenate([rng.integers(-2**63, 2**63 - 1, 3000), np.arange(-60, 2000)]), key)
+    for keys in (key, key[key != -1], key[:1], key[:0]):
+        table, value = lm_score._Lookup(keys, np.arange(len(keys)) + 0.5, np.arange(len(keys)) * 2.0), np.arange(len(keys))
+        one, two = table(keys)
+        assert np.array_equal(one, value + 0.5) and np.array_equal(two, value * 2.0)
+        assert all(np.isnan(x).all() for x in table(np.setdiff1d(np.append(absent, -1), keys)))
+
+
+def test_estimates_of_large_counts():
+    n = np.array([0.0, 1.0, 2.0**14 - 1, 2.0**14, 2.0**14 + 1, 3e9])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1.0) - math.log(math.pi) for a in n for b in n]
+    assert np.allclose(lm_score.kt_log(np.repeat(n, 6), np.tile(n, 6)), want, rtol=1e-9, atol=1e-9)

@@ -16,18 +16,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._store import stored
-from tidewheel.llm._words import RangeHash, Words, words
+from tidewheel.llm._words import RangeHash, Words, mix, words
 
 DEPTH = 6                # context bytes
 HOT_WORDS = 500_000      # at most so many frequent words are sent to all tasks
 HOT_GRAMS = 2_000_000    # the same for grams
 HELD_WORDS = 100_000     # distinct words that a task counts before it passes them on
 HELD_GRAMS = 1_000_000   # grams likewise
+RAW_GRAMS = 1 << 21      # grams that are sorted together before they are counted
+PART_TEXT = 1 << 23      # bytes of text whose counts are summed up together
+PIECE_KEYS = 1 << 16     # keys that travel to the JVM together
+LEAST_PARTS = 8
 JOINED = 3               # depths up to here are joined; deeper ones lie within groups of contexts of so many bytes
 PART_GRAMS = 500_000     # grams of a group of contexts
 BLOCK_GRAMS = 50_000     # grams of whole contexts that are weighed together
@@ -36,6 +41,7 @@ GROUP_WORDS = 100_000    # words whose contexts are looked up together
 SPACE, END = 0x20, 0x0A  # neither stands in a word
 PAD = 7                  # bytes before a gram's own in a word of 64 bits
 BITS = range(8)
+NO_WORD = RangeHash(np.zeros(0, np.uint8))(np.zeros(1, np.int64), np.zeros(1, np.int64)).view(np.int64)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -48,9 +54,21 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - np.log(steps)
 
 
+_OF_COUNTS = {more: _log_gamma(np.arange(1 << 14) + more) for more in (0.5, 1.0)}
+
+
+def _log_gamma_above(count: np.ndarray, more: float) -> np.ndarray:
+    """``_log_gamma(count + more)`` of whole counts, the small ones by table."""
+    known = _OF_COUNTS[more]
+    out = known[np.minimum(count, len(known) - 1).astype(np.int64)]
+    large = np.flatnonzero(count >= len(known))
+    out[large] = _log_gamma(count[large] + more)
+    return out
+
+
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimate gives to a sequence of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return _log_gamma_above(zeros, 0.5) + _log_gamma_above(ones, 0.5) - _log_gamma_above(zeros + ones, 1.0) - np.log(np.pi)
 
 
 def _run(data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +80,24 @@ def _run(data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: bool) -> t
     out = size + 1 + np.where((size == 0) | alone, PAD, 0)
     first = np.cumsum(out) - out + PAD
     run = np.full(int(out.sum()) + PAD, SPACE, dtype=np.uint8)
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    run[np.repeat(first, size) + inside] = data[np.repeat(start, size) + inside]
-    run[first[size == 0]] = END
+    word = size > 0
+    run[_within(first[word], (first + size)[word], len(run))] = data[_within(start[word], end[word], len(data))]
+    run[first[~word]] = END
     return run, first
 
 
+def _within(start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Which places lie in one of these ranges, which do not overlap."""
+    step = np.zeros(length + 1, dtype=np.int8)
+    step[start] += 1
+    step[end] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
+
+
 def _keys(run: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
     """The grams of places ``lo`` to ``hi``: the byte itself lowest, the bytes before it above."""
     wide = np.ndarray(hi - lo, dtype=">u8", buffer=run, offset=lo - PAD, strides=(1,))
-    return (wide & np.uint64(_mask(depth))).astype(np.int64)
+    return (wide & np.uint64(_mask(depth))).view(np.int64)
 
 
 def grams(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,69 +142,35 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[starts], *[np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, c) from (text, train): occurrences in all texts and in those to learn from; the empty word is the end of a text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        texts: dict[int, bytes] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            seen, n, c = _sums(*(np.concatenate([x[k] for x in held]) for k in range(3)))
-            return pa.RecordBatch.from_arrays([pa.array([texts[x] for x in seen.tolist()], pa.binary()), pa.array(n), pa.array(c)], names=["word", "n", "c"])
-
-        for batch in batches:
-            train = np.array(batch.column(1).to_pylist(), dtype=bool)
-            ends, taught = batch.num_rows, int(train.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64()), pa.array([taught], pa.int64())], names=["word", "n", "c"])
-            for w in words(batch.column(0)):
-                order = np.argsort(w.hash)
-                h = w.hash[order]
-                starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1]]))
-                seen, first, n = h[starts], order[starts], np.diff(starts, append=len(h))
-                c = np.add.reduceat(train[w.first + w.text[order]].astype(np.int64), starts) if len(starts) else n
-                raw = w.lowered.tobytes()
-                for x, lo, hi in zip(seen.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True):
-                    if x not in texts:
-                        texts[x] = raw[lo:hi]
-                held.append((seen, n, c))
-                size += len(seen)
-                if size > 8 * HELD_WORDS or len(texts) > HELD_WORDS:
-                    yield flush()
-                    held, size = [], 0
-                    texts.clear()
-        if held:
-            yield flush()
-    return docs.select("text", "train").mapInArrow(run, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-
-
 class _Held:
-    """Sums per gram that a task keeps before it passes them on."""
+    """Sums per gram, or word, that a task keeps before it passes them on."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
+        self.most = HELD_GRAMS if most is None else most
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, key: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((key, n, c))
         self.size += len(key)
-        if self.size > 2 * HELD_GRAMS:
+        if self.size > 2 * self.most:
             self._merge()
-            if self.size > HELD_GRAMS:
+            if self.size > self.most:
                 # The more frequent half stays: its grams come again, the others seldom do.
                 key, n, c = self.parts[0]
-                stay = n > np.partition(n, self.size - HELD_GRAMS // 2)[self.size - HELD_GRAMS // 2]
+                stay = n > np.partition(n, self.size - self.most // 2)[self.size - self.most // 2]
                 self.parts, self.size = [(key[stay], n[stay], c[stay])], int(stay.sum())
                 yield from self._passed(key[~stay], n[~stay], c[~stay])
 
     def _merge(self) -> None:
-        self.parts = [_sums(*(np.concatenate([p[k] for p in self.parts]) for k in range(3)))]
+        columns = [np.concatenate([p[k] for p in self.parts]) for k in range(3)]
+        self.parts.clear()
+        self.parts.append(_sums(*columns))
         self.size = len(self.parts[0][0])
 
     @staticmethod
     def _passed(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 100_000]) for x in columns], names=["gram", "n", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "n", "c"])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
@@ -187,24 +179,84 @@ class _Held:
         self.parts, self.size = [], 0
 
 
-def _summed(partial: DataFrame) -> DataFrame:
-    return partial.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("c").cast("double").alias("c"))
+def _dealt(sums: pa.RecordBatch, word: bool, parts: int) -> Iterator[pa.RecordBatch]:
+    """Sums dealt out by a hash of their key: a row for each part, which holds keys and counts as bytes."""
+    columns = [x.to_numpy() for x in sums.columns]
+    part = mix(columns[0].view(np.uint64)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(at))
+    packed = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), parts, [None, pa.py_buffer(at * 8), pa.py_buffer(x[order])]).take(pa.array(full)).cast(pa.binary()) for x in columns]
+    out = pa.RecordBatch.from_arrays([pa.array(np.full(len(full), word)), pa.array(full, pa.int32()), *packed], names=["word", "part", "key", "n", "c"])
+    step = max(1, PIECE_KEYS * len(full) // max(1, len(order)))
+    for lo in range(0, len(full), step):
+        yield out.slice(lo, step)
 
 
-def text_gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(gram, n, c) from (text, train): bytes after their contexts in all texts and in those to learn from."""
+def text_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(word, key, n, c) from (text, train): occurrences in all texts and in those to learn from.
+
+    Rows of words bear the word's hash, the empty word's for the ends of texts;
+    the others are bytes after their contexts.  A task passes its sums on in
+    pieces dealt out by key, so that neither its rows nor its keys are handled
+    one by one on their way.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-size // PART_TEXT))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
+        held = {True: _Held(HELD_WORDS), False: _Held()}
+        raw, filled = np.empty(RAW_GRAMS, dtype=np.int64), 0
+
+        def add(word: bool, *sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for b in held[word].add(*sums):
+                yield from _dealt(b, word, parts)
+
+        def marked(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Key and counts from keys whose lowest bit tells what is learnt from."""
+            mark.sort()
+            starts = np.flatnonzero(np.concatenate([[True], (mark[1:] ^ mark[:-1]) > 1]))
+            return mark[starts] >> 1, np.diff(starts, append=len(mark)), np.add.reduceat(mark & 1, starts)
+
         for batch in batches:
             train = np.array(batch.column(1).to_pylist(), dtype=bool)
-            for w in words(batch.column(0), hashed=False):
+            if batch.num_rows:
+                yield from add(True, NO_WORD, np.array([batch.num_rows]), np.array([train.sum()], dtype=np.int64))
+            for w in words(batch.column(0)):
+                if len(w.hash):
+                    order = np.argsort(w.hash)
+                    h = w.hash[order]
+                    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    taught = train[w.first + w.text[order]].astype(np.int64)
+                    yield from add(True, h[starts].view(np.int64), np.diff(starts, append=len(h)), np.add.reduceat(taught, starts))
                 for many, key in text_grams(w, depth):
-                    key = np.sort(key << 1 | np.repeat(train[w.first:w.first + w.count], many))
-                    starts = np.flatnonzero(np.concatenate([[True], (key[1:] ^ key[:-1]) > 1])) if len(key) else np.zeros(0, np.int64)
-                    if len(starts):
-                        yield from held.add(key[starts] >> 1, np.diff(starts, append=len(key)), np.add.reduceat(key & 1, starts))
-        yield from held.flush()
-    return _summed(docs.select("text", "train").mapInArrow(run, "gram long, n long, c long"))
+                    key = key << 1 | np.repeat(train[w.first:w.first + w.count], many)
+                    if filled and filled + len(key) > len(raw):
+                        yield from add(False, *marked(raw[:filled]))
+                        filled = 0
+                    if len(key) > len(raw):
+                        yield from add(False, *marked(key))
+                    else:
+                        raw[filled:filled + len(key)] = key
+                        filled += len(key)
+        if filled:
+            yield from add(False, *marked(raw[:filled]))
+        for word, sums in held.items():
+            for b in sums.flush():
+                yield from _dealt(b, word, parts)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pieces)
+        for word in (True, False):
+            mine = table.filter(pc.equal(table.column("word"), word))
+            key, *sums = _sums(*(np.frombuffer(b"".join(x.as_buffer() for x in mine.column(k)), dtype=np.int64) for k in ("key", "n", "c")))
+            for lo in range(0, len(key), 100_000):
+                some = [pa.array(x[lo:lo + 100_000]) for x in (key, *sums)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), word)), *some], names=["word", "key", "n", "c"])
+
+    pieces = pa.schema([("word", pa.bool_()), ("key", pa.binary()), ("n", pa.binary()), ("c", pa.binary())])
+    dealt = docs.select("text", "train").mapInArrow(run, "word boolean, part int, key binary, n binary, c binary")
+    return dealt.repartitionById(parts, "part").drop("part").mapInArrow(together, "word boolean, key long, n long, c long")
 
 
 def _word_gram_counts(counts: DataFrame, depth: int) -> DataFrame:
@@ -212,9 +264,16 @@ def _word_gram_counts(counts: DataFrame, depth: int) -> DataFrame:
         held = _Held()
         for batch in batches:
             word, key = grams(*_trimmed(batch.column(0)), depth)
-            yield from held.add(key, *(batch.column(k).to_numpy()[word] for k in (1, 2)))
-        yield from held.flush()
-    return _summed(counts.select("word", "n", "c").mapInArrow(run, "gram long, n long, c long"))
+            for b in held.add(key, *(batch.column(k).to_numpy()[word] for k in (1, 2))):
+                yield from pieces(b)
+        for b in held.flush():
+            yield from pieces(b)
+
+    def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, b.num_rows, 100_000):
+            yield b.slice(lo, 100_000)
+    partial = counts.select("word", "n", "c").mapInArrow(run, "gram long, n long, c long")
+    return partial.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("c").cast("double").alias("c"))
 
 
 def _trimmed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -387,10 +446,9 @@ def _down(levels: list[DataFrame]) -> DataFrame:
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n, logp) from (gram, n, c): log10 probability of the byte after its context, by the tree of all counts ``c``."""
+    """(gram, n, logp) from stored (gram, n, c): log10 probability of the byte after its context, by the tree of all counts ``c``."""
     if not 0 <= depth <= 6:
         raise ValueError("a gram holds up to six bytes of context")
-    counts = stored(counts, "grams")
     top, deep = min(depth, JOINED), None
     rows = counts.select("gram", "c")
     if depth > JOINED:
@@ -422,7 +480,7 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def word_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(word, n, c, logp): log10 probability of each distinct word standing alone, by the tree of all training words."""
-    logp = stored(gram_scores(_word_gram_counts(counts, depth), depth), "word-grams").select("gram", "logp")
+    logp = stored(gram_scores(stored(_word_gram_counts(counts, depth), "grams"), depth), "word-grams").select("gram", "logp")
     groups = -(-counts.count() // GROUP_WORDS)
     grouped = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(max(1, groups))))
 
@@ -443,6 +501,43 @@ def word_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(add, "word binary, n long, c long, logp double")
 
 
+class _Lookup:
+    """Values by whole-numbered key, in an open table at most half full; keys given first are found first."""
+
+    def __init__(self, key: np.ndarray, *values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(key)).bit_length())
+        self._shift, self._last = np.uint64(64 - bits), (1 << bits) - 1
+        # What stands in free places is no key; their values are NaN, so whoever asks for it finds nothing either.
+        self._free = next(x for x in range(-1, -len(key) - 2, -1) if not (key == x).any())
+        self._key = np.full(1 << bits, self._free, dtype=np.int64)
+        at, left = self._home(key), np.arange(len(key))
+        while len(left):
+            can = left[self._key[at[left]] == self._free][::-1]
+            self._key[at[can]] = key[can]  # the last of equal places is kept
+            left = left[self._key[at[left]] != key[left]]
+            at[left] = (at[left] + 1) & self._last
+        self._values = [np.full(1 << bits, np.nan) for _ in values]
+        for mine, value in zip(self._values, values, strict=True):
+            mine[at] = value
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).view(np.int64)
+
+    def __call__(self, key: np.ndarray) -> list[np.ndarray]:
+        """The values of these keys, NaN where there is none."""
+        at = self._home(key)
+        there = self._key[at]
+        off = np.flatnonzero(there != key)
+        there = there[off]
+        while len(off):
+            off = off[there != self._free]
+            at[off] = (at[off] + 1) & self._last
+            there = self._key[at[off]]
+            wrong = there != key[off]
+            off, there = off[wrong], there[wrong]
+        return [v[at] for v in self._values]
+
+
 def _hot_from(table: DataFrame, most: int) -> int:
     """The power of two of occurrences from which on rows are frequent: at most so many, and 64 if none are."""
     sizes = {r["b"]: r["count"] for r in table.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}
@@ -472,54 +567,41 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    counts = stored(word_counts(base), "word-counts")
+    seen = stored(text_counts(base, depth), "counts")
+    counts = seen.filter("word").select(F.col("key").alias("h"), "n", "c")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.sum((F.col("c") > 0).cast("long"))).first()
     tokens, distinct = int(total[0]), int(total[1] or 0)
     floor = tokens + 0.5 * (distinct + 1)
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = _trimmed(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(RangeHash(data)(at[:-1], at[1:]).view(np.int64)), b.column(1), b.column(2)], names=["h", "n", "c"])
-
-    table = stored(counts.mapInArrow(key, "h long, n long, c long"), "words").select(
-        "h", "n", F.log10((F.col("c") + 0.5) / floor).alias("base"), (F.col("c") > 0).cast("double").alias("known"))
-    tree = stored(gram_scores(text_gram_counts(base, depth), depth), "gram-scores")
+    table = counts.select("h", "n", F.log10((F.col("c") + 0.5) / floor).alias("base"), (F.col("c") > 0).cast("double").alias("known"))
+    grams_seen = seen.filter(~F.col("word")).select(F.col("key").alias("gram"), "n", F.col("c").cast("double").alias("c"))
+    tree = stored(gram_scores(grams_seen, depth), "gram-scores")
     is_hot, hot_gram = (F.floor(F.log2("n")) >= _hot_from(t, most) for t, most in ((table, HOT_WORDS), (tree, HOT_GRAMS)))
 
-    def in_order(t: pa.Table) -> list[np.ndarray]:
-        h, *values = (t.column(k).to_numpy() for k in range(t.num_columns))
-        order = np.argsort(h)
-        return [h[order], *[v[order] for v in values]]
-    sent = docs.sparkSession.sparkContext.broadcast((in_order(table.filter(is_hot).select("h", "base", "known").toArrow()),
-                                                     in_order(tree.filter(hot_gram).select("gram", "logp").toArrow())))
-    end = table.filter(F.col("h") == int(RangeHash(np.zeros(0, np.uint8))(np.zeros(1, np.int64), np.zeros(1, np.int64)).view(np.int64)[0])).first()
+    def most_frequent(t: pa.Table) -> list[np.ndarray]:
+        n, *columns = (t.column(k).to_numpy() for k in range(t.num_columns))
+        order = np.argsort(-n)
+        return [x[order] for x in columns]
+    sent = docs.sparkSession.sparkContext.broadcast((_Lookup(*most_frequent(table.filter(is_hot).select("n", "h", "base", "known").toArrow())),
+                                                     _Lookup(*most_frequent(tree.filter(hot_gram).select("n", "gram", "logp").toArrow()))))
+    end = table.filter(F.col("h") == int(NO_WORD[0])).first()
     end_base, end_known = (end["base"], end["known"]) if end else (0.0, 0.0)
 
-    def found(h: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(h, wanted), max(0, len(h) - 1))
-        return at, (h[at] == wanted if len(h) else np.zeros(len(wanted), dtype=bool))
-
     def lists(values: np.ndarray, owner: np.ndarray, count: int) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (h, *values), (g, logp) = sent.value
+        of_word, of_gram = sent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for w in words(batch.column(1)):
                 wanted = w.hash.view(np.int64)
-                at, hit = found(h, wanted)
-                sums = [np.bincount(w.text[hit], weights=v[at[hit]], minlength=w.count) for v in values]
+                values = of_word(wanted)
+                hit = ~np.isnan(values[0])
+                sums = [np.bincount(w.text[hit], weights=v[hit], minlength=w.count) for v in values]
                 size, total, cold = np.zeros(w.count, np.int64), np.zeros(w.count), []
                 for many, key in text_grams(w, depth):
-                    order = np.argsort(key)
-                    ranked = key[order]
-                    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), ranked[1:] != ranked[:-1]]))
-                    at, there = found(g, ranked[starts])
-                    value = np.empty(len(key))
-                    value[order] = np.repeat(np.where(there, logp[at], np.nan) if len(g) else np.full(len(starts), np.nan), np.diff(starts, append=len(key)))
-                    rest = np.isnan(value)
+                    value, = of_gram(key)
+                    rest = np.flatnonzero(np.isnan(value))
                     value[rest] = 0.0
                     text = np.repeat(np.arange(w.count), many)
                     size += many
