@@ -217,6 +217,19 @@ def test_ward_in_rounds(spark):
     assert {tuple(r) for r in C.ward_labels(rows, ["a", "b", "c"], 6, few=50).collect()} == whole
 
 
+def test_ward_rounds_keep_small_estimates(spark, monkeypatch):
+    """A round's table does not carry the product of all sizes before it, whose digits doubled every round."""
+    digits, one_round = [], C._ward_round
+
+    def watched(clusters, n, xs):
+        digits.append(len(str(clusters._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return one_round(clusters, n, xs)
+    monkeypatch.setattr(C, "_ward_round", watched)
+    rows = spark.createDataFrame([(i, float(i * i % 97 + i / 200)) for i in range(120)], "symbol_id long, a double")
+    assert C.ward_labels(rows, ["a"], 3, few=20).count() == 120
+    assert len(digits) > 3 and max(digits) < 12
+
+
 def test_profiles_of_many_symbols(spark):
     n = C.MAX_ITEMS + 500
     panel = spark.range(n).select(F.col("id").alias("symbol_id"), F.lit(0).alias("date_id"), F.lit(0).alias("time_id"),

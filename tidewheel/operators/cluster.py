@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewheel.names import SYMBOL
 from tidewheel.operators.correlation import column_correlation, symbol_correlation
 from tidewheel.operators.structure import symbol_profile
-from tidewheel.session import pin
+from tidewheel.session import pin, scratch_path
 
 MAX_ITEMS = 4_000  # a matrix of this order and its pairs fit the driver easily
 FEW = 1_000        # clusters of profiles that the driver merges to the end
@@ -177,11 +177,23 @@ def _ward_round(clusters: DataFrame, n: int, xs: list[str]) -> DataFrame:
             .withColumnRenamed("_to", "id"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read back.
+
+    A checkpoint keeps the size Spark estimates for its plan, and a join's is
+    the product of its sides': in a loop the digits of that number double every
+    round, until the driver has no room for it.  Files have their own size.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _tops(edges: DataFrame) -> DataFrame:
     """(id, top) of every absorbed id: where its chain of (id, top) edges ends, by doubling."""
     while True:
         ahead = edges.select(F.col("id").alias("top"), F.col("top").alias("_next"))
-        step = pin(edges.join(ahead, "top", "left").select("id", F.coalesce("_next", "top").alias("top"), F.col("_next").isNotNull().alias("_moved")))
+        step = _stored(edges.join(ahead, "top", "left").select("id", F.coalesce("_next", "top").alias("top"), F.col("_next").isNotNull().alias("_moved")))
         if step.where("_moved").isEmpty():
             return edges
         edges = step.select("id", "top")
@@ -205,12 +217,12 @@ def ward_labels(profiles: DataFrame, cols: list[str], k: int, few: int = FEW) ->
         one = np.ones(len(rows))
         labels = cut(len(rows), merge_order(np.sqrt(_growth(x, one, x, one)), "ward"), k=k)
         return spark.createDataFrame([(r[SYMBOL], lb) for r, lb in zip(rows, labels)], f"{SYMBOL} long, cluster int")
-    clusters = pin(items.groupBy(*xs).agg(F.min(SYMBOL).alias("id"), F.count(F.lit(1)).cast("double").alias("size"))
-                   .select("id", "size", F.lit(0.0).alias("height"), *xs, F.lit(None).cast("long").alias("absorbed")))
+    clusters = _stored(items.groupBy(*xs).agg(F.min(SYMBOL).alias("id"), F.count(F.lit(1)).cast("double").alias("size"))
+                       .select("id", "size", F.lit(0.0).alias("height"), *xs, F.lit(None).cast("long").alias("absorbed")))
     owner = items.join(clusters.select("id", *xs), xs).select(SYMBOL, "id")
     left, done = clusters.count(), []
     while left > few:
-        clusters = pin(_ward_round(clusters, left, xs))
+        clusters = _stored(_ward_round(clusters, left, xs))
         done.append(clusters.where("absorbed IS NOT NULL").select(F.lit(len(done)).alias("round"), "id", "absorbed", "height"))
         left = clusters.count()
     rows = sorted(clusters.collect(), key=lambda r: r["id"])
@@ -234,7 +246,7 @@ def ward_labels(profiles: DataFrame, cols: list[str], k: int, few: int = FEW) ->
     if early is not None:
         parted = [m[2] for m in undone if m[2] is not None]
         links = early.select(F.col("absorbed").alias("id"), F.col("id").alias("top"))
-        owner = (owner.join(_tops(pin(links.where(~F.col("id").isin(parted)) if parted else links)), "id", "left")
+        owner = (owner.join(_tops(_stored(links.where(~F.col("id").isin(parted)) if parted else links)), "id", "left")
                  .select(SYMBOL, F.coalesce("top", "id").alias("id")))
     grouped = (owner.join(spark.createDataFrame(ends, "id long, _end long"), "id", "left")
                .select(SYMBOL, F.coalesce("_end", "id").alias("_end")))
