@@ -90,3 +90,32 @@ def test_causality_probe_makes_the_panel_once(spark):
     assert fx.trades(spark, SF).select("symbol_id", "date_id", "time_id", "feature_00", "feature_02").storageLevel.useMemory
     assert all(r["max_abs_delta"] < 1e-9 and r["n_one_sided"] == 0 and r["n_cells"] > 0 for r in probe.collect())
     spark.catalog.clearCache()
+
+
+def test_boosted_trees_stop_by_patience_only(spark, monkeypatch):
+    """As many rounds as the validation error asks for, of a bound of a thousand, and the trees of one long fit."""
+    asked = {}
+    monkeypatch.setattr(modelling.M, "fit_eval", lambda *a, **kw: asked.update(kw) or (a[2].withColumn("pred", F.lit(0.0)), None))
+    modelling.boosted_trees(spark, SF)
+    assert asked == {"early_stop": True, "max_iter": 1000, "depth": 6}
+    monkeypatch.undo()
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    table = spark.createDataFrame([(i, *map(float, v), float(np.sin(3 * v[0]) + 0.5 * rng.normal()), 1.0) for i, v in enumerate(x)], "i long, a double, b double, y double, w double")
+    train, valid = table.where("i < 300"), table.where("i >= 300")
+    how = {"depth": 2, "step": 0.3}
+    preds, _ = modelling.M.fit_eval("boosted_trees", train, valid, ["a", "b"], early_stop=True, max_iter=14, patience=3, **how)
+    long = modelling.M.fit("boosted_trees", train, ["a", "b"], max_iter=14, **how)
+    errors = long.stages[-1].evaluateEachIteration(long.stages[0].transform(valid), "squared")
+    best, _ = modelling.M.best_round(errors, 3)
+    assert best > 4  # the earlier bound
+    want = modelling.M.predict(modelling.M._first_rounds(long, best), valid, ["a", "b"])
+    both = preds.select("i", "pred").join(want.select("i", F.col("pred").alias("want")), "i")
+    assert both.count() == 100 and both.where("abs(pred - want) > 1e-12").isEmpty()
+    error = both.join(valid, "i").agg(F.avg((F.col("pred") - F.col("y")) ** 2)).first()[0]
+    assert abs(error - errors[best - 1]) < 1e-9
+
+
+def test_best_round_waits_for_patience():
+    assert modelling.M.best_round([5, 4, 4.5, 3, 3.5, 3.6, 2], 2) == (4, True)
+    assert modelling.M.best_round([5, 4, 4.5, 3, 3.5, 3.6, 2], 3) == (7, False)
