@@ -12,7 +12,8 @@ from tidewheel.operators.lags import previous_day
 from tidewheel.streaming.daily import (DayRoll, active_symbols, feed_labels, late_rows, market_average_stream,
                                        previous_day_stream, roll_days, with_market_average)
 from tidewheel.streaming.calibrator import TrailingCalibrator
-from tidewheel.streaming.replay import read_rounds, run_to_table, write_drop, write_rounds
+from tidewheel.streaming import replay as R
+from tidewheel.streaming.replay import bounded_ends, read_rounds, run_to_table, write_bounded, write_drop, write_rounds
 from tidewheel.streaming.rolling import ENGINES, rolling_stream
 from tidewheel.streaming.serve import Server
 
@@ -207,6 +208,26 @@ def test_drops_of_several_files_stay_whole(spark):
     assert seen == [1, 399]
 
 
+def test_bounded_drops_hold_few_rows_and_stay_abreast(spark, panel, monkeypatch):
+    """No drop holds more than the bound, a step larger than it aside; labels one date late end where the rows do."""
+    monkeypatch.setattr(R, "FILE_ROWS", 10)
+    rows = panel.select("symbol_id", "date_id", "time_id", "weight").union(spark.createDataFrame([(7, None, 0, 1.0)], "symbol_id long, date_id int, time_id int, weight double"))
+    labels = panel.where("NOT (date_id = 5 AND symbol_id = 0)").select("symbol_id", "date_id", "time_id", F.lit(2.0).alias("responder_6"))
+    ends = bounded_ends(rows, 3)
+    assert len(ends) > 12 and ends == sorted(set(ends)) and bounded_ends(rows.limit(0), 3) == []
+    streams, seen = [], []
+    for table, late in ((rows, 0), (labels, 1)):
+        path = scratch_path(spark, "bounded")
+        files = write_bounded(table, path, ends, late)
+        streams.append(read_rounds(spark, path, table.schema, files))
+    out = run_to_table(previous_day_stream(*streams, [6]), "lags", 4).drop("event_time")
+    want = previous_day(rows.where("date_id IS NOT NULL"), [6], labels)
+    assert out.count() == panel.count() and out.select(*want.columns).exceptAll(want).count() == 0
+    (streams[0].writeStream.foreachBatch(lambda b, _: seen.append((b.count(), b.agg(F.max("date_id")).first()[0])))
+     .option("checkpointLocation", scratch_path(spark, "bounded-ckpt")).trigger(availableNow=True).start().awaitTermination())
+    assert max(n for n, _ in seen) <= 10 and sum(n for n, _ in seen) == panel.count() + 1 and [d for _, d in seen] == sorted(d for _, d in seen)
+
+
 def test_calibrator_reads_and_writes_its_state_once_a_batch():
     """Any number of dates: one read and one write; sums and waiting rows as row by row; the last of repeated labels counts."""
     class Kept:
