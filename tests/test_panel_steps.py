@@ -84,6 +84,15 @@ def test_features_along_whole_symbols_take_one_shuffle_by_symbol(spark):
     panel.unpersist()
 
 
+def test_feature_builder_copies_no_margins(spark):
+    """Symbols that a task holds are shuffled once and whole, not cut into chunks with copied dates beside them."""
+    from tidewheel.catalog import windows
+    spark.catalog.clearCache()
+    along = plan(windows.feature_builder(spark, SF)).split("InMemoryTableScan")[0]
+    assert "_chunk" not in along and along.count("Exchange hashpartitioning(symbol_id") == 1
+    spark.catalog.clearCache()
+
+
 def test_causality_probe_makes_the_panel_once(spark):
     spark.catalog.clearCache()
     probe = evaluation.causality_probe(spark, SF)

@@ -1,5 +1,7 @@
 """Time-series window operators and cross-sections."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewheel.catalog.registry import (ACTIVITY, ACTIVITY_LABELLED, K, KSQL, TRADES, TRADES_LABELLED, WDT, WS, WSD, query,
@@ -229,7 +231,8 @@ def _builder_sql() -> str:
 
 @query("feature_builder", _builder_sql())
 def feature_builder(spark, d):
-    out = build_features(fx.trades_labelled(spark, d).persist(), _PLAN)
+    panel = fx.trades_labelled(spark, d).select(*K, *TF, *[f"responder_{r}" for r in range(3, 9)]).persist()
+    out = build_features(panel, replace(_PLAN, symbol_rows=fx.trades_steps(spark, d))).where("symbol_id IS NOT NULL")
     return out.select(*K, *[rnd(F.col(c).cast("double"), 4).alias(c) for c in _PLAN.columns()])
 
 

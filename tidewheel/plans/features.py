@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.names import (CATEGORICAL, DATE, FEATURES, FIRST_STABLE_DATE, LAG_DIFFERENCES, ROLLED_FEATURES,
-                             ROLLING_ROWS, TARGET, TIME, ewma_name, lag_name, market_avg, rank_name, rolling_diff,
+                             ROLLING_ROWS, SYMBOL, TARGET, TIME, ewma_name, lag_name, market_avg, rank_name, rolling_diff,
                              rolling_std)
 from tidewheel.operators.chunks import CHUNK_ROWS, over_symbol
 from tidewheel.operators.crosssection import market_average, rank_average
@@ -41,8 +41,8 @@ class FeaturePlan:
 
     @property
     def whole_symbols(self) -> bool:
-        """A symbol is no longer than a chunk: one exchange by symbol serves every step along it."""
-        return self.symbol_rows is not None and self.chunk_rows is not None and self.symbol_rows <= self.chunk_rows
+        """A symbol is no longer than a chunk, or than a task holds: one exchange by symbol serves every step along it, without margins."""
+        return self.symbol_rows is not None and self.chunk_rows is not None and self.symbol_rows <= max(self.chunk_rows, CHUNK_ROWS)
 
     def columns(self) -> list[str]:
         """Model inputs in order, categoricals left out."""
@@ -81,6 +81,8 @@ def build_features(panel: DataFrame, plan: FeaturePlan) -> DataFrame:
     for group in plan.extra:
         bound = {"symbol_rows": plan.symbol_rows} if group == "ewma_per_symbol" and plan.whole_symbols else {}
         df = EXTRA_GROUPS[group](df, plan.rolled, **bound)
+    if plan.whole_symbols and "ewma_per_symbol" not in plan.extra:
+        df = df.repartition(SYMBOL)
     if plan.lagged:
         df = previous_day(df, plan.lagged)
     stages = [rolling_stage(plan.rolled, plan.rolling_rows)]
